@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pointloom.llm import exact_dedup, sharding
+from pointloom.llm import exact_dedup, packing, quality_rules, secrets, sharding, token_output
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_secret_scans": secrets.op3_secret_scans,
         "op4_sharding": sharding.op4_sharding,
+        "op5_packing": packing.op5_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_token_output": token_output.op9_token_output,
     }
 
 
