@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointloom.llm import exact_dedup, packing, quality_rules, secrets, sharding, token_output
+from pointloom.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, token_output
 
 
 def queries() -> dict:
@@ -11,8 +11,11 @@ def queries() -> dict:
         "op3_secret_scans": secrets.op3_secret_scans,
         "op4_sharding": sharding.op4_sharding,
         "op5_packing": packing.op5_packing,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_token_output": token_output.op9_token_output,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 

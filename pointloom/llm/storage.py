@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -32,9 +33,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a lineage cut that outlives any executor."""
-    path = fresh_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are no longer referenced
+    return spark.read.schema(schema).parquet(path)
 
 
 def number_gapless(df: DataFrame, out: str, groups: list[str], lot: Column, order: list[Column]) -> DataFrame:
@@ -44,15 +49,15 @@ def number_gapless(df: DataFrame, out: str, groups: list[str], lot: Column, orde
     task, so a hot group never does. The lots' sizes are counted first and their running sum gives
     every lot its first number. The counts (groups x lots rows) are joined back, not collected.
     """
-    df = df.withColumn("_lot", lot)
-    sizes = df.groupBy(*groups, "_lot").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*groups).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*groups, "_lot", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
-    bases = bases.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)], F.col("_lot").alias("_glot"), "_base")
-    on = F.col("_lot") == F.col("_glot")
+    df = df.withColumn("_ng_lot", lot)
+    sizes = df.groupBy(*groups, "_ng_lot").agg(F.count(F.lit(1)).alias("_ng_size"))
+    before = Window.partitionBy(*groups).orderBy("_ng_lot").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*groups, "_ng_lot", F.coalesce(F.sum("_ng_size").over(before), F.lit(0)).alias("_ng_base"))
+    bases = bases.select(*[F.col(c).alias(f"_ng_g{i}") for i, c in enumerate(groups)], F.col("_ng_lot").alias("_ng_glot"), "_ng_base")
+    on = F.col("_ng_lot") == F.col("_ng_glot")
     for i, c in enumerate(groups):
-        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    inside = Window.partitionBy(*groups, "_lot").orderBy(*order)
-    ranked = df.withColumn("_rank", F.row_number().over(inside).cast("long"))
+        on = on & F.col(c).eqNullSafe(F.col(f"_ng_g{i}"))
+    inside = Window.partitionBy(*groups, "_ng_lot").orderBy(*order)
+    ranked = df.withColumn("_ng_rank", F.row_number().over(inside).cast("long"))
     joined = ranked.join(bases, on, "inner")
-    return joined.withColumn(out, F.col("_base") + F.col("_rank") - 1).drop("_lot", "_rank", "_base", "_glot", *[f"_g{i}" for i in range(len(groups))])
+    return joined.withColumn(out, F.col("_ng_base") + F.col("_ng_rank") - 1).drop("_ng_lot", "_ng_rank", "_ng_base", "_ng_glot", *[f"_ng_g{i}" for i in range(len(groups))])

@@ -47,10 +47,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each data[starts[i]:ends[i]]."""
+    """A hash of each data[starts[i]:ends[i]], of bytes or of 64-bit hashes."""
     power, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(CODES[data] * power[:-1], out=sums[1:])
+    np.cumsum((CODES[data] if data.dtype == np.uint8 else data) * power[:-1], out=sums[1:])
     raw = (sums[ends] - sums[starts]) * inverse[starts]
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
