@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pointloom.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, token_output
+from pointloom.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, token_output
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_secret_scans": secrets.op3_secret_scans,
         "op4_sharding": sharding.op4_sharding,
