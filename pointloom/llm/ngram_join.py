@@ -286,6 +286,15 @@ def link_classes(alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame
     return components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, percent)))
 
 
+def _labels(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """docs' columns but text, with n_shingles and label, the least class of the document's component."""
+    measured = materialise(class_sizes(docs, words), "sets")
+    alive, fragments = prune(possible_classes(docs, words, percent), percent)
+    groups = link_classes(alive, prefixes(alive, fragments), percent)
+    groups = groups.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    return measured.join(groups, F.col("class") == F.col("_u"), "left").withColumn("label", F.coalesce("_v", "class")).drop("_u", "_v", "class")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs' columns but text, with n_shingles and component_id.
 
@@ -295,15 +304,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     doc_ids not counted (null if there is no other). A document without words has its own doc_id. Repeated rows
     link with each other. An empty table gives an empty result. Columns named like the added are replaced.
     """
-    docs = docs.drop("component_id")
-    measured = materialise(class_sizes(docs, words), "sets")
-    alive, fragments = prune(possible_classes(docs, words, percent), percent)
-    groups = link_classes(alive, prefixes(alive, fragments), percent)
-    groups = groups.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    labelled = measured.join(groups, F.col("class") == F.col("_u"), "left").withColumn("label", F.coalesce("_v", "class")).drop("_u", "_v")
+    labelled = _labels(docs.drop("component_id", "label"), words, percent)
     least = labelled.filter("n_shingles > 0").groupBy(F.col("label").alias("_l")).agg(F.min("doc_id").alias("_d"))
     out = labelled.join(least, (F.col("label") == F.col("_l")) & (F.col("n_shingles") > 0), "left")
-    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("_d")).otherwise(F.col("doc_id"))).drop("_l", "_d", "label", "class")
+    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("_d")).otherwise(F.col("doc_id"))).drop("_l", "_d", "label")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but one row of each component: the one with the least doc_id (a null one only if all are).
+
+    Texts without words stay, each of them. docs must read the same on every pass, as a table does.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    labelled = _labels(numbered.select("_row", "doc_id", "text"), words, percent).filter("n_shingles > 0")
+    first = labelled.groupBy(F.col("label").alias("_l")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    gone = labelled.join(first.filter("_n > 1"), F.col("label") == F.col("_l")).filter("_row <> _first._row").select(F.col("_row").alias("_gone"))
+    return numbered.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

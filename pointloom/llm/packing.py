@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +67,11 @@ def cut_documents(docs: DataFrame, path: str | None = None, most: int = MAX_TOKE
 def number_sequences(pieces: DataFrame, order: list[Column], lot: Column) -> DataFrame:
     """Add sequence_id, gapless from 0, and offset (0: a sequence is one piece).
 
-    Longer pieces come first, those of one length in a row, by `lot` (0 to LOTS - 1) and then `order`. pieces are
+    Longer pieces come first, those of one length in a row, by `lot` (under 2**32) and then `order`. pieces are
     counted and then numbered, so they should be a table.
     """
-    log = F.length(F.bin("length"))
-    return number_gapless(pieces, "sequence_id", [], (64 - log) * LOTS + lot, order).withColumn("offset", F.lit(0).cast("long"))
+    length = (64 - F.length(F.bin("length"))).cast("long") * F.lit(1 << 32)
+    return number_gapless(pieces, "sequence_id", [], length + lot, order).withColumn("offset", F.lit(0).cast("long"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, most: int = MAX_TOKENS, ids: bool = True) -> DataFrame:
@@ -84,6 +85,20 @@ def pack_documents(docs: DataFrame, path: str | None = None, most: int = MAX_TOK
     return number_sequences(pieces, keys, F.pmod(F.xxhash64("doc_id", "start"), F.lit(LOTS)))
 
 
+def pack_in_order(docs: DataFrame, path: str | None = None, most: int = MAX_TOKENS, ids: bool = True) -> DataFrame:
+    """Like pack_documents, but pieces of one length are numbered in the order of docs' files and the rows in them.
+
+    The order is that of the numbers in the names that Spark gives to files (part-00000...). docs that aren't read
+    from files are numbered as by pack_documents.
+    """
+    try:
+        placed = docs.select(*docs.columns, F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:  # no files, no _metadata
+        return pack_documents(docs, path, most, ids)
+    pieces = materialise(cut_documents(placed, path, most, ids), "pieces")
+    return number_sequences(pieces, [F.col("_at"), F.col("start")], F.coalesce("_file", F.lit(0))).drop("_file", "_at")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return pack_documents(docs, ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
