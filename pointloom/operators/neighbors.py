@@ -6,6 +6,8 @@ cells around a point. In many dimensions cells prune nothing; there a stated set
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,45 +43,64 @@ def _merge_nearest(df: DataFrame, k: int, keys: list[str]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, vector: str, q_id: str, r_id: str, skip_self: bool = True, block: int = 2048) -> DataFrame:
-    """(a_id, b_id, d2, rank): exact k nearest rows of each query by squared distance, smaller ids first on ties.
+def _in_blocks(queries: DataFrame, rows: DataFrame, q_id: str, r_id: str, vectors: dict[str, str], search: Callable, extra: str, block: int) -> DataFrame:
+    """(a_id, b_id, extra) of search(a, b) over blocks of queries and parts of rows, each pair one task's work.
 
-    The queries are cut into blocks of `block` and the rows into as many parts as there are partitions; each pair
-    of block and part is one task's work, of which the k best of every query go on. No pair of vectors becomes a row.
+    search gets two dicts of matrices (by the names in `vectors`) with their ids, rows by ascending id, and gives the
+    places in a and b, and the extra columns, of what is worth going on.
     """
     spark = queries.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    q = queries.select(F.col(q_id).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(q_id), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = rows.select(F.col(r_id).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(r_id), F.lit(parts)).cast("int").alias("part"))
-    r = r.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"a_id": pa.array([], pa.int64()), "b_id": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
+    blocks = max(1, -(-queries.count() // block))
+
+    def side(df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.col(key).cast("long").alias("id"), *[F.col(c).alias(n) for n, c in vectors.items()])
+
+    q = side(queries, q_id).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = side(rows, r_id).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    names = [x.split()[0] for x in extra.split(", ")]
+
+    def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return empty
-        a, b = (np.array(t.column("v").to_pylist(), np.float64) for t in (left, right))
-        ia, ib = (t.column("id").to_numpy() for t in (left, right))
-        order = np.argsort(ib, kind="stable")
-        b, ib = b[order], ib[order]
-        out_a, out_b, out_d = [], [], []
-        for i in range(len(a)):
-            d = np.zeros(len(b))
-            for j in range(a.shape[1]):  # in the order of the dimensions, as a sum over the arrays would be
-                d += (a[i, j] - b[:, j]) * (a[i, j] - b[:, j])
+            return pa.table({"a_id": pa.array([], pa.int64()), "b_id": pa.array([], pa.int64())} | {n: pa.array([], pa.float64()) for n in names})
+        right = right.sort_by("id")
+        a, b = ({"id": t.column("id").to_numpy()} | {n: np.array(t.column(n).to_pylist(), np.float64) for n in vectors} for t in (left, right))
+        i, j, more = search(a, b)
+        return pa.table({"a_id": a["id"][i], "b_id": b["id"][j]} | dict(zip(names, more, strict=True)))
+
+    r = r.select("id", *vectors, "block", "part")
+    return q.groupBy("block", "part").cogroup(r.groupBy("block", "part")).applyInArrow(task, f"a_id long, b_id long, {extra}")
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of one vector and many, added up dimension by dimension as a sum over the arrays would be."""
+    out = np.zeros(len(b))
+    for j in range(len(a)):
+        out += (a[j] - b[:, j]) * (a[j] - b[:, j])
+    return out
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int, vector: str, q_id: str, r_id: str, skip_self: bool = True, block: int = 2048) -> DataFrame:
+    """(a_id, b_id, d2, rank): exact k nearest rows of each query by squared distance, smaller ids first on ties.
+
+    The queries are cut into blocks and the rows into parts; the k best of each query and part go on. No other pair
+    of vectors becomes a row.
+    """
+
+    def search(a, b):
+        i, j, out = [], [], []
+        for x in range(len(a["id"])):
+            d = _squared(a["v"][x], b["v"])
             if skip_self:
-                d[ib == ia[i]] = np.inf
+                d[b["id"] == a["id"][x]] = np.inf
             near = np.argsort(d, kind="stable")[:k]
             near = near[np.isfinite(d[near])]
-            out_a.append(np.full(len(near), ia[i]))
-            out_b.append(ib[near])
-            out_d.append(d[near])
-        return pa.table({"a_id": np.concatenate(out_a), "b_id": np.concatenate(out_b), "d2": np.concatenate(out_d)})
+            i.append(np.full(len(near), x))
+            j.append(near)
+            out.append(d[near])
+        return np.concatenate(i), np.concatenate(j), [np.concatenate(out)]
 
-    best = q.select("id", "v", "block", "part").groupBy("block", "part").cogroup(r.select("id", "v", "block", "part").groupBy("block", "part"))
-    return _merge_nearest(best.applyInArrow(search, "a_id long, b_id long, d2 double"), k, ["a_id"])
+    return _merge_nearest(_in_blocks(queries, rows, q_id, r_id, {"v": vector}, search, "d2 double", block), k, ["a_id"])
 
 
 def knn_grid(points: DataFrame, k: int, width: float, pid: str = "pid", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -107,17 +128,28 @@ def mean_nearest(neighbours: DataFrame, k: int = 3) -> DataFrame:
     return g.select("a_id", F.when(F.col("_n") >= k, F.col("_m")).alias("mean_d2"))
 
 
-def gated_neighbors(cameras: DataFrame, centre: str, axis: str, cid: str, near: float = 0.01, far: float = 1.5, degrees: float = 30.0, most: int = 8) -> DataFrame:
+def gated_neighbors(cameras: DataFrame, centre: str, axis: str, cid: str, near: float = 0.01, far: float = 1.5, degrees: float = 30.0, most: int = 8, block: int = 2048) -> DataFrame:
     """(a_id, b_id, dist, angle, rank): of each camera up to `most` others with near < dist < far and angle < degrees,
-    by distance and then angle. Cameras are a short table: the pairs are a broadcast join of it with itself when
-    Spark finds it small, and a block join otherwise."""
-    a = cameras.select(F.col(cid).alias("a_id"), F.col(centre).alias("_pa"), F.col(axis).alias("_va"))
-    b = cameras.select(F.col(cid).alias("b_id"), F.col(centre).alias("_pb"), F.col(axis).alias("_vb"))
-    pairs = a.join(b, F.col("a_id") != F.col("b_id"))
-    pairs = pairs.withColumns({"dist": V.distance_any(F.col("_pa"), F.col("_pb")), "angle": V.angle_degrees(F.col("_va"), F.col("_vb"))})
-    kept = pairs.filter((F.col("angle") < degrees) & (F.col("dist") > near) & (F.col("dist") < far)).select("a_id", "b_id", "dist", "angle")
+    by distance and then angle. NaN angles and cameras without an axis pass no gate."""
+
+    def search(a, b):
+        i, j, dist, angle = [], [], [], []
+        lengths = np.sqrt((b["v"] ** 2).sum(1))
+        for x in range(len(a["id"])):
+            d = np.sqrt(_squared(a["p"][x], b["p"]))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                g = np.degrees(np.arccos(b["v"] @ a["v"][x] / (np.sqrt((a["v"][x] ** 2).sum()) * lengths)))
+            ok = np.flatnonzero((g < degrees) & (d > near) & (d < far) & (b["id"] != a["id"][x]))
+            ok = ok[np.lexsort((ok, g[ok], d[ok]))][:most]
+            i.append(np.full(len(ok), x))
+            j.append(ok)
+            dist.append(d[ok])
+            angle.append(g[ok])
+        return np.concatenate(i), np.concatenate(j), [np.concatenate(dist), np.concatenate(angle)]
+
+    found = _in_blocks(cameras, cameras, cid, cid, {"p": centre, "v": axis}, search, "dist double, angle double", block)
     order = Window.partitionBy("a_id").orderBy("dist", "angle", "b_id")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
 def statistical_outliers(neighbours: DataFrame, sigmas: float = 2.0) -> DataFrame:
