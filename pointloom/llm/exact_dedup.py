@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,7 +17,7 @@ SEGMENT_BITS = 18
 
 
 def _two_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    u = h.astype(np.int64, copy=False).view(np.uint64)
+    u = h.view(np.uint64)
     return (u & np.uint64(bits - 1)).astype(np.uint32), ((u >> np.uint64(34)) & np.uint64(bits - 1)).astype(np.uint32)
 
 
@@ -23,8 +25,12 @@ def _filter_size(rows: int) -> int:
     return min(MAX_BITS, 1 << max(12, (max(1, rows) * BITS_A_ROW - 1).bit_length()))
 
 
-def repeated_places(hashes: DataFrame, bits: int) -> list[np.ndarray]:
-    """For both tables, a packed bitmap of the places that two or more rows of `hashes` (column h) fall on.
+def own_column(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column(0).to_numpy(zero_copy_only=False)
+
+
+def repeated_places(rows: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]] = own_column) -> list[np.ndarray]:
+    """For both tables, a packed bitmap of the places that two or more of the rows' 64-bit hashes fall on.
 
     Each task sends the places it has seen, once each, with a flag for those it saw twice; a task per
     segment of a table merges them. The bitmaps (bits / 8 bytes each) are what reaches the driver.
@@ -33,8 +39,9 @@ def repeated_places(hashes: DataFrame, bits: int) -> list[np.ndarray]:
     def seen(batches):
         parts: list[list[np.ndarray]] = [[], []]
         for b in batches:
-            for t, p in enumerate(_two_places(b.column(0).to_numpy(zero_copy_only=False), bits)):
-                parts[t].append(p)
+            for h in hashes(b):
+                for t, p in enumerate(_two_places(h, bits)):
+                    parts[t].append(p)
         for t, p in enumerate(parts):
             if not p:
                 continue
@@ -50,7 +57,7 @@ def repeated_places(hashes: DataFrame, bits: int) -> list[np.ndarray]:
         counts = np.bincount(places, minlength=1 << SEGMENT_BITS) + np.bincount(places[twice == 1], minlength=1 << SEGMENT_BITS)
         return pd.DataFrame({"segment": [segment], "places": [np.packbits(counts > 1, bitorder="little").tobytes()]})
 
-    parts = hashes.select("h").mapInArrow(seen, "segment int, places binary, twice binary")
+    parts = rows.mapInArrow(seen, "segment int, places binary, twice binary")
     maps = [np.zeros(max(bits, 1 << SEGMENT_BITS) // 8, np.uint8) for _ in range(2)]
     for r in parts.groupBy("segment").applyInPandas(merged, "segment int, places binary").toLocalIterator():
         at = (r["segment"] & 0xFFFF) << SEGMENT_BITS >> 3
@@ -64,7 +71,7 @@ def split_by_filter(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     hashed = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     bits = _filter_size(docs.count())
-    maps = spark.sparkContext.broadcast(repeated_places(hashed.select(F.col("_h").alias("h")), bits))
+    maps = spark.sparkContext.broadcast(repeated_places(hashed.select("_h"), bits))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:

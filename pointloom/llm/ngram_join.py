@@ -58,8 +58,11 @@ def gram_sets(t: W.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         whole = W.mix(W.span_hashes(h, t.first[short], t.first[short + 1]) + np.uint64(words))
         grams, doc = np.concatenate([grams, whole]), np.concatenate([doc, short])
-    order = np.lexsort((grams, doc))
-    grams, doc = grams[order], doc[order]
+        order = np.argsort(doc, kind="stable")
+        grams, doc = grams[order], doc[order]
+    cuts = np.searchsorted(doc, np.arange(len(t.bounds)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        grams[a:b].sort()
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
     grams, doc = grams[new], doc[new]
@@ -93,15 +96,14 @@ def possible_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(class, n, grams) of the classes that filter 1 leaves, one row each."""
     spark = docs.sparkSession
 
-    def first_quarter(batches):
-        for batch in batches:
-            for _, _, t in W.chunks(batch.column("text"), lower=True):
-                grams, _ = gram_sets(t, words)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(grams[grams < QUARTER].view(np.int64))})
+    def first_quarter(batch):
+        for _, _, t in W.chunks(batch.column("text"), lower=True):
+            grams, _ = gram_sets(t, words)
+            yield grams[grams < QUARTER]
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = _filter_size(size // 24)  # a word has about six bytes
-    maps = spark.sparkContext.broadcast(repeated_places(docs.select("text").mapInArrow(first_quarter, "h long"), bits))
+    maps = spark.sparkContext.broadcast(repeated_places(docs.select("text"), bits, first_quarter))
 
     def pick(batches):
         seen: set[int] = set()

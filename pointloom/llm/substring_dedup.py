@@ -61,14 +61,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(row, spans): for the rows of docs (numbered by `_row`) with repeated windows, (first word, mask of windows)."""
     spark = docs.sparkSession
 
-    def minimisers(batches):
-        for batch in batches:
-            for _, _, t in W.chunks(batch.column("text")):
-                yield pa.RecordBatch.from_pydict({"h": _signed(segments(t)[0][3])})
+    def minimisers(batch):
+        for _, _, t in W.chunks(batch.column("text")):
+            yield segments(t)[0][3]
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = _filter_size(size // 80)  # a segment begins about every 80 bytes
-    maps = spark.sparkContext.broadcast(repeated_places(docs.select("text").mapInArrow(minimisers, "h long"), bits))
+    maps = spark.sparkContext.broadcast(repeated_places(docs.select("text"), bits, minimisers))
 
     def refer(batches):
         for batch in batches:

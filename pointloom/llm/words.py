@@ -106,12 +106,11 @@ def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> It
     if not len(column):
         return
     data, bounds = utf8(column)
-    if lower:
-        data = LOWER[data]
     at = 0
     while at < len(bounds) - 1:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
-        yield at, to, find_words(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+        part = data[bounds[at] : bounds[to]]
+        yield at, to, find_words(LOWER[part] if lower else part, bounds[at : to + 1] - bounds[at])
         at = to
 
 
