@@ -21,18 +21,25 @@ def quaternion_to_rotation(q: Column, unit: bool = True) -> Column:
 
 def rotation_to_quaternion(r: Column) -> Column:
     """(w, x, y, z) with w >= 0, by the largest of the four diagonal combinations."""
-    m = V.items(r, 9)
-    squares = [1 + m[0] + m[4] + m[8], 1 + m[0] - m[4] - m[8], 1 - m[0] + m[4] - m[8], 1 - m[0] - m[4] + m[8]]
-    w, x, y, z = [F.sqrt(F.greatest(s, F.lit(0.0))) * 2 for s in squares]
-    largest = F.greatest(*squares)
-    forms = [
-        F.array(w / 4, (m[7] - m[5]) / w, (m[2] - m[6]) / w, (m[3] - m[1]) / w),
-        F.array((m[7] - m[5]) / x, x / 4, (m[1] + m[3]) / x, (m[2] + m[6]) / x),
-        F.array((m[2] - m[6]) / y, (m[1] + m[3]) / y, y / 4, (m[5] + m[7]) / y),
-        F.array((m[3] - m[1]) / z, (m[2] + m[6]) / z, (m[5] + m[7]) / z, z / 4),
-    ]
-    q = F.when(squares[0] == largest, forms[0]).when(squares[1] == largest, forms[1]).when(squares[2] == largest, forms[2]).otherwise(forms[3])
-    return F.when(q.getItem(0) < 0, V.scale(q, -1.0, 4)).otherwise(q)
+
+    def from_squares(m: list[Column], s: Column) -> Column:
+        w, x, y, z = [F.sqrt(F.greatest(s.getItem(i), F.lit(0.0))) * 2 for i in range(4)]
+        forms = [
+            (w / 4, (m[7] - m[5]) / w, (m[2] - m[6]) / w, (m[3] - m[1]) / w),
+            ((m[7] - m[5]) / x, x / 4, (m[1] + m[3]) / x, (m[2] + m[6]) / x),
+            ((m[2] - m[6]) / y, (m[1] + m[3]) / y, y / 4, (m[5] + m[7]) / y),
+            ((m[3] - m[1]) / z, (m[2] + m[6]) / z, (m[5] + m[7]) / z, z / 4),
+        ]
+        first = F.array_position(s, F.array_max(s))
+        q = F.when(first == 1, F.array(*forms[0])).when(first == 2, F.array(*forms[1])).when(first == 3, F.array(*forms[2])).otherwise(F.array(*forms[3]))
+        return V.let(q, lambda v: F.when(v.getItem(0) < 0, V.scale(v, -1.0, 4)).otherwise(v))
+
+    def of(r: Column) -> Column:
+        m = V.items(r, 9)
+        squares = F.array(1 + m[0] + m[4] + m[8], 1 + m[0] - m[4] - m[8], 1 - m[0] + m[4] - m[8], 1 - m[0] - m[4] + m[8])
+        return V.let(squares, lambda s: from_squares(m, s))
+
+    return V.let(r, of)
 
 
 def world_to_view(rotation: Column, translation: Column, shift: Column | None = None, factor: float = 1.0) -> Column:

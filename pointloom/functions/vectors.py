@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: expressions that use a large one many times would grow without it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def vec(*xs) -> Column:
     return F.array(*[x.cast("double") if isinstance(x, Column) else F.lit(float(x)) for x in xs])
 
