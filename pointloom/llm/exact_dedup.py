@@ -67,11 +67,11 @@ def repeated_places(rows: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch
 
 
 def split_by_filter(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose text may occur again, rows whose text can't), both with `_maybe` and without a shuffle."""
+    """(rows whose text may occur again, rows whose text can't), both with `_pl_maybe` and without a shuffle."""
     spark = docs.sparkSession
-    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    hashed = docs.withColumn("_pl_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     bits = _filter_size(docs.count())
-    maps = spark.sparkContext.broadcast(repeated_places(hashed.select("_h"), bits))
+    maps = spark.sparkContext.broadcast(repeated_places(hashed.select("_pl_h"), bits))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
@@ -80,8 +80,20 @@ def split_by_filter(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             found &= (bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
         return pd.Series(found)
 
-    flagged = hashed.withColumn("_maybe", maybe("_h")).drop("_h")
-    return flagged.filter("_maybe"), flagged.filter(~F.col("_maybe"))
+    flagged = hashed.withColumn("_pl_maybe", maybe("_pl_h")).drop("_pl_h")
+    return flagged.filter("_pl_maybe"), flagged.filter(~F.col("_pl_maybe"))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with _pl_keep_id, _pl_size, _pl_kept and _pl_sha."""
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    again, alone = split_by_filter(docs.withColumn("_pl_row", F.monotonically_increasing_id()))
+    again = again.withColumn("_pl_sha", sha)
+    groups = again.groupBy(F.col("_pl_sha").alias("_pl_group")).agg(F.count(F.lit(1)).alias("_pl_size"), F.max(F.struct("doc_id", "_pl_row")).alias("_pl_best"))
+    joined = again.join(groups, F.col("_pl_sha") == F.col("_pl_group")).withColumns({"_pl_keep_id": F.col("_pl_best.doc_id"), "_pl_kept": F.col("_pl_row") == F.col("_pl_best._pl_row")})
+    alone = alone.withColumns({"_pl_sha": sha, "_pl_size": F.lit(1).cast("long"), "_pl_keep_id": F.col("doc_id"), "_pl_kept": F.lit(True)})
+    columns = [*docs.columns, "_pl_keep_id", "_pl_size", "_pl_kept", "_pl_sha"]
+    return alone.select(columns).unionByName(joined.select(columns))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -94,20 +106,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     docs must read the same on every pass, as a table does. An empty table gives an empty result. Other
     columns stay; those named like the added ones are replaced.
     """
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256").withColumn("_row", F.monotonically_increasing_id())
-    again, alone = split_by_filter(docs)
-    again = again.withColumn("text_sha256", sha)
-    groups = again.groupBy(F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_best"))
-    joined = again.join(groups, F.col("text_sha256") == F.col("_sha")).withColumns({"keep_id": F.col("_best.doc_id"), "kept": F.col("_row") == F.col("_best._row")})
-    alone = alone.withColumns({"text_sha256": sha, "group_size": F.lit(1).cast("long"), "keep_id": F.col("doc_id"), "kept": F.lit(True)})
-    columns = [c for c in docs.columns if c != "_row"] + ["keep_id", "group_size", "kept", "text_sha256"]
-    return alone.select(columns).unionByName(joined.select(columns))
+    names = {"_pl_keep_id": "keep_id", "_pl_size": "group_size", "_pl_kept": "kept", "_pl_sha": "text_sha256"}
+    return _marked(docs.drop(*names.values())).withColumnsRenamed(names)
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with docs' columns."""
-    return exact_duplicates(docs).filter("kept").select(docs.columns)
+    """The rows of docs that exact_duplicates keeps, with docs' columns as they are."""
+    return _marked(docs).filter("_pl_kept").select(docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

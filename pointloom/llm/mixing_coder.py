@@ -18,6 +18,8 @@ import numpy as np
 
 MAGIC = 0x31434D43
 LANES = 4096
+#: Ids that a lane has at least, so that a small block learns something too.
+LEAST_STEPS = 256
 MIX_BITS = 16
 FREQ_BITS = 19
 HASH_BITS = 18
@@ -83,7 +85,7 @@ class _Model:
 
 def _layout(n: int) -> tuple[int, int]:
     """(lanes, steps): lane i has the ids from i * steps on."""
-    steps = max(min(n, 64), -(-n // LANES))
+    steps = max(min(n, LEAST_STEPS), -(-n // LANES))
     return -(-n // steps) if n else 0, steps
 
 

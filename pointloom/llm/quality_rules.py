@@ -93,11 +93,11 @@ def _per_mille(a: str, b: str) -> Column:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """docs with `_f`, the struct of FEATURES and base_failed, and `_m`, the array of METRICS' values."""
-    out = docs.withColumn("_f", text_features("text"))
-    failed = (F.col("_f.n_words") < MIN_WORDS) | (100 * F.col("_f.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_f.n_words"))
-    metrics = F.array(_per_mille("_f.n_symbols", "_f.word_chars"), _per_mille("_f.n_upper", "_f.word_chars"), _per_mille("_f.n_dup_lines", "_f.n_lines"), _per_mille("_f.n_repeat_words", "_f.n_words"))
-    return out.withColumns({"base_failed": failed, "_m": metrics})
+    """docs with `_pl_f`, the struct of FEATURES, `_pl_failed` by the base rules, and `_pl_m`, the array of METRICS' values."""
+    out = docs.withColumn("_pl_f", text_features("text"))
+    failed = (F.col("_pl_f.n_words") < MIN_WORDS) | (100 * F.col("_pl_f.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_pl_f.n_words"))
+    metrics = F.array(_per_mille("_pl_f.n_symbols", "_pl_f.word_chars"), _per_mille("_pl_f.n_upper", "_pl_f.word_chars"), _per_mille("_pl_f.n_dup_lines", "_pl_f.n_lines"), _per_mille("_pl_f.n_repeat_words", "_pl_f.n_words"))
+    return out.withColumns({"_pl_failed": failed, "_pl_m": metrics})
 
 
 def bucket(v: Column) -> Column:
@@ -108,12 +108,12 @@ def bucket(v: Column) -> Column:
 
 def bucket_value(b: Column) -> Column:
     """The bucket's least value."""
-    return F.when(b < 32, b).otherwise(F.call_function("shiftleft", 8 + (b - 32) % 8, F.floor((b - 32) / 8).cast("int") + 2)).cast("long")
+    return F.when(b < 32, b).otherwise(F.call_function("shiftleft", (8 + (b - 32) % 8).cast("long"), F.floor((b - 32) / 8).cast("int") + 2))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n): the sketches of all groups."""
-    each = measured.select("lang", "source", F.posexplode("_m").alias("metric", "value"))
+    each = measured.select("lang", "source", F.posexplode("_pl_m").alias("metric", "value"))
     return each.groupBy("lang", "source", "metric", bucket(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -143,7 +143,15 @@ def thresholds(measured: DataFrame) -> DataFrame:
     joined = one.join(two, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("metric") == F.col("_m2"))).join(all_, F.col("metric") == F.col("_m3"))
     best = F.when(F.col("size") >= MIN_GROUP, F.col("fence")).when(F.col("size2") >= MIN_GROUP, F.col("fence2")).otherwise(F.col("fence3"))
     listed = F.sort_array(F.collect_list(F.struct("metric", best.alias("fence"))))
-    return joined.groupBy("lang", "source").agg(F.transform(listed, lambda x: x["fence"]).alias("_fences"))
+    return joined.groupBy("lang", "source").agg(F.transform(listed, lambda x: x["fence"]).alias("_pl_fences"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """docs with with_features' columns and `_pl_kept`."""
+    limits = thresholds(with_features(docs.select("text", "lang", "source"))).withColumnsRenamed({"lang": "_pl_lang", "source": "_pl_source"})
+    joined = with_features(docs).join(limits, F.col("lang").eqNullSafe(F.col("_pl_lang")) & F.col("source").eqNullSafe(F.col("_pl_source")), "left")
+    over = F.exists(F.arrays_zip("_pl_m", "_pl_fences"), lambda x: x["_pl_m"] > x["_pl_fences"])
+    return joined.withColumn("_pl_kept", ~F.col("_pl_failed") & ~over)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -154,15 +162,12 @@ def judge(docs: DataFrame) -> DataFrame:
     verdicts. An empty table gives an empty result. docs' columns stay, except those named like the added.
     """
     own = [c for c in docs.columns if c not in (*FEATURES, "base_failed", "kept")]
-    limits = thresholds(with_features(docs.select("text", "lang", "source"))).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = with_features(docs.select(own)).join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    over = F.exists(F.arrays_zip("_m", "_fences"), lambda x: x["_m"] > x["_fences"])
-    return joined.withColumn("kept", ~F.col("base_failed") & ~over).select(*own, "_f.*", "base_failed", "kept")
+    return _judged(docs.select(own)).select(*own, "_pl_f.*", F.col("_pl_failed").alias("base_failed"), F.col("_pl_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with docs' columns."""
-    return judge(docs).filter("kept").select(docs.columns)
+    """The documents that the rules keep, with docs' columns as they are."""
+    return _judged(docs).filter("_pl_kept").select(docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(row, spans): for the rows of docs (numbered by `_row`) with repeated windows, (first word, mask of windows)."""
+    """(row, spans): for the rows of docs (numbered by `_pl_row`) with repeated windows, (first word, mask of windows)."""
     spark = docs.sparkSession
 
     def minimisers(batch):
@@ -76,18 +76,18 @@ def repeats(docs: DataFrame) -> DataFrame:
                 keep = np.ones(len(doc), bool)
                 for bitmap, p in zip(maps.value, _two_places(value.view(np.int64), bits), strict=True):
                     keep &= (bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-                rows = batch.column("_row").slice(a, b - a).take(pa.array(doc[keep]))
+                rows = batch.column("_pl_row").slice(a, b - a).take(pa.array(doc[keep]))
                 yield pa.RecordBatch.from_arrays([rows, pa.array(first[keep].astype(np.int32)), pa.array(windows[keep].astype(np.int32)), _signed(value[keep]), _signed(content[keep])], ["row", "first", "windows", "m", "c"])
 
-    refs = materialise(docs.select("_row", "text").mapInArrow(refer, "row long, first int, windows int, m long, c long"), "segments")
+    refs = materialise(docs.select("_pl_row", "text").mapInArrow(refer, "row long, first int, windows int, m long, c long"), "segments")
     contents = refs.groupBy("m", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "windows")).alias("at"))
     often = refs.groupBy("m").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("m").alias("_m"))
     wanted = contents.join(often, F.col("m") == F.col("_m")).select("m", "c", F.least("n", F.lit(2)).cast("int").alias("n"), "at.*")
-    listed = wanted.groupBy(F.col("row").alias("_at")).agg(F.collect_list(F.struct("first", "windows", "n", "m", "c")).alias("asked"))
+    listed = wanted.groupBy(F.col("row").alias("_pl_at")).agg(F.collect_list(F.struct("first", "windows", "n", "m", "c")).alias("_pl_asked"))
 
     def fetch(batches):
         for batch in batches:
-            asked = batch.column("asked")
+            asked = batch.column("_pl_asked")
             for a, b, t in W.chunks(batch.column("text")):
                 h = t.hashes()
                 part = asked.slice(a, b - a)
@@ -100,7 +100,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([flat.field(3), flat.field(4), flat.field(2), words], ["m", "c", "n", "words"])
 
-    asked = docs.select("_row", "text").join(listed, F.col("_row") == F.col("_at")).select("text", "asked")
+    asked = docs.select("_pl_row", "text").join(listed, F.col("_pl_row") == F.col("_pl_at")).select("text", "_pl_asked")
     held = materialise(asked.mapInArrow(fetch, "m long, c long, n int, words binary"), "contents")
     total = held.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, total // 8 // SHARD_WORDS)
@@ -139,13 +139,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     added = "n_words", "n_removed", "kept_text", "removed"
     docs = docs.select([c for c in docs.columns if c not in added])
     own = docs.columns
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    joined = numbered.join(repeats(numbered), F.col("_row") == F.col("row"), "left").select(*own, "spans")
+    numbered = docs.withColumn("_pl_row", F.monotonically_increasing_id())
+    found = repeats(numbered).select(F.col("row").alias("_pl_found"), F.col("spans").alias("_pl_spans"))
+    joined = numbered.join(found, F.col("_pl_row") == F.col("_pl_found"), "left").select(*own, "_pl_spans")
     schema = docs.schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("removed", T.ArrayType(T.ArrayType(T.LongType())))
 
     def cut(batches):
         for batch in batches:
-            spans = batch.column("spans")
+            spans = batch.column("_pl_spans")
             rest = batch.select(own)
             for a, b, t in W.chunks(batch.column("text")):
                 counts, gone, kept, ranges = [], [], [], []

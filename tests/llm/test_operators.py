@@ -1,0 +1,337 @@
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pointloom.llm import automaton, exact_dedup, fm_index, mixing, mixing_coder, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, token_output, tokens
+
+
+def same(df, columns, want):
+    """df's rows by the columns, as often as in want."""
+    got = Counter(tuple(r[c] for c in columns) for r in df.select(*columns).collect())
+    assert got == Counter(want)
+
+
+# 1
+@pytest.mark.parametrize("words, percent", [(4, 85), (5, 80), (2, 60)])
+def test_ngram_join(docs, rows, words, percent):
+    out = ngram_join.near_duplicates(docs, words, percent)
+    assert "lang" in out.columns and "text" not in out.columns
+    want = [(d, *x) for (d, _), x in zip(rows, brute.jaccard_components(rows, words, percent))]
+    same(out, ["doc_id", "n_shingles", "component_id"], want)
+
+
+def test_near_duplicates_leave_one(docs, rows):
+    kept = ngram_join.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = Counter(r["doc_id"] for r in kept.collect())
+    want = Counter()
+    seen = set()
+    for (d, t), (n, c) in zip(rows, brute.jaccard_components(rows, 5, 80)):
+        if not n:
+            want[d] += 1
+        elif c is None:
+            want[None] += 1
+        elif c not in seen:
+            seen.add(c)
+            want[c] += 1
+    assert got == want
+
+
+def test_ngram_join_of_nothing(nothing):
+    assert ngram_join.near_duplicates(nothing).count() == 0
+
+
+# 2
+def test_quality_base(docs, rows):
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = quality_rules.judge(docs)
+    same(out, names, [(d, *brute.quality(t)) for d, t in rows])
+    assert out.filter("base_failed AND kept").count() == 0
+
+
+def test_quality_verdicts_are_those_of_exact_groups(docs, rows):
+    """Limits from sketches are within a bucket of those from all values."""
+    junk = {d for d, t in rows if t and ("***" in t or " | " in t or "!!" in t)}
+    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect()}
+    assert not any(verdict[d] for d in junk)
+    clean = [d for d, t in rows if d is not None and t and not brute.quality(t)[-1] and d not in junk]
+    assert sum(verdict[d] for d in clean) >= 0.95 * len(clean)
+    assert quality_rules.keep_good(docs).columns == docs.columns
+
+
+def test_sketch_buckets(spark):
+    values = list(range(0, 5000)) + [10**6, 2**40]
+    df = spark.createDataFrame([(v,) for v in values], "v long").withColumn("b", quality_rules.bucket(F.col("v")))
+    got = df.withColumn("low", quality_rules.bucket_value(F.col("b"))).orderBy("v").collect()
+    assert all(r["low"] <= r["v"] < r["low"] * 9 / 8 + 1 for r in got)
+    assert [r["b"] for r in got] == sorted(r["b"] for r in got)
+
+
+def test_quality_of_nothing(nothing):
+    assert quality_rules.judge(nothing).count() == 0
+
+
+# 3
+def test_secret_spans(docs, rows):
+    out = secrets.secret_spans(docs)
+    want = []
+    for d, t in rows:
+        found = brute.secrets(t)
+        kinds = Counter(x.split(":")[0] for x in found)
+        want.append((d, kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(",".join(found).encode()).hexdigest(), ",".join(found)))
+    same(out, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], want)
+
+
+def test_scan_of_random_bytes_is_the_regexes():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(1)
+    parts = ["password", "PassWd", "token", "secret", "api_key", "apikey", "AKIA", "a", "f", "0", " ", "=", ":", '"', "'", "deadbeef", "0123456789abcdef", "ABC", "é", "\n", "-", ".", "xyzxyzxyzxyz", "ghp_", "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["0" * 100_000, ""]
+    got = secrets.find_secrets.func(pa.array(texts)).to_pylist()
+    for t, g in zip(texts, got):
+        base = [x for x in g["spans"].split(",") if x.split(":")[0] in secrets.BASE]
+        assert base == brute.secrets(t)
+    assert any("pem:" in g["spans"] for g in got)
+
+
+def test_automaton_is_minimal_and_right():
+    import re
+
+    dfa = automaton.compile_rules([("a[bc]+d?", False), ("bc{2,3}", True)], anchored=True)
+    for text in ("abcbd", "ab", "a", "bcc", "BCCC", "bc", "xyz", ""):
+        longest = max([m.end() for p in ("a[bc]+d?", "(?i)bc{2,3}") if (m := re.match(p, text))], default=-1)
+        assert dfa.longest(text.encode(), 0, len(text)) == longest
+    assert len(automaton.compile_rules([("a|b|[ab]", False)], anchored=True).accept) == 3
+
+
+# 4
+def test_sharding(docs, rows):
+    out = sharding.shard_documents(docs, n_shards=4, n_slots=2048)
+    want = [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "bytes", None) for d, t in rows]
+    same(out, ["doc_id", "size", "text_crc32", "law", "grown_shard"], want)
+    slots, load = defaultdict(list), Counter()
+    for r in out.collect():
+        slots[r["shard"]].append(r["slot"])
+        load[r["shard"]] += r["size"]
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    largest = max(len((t or "").encode()) + 1 for _, t in rows)
+    assert max(load.values()) <= max(1.1 * sum(load.values()) / 4, largest + 100)
+
+
+def test_slot_map_versions(spark, tmp_path):
+    first = sharding.SlotMap.initial(4, 64)
+    sizes = [(i * 37) % 101 + (1000 if i == 5 else 0) for i in range(64)]
+    second = first.rebalanced(sizes)
+    load = lambda m: [sum(s for s, x in zip(sizes, m.shards) if x == k) for k in range(m.n_shards)]
+    assert max(load(second)) - min(load(second)) < max(load(first)) - min(load(first))
+    assert max(load(second)) <= 1.05 * sum(sizes) / 4
+    third = second.grown(sizes)
+    assert all(a == b or b == 4 for a, b in zip(second.shards, third.shards)) and load(third)[4] > 0
+    for m in (first, second, third):
+        m.save(spark, f"{tmp_path}/map")
+    assert sharding.SlotMap.load(spark, f"{tmp_path}/map") == third
+    assert sharding.SlotMap.load(spark, f"{tmp_path}/map", 0) == first
+    assert sharding.SlotMap.initial(4, 64).rebalanced([0] * 64).version == 1
+
+
+def test_sharding_of_nothing(nothing):
+    assert sharding.shard_documents(nothing).count() == 0
+
+
+# 5 and 9
+@pytest.fixture(scope="module")
+def ids(rows):
+    library = tokens.encoder(tokens.vocabulary_path()).library
+    return [[*x.ids, 2] for x in library.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
+
+
+def test_packing(docs, rows, ids):
+    out = packing.pack_documents(docs, most=256).collect()
+    assert sorted(r["sequence_id"] for r in out) == list(range(len(out)))
+    assert all(r["offset"] == 0 and r["length"] & (r["length"] - 1) == 0 and r["length"] <= 256 for r in out)
+    by_number = sorted(out, key=lambda r: r["sequence_id"])
+    assert [r["length"] for r in by_number] == sorted((r["length"] for r in out), reverse=True)
+    want = Counter()
+    for (d, _), x in zip(rows, ids):
+        at = 0
+        for n in packing.binary_lengths(len(x), 256):
+            want[d, at, n, len(x), brute.crc(x[at : at + n])] += 1
+            at += n
+        assert at == len(x)
+    assert Counter((r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) for r in out) == want
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in out)
+
+
+def test_packing_in_file_order(docs, spark):
+    out = packing.pack_in_order(docs, ids=False)
+    placed = docs.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    assert "text" not in out.columns and out.count() > len(placed) // 2
+    order = {d: (f, i) for d, f, i in placed}
+    unique = {d for d, n in Counter(p[0] for p in placed).items() if n == 1}
+    last: dict = {}
+    for r in out.orderBy("sequence_id").collect():
+        if r["doc_id"] in unique:
+            now = (*order[r["doc_id"]], r["start"])
+            assert now > last.get(r["length"], ("",))
+            last[r["length"]] = now
+
+
+def test_tokens_are_the_librarys():
+    import pyarrow as pa
+
+    e = tokens.encoder(tokens.vocabulary_path())
+    texts = ["It's <|endoftext|> ok", "ΑΣ İstanbul ﬁ é ñ Ünï 12a3 it'll x", "a\x1cb \x85 x", "×÷ À ß ÿ Þ", "", None, "''s 'S don't <|startoftext|>", "é x y 中文 ١٢", "w" * 500, "é" * 300, "a1b22c!!??.."]
+    for a, b, flat, bounds in tokens.encode(pa.array(texts), tokens.vocabulary_path()):
+        for i in range(a, b):
+            assert flat[bounds[i - a] : bounds[i - a + 1]].tolist() == [*e.library.encode(texts[i] or "", add_special_tokens=False).ids, 2], texts[i]
+
+
+def test_token_files(docs, rows, ids, spark, tmp_path):
+    token_output.write_tokens(docs, f"{tmp_path}/t", partitions=3)
+    out = token_output.read_tokens(spark, f"{tmp_path}/t").collect()
+    assert Counter((r["doc_id"], r["n_tokens"], zlib.crc32(r["ids"])) for r in out) == Counter((d, len(x), brute.crc(x)) for (d, _), x in zip(rows, ids))
+    at = 0
+    for r in sorted(out, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(out, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+
+
+def test_token_files_of_nothing(nothing, spark, tmp_path):
+    token_output.write_tokens(nothing, f"{tmp_path}/t")
+    assert token_output.read_tokens(spark, f"{tmp_path}/t").count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 4097, 60_000])
+def test_coder_round_trip(n):
+    r = np.random.default_rng(n)
+    for x in (r.integers(0, 49408, n), np.zeros(n, int), r.zipf(1.3, n) % 49408, np.full(n, 49407)):
+        assert (mixing_coder.decode_block(mixing_coder.encode_block(x, 49408)) == x).all()
+
+
+def test_coder_refuses_damage():
+    block = bytearray(mixing_coder.encode_block(np.arange(1000) % 50, 49408))
+    for at in (0, 5, len(block) // 2, len(block) - 1):
+        broken = bytes(block[:at]) + bytes([block[at] ^ 1]) + bytes(block[at + 1 :])
+        with pytest.raises(ValueError):
+            mixing_coder.decode_block(broken)
+    assert len(mixing_coder.encode_block(np.tile(np.arange(61), 2000), 49408)) < 122_000  # repetition is learned
+
+
+# 6
+def test_substring_dedup(docs, rows):
+    out = substring_dedup.remove_repeats(docs)
+    want = [(d, *x) for (d, _), x in zip(rows, brute.without_repeats([t for _, t in rows], 35))]
+    same(out.withColumn("sha", F.sha2("kept_text", 256)), ["doc_id", "n_words", "n_removed", "sha"], want)
+    assert all(sum(b - a for a, b in r["removed"]) == r["n_removed"] for r in out.collect())
+
+
+def test_substring_dedup_of_nothing(nothing):
+    assert substring_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_fm_index_counts_windows():
+    r = np.random.default_rng(0)
+    texts = [r.integers(0, 3, int(n)).astype(np.uint64) for n in r.integers(8, 60, 30)]
+    weights = r.integers(1, 3, 30)
+    c = Counter()
+    for t, w in zip(texts, weights):
+        for i in range(len(t) - 7):
+            c[t[i : i + 8].tobytes()] += int(w)
+    got = fm_index.repeated_windows(texts, weights, 8)
+    for t, g in zip(texts, got):
+        assert g.tolist() == [c[t[i : i + 8].tobytes()] >= 2 for i in range(len(t) - 7)]
+
+
+# 7
+def test_exact_dedup(docs, rows):
+    best = brute.keepers(rows)
+    out = exact_dedup.exact_duplicates(docs)
+    want = [(d, *best[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows]
+    same(out, ["doc_id", "keep_id", "group_size", "text_sha256"], want)
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    same(kept, ["doc_id", "text"], [(k, t) for t, (k, _) in Counter({(t or ""): 0 for _, t in rows}) and best.items() if t]
+         + [(k, next(x for d, x in rows if d == k and not x)) for t, (k, _) in best.items() if not t])
+
+
+def test_exact_dedup_of_nothing(nothing):
+    assert exact_dedup.exact_duplicates(nothing).count() == 0
+
+
+# 8
+def test_classifier(docs, rows, spark):
+    junk = lambda t: int(not (t and ("***" in t or " | " in t or "!!" in t or t.startswith("line one"))))
+    labels = spark.createDataFrame([(d, junk(t)) for d, t in rows if d is not None] + [(None, 1), (5, None)], "doc_id long, quality int")
+    out = quality_classifier.score(docs, quality_classifier.train(docs, labels)).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+    assert sum(r["predicted"] == junk(r["text"]) for r in out) >= len(rows) - 4
+    mean = lambda q: np.mean([r["score"] for r in out if junk(r["text"]) == q])
+    assert mean(1) > mean(0) + 0.3
+
+
+def test_classifier_without_labels(docs, nothing, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels)
+    assert {r["score"] for r in quality_classifier.score(docs, model).collect()} == {0.5}
+    assert quality_classifier.score(nothing, model).count() == 0
+
+
+def test_marginals_are_those_of_all_paths():
+    import itertools
+
+    r = np.random.default_rng(0)
+    lengths = np.array([3, 1, 4])
+    score, step = r.normal(size=8), r.normal(size=(2, 2))
+    got, pairs = quality_classifier.Chains(lengths).marginals(score, step)
+    at, expected, seen = 0, [], np.zeros((2, 2))
+    for n in lengths:
+        weight, bad = 0.0, np.zeros(n)
+        moves = np.zeros((2, 2))
+        for path in itertools.product((0, 1), repeat=int(n)):
+            p = np.exp(sum(score[at + i] * (s - 0.5) for i, s in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:])))
+            weight += p
+            bad += p * np.array(path)
+            for a, b in zip(path, path[1:]):
+                moves[a, b] += p
+        expected += (bad / weight).tolist()
+        seen += moves / weight
+        at += n
+    np.testing.assert_allclose(got, expected)
+    np.testing.assert_allclose(pairs, seen)
+
+
+# 10
+def test_mixing(docs, rows):
+    mixed = mixing.positions(mixing.mix(docs, {"s0": 3.0, "s1": 1.0}, block_rows=4, cycle=16), 16).collect()
+    assert sorted(r["mix_pos"] for r in mixed) == list(range(len(rows)))
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in mixed)
+    blocks = defaultdict(set)
+    for r in mixed:
+        blocks[r["source"], r["mix_block"]].add(r["mix_slot"])
+    assert all(len(v) == 1 for v in blocks.values()) and len({min(v) for v in blocks.values()}) == len(blocks)
+    assert mixing.interleave(docs).columns == docs.columns and mixing.interleave(docs).count() == len(rows)
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 5.0, "b": 1.0, None: 0.001}, {str(i): i + 1.0 for i in range(40)}])
+def test_edf_stays_within_a_block(weights):
+    slots = mixing.whole_slots(weights, 64)
+    cycle = mixing.edf_cycle(slots)
+    length = sum(slots.values())
+    assert sorted(t for v in cycle.values() for t in v) == list(range(length))
+    for s, at in cycle.items():
+        for t in range(length + 1):
+            assert abs(sum(x < t for x in at) - t * slots[s] / length) < 1
+
+
+def test_mixing_of_nothing(nothing):
+    assert mixing.positions(mixing.mix(nothing)).count() == 0
