@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import camera, harmonics, keys
 from pointloom.functions import vectors as V
-from pointloom.operators import graph, lifecycle, metrics, neighbors, raster, select, state
+from pointloom.operators import graph, lifecycle, losses, metrics, neighbors, raster, select, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -499,6 +499,60 @@ def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query("""
+WITH q AS (SELECT quantile_cont(value, 0.10) AS lo, quantile_cont(value, 0.95) AS hi FROM events)
+SELECT event_id, round(least(1, greatest(0, (value - lo) / (hi - lo + 1e-8))), 6) AS ambiguity FROM events, q
+""")
+def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.ambiguity(table(spark, sf_dir, "events"), "value").select("event_id", F.round("ambiguity", 6).alias("ambiguity"))
+
+
+@query("""
+SELECT user_id, round(sum(CASE WHEN event_type <> 'click' THEN value * event_id ELSE 0 END) / (sum(CASE WHEN event_type <> 'click' THEN value ELSE 0 END) + 1e-8), 3) AS event_id,
+  count(*) FILTER (event_type <> 'click' AND value > 1e-4) >= 2 AS valid FROM events GROUP BY user_id
+""")
+def pooled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = state.pooled(table(spark, sf_dir, "events"), "user_id", "value", F.col("event_type") != "click", "event_id")
+    return out.select("user_id", F.round("event_id", 3).alias("event_id"), "valid")
+
+
+@query("""
+WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM events),
+n AS (SELECT event_type, count(*) AS n FROM r GROUP BY user_id, event_type, run)
+SELECT event_type, count(*) AS runs, round(avg(n), 6) AS mean_rows FROM n GROUP BY event_type
+""")
+def dwell_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = state.dwell_times(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+    return out.select("event_type", "runs", F.round("mean_rows", 6).alias("mean_rows"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_quantity, round((l_extendedprice - min(l_extendedprice) OVER w) / (max(l_extendedprice) OVER w - min(l_extendedprice) OVER w + 1e-20), 6) AS normalized
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)
+""")
+def depth_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = losses.normalized(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", F.round("normalized", 6).alias("normalized"))
+
+
+@query("""
+WITH q AS (SELECT quantile_cont(l_discount, 0.3) AS q FROM lineitem)
+SELECT round(avg(abs(l_quantity - l_extendedprice / 2000) * (l_discount >= q)::INT) / 10, 6) AS loss FROM lineitem, q
+""")
+def confident_depth_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("prior", F.col("l_extendedprice") / 2000)
+    return losses.confident_depth_loss(rows, "l_quantity", "prior", "l_discount", 0.3, 10.0).select(F.round("loss", 6).alias("loss"))
+
+
+@query("""
+SELECT user_id, round(greatest(sum(value * h * h) / sum(value) - pow(sum(value * h) / sum(value), 2), 0), 2) AS variance
+FROM (SELECT user_id, value, (event_id % 50)::DOUBLE AS h FROM events) GROUP BY user_id
+""")
+def weighted_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("h", (F.col("event_id") % 50).cast("double"))
+    return losses.weighted_variance(rows, ["user_id"], "value", ["h"]).select("user_id", F.round("variance", 2).alias("variance"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
