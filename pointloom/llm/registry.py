@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointloom.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, token_output
+from pointloom.llm import exact_dedup, mixing, ngram_join, oracles, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, token_output
 
 
 def queries() -> dict:
@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {
+        "op1_ngram_join": oracles.OP1,
+        "op2_quality_rules": oracles.OP2,
+        "op6_substring_dedup": oracles.OP6,
+        "op7_exact_dedup": exact_dedup.OP7_SQL,
+    }
