@@ -32,7 +32,7 @@ FRAGMENT_GRAMS = 1_000_000
 FRAGMENTS = 16
 #: Fragments that a pair's overlap is counted in.
 PARTS = 8
-ROUNDS = 4
+ROUNDS = 2
 
 
 def least_share(n: np.ndarray, percent: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def prune(classes: DataFrame, percent: int) -> tuple[DataFrame, int]:
     for _ in range(ROUNDS):
         parts = _fragments(alive, fragments).groupBy("fragment").applyInPandas(count, "_c long, part long")
         sums = parts.groupBy("_c").agg(F.sum("part").alias("useful"))
-        joined = alive.drop("useful").join(sums, F.col("class") == F.col("_c")).drop("_c")
+        joined = alive.drop("useful").join(sums.hint("merge"), F.col("class") == F.col("_c")).drop("_c")
         bounded = joined.withColumn("hi", F.least("hi", F.expr(f"useful * {100 + percent} div {percent} - n")))
         alive = materialise(bounded.filter("hi >= lo AND useful >= lo"), "alive")
         left = alive.count()
@@ -246,7 +246,8 @@ def verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
 
     a = alive.select(F.col("class").alias("_a"), F.col("n").alias("_na"), F.col("grams").alias("_ga"))
     b = alive.select(F.col("class").alias("_b"), F.col("n").alias("_nb"), F.col("grams").alias("_gb"))
-    both = pairs.join(a, F.col("u") == F.col("_a")).join(b, F.col("v") == F.col("_b"))
+    # No side has a bounded size: none is broadcast, however small it may look.
+    both = pairs.join(a.hint("merge"), F.col("u") == F.col("_a")).join(b.hint("merge"), F.col("v") == F.col("_b"))
     common = both.select("u", "v", "_na", "_nb", overlap("_ga", "_gb").alias("common"))
     return common.filter(f"100 * common >= {percent} * (_na + _nb - common)").select("u", "v")
 
@@ -317,11 +318,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
     Texts without words stay, each of them. docs must read the same on every pass, as a table does.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    labelled = _labels(numbered.select("_row", "doc_id", "text"), words, percent).filter("n_shingles > 0")
-    first = labelled.groupBy(F.col("label").alias("_l")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    gone = labelled.join(first.filter("_n > 1"), F.col("label") == F.col("_l")).filter("_row <> _first._row").select(F.col("_row").alias("_gone"))
-    return numbered.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(docs.columns)
+    numbered = docs.withColumn("_pl_row", F.monotonically_increasing_id())
+    labelled = _labels(numbered.select("_pl_row", "doc_id", "text"), words, percent).filter("n_shingles > 0")
+    first = labelled.groupBy(F.col("label").alias("_l")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_pl_row")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    gone = labelled.join(first.filter("_n > 1"), F.col("label") == F.col("_l")).filter("_pl_row <> _first._pl_row").select(F.col("_pl_row").alias("_gone"))
+    return numbered.join(gone, F.col("_pl_row") == F.col("_gone"), "left_anti").select(docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
