@@ -80,6 +80,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows, pa.array(first[keep].astype(np.int32)), pa.array(windows[keep].astype(np.int32)), _signed(value[keep]), _signed(content[keep])], ["row", "first", "windows", "m", "c"])
 
     refs = materialise(docs.select("_pl_row", "text").mapInArrow(refer, "row long, first int, windows int, m long, c long"), "segments")
+    maps.destroy()  # or workers keep it for later stages
     contents = refs.groupBy("m", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "windows")).alias("at"))
     often = refs.groupBy("m").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("m").alias("_m"))
     wanted = contents.join(often, F.col("m") == F.col("_m")).select("m", "c", F.least("n", F.lit(2)).cast("int").alias("n"), "at.*")

@@ -17,7 +17,7 @@ from pointloom.llm import words as W
 
 END_ID = 2
 #: Pieces remembered at once by a worker; a full memory starts anew.
-REMEMBER = 400_000
+REMEMBER = 250_000
 NO_RANK = np.int32(1 << 30)
 
 LETTER, DIGIT, SIGN, OTHER = range(4)

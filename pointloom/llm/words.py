@@ -14,7 +14,7 @@ import pyarrow as pa
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text worked on at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
