@@ -32,6 +32,8 @@ FRAGMENT_GRAMS = 1_000_000
 FRAGMENTS = 16
 #: Fragments that a pair's overlap is counted in.
 PARTS = 8
+#: Pairs that are verified in one task at most, about.
+CELL_PAIRS = 50_000
 ROUNDS = 2
 
 
@@ -127,7 +129,9 @@ def possible_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"class": pa.array(c, pa.int64()), "n": pa.array(m, pa.int64()), "grams": pa.array(g, pa.binary())})
 
     found = docs.select("text").mapInArrow(pick, "class long, n long, grams binary")
-    return materialise(found.dropDuplicates(["class"]), "classes")
+    classes = materialise(found.dropDuplicates(["class"]), "classes")
+    maps.destroy()  # or workers keep it for later stages
+    return classes
 
 
 def _fragments(alive: DataFrame, count: int) -> DataFrame:
@@ -220,36 +224,51 @@ def _fit(a: str, b: str) -> Column:
     return F.expr(f"{a}.n BETWEEN {b}.lo AND {b}.hi AND {b}.n BETWEEN {a}.lo AND {a}.hi")
 
 
-def verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose overlap, summed over the fragments, reaches the threshold."""
-
-    @F.pandas_udf("long")
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a), np.int64)
-        edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            need = -(-percent * (len(x) + len(y)) // (100 + percent))
-            cx, cy = [0, *np.searchsorted(x, edges), len(x)], [0, *np.searchsorted(y, edges), len(y)]
-            total = 0
-            for p in range(PARTS):  # the partial overlap of each fragment
-                s, t = x[cx[p] : cx[p + 1]], y[cy[p] : cy[p + 1]]
-                if len(s) and len(t):
-                    at = np.searchsorted(s, t)
-                    at[at == len(s)] = 0
-                    total += int(np.count_nonzero(s[at] == t))
-                if total + min(len(x) - cx[p + 1], len(y) - cy[p + 1]) < need:
-                    break
-            else:
-                out[i] = total
-        return pd.Series(out)
-
-    a = alive.select(F.col("class").alias("_a"), F.col("n").alias("_na"), F.col("grams").alias("_ga"))
-    b = alive.select(F.col("class").alias("_b"), F.col("n").alias("_nb"), F.col("grams").alias("_gb"))
-    # No side has a bounded size: none is broadcast, however small it may look.
-    both = pairs.join(a.hint("merge"), F.col("u") == F.col("_a")).join(b.hint("merge"), F.col("v") == F.col("_b"))
-    common = both.select("u", "v", "_na", "_nb", overlap("_ga", "_gb").alias("common"))
-    return common.filter(f"100 * common >= {percent} * (_na + _nb - common)").select("u", "v")
+def _overlap(x: np.ndarray, y: np.ndarray, percent: int) -> int:
+    """Common members of two sorted sets, counted part by part and summed; 0 as soon as too few are left to link."""
+    need = -(-percent * (len(x) + len(y)) // (100 + percent))
+    edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
+    cx, cy = [0, *np.searchsorted(x, edges), len(x)], [0, *np.searchsorted(y, edges), len(y)]
+    total = 0
+    for p in range(PARTS):
+        s, t = x[cx[p] : cx[p + 1]], y[cy[p] : cy[p + 1]]
+        if len(s) and len(t):
+            at = np.searchsorted(s, t)
+            at[at == len(s)] = 0
+            total += int(np.count_nonzero(s[at] == t))
+        if total + min(len(x) - cx[p + 1], len(y) - cy[p + 1]) < need:
+            return 0
+    return total
+
+
+def verified(pairs: DataFrame, alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose overlap, summed over the fragments, reaches the threshold.
+
+    Pairs meet in cells by the first prefix n-grams of both, which near copies mostly share, so that a class
+    is sent once to each of a few cells and not once for each of its pairs. A cell with more than CELL_PAIRS pairs
+    is split by a hash of u.
+    """
+    keys = prefix.select(F.col("class").alias("_k"), F.col("prefix")[0].alias("_first"))
+    ku = keys.select(F.col("_k").alias("_ku"), F.col("_first").alias("_fu"))
+    kv = keys.select(F.col("_k").alias("_kv"), F.col("_first").alias("_fv"))
+    keyed = pairs.join(ku, F.col("u") == F.col("_ku")).join(kv, F.col("v") == F.col("_kv"))
+    keyed = keyed.select("u", "v", F.xxhash64(F.least("_fu", "_fv"), F.greatest("_fu", "_fv")).alias("_c"))
+    sizes = keyed.groupBy(F.col("_c").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("_split"))
+    celled = keyed.join(sizes, F.col("_c") == F.col("_cell")).select("u", "v", F.xxhash64("_c", F.pmod(F.xxhash64("u"), F.col("_split"))).alias("cell"))
+    celled = materialise(celled, "cells")
+    wanted = celled.select("cell", F.explode(F.array("u", "v")).alias("_w")).distinct()
+    members = wanted.join(alive.select("class", "grams").hint("merge"), F.col("_w") == F.col("class")).select(F.col("cell").alias("at"), "class", "grams")
+
+    def check(links: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        grams = {c: np.frombuffer(g, np.uint64) for c, g in zip(sets["class"], sets["grams"], strict=True)}
+        good = np.zeros(len(links), bool)
+        for i, (u, v) in enumerate(zip(links["u"], links["v"], strict=True)):
+            x, y = grams[u], grams[v]
+            common = _overlap(x, y, percent)
+            good[i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+        return links.loc[good, ["u", "v"]]
+
+    return celled.groupBy("cell").cogroup(members.groupBy("at")).applyInPandas(check, "u long, v long")
 
 
 def _labelled(prefix: DataFrame, groups: DataFrame) -> DataFrame:
@@ -278,7 +297,7 @@ def link_classes(alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame
             rows = rows.groupBy("gram", "label").agg(best.alias("x")).select("gram", "label", "x.*")
         pairs = rows.alias("x").join(leads, F.col("gram") == F.col("_g")).filter(F.col("x.class") != F.col("y.class")).filter(_fit("x", "y"))
         pairs = pairs.select(F.greatest("x.class", "y.class").alias("u"), F.least("x.class", "y.class").alias("v")).distinct()
-        groups = components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, percent)))
+        groups = components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, prefix, percent)))
     rows = _across(_labelled(prefix, groups).select("class", "n", "lo", "hi", "label", "prefix", F.explode("prefix").alias("gram")))
     rows = materialise(rows, "across")
     x, y = rows.alias("x"), rows.alias("y")
@@ -286,7 +305,7 @@ def link_classes(alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame
     on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")) & _fit("x", "y")
     on = on & (F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.gram"))
     pairs = x.join(y, on).select(F.col("x.class").alias("u"), F.col("y.class").alias("v"))
-    return components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, percent)))
+    return components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, prefix, percent)))
 
 
 def _labels(docs: DataFrame, words: int, percent: int) -> DataFrame:
