@@ -34,6 +34,8 @@ FRAGMENTS = 16
 PARTS = 8
 #: Pairs that are verified in one task at most, about.
 CELL_PAIRS = 50_000
+#: N-grams of a prefix that go along with each of its rows.
+HEAD = 8
 ROUNDS = 2
 
 
@@ -241,18 +243,25 @@ def _overlap(x: np.ndarray, y: np.ndarray, percent: int) -> int:
     return total
 
 
-def verified(pairs: DataFrame, alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, alive: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose overlap, summed over the fragments, reaches the threshold.
 
-    Pairs meet in cells by the first prefix n-grams of both, which near copies mostly share, so that a class
-    is sent once to each of a few cells and not once for each of its pairs. A cell with more than CELL_PAIRS pairs
-    is split by a hash of u.
+    Pairs meet in cells, each pair in that of its two components (so far) which has more pairs, so that a class is
+    sent once to each of a few cells and not once for each of its pairs. A cell with more than CELL_PAIRS pairs is split
+    by a hash of u.
     """
-    keys = prefix.select(F.col("class").alias("_k"), F.col("prefix")[0].alias("_first"))
-    ku = keys.select(F.col("_k").alias("_ku"), F.col("_first").alias("_fu"))
-    kv = keys.select(F.col("_k").alias("_kv"), F.col("_first").alias("_fv"))
-    keyed = pairs.join(ku, F.col("u") == F.col("_ku")).join(kv, F.col("v") == F.col("_kv"))
-    keyed = keyed.select("u", "v", F.xxhash64(F.least("_fu", "_fv"), F.greatest("_fu", "_fv")).alias("_c"))
+    labels = groups.select(F.col("u").alias("_k"), F.col("v").alias("_l"))
+    keyed = pairs
+    for side in ("u", "v"):
+        own = labels.select(F.col("_k").alias(f"_k{side}"), F.col("_l").alias(f"_l{side}"))
+        keyed = keyed.join(own, F.col(side) == F.col(f"_k{side}"), "left").withColumn(f"_l{side}", F.coalesce(f"_l{side}", side)).drop(f"_k{side}")
+    keyed = materialise(keyed, "labelled")
+    degree = keyed.select(F.explode(F.array("_lu", "_lv")).alias("_l")).groupBy("_l").agg(F.count(F.lit(1)).alias("_d"))
+    for side in ("u", "v"):
+        own = degree.select(F.col("_l").alias(f"_m{side}"), F.col("_d").alias(f"_d{side}"))
+        keyed = keyed.join(own, F.col(f"_l{side}") == F.col(f"_m{side}"))
+    larger = F.greatest(F.struct(F.col("_du").alias("d"), F.col("_lu").alias("l")), F.struct(F.col("_dv").alias("d"), F.col("_lv").alias("l")))
+    keyed = keyed.select("u", "v", larger["l"].alias("_c"))
     sizes = keyed.groupBy(F.col("_c").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("_split"))
     celled = keyed.join(sizes, F.col("_c") == F.col("_cell")).select("u", "v", F.xxhash64("_c", F.pmod(F.xxhash64("u"), F.col("_split"))).alias("cell"))
     celled = materialise(celled, "cells")
@@ -297,15 +306,15 @@ def link_classes(alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame
             rows = rows.groupBy("gram", "label").agg(best.alias("x")).select("gram", "label", "x.*")
         pairs = rows.alias("x").join(leads, F.col("gram") == F.col("_g")).filter(F.col("x.class") != F.col("y.class")).filter(_fit("x", "y"))
         pairs = pairs.select(F.greatest("x.class", "y.class").alias("u"), F.least("x.class", "y.class").alias("v")).distinct()
-        groups = components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, prefix, percent)))
-    rows = _across(_labelled(prefix, groups).select("class", "n", "lo", "hi", "label", "prefix", F.explode("prefix").alias("gram")))
+        groups = components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, groups, percent)))
+    rows = _across(_labelled(prefix, groups).select("class", "n", "lo", "hi", "label", F.slice("prefix", 1, HEAD).alias("head"), F.explode("prefix").alias("gram")))
     rows = materialise(rows, "across")
     x, y = rows.alias("x"), rows.alias("y")
-    # A pair is made at its first common n-gram only.
+    # A pair with a common n-gram among both heads is made at the first of these only, another at each common one.
     on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")) & _fit("x", "y")
-    on = on & (F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.gram"))
-    pairs = x.join(y, on).select(F.col("x.class").alias("u"), F.col("y.class").alias("v"))
-    return components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, prefix, percent)))
+    on = on & (F.coalesce(F.get(F.array_intersect("x.head", "y.head"), 0), F.col("x.gram")) == F.col("x.gram"))
+    pairs = x.join(y, on).select(F.col("x.class").alias("u"), F.col("y.class").alias("v")).distinct()
+    return components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, groups, percent)))
 
 
 def _labels(docs: DataFrame, words: int, percent: int) -> DataFrame:
