@@ -333,5 +333,41 @@ def test_edf_stays_within_a_block(weights):
             assert abs(sum(x < t for x in at) - t * slots[s] / length) < 1
 
 
+def test_lag_stays_below_a_block_of_the_target_weights():
+    """Over many cycles, with a hot source, and with more sources than a cycle has slots."""
+    for rows in ([200_000, *[20_000] * 19], [4000, *[40] * 1500]):
+        weights = {str(i): n**mixing.TEMPERATURE for i, n in enumerate(rows)}
+        total = sum(weights.values())
+        blocks = {str(i): -(-n // mixing.BLOCK_ROWS) for i, n in enumerate(rows)}
+        slots = mixing.whole_slots(weights)
+        assert sum(slots.values()) == mixing.SCALE
+        at, seen = defaultdict(list), set()
+        for s, lot, found in mixing.lots(slots, blocks):
+            assert lot * mixing.CYCLE == len(at[s])
+            at[s] += found
+            seen.update(found)
+        assert {s: len(x) for s, x in at.items()} == blocks and len(seen) == sum(blocks.values())
+        for s, x in at.items():  # the lag is largest just before and just after a block
+            target = np.array(x) * weights[s] / total
+            i = np.arange(len(x))
+            assert (np.abs(i - target) < 1 + 1e-6).all() and (np.abs(i + 1 - target - weights[s] / total) < 1 + 1e-6).all()
+
+
+def test_mixing_keeps_target_weights(spark, tmp_path, monkeypatch):
+    """Rows of mix(), with a schedule in parts on disk and a shuffled join, against the target weights."""
+    monkeypatch.setattr(mixing, "PART", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    weights = {"a": 0.61803, "b": 0.3, None: 0.08197}
+    source = F.expr("CASE WHEN id % 10 < 6 THEN 'a' WHEN id % 10 < 9 THEN 'b' END")
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), source.alias("source")).write.parquet(f"{tmp_path}/d")
+    got = mixing.mix(spark.read.parquet(f"{tmp_path}/d"), weights, block_rows=1, cycle=16).collect()
+    assert len(got) == 3000 and len({r["mix_slot"] for r in got}) == 3000
+    total = sum(weights.values())
+    for r in got:
+        w = weights[r["source"]] / total
+        assert abs(r["mix_release"] - r["mix_block"] / w) < 1.01 and abs(r["mix_deadline"] - (r["mix_block"] + 1) / w) < 1.01
+        assert r["mix_release"] <= r["mix_slot"] < r["mix_deadline"]
+
+
 def test_mixing_of_nothing(nothing):
     assert mixing.positions(mixing.mix(nothing)).count() == 0
