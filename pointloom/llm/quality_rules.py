@@ -19,9 +19,11 @@ from pointloom.llm import words as W
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Metric: (slack). A document fails where its value is over q75 + max(slack, SPREAD * (q75 - q25)) of its group.
+#: Metric: (slack). A document fails where its value is over q75 + max(slack, SPREAD * (q75 - q25)) of its group, or
+#: over q25 + max(slack, LOWER * (q25 - q05)), which junk moves only where it is three quarters of the group.
 METRICS = {"symbol_pm": 40, "upper_pm": 200, "dup_line_pm": 300, "repeat_pm": 200}
 SPREAD = 4
+LOWER = 12
 #: Groups with fewer documents use their language's sketch, and languages with fewer the corpus's.
 MIN_GROUP = 50
 
@@ -127,10 +129,12 @@ def fences(sketch: DataFrame, *keys: str) -> DataFrame:
     whole = Window.partitionBy(*keys, "metric")
     run = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     cut = sketch.withColumns({"size": F.sum("n").over(whole), "upto": F.sum("n").over(run)})
-    quartile = {q: F.min(F.when(F.col("upto") * 4 >= F.col("size") * q, bucket_value(F.col("bucket")))) for q in (1, 3)}
-    q = cut.groupBy(*keys, "metric").agg(F.max("size").alias("size"), quartile[1].alias("q25"), quartile[3].alias("q75"))
+    quantiles = [F.min(F.when(F.col("upto") * 100 >= F.col("size") * q, bucket_value(F.col("bucket")))).alias(f"q{q:02}") for q in (5, 25, 75)]
+    q = cut.groupBy(*keys, "metric").agg(F.max("size").alias("size"), *quantiles)
     slack = F.element_at(F.array(*[F.lit(x) for x in METRICS.values()]), F.col("metric") + 1)
-    return q.select(*keys, "metric", "size", (F.col("q75") + F.greatest(slack, SPREAD * (F.col("q75") - F.col("q25")))).alias("fence"))
+    upper = F.col("q75") + F.greatest(slack, SPREAD * (F.col("q75") - F.col("q25")))
+    lower = F.col("q25") + F.greatest(slack, LOWER * (F.col("q25") - F.col("q05")))
+    return q.select(*keys, "metric", "size", F.least(upper, lower).alias("fence"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:

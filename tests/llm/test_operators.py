@@ -72,6 +72,24 @@ def test_sketch_buckets(spark):
     assert [r["b"] for r in got] == sorted(r["b"] for r in got)
 
 
+def test_fences_hold_in_sources_full_of_junk(spark):
+    """Junk of 30 to 60 % of a source moves no fence above itself; a source of other text keeps its documents."""
+    r = np.random.default_rng(5)
+    calm = lambda n: np.stack([r.integers(0, 8, n), r.integers(9, 25, n), np.zeros(n, int), r.integers(0, 5, n)], 1)
+    junk = lambda n: np.stack([r.integers(300, 500, n), r.integers(500, 800, n), r.integers(500, 900, n), r.integers(0, 5, n)], 1)
+    code = lambda n: calm(n) + np.stack([r.normal(120, 30, n).astype(int).clip(0), r.gamma(2, 40, n).astype(int), np.zeros(n, int), np.zeros(n, int)], 1)
+    data = []
+    for source, share, plain, n in (("clean", 0, calm, 1000), ("code", 0, code, 1000), ("j30", 0.3, calm, 1000), ("hot", 0.45, calm, 4000), ("j60", 0.6, calm, 1000), ("code40", 0.4, code, 1000)):
+        bad = int(n * share)
+        data += [("en", source, False, [int(x) for x in m]) for m in plain(n - bad)] + [("en", source, True, [int(x) for x in m]) for m in junk(bad)]
+    measured = spark.createDataFrame(data, "lang string, source string, junk boolean, _pl_m array<long>")
+    limits = {x["source"]: x["_pl_fences"] for x in quality_rules.thresholds(measured).collect()}
+    kept = Counter((source, bad) for _, source, bad, m in data if all(v <= f for v, f in zip(m, limits[source])))
+    size = Counter((source, bad) for _, source, bad, _ in data)
+    for (source, bad), n in size.items():
+        assert kept[source, bad] == 0 if bad else kept[source, bad] >= 0.95 * n, (source, bad, limits[source])
+
+
 def test_quality_of_nothing(nothing):
     assert quality_rules.judge(nothing).count() == 0
 
