@@ -9,9 +9,12 @@ from __future__ import annotations
 from bisect import bisect_left
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pointloom.llm.storage import fresh_path
+
 N_SLOTS = 4096
 N_SHARDS = 16
 
@@ -113,6 +116,15 @@ class SlotMap:
         return SlotMap(version, rows[0]["n_shards"], tuple(r["shard"] for r in rows))
 
 
+def _latest(spark: SparkSession, path: str) -> SlotMap | None:
+    try:
+        return SlotMap.load(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def _around(sizes: list[tuple[int, int]], x: float) -> list[int]:
     k = bisect_left(sizes, (x, -1))
     return [j for j in (k - 1, k) if 0 <= j < len(sizes)]
@@ -126,8 +138,9 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_
     """Add size, text_crc32, virtual_slot, law, shard, slot and grown_shard to every row of docs.
 
     A row's virtual slot is a hash of (doc_id, text), so copies of one text spread over all slots. The
-    bytes of every slot are summed, the initial map is edited until shards are near equal in bytes (law
-    `bytes`), and the map's versions are saved to `map_path` if given. `slot` is the row's place within
+    bytes of every slot are summed and the initial map is edited until shards are near equal in bytes (law
+    `bytes`). With `map_path` the latest map there is edited, or the initial one if there is none, every version
+    is saved there, and rows are placed by the new version as it is read back. `slot` is the row's place within
     its shard, gapless from 0, by virtual slot, doc_id, size and crc32; only one virtual slot's rows meet
     in a task. A null text has no bytes and crc32 0; every row's size has 1 added. A null doc_id hashes
     like any key. Repeated rows share a virtual slot and get places of their own. An empty table gives
@@ -139,11 +152,16 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_
     slot_bytes, slot_rows = [0] * n_slots, [0] * n_slots
     for r in keyed.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
         slot_bytes[r["virtual_slot"]], slot_rows[r["virtual_slot"]] = r["b"], r["n"]
-    first = SlotMap.initial(n_shards, n_slots)
+    stored = _latest(spark, map_path) if map_path else None
+    if stored and (stored.n_shards, len(stored.shards)) != (n_shards, n_slots):
+        raise ValueError(f"the map at {map_path} has {stored.n_shards} shards and {len(stored.shards)} slots")
+    first = stored or SlotMap.initial(n_shards, n_slots)
     second = first.rebalanced(slot_bytes)
     if map_path:
-        first.save(spark, map_path)
+        if not stored:
+            first.save(spark, map_path)
         second.save(spark, map_path)
+        second = SlotMap.load(spark, map_path, second.version)
     filled, rows = [0] * n_shards, []
     for i, shard in enumerate(second.shards):
         rows.append((i, shard, filled[shard]))
@@ -157,4 +175,4 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
+    return shard_documents(docs, map_path=fresh_path(spark, "slot-map")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")

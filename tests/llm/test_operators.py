@@ -160,6 +160,23 @@ def test_slot_map_versions(spark, tmp_path):
     assert sharding.SlotMap.initial(4, 64).rebalanced([0] * 64).version == 1
 
 
+def test_sharding_stores_and_reads_its_map(docs, spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/map"
+    for version in (1, 2):  # the second call edits the stored map
+        placed = {r["virtual_slot"]: r["shard"] for r in sharding.shard_documents(docs, 4, 64, path).collect()}
+        stored = sharding.SlotMap.load(spark, path)
+        assert stored.version == version and all(stored.shards[i] == s for i, s in placed.items())
+    assert sharding.SlotMap.load(spark, path, 0) == sharding.SlotMap.initial(4, 64)
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, 5, 64, path)
+    given = []
+    monkeypatch.setattr(sharding, "fresh_path", lambda spark, name: given.append(f"{tmp_path}/{name}") or given[-1])
+    docs.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    placed = sharding.op4_sharding(spark, f"{tmp_path}/sf").collect()
+    stored = sharding.SlotMap.load(spark, given[0])
+    assert stored.version == 1 and all(stored.shards[r["virtual_slot"]] == r["shard"] for r in placed)
+
+
 def test_sharding_of_nothing(nothing):
     assert sharding.shard_documents(nothing).count() == 0
 
