@@ -1,5 +1,5 @@
 """N-gram Jaccard join by vertical partitioning: the global order of n-grams, that of their hashes, is cut into
-fragments; what documents share is counted in each fragment separately and summed per document and per pair.
+fragments; what documents share is counted in each fragment separately and summed per document, to prune.
 
 Documents with equal sets are one class. Classes go through filters that lose no link:
 
@@ -9,7 +9,7 @@ Documents with equal sets are one class. Classes go through filters that lose no
    has it too; sums per class over the fragments bound the size of its partners. Classes without any drop out.
 3. Prefix filter: classes that link share one of the first (useful - least overlap + 1) useful n-grams.
 
-Pairs are then verified fragment by fragment. Near copies in large numbers aren't paired with each other: first
+Pairs are then verified on whole sets, both in one task. Near copies in large numbers aren't paired with each other: first
 every class is paired with leaders only, components are formed, and then only candidates in different
 components are verified.
 """
@@ -30,7 +30,7 @@ from pointloom.llm.storage import materialise
 #: N-grams of one fragment at most, about; and the least number of fragments.
 FRAGMENT_GRAMS = 1_000_000
 FRAGMENTS = 16
-#: Fragments that a pair's overlap is counted in.
+#: Slices that a pair's overlap is counted in, within one call.
 PARTS = 8
 #: Pairs that are verified in one task at most, about.
 CELL_PAIRS = 50_000
@@ -244,7 +244,7 @@ def _overlap(x: np.ndarray, y: np.ndarray, percent: int) -> int:
 
 
 def verified(pairs: DataFrame, alive: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose overlap, summed over the fragments, reaches the threshold.
+    """The pairs (u, v) whose overlap, counted on whole sets, reaches the threshold.
 
     Pairs meet in cells, each pair in that of its two components (so far) which has more pairs, so that a class is
     sent once to each of a few cells and not once for each of its pairs. A cell with more than CELL_PAIRS pairs is split
