@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import is_remote
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests) a temporary one, removed at exit."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in one process (tests) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset: executors of {master or 'a cluster'} need a folder that all of them see")
         found = tempfile.mkdtemp(prefix="pointloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -23,10 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, deleted when the driver's JVM ends."""
+    """A new path under the shared folder, deleted when the driver's JVM ends (a remote session leaves it to its cluster)."""
     path = f"{shared_dir(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    if is_remote():
+        return path
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
 
@@ -38,7 +44,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are no longer referenced
+    if not is_remote():
+        spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are no longer referenced
     return spark.read.schema(schema).parquet(path)
 
 

@@ -1,7 +1,7 @@
 """Words of whole texts as NumPy arrays: boundaries, 64-bit hashes, windows.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 equals `[^\\x20\\x09-\\x0D]+` over
-code points. Hashes are 64-bit polynomials over random byte codes, mixed by a finaliser.
+code points. Hashes are chains of 64-bit blocks through a finaliser.
 """
 
 from __future__ import annotations
@@ -32,27 +32,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE, _POWERS = 0x5851F42D4C957F2D, [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LENGTH, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Blocks that are chained in a row; a longer span is hashed by groups of so many, and then the groups' hashes.
+GROUP = 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's first n powers and their inverses modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, b, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _blocks(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, bytes beyond `left` being 0; data are 64-bit words of the bytes."""
+    shift = (at & 7).astype(np.uint64) << np.uint64(3)
+    first = at >> 3
+    block = data[first] >> shift
+    block |= data[first + 1] << (np.uint64(63) - shift) << np.uint64(1)
+    over = np.maximum(8 - left, 0).astype(np.uint64) << np.uint64(3)
+    return block & (~np.uint64(0) >> over)
+
+
+def _chained(data: np.ndarray, unit: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    state, live, done = mix(sizes.astype(np.uint64) * _LENGTH), np.flatnonzero(sizes > 0), 0
+    while len(live):
+        at = starts[live] + done
+        block = data[at] if unit == 1 else _blocks(data, at, sizes[live] - done)
+        state[live] = mix((state[live] ^ block) + _STEP)
+        done += unit
+        live = live[sizes[live] > done]
+    return state
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each data[starts[i]:ends[i]], of bytes or of 64-bit hashes."""
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((CODES[data] if data.dtype == np.uint8 else data) * power[:-1], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A hash of each data[starts[i]:ends[i]], of bytes or of 64-bit hashes; spans may overlap.
+
+    Blocks of eight bytes (or single hashes) are chained through the finaliser, which is not linear in them, so
+    no pattern of a span's own cancels out; spans of eight bytes or less never collide with those of their length.
+    """
+    unit = 8 if data.dtype == np.uint8 else 1
+    if unit == 8:
+        padded = np.zeros(len(data) // 8 * 8 + 16, np.uint8)
+        padded[: len(data)] = data
+        data = padded.view("<u8")
+    sizes = ends - starts
+    whole = GROUP * unit
+    out = _chained(data, unit, starts, np.minimum(sizes, whole))
+    long = np.flatnonzero(sizes > whole)
+    if len(long):
+        groups = -(-sizes[long] // whole)
+        bounds = np.concatenate([[0], np.cumsum(groups)])
+        inside = flat_ranges(np.zeros(len(long), np.int64), groups) * whole
+        parts = _chained(data, unit, np.repeat(starts[long], groups) + inside, np.minimum(np.repeat(sizes[long], groups) - inside, whole))
+        out[long] = mix(span_hashes(parts, bounds[:-1], bounds[1:]) ^ (sizes[long].astype(np.uint64) * _LENGTH))
+    return out
 
 
 @dataclass
@@ -140,5 +167,7 @@ def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, np.int64)
-    at = np.cumsum(lengths) - lengths
-    return np.arange(total) + np.repeat(starts - at, lengths)
+    at = starts - (np.cumsum(lengths) - lengths)
+    if total + int(starts.max()) < 1 << 31:
+        return np.arange(total, dtype=np.int32) + np.repeat(at.astype(np.int32), lengths)
+    return np.arange(total) + np.repeat(at, lengths)
