@@ -3,12 +3,137 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser
 
 import numpy as np
 
 
+ALL = frozenset(range(256))
+
+
+class _Parser:
+    """Patterns of bytes, [classes], \\x20 and other escapes, (groups), |, *, +, ?, {n} and {n,m}, built into an automaton."""
+
+    def __init__(self, nfa: _Nfa, pattern: str, either_case: bool) -> None:
+        self.nfa, self.pattern, self.either_case, self.at = nfa, pattern, either_case, 0
+
+    def build(self, start: int) -> int:
+        end = self.choice(start)
+        if self.at < len(self.pattern):
+            raise ValueError(f"unsupported at {self.at}: {self.pattern}")
+        return end
+
+    def peek(self) -> str:
+        return self.pattern[self.at : self.at + 1]
+
+    def take(self) -> str:
+        self.at += 1
+        return self.pattern[self.at - 1]
+
+    def choice(self, start: int) -> int:
+        ends = [self.sequence(start)]
+        while self.peek() == "|":
+            self.take()
+            ends.append(self.sequence(start))
+        end = self.nfa.state()
+        for e in ends:
+            self.nfa.empty[e].append(end)
+        return end
+
+    def sequence(self, start: int) -> int:
+        begin = self.nfa.state()
+        self.nfa.empty[start].append(begin)
+        while self.peek() not in ("", "|", ")"):
+            begin = self.repeated(begin)
+        return begin
+
+    def repeated(self, start: int) -> int:
+        again = self.at
+        end = self.atom(start)
+        behind = self.at
+        least, most = self.bounds()
+        after = self.at
+
+        def once(state: int) -> int:
+            self.at = again
+            return self.atom(state)
+
+        if (least, most) != (1, 1):
+            end = start
+            for _ in range(least):
+                end = once(end)
+            if most is None:
+                loop = self.nfa.state()
+                self.nfa.empty[end].append(loop)
+                self.nfa.empty[once(loop)].append(loop)
+                end = loop
+            else:
+                ends = [end]
+                for _ in range(most - least):
+                    ends.append(once(ends[-1]))
+                end = self.nfa.state()
+                for e in ends:
+                    self.nfa.empty[e].append(end)
+        self.at = after if after > behind else behind
+        return end
+
+    def bounds(self) -> tuple[int, int | None]:
+        sign = self.peek()
+        if sign in ("*", "+", "?"):
+            self.take()
+            return {"*": (0, None), "+": (1, None), "?": (0, 1)}[sign]
+        if sign != "{":
+            return 1, 1
+        stop = self.pattern.index("}", self.at)
+        least, comma, most = self.pattern[self.at + 1 : stop].partition(",")
+        self.at = stop + 1
+        return int(least), (int(most) if most else None) if comma else int(least)
+
+    def atom(self, start: int) -> int:
+        sign = self.take()
+        if sign == "(":
+            if self.peek() == "?":
+                raise ValueError(f"plain groups only: {self.pattern}")
+            end = self.choice(start)
+            if self.take() != ")":
+                raise ValueError(f"an open group: {self.pattern}")
+            return end
+        if sign in "*+?{^$.":
+            raise ValueError(f"unsupported: {sign}")
+        on = self.members() if sign == "[" else {self.byte(sign)}
+        if self.either_case:
+            on |= {ord(chr(x).swapcase()) for x in on if x < 128 and chr(x).isalpha()}
+        step, end = self.nfa.state(), self.nfa.state()
+        self.nfa.empty[start].append(step)
+        self.nfa.on[step] = (frozenset(on), end)
+        return end
+
+    def byte(self, sign: str) -> int:
+        if sign == "\\":
+            sign = self.take()
+            if sign == "x":
+                self.at += 2
+                return int(self.pattern[self.at - 2 : self.at], 16)
+            if sign.isalnum():
+                raise ValueError(f"unsupported escape: {sign}")
+        if ord(sign) > 127:
+            raise ValueError("ASCII and \\x escapes only")
+        return ord(sign)
+
+    def members(self) -> set[int]:
+        negate = self.peek() == "^"
+        self.at += negate
+        found: set[int] = set()
+        while self.peek() != "]" or not found:
+            low = self.byte(self.take())
+            if self.peek() == "-" and self.pattern[self.at + 1 : self.at + 2] != "]":
+                self.take()
+                found |= set(range(low, self.byte(self.take()) + 1))
+            else:
+                found.add(low)
+        self.take()
+        return set(ALL) - found if negate else found
+
+
 class _Nfa:
     """Thompson's construction: edges on byte sets and empty edges."""
 
@@ -21,44 +146,6 @@ class _Nfa:
         self.empty.append([])
         return len(self.on) - 1
 
-    def add(self, items, at: int, either_case: bool) -> int:
-        """Append the parsed items behind state `at`; the state reached."""
-        for op, arg in items:
-            if op is C.SUBPATTERN:
-                at = self.add(arg[3], at, either_case)
-            elif op is C.BRANCH:
-                ends = []
-                for branch in arg[1]:
-                    start = self.state()
-                    self.empty[at].append(start)
-                    ends.append(self.add(branch, start, either_case))
-                at = self.state()
-                for e in ends:
-                    self.empty[e].append(at)
-            elif op is C.MAX_REPEAT:
-                least, most, inner = arg
-                for _ in range(least):
-                    at = self.add(inner, at, either_case)
-                if most is C.MAXREPEAT:
-                    loop = self.state()
-                    self.empty[at].append(loop)
-                    self.empty[self.add(inner, loop, either_case)].append(loop)
-                    at = loop
-                else:
-                    ends = [at]
-                    for _ in range(most - least):
-                        at = self.add(inner, at, either_case)
-                        ends.append(at)
-                    at = self.state()
-                    for e in ends:
-                        self.empty[e].append(at)
-            else:
-                step, to = self.state(), self.state()
-                self.empty[at].append(step)
-                self.on[step] = (_bytes(op, arg, either_case), to)
-                at = to
-        return at
-
     def closure(self, states) -> frozenset[int]:
         found, todo = set(states), list(states)
         while todo:
@@ -69,32 +156,6 @@ class _Nfa:
         return frozenset(found)
 
 
-def _bytes(op, arg, either_case: bool) -> frozenset[int]:
-    if op is C.LITERAL:
-        found = {arg}
-    elif op is C.NOT_LITERAL:
-        found = set(range(256)) - {arg}
-    elif op is C.IN:
-        found, negate = set(), False
-        for kind, x in arg:
-            if kind is C.NEGATE:
-                negate = True
-            elif kind is C.RANGE:
-                found |= set(range(x[0], x[1] + 1))
-            elif kind is C.LITERAL:
-                found.add(x)
-            else:
-                raise ValueError(f"unsupported in a class: {kind}")
-        found = set(range(256)) - found if negate else found
-    else:
-        raise ValueError(f"unsupported: {op}")
-    if max(found) > 255:
-        raise ValueError("bytes only")
-    if either_case:
-        found |= {ord(chr(x).swapcase()) for x in found if x < 128 and chr(x).isalpha()}
-    return frozenset(found)
-
-
 @dataclass
 class Dfa:
     """classes: byte to column. table: flat, its entries are states times the number of columns, as is `start`.
@@ -127,7 +188,7 @@ def compile_rules(rules: list[tuple[str, bool]], anchored: bool = False) -> Dfa:
     for r, (pattern, either_case) in enumerate(rules):
         s = nfa.state()
         starts.append(s)
-        finals[nfa.add(_parser.parse(pattern), s, either_case)] = r
+        finals[_Parser(nfa, pattern, either_case).build(s)] = r
     signature = [tuple(b in edge[0] for edge in nfa.on if edge) for b in range(256)]
     distinct = {s: i for i, s in enumerate(dict.fromkeys(signature))}
     classes = np.array([distinct[s] for s in signature], np.int64)

@@ -15,6 +15,7 @@ from pyspark.sql.functions import arrow_udf
 
 from pointloom.llm import automaton
 from pointloom.llm import words as W
+from pointloom.llm.names import hide
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,11 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", 16, scan=r"[0-9a-f]{16}[0-9a-f]*"),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 40),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
+    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]+", 24),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 24),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]+", 26),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
 )
 BASE = ("assign", "access", "hex")
 
@@ -91,14 +97,14 @@ def scan(data: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple[int, int,
     for a, b, m in zip(cuts[after] + 1, resets[after], accepted[hits], strict=True):
         todo[a, b] = todo.get((a, b), 0) | int(m)
     found: dict[int, list[tuple[int, int, int]]] = {}
+    points = np.cumsum((apart & 0xC0) != 0x80) if todo else None  # code points up to each byte, counted once
     for (a, b), m in todo.items():
         doc = int(np.searchsorted(new, a, "right")) - 1
-        stretch, base = apart[a:b].tobytes(), int(new[doc])
+        stretch, base = apart[a:b].tobytes(), int(points[new[doc]]) - 1
         for r, rule in enumerate(RULES):
             if m >> r & 1:
                 for s, e in _matches(rule, stretch):
-                    start = int(np.count_nonzero((apart[base : a + s] & 0xC0) != 0x80))
-                    found.setdefault(doc, []).append((start, start + int(np.count_nonzero((apart[a + s : a + e] & 0xC0) != 0x80)), r))
+                    found.setdefault(doc, []).append((int(points[a + s]) - 1 - base, int(points[a + e - 1]) - base, r))
     for spans in found.values():
         spans.sort(key=lambda x: (x[0], x[2]))
     return found
@@ -127,10 +133,11 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     spans lists every span as kind:start:end in code points, end exclusive, by start and then kind in RULES'
     order; base_sha256 is the digest of those of the BASE kinds alone. A null or empty text has none. Rows
     are scanned each on its own, so repeated rows and ties give repeated results and an empty table an
-    empty one. docs' columns stay, except those named like the added.
+    empty one. docs' columns stay, whatever their names, except those named like the added.
     """
-    own = [c for c in docs.columns if c not in {f.name for f in _FIELDS}]
-    return docs.select(*own, find_secrets(F.col("text")).alias("_s")).select(*own, "_s.*")
+    names = [f.name for f in _FIELDS]
+    hidden, show = hide(docs, ("text",), names)
+    return show(hidden.withColumn("_pl_s", find_secrets(F.col("text"))), *[F.col(f"_pl_s.{n}").alias(n) for n in names])
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
