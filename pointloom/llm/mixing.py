@@ -16,17 +16,20 @@ from itertools import chain, islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.llm.names import hide
 from pointloom.llm.storage import fresh_path, number_gapless
 
 BLOCK_ROWS = 16
 CYCLE = 1024
 #: Without given weights, a source weighs its number of rows to this power.
 TEMPERATURE = 0.5
-LOTS = 256
+#: Lots that a source is ranked in at least, and rows in a lot, about, beyond that.
+LOTS, LOT_ROWS = 256, 1 << 18
+ADDED = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_index")
 #: Weights are whole multiples of 1 / SCALE, and LEAST / SCALE at least, so that slots are longs.
 SCALE, LEAST = 2**60, 2**30
-#: Lots that the driver holds at once, and blocks up to which the schedule is broadcast.
-PART, BROADCAST_BLOCKS = 1024, 2**22
+#: Lots that the driver holds at once, and blocks and sources up to which the schedule and the weights are broadcast.
+PART, BROADCAST_BLOCKS, BROADCAST_SOURCES = 1024, 2**22, 2**18
 
 
 def whole_slots(weights: dict[str | None, float], cycle: int = SCALE) -> dict[str | None, int]:
@@ -113,18 +116,25 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     a hash of (doc_id, text), then doc_id; a source's rank is counted in lots, so a hot source is spread over tasks. All
     rows are placed: when a source runs out its slots stay empty and the others go on in their proportions. A null
     source is a source of its own, and one without a given weight weighs as its rows do. Repeated rows get
-    neighbouring places; an empty table gives an empty result. docs' columns stay, except those named like the added.
+    neighbouring places; an empty table gives an empty result. docs' columns stay, whatever their names, except those
+    named like the added.
     """
-    spark = docs.sparkSession
-    added = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_index")
-    own = [c for c in docs.columns if c not in added]
+    hidden, show = hide(docs, ("doc_id", "text", "source"), ADDED)
+    return show(_placed(hidden, weights, block_rows, cycle), *ADDED)
+
+
+def _placed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
+    """mix() for columns whose names are none of those used here."""
+    spark, own = docs.sparkSession, docs.columns
     rows = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     shares = {s: (weights or {}).get(s, n**TEMPERATURE) for s, n in rows.items()}
     slots = {s: max(n, LEAST) for s, n in whole_slots(shares).items()} if shares else {}
     table = schedule(spark, slots, {s: -(-n // block_rows) for s, n in rows.items()}, cycle)
-    counts = F.broadcast(spark.createDataFrame([(s, str(n)) for s, n in slots.items()], "_name string, _n string"))  # a row per source
+    counts = spark.createDataFrame([(s, str(n)) for s, n in slots.items()], "_name string, _n string")  # a row per source
+    counts = F.broadcast(counts) if len(slots) <= BROADCAST_SOURCES else counts
+    lots = max(LOTS, sum(rows.values()) // LOT_ROWS)
     keyed = docs.select(*own, F.xxhash64("doc_id", F.col("text")).alias("_h"))
-    ranked = number_gapless(keyed, "_rank", ["source"], F.pmod("_h", F.lit(LOTS)), [F.col("_h"), F.col("doc_id")])
+    ranked = number_gapless(keyed, "_rank", ["source"], F.pmod("_h", F.lit(lots)), [F.col("_h"), F.col("doc_id")])
     ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block_rows))
     placed = ranked.join(counts, F.col("source").eqNullSafe(F.col("_name")))
     placed = placed.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.expr(f"mix_block div {cycle}") == F.col("_lot")))
@@ -135,19 +145,21 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
         "mix_deadline": F.expr(f"(cast(mix_block + 1 as decimal(18, 0)) * {whole} + {n} - 1) div {n}"),
         "mix_slot": F.element_at("_slots", F.expr(f"mix_block % {cycle} + 1").cast("int")),
         "mix_index": F.col("_rank") % block_rows,
-    }).select(*own, *added)
+    }).select(*own, *ADDED)
 
 
 def positions(mixed: DataFrame, cycle: int = CYCLE) -> DataFrame:
     """Add mix_pos, gapless from 0, in the order of mix_slot and mix_index. The rows of `cycle` slots meet in a task."""
-    return number_gapless(mixed, "mix_pos", [], F.floor(F.col("mix_slot") / cycle), [F.col("mix_slot"), F.col("mix_index")])
+    hidden, show = hide(mixed, ("mix_slot", "mix_index"), ("mix_pos",))
+    return show(number_gapless(hidden, "mix_pos", [], F.floor(F.col("mix_slot") / cycle), [F.col("mix_slot"), F.col("mix_index")]), "mix_pos")
 
 
 def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """docs' rows and columns in the mix's order: sorted partitions, the first rows in the first."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mixed = mix(docs, weights)
-    return mixed.repartitionByRange(partitions, "mix_slot", "mix_index").sortWithinPartitions("mix_slot", "mix_index").select(docs.columns)
+    hidden, show = hide(docs, ("doc_id", "text", "source"))
+    mixed = _placed(hidden, weights)
+    return show(mixed.repartitionByRange(partitions, "mix_slot", "mix_index").sortWithinPartitions("mix_slot", "mix_index"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from pointloom.llm import words as W
+from pointloom.llm.names import hide
 from pointloom.llm.quality_rules import SYMBOL, _repeated, _sums
 
 #: The model is fitted on so many labelled documents at most, those with the least hash of their doc_id, and
@@ -230,7 +231,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Only the text is an input. A text without a word, null or empty, scores the share of good labels in the
     sample. Without labels of both kinds that share (0.5 without any) is every score. Repeated rows score alike;
-    an empty table gives an empty result. docs' columns stay, except those named like the added.
+    an empty table gives an empty result. docs' columns stay, whatever their names, except those named like the added.
     """
 
     @arrow_udf(T.DoubleType())
@@ -238,8 +239,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         parts = [model.scores(*line_features(t), b - a) for a, b, t in W.chunks(text)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    return docs.select(*own, scored("text").alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    hidden, show = hide(docs, ("text",), ("score", "predicted"), scored("text").alias("_pl_score"))
+    return show(hidden, F.col("_pl_score").alias("score"), (F.col("_pl_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

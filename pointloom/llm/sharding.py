@@ -13,10 +13,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pointloom.llm.names import hide
 from pointloom.llm.storage import fresh_path
 
 N_SLOTS = 4096
 N_SHARDS = 16
+ADDED = ("size", "text_crc32", "virtual_slot", "law", "shard", "slot", "grown_shard")
 
 
 @dataclass(frozen=True)
@@ -144,11 +146,12 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_
     its shard, gapless from 0, by virtual slot, doc_id, size and crc32; only one virtual slot's rows meet
     in a task. A null text has no bytes and crc32 0; every row's size has 1 added. A null doc_id hashes
     like any key. Repeated rows share a virtual slot and get places of their own. An empty table gives
-    an empty result. Columns of docs stay, except that columns named like the added ones are replaced.
+    an empty result. Columns of docs stay, whatever their names, except that those named like the added ones are replaced.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text).cast("long"), "virtual_slot": virtual_slot(n_slots, F.col("doc_id"), text)})
+    hidden, show = hide(docs, ("doc_id", "text"), ADDED)
+    keyed = hidden.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text).cast("long"), "virtual_slot": virtual_slot(n_slots, F.col("doc_id"), text)})
     slot_bytes, slot_rows = [0] * n_slots, [0] * n_slots
     for r in keyed.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
         slot_bytes[r["virtual_slot"]], slot_rows[r["virtual_slot"]] = r["b"], r["n"]
@@ -170,7 +173,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_
     inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
     out = keyed.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(placed), F.col("virtual_slot") == F.col("_slot"))  # n_slots rows
     out = out.withColumns({"law": F.lit("bytes"), "shard": F.col("_shard"), "slot": F.col("_base") + F.col("_rank") - 1, "grown_shard": F.lit(None).cast("int")})
-    return out.drop("_rank", "_slot", "_shard", "_base")
+    return show(out, *ADDED)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pointloom.llm import words as W
 from pointloom.llm.exact_dedup import _filter_size, _two_places, repeated_places
 from pointloom.llm.fm_index import repeated_windows
+from pointloom.llm.names import hide
 from pointloom.llm.storage import materialise
 
 WINDOW = 35
@@ -135,15 +136,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A word goes if a window of WINDOW words over it starts at another place too, in any document or the same;
     all is judged on the input. A null text has no words; one shorter than a window loses none. Repeated rows
     of WINDOW words or more lose all. docs must read the same on every pass, as a table does. An empty table
-    gives an empty result. docs' columns stay, except those named like the added.
+    gives an empty result. docs' columns stay, whatever their names, except those named like the added.
     """
     added = "n_words", "n_removed", "kept_text", "removed"
-    docs = docs.select([c for c in docs.columns if c not in added])
-    own = docs.columns
-    numbered = docs.withColumn("_pl_row", F.monotonically_increasing_id())
+    numbered, show = hide(docs, ("text",), added, F.monotonically_increasing_id().alias("_pl_row"))
+    own = [c for c in numbered.columns if c != "_pl_row"]
     found = repeats(numbered).select(F.col("row").alias("_pl_found"), F.col("spans").alias("_pl_spans"))
     joined = numbered.join(found, F.col("_pl_row") == F.col("_pl_found"), "left").select(*own, "_pl_spans")
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("removed", T.ArrayType(T.ArrayType(T.LongType())))
+    schema = numbered.select(own).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("removed", T.ArrayType(T.ArrayType(T.LongType())))
 
     def cut(batches):
         for batch in batches:
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     ranges.append(edges.reshape(-1, 2).tolist())
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(ranges, pa.list_(pa.list_(pa.int64())))], [*own, *added])
 
-    return joined.mapInArrow(cut, schema)
+    return show(joined.mapInArrow(cut, schema), *added)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
