@@ -3,7 +3,8 @@
 Every metric is an integer per mille. A sketch is a log-linear histogram: values under 32 have buckets of
 their own, larger ones eight buckets to each power of two, so a quantile is within an eighth of its value.
 Sketches merge by adding counts: the partial aggregates of tasks merge into those of (lang, source), these
-into those of a language and of the whole corpus, which serve where a group is too small.
+into those of a language and of the whole corpus. A group's limit is the mean of its own and of its language's, weighted
+by its size against PRIOR, and a language's likewise of its own and of the corpus's.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from pointloom.llm import words as W
+from pointloom.llm.names import hide
+from pointloom.llm.storage import materialise
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -24,8 +27,9 @@ MAX_REPEAT_PERCENT = 20
 METRICS = {"symbol_pm": 40, "upper_pm": 200, "dup_line_pm": 300, "repeat_pm": 200}
 SPREAD = 4
 LOWER = 12
-#: Groups with fewer documents use their language's sketch, and languages with fewer the corpus's.
-MIN_GROUP = 50
+#: A group's limit counts as its documents and its language's as so many, and a language's as its documents and the corpus's
+#: as so many, so small groups follow what is around them.
+PRIOR = 50
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
@@ -145,35 +149,44 @@ def thresholds(measured: DataFrame) -> DataFrame:
     two = fences(lang, "lang").select(F.col("lang").alias("_l"), F.col("metric").alias("_m2"), F.col("size").alias("size2"), F.col("fence").alias("fence2"))
     all_ = fences(merged(lang)).select(F.col("metric").alias("_m3"), F.col("fence").alias("fence3"))
     joined = one.join(two, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("metric") == F.col("_m2"))).join(all_, F.col("metric") == F.col("_m3"))
-    best = F.when(F.col("size") >= MIN_GROUP, F.col("fence")).when(F.col("size2") >= MIN_GROUP, F.col("fence2")).otherwise(F.col("fence3"))
+    around = F.expr(f"(size2 * fence2 + {PRIOR} * fence3) div (size2 + {PRIOR})")
+    joined = joined.withColumn("around", around)
+    best = F.expr(f"(size * fence + {PRIOR} * around) div (size + {PRIOR})")
     listed = F.sort_array(F.collect_list(F.struct("metric", best.alias("fence"))))
     return joined.groupBy("lang", "source").agg(F.transform(listed, lambda x: x["fence"]).alias("_pl_fences"))
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """docs with with_features' columns and `_pl_kept`."""
-    limits = thresholds(with_features(docs.select("text", "lang", "source"))).withColumnsRenamed({"lang": "_pl_lang", "source": "_pl_source"})
-    joined = with_features(docs).join(limits, F.col("lang").eqNullSafe(F.col("_pl_lang")) & F.col("source").eqNullSafe(F.col("_pl_source")), "left")
+def _judged(docs: DataFrame, text: bool) -> DataFrame:
+    """docs with with_features' columns and `_pl_kept`. Texts are measured once; the rows are written with what was found."""
+    measured = materialise(with_features(docs) if text else with_features(docs).drop("text"), "measured")
+    limits = thresholds(measured.select("lang", "source", "_pl_m")).withColumnsRenamed({"lang": "_pl_lang", "source": "_pl_source"})
+    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_pl_lang")) & F.col("source").eqNullSafe(F.col("_pl_source")), "left")
     over = F.exists(F.arrays_zip("_pl_m", "_pl_fences"), lambda x: x["_pl_m"] > x["_pl_fences"])
     return joined.withColumn("_pl_kept", ~F.col("_pl_failed") & ~over)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """docs with the columns of FEATURES, base_failed and kept.
+USED = "text", "lang", "source"
+
+
+def judge(docs: DataFrame, text: bool = True) -> DataFrame:
+    """docs with the columns of FEATURES, base_failed and kept, and without the text if that isn't asked for.
 
     A null text has no words and fails. Documents with a null lang or source form groups of their own. A
     document is kept if its base rules hold and no metric is over its group's limit. Equal rows get equal
-    verdicts. An empty table gives an empty result. docs' columns stay, except those named like the added.
+    verdicts. An empty table gives an empty result. docs' columns stay, whatever their names, except those named like
+    the added.
     """
-    own = [c for c in docs.columns if c not in (*FEATURES, "base_failed", "kept")]
-    return _judged(docs.select(own)).select(*own, "_pl_f.*", F.col("_pl_failed").alias("base_failed"), F.col("_pl_kept").alias("kept"))
+    hidden, show = hide(docs, USED, (*FEATURES, "base_failed", "kept"))
+    found = _judged(hidden, text)
+    return show(found, "_pl_f.*", F.col("_pl_failed").alias("base_failed"), F.col("_pl_kept").alias("kept"), less=[] if text else ["text"])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with docs' columns as they are."""
-    return _judged(docs).filter("_pl_kept").select(docs.columns)
+    hidden, show = hide(docs, USED)
+    return show(_judged(hidden, True).filter("_pl_kept"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(docs, text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
