@@ -96,3 +96,65 @@ def keepers(rows):
     for d, t in rows:
         groups[t or ""].append(d)
     return {t: (max((d for d in ds if d is not None), default=None), len(ds)) for t, ds in groups.items()}
+
+
+def _low(v):
+    """A sketch's value of v: the least of its bucket."""
+    if v < 32:
+        return v
+    drop = v.bit_length() - 4
+    return v >> drop << drop
+
+
+def _fence(values, slack):
+    values = sorted(map(_low, values))
+    q = lambda p: values[-(-len(values) * p // 100) - 1]
+    return min(q(75) + max(slack, 4 * (q(75) - q(25))), q(25) + max(slack, 12 * (q(25) - q(5))))
+
+
+def kept_by_quality(rows):
+    """rows: (doc_id, text, lang, source, ...); doc_id to the verdict by limits from each group, its language and all."""
+    measured = {}
+    for d, t, lang, source, *_ in rows:
+        n, chars, symbols, dup, repeat, failed = quality(t)
+        lines = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        upper = len(re.findall("[A-Z]", t or ""))
+        measured[d] = (lang, source, failed, [symbols * 1000 // max(chars, 1), upper * 1000 // max(chars, 1), dup * 1000 // max(lines, 1), repeat * 1000 // max(n, 1)])
+    out = {}
+    for d, (lang, source, failed, m) in measured.items():
+        good = not failed
+        for k, slack in enumerate((40, 200, 300, 200)):
+            one = [x[3][k] for x in measured.values() if x[:2] == (lang, source)]
+            two = [x[3][k] for x in measured.values() if x[0] == lang]
+            three = [x[3][k] for x in measured.values()]
+            around = (len(two) * _fence(two, slack) + 50 * _fence(three, slack)) // (len(two) + 50)
+            good = good and m[k] <= (len(one) * _fence(one, slack) + 50 * around) // (len(one) + 50)
+        out[d] = good
+    return out
+
+
+def grouped(rows):
+    by = defaultdict(list)
+    for r in rows:
+        by[r[3]].append(r)
+    return by.items()
+
+
+def mixed(sizes, block_rows, temperature):
+    """(source, block, rows) in the order of an earliest-deadline-first schedule: slot by slot, the released block due first."""
+    from fractions import Fraction
+
+    weight = {s: Fraction(n**temperature) for s, n in sizes}
+    total = sum(weight.values())
+    share = {s: weight[s] / total for s in weight}
+    left = {s: -(-n // block_rows) for s, n in sizes}
+    done, out, t = Counter(), [], 0
+    rows = dict(sizes)
+    while any(done[s] < left[s] for s in left):
+        ready = [(-(-(done[s] + 1) // share[s]), i, s) for i, s in enumerate(sorted(left)) if done[s] < left[s] and done[s] // share[s] <= t]
+        if ready:
+            s = min(ready)[2]
+            out.append((s, done[s], min(block_rows, rows[s] - done[s] * block_rows)))
+            done[s] += 1
+        t += 1
+    return out
