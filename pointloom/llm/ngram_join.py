@@ -1,5 +1,5 @@
-"""N-gram Jaccard join by vertical partitioning: the global order of n-grams, that of their hashes, is cut into
-fragments; what documents share is counted in each fragment separately and summed per document, to prune.
+"""N-gram Jaccard join by vertical partitioning: the global order of n-grams is cut into fragments, what two documents
+share is counted in each fragment separately, and the partial overlaps are summed per pair.
 
 Documents with equal sets are one class. Classes go through filters that lose no link:
 
@@ -7,11 +7,12 @@ Documents with equal sets are one class. Classes go through filters that lose no
    corpus: a class with too few of its n-grams in it can't reach the threshold.
 2. Rounds over all fragments: an n-gram counts for a class only if another class of a size that may link with it
    has it too; sums per class over the fragments bound the size of its partners. Classes without any drop out.
-3. Prefix filter: classes that link share one of the first (useful - least overlap + 1) useful n-grams.
+3. Candidates by a prefix filter: with the useful n-grams in a common order, rare ones first, classes that link share
+   one of the first (useful - least overlap + 1), and at the first that they share enough n-grams are left in both.
 
-Pairs are then verified on whole sets, both in one task. Near copies in large numbers aren't paired with each other: first
-every class is paired with leaders only, components are formed, and then only candidates in different
-components are verified.
+Candidates meet in cells, cut into fragments: a task has one cell's sets in one fragment, counts the partial overlaps of
+its pairs there, and the sums per pair decide. Near copies in large numbers aren't paired with each other: first every
+class is paired with leaders only, components are formed, and then only candidates in different components are verified.
 """
 
 from __future__ import annotations
@@ -25,17 +26,20 @@ from pyspark.sql import functions as F
 from pointloom.llm import words as W
 from pointloom.llm.components import components
 from pointloom.llm.exact_dedup import _filter_size, _two_places, repeated_places
+from pointloom.llm.names import hide
 from pointloom.llm.storage import materialise
 
 #: N-grams of one fragment at most, about; and the least number of fragments.
 FRAGMENT_GRAMS = 1_000_000
 FRAGMENTS = 16
-#: Slices that a pair's overlap is counted in, within one call.
+#: Fragments that candidates' overlaps are counted in.
 PARTS = 8
-#: Pairs that are verified in one task at most, about.
+#: Pairs that are counted in one cell at most, about.
 CELL_PAIRS = 50_000
 #: N-grams of a prefix that go along with each of its rows.
 HEAD = 8
+#: N-grams that are looked up at once in a task.
+COUNT_AT_ONCE = 1 << 20
 ROUNDS = 2
 
 
@@ -80,7 +84,7 @@ def _classes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def class_sizes(docs: DataFrame, words: int) -> DataFrame:
     """docs' columns but text, with class (a digest of the set) and n_shingles."""
-    own = [c for c in docs.columns if c not in ("text", "class", "n_shingles")]
+    own = [c for c in docs.columns if c != "text"]
     docs = docs.select(*own, "text")
     schema = docs.select(own).schema.add("class", "long").add("n_shingles", "long")
 
@@ -177,6 +181,13 @@ def _useful(pdf: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.nd
     return table, grams, owner, others > 0
 
 
+def order_keys(grams: np.ndarray) -> np.ndarray:
+    """The place of each n-gram in the common order: by how many have it (in powers of four), then by its hash."""
+    _, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    often = np.frexp(counts.astype(float))[1].astype(np.uint64) >> np.uint64(1)
+    return (often[inverse] << np.uint64(58) | grams >> np.uint64(6)).view(np.int64)
+
+
 def prune(classes: DataFrame, percent: int) -> tuple[DataFrame, int]:
     """Filter 2: (class, n, grams, lo, hi, useful) of the classes that may have partners, and the fragments' number."""
 
@@ -203,81 +214,100 @@ def prune(classes: DataFrame, percent: int) -> tuple[DataFrame, int]:
 
 
 def prefixes(alive: DataFrame, fragments: int) -> DataFrame:
-    """Filter 3: (class, n, lo, hi, rare, prefix), prefix being an array of n-grams; rare counts those that are not useful."""
+    """Filter 3: (class, n, lo, hi, rare, useful, prefix), prefix being an array of n-grams' places in the common order; rare
+    counts the n-grams that are not useful."""
 
     def list_useful(pdf: pd.DataFrame) -> pd.DataFrame:
         table, grams, owner, good = _useful(pdf)
-        own, g = table["class"][owner[good]], grams[good]
-        order = np.lexsort((g, own))
+        keys = order_keys(grams)
+        own, g = table["class"][owner[good]], keys[good]
+        order = np.argsort(own, kind="stable")
         own, g = own[order], g[order]
         cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-        return pd.DataFrame({"_c": own[cuts], "fragment": pdf["fragment"].iloc[0], "part": [x.view(np.int64).tolist() for x in np.split(g, cuts[1:])] if len(own) else []})
+        return pd.DataFrame({"_c": own[cuts], "part": [x.tolist() for x in np.split(g, cuts[1:])] if len(own) else []})
 
-    parts = _fragments(alive, fragments).groupBy("fragment").applyInPandas(list_useful, "_c long, fragment int, part array<long>")
-    whole = parts.groupBy("_c").agg(F.sort_array(F.collect_list(F.struct("fragment", "part"))).alias("parts"))
-    whole = whole.select("_c", F.flatten(F.transform("parts", lambda x: x["part"])).alias("grams"))
-    joined = alive.select("class", "n", "lo", "hi").join(whole, F.col("class") == F.col("_c")).withColumn("useful", F.size("grams"))
-    out = joined.filter("useful >= lo").select("class", "n", "lo", "hi", (F.col("n") - F.col("useful")).alias("rare"), F.expr("slice(grams, 1, cast(useful - lo + 1 AS int))").alias("prefix"))
+    parts = _fragments(alive, fragments).groupBy("fragment").applyInPandas(list_useful, "_c long, part array<long>")
+    whole = parts.groupBy("_c").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("grams"))
+    joined = alive.select("class", "n", "lo", "hi").join(whole, F.col("class") == F.col("_c")).withColumn("useful", F.size("grams").cast("long"))
+    out = joined.filter("useful >= lo").select("class", "n", "lo", "hi", (F.col("n") - F.col("useful")).alias("rare"), "useful", F.expr("slice(grams, 1, cast(useful - lo + 1 AS int))").alias("prefix"))
     return materialise(out, "prefixes")
 
 
-def _fit(a: str, b: str) -> Column:
-    """Whether the sizes of two classes allow a link."""
-    return F.expr(f"{a}.n BETWEEN {b}.lo AND {b}.hi AND {b}.n BETWEEN {a}.lo AND {a}.hi")
+def _fit(a: str, b: str, percent: int) -> Column:
+    """Whether sizes allow two classes a link, and enough useful n-grams are left from their common one on."""
+    sizes = F.expr(f"{a}.n BETWEEN {b}.lo AND {b}.hi AND {b}.n BETWEEN {a}.lo AND {a}.hi")
+    left = F.expr(f"least({a}.useful - {a}.pos, {b}.useful - {b}.pos) * {100 + percent} >= {percent} * ({a}.n + {b}.n)")
+    return sizes & left
 
 
-def _overlap(x: np.ndarray, y: np.ndarray, percent: int) -> int:
-    """Common members of two sorted sets, counted part by part and summed; 0 as soon as too few are left to link."""
-    need = -(-percent * (len(x) + len(y)) // (100 + percent))
-    edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
-    cx, cy = [0, *np.searchsorted(x, edges), len(x)], [0, *np.searchsorted(y, edges), len(y)]
-    total = 0
-    for p in range(PARTS):
-        s, t = x[cx[p] : cx[p + 1]], y[cy[p] : cy[p + 1]]
-        if len(s) and len(t):
-            at = np.searchsorted(s, t)
-            at[at == len(s)] = 0
-            total += int(np.count_nonzero(s[at] == t))
-        if total + min(len(x) - cx[p + 1], len(y) - cy[p + 1]) < need:
-            return 0
-    return total
-
-
-def verified(pairs: DataFrame, alive: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose overlap, counted on whole sets, reaches the threshold.
-
-    Pairs meet in cells, each pair in that of its two components (so far) which has more pairs, so that a class is
-    sent once to each of a few cells and not once for each of its pairs. A cell with more than CELL_PAIRS pairs is split
-    by a hash of u.
+def _counted(links: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(u, v, nu, nv, common): one cell's partial overlaps in one fragment.
+
+    Pairs whose members differ more here than linked ones do in all are left out: their sums fall short anyway.
+    """
+    place = {c: i for i, c in enumerate(sets["class"].tolist())}
+    grams = [np.frombuffer(g, np.uint64) for g in sets["grams"]]
+    size = np.array([len(g) for g in grams])
+    flat = np.concatenate(grams)
+    # Numbers of the n-grams and, as one sorted list, (member, number) of all sets.
+    number = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+    wide = int(number.max()) + 1
+    held = np.repeat(np.arange(len(grams)), size) * wide + number
+    first = np.cumsum(size) - size
+    u, v = (np.array([place[x] for x in links[c].tolist()]) for c in ("u", "v"))
+    small, large = np.where(size[u] <= size[v], u, v), np.where(size[u] <= size[v], v, u)
+    common = np.zeros(len(links), np.int64)
+    step = max(1, COUNT_AT_ONCE // max(1, int(size.max())))
+    for at in range(0, len(links), step):
+        s, t = small[at : at + step], large[at : at + step]
+        asked = number[W.flat_ranges(first[s], size[s])] + np.repeat(t, size[s]) * wide
+        found = np.searchsorted(held, asked)
+        hit = held[np.minimum(found, len(held) - 1)] == asked
+        common[at : at + step] = np.bincount(np.repeat(np.arange(len(s)), size[s]), hit, len(s))
+    total = (links["nu"] + links["nv"]).to_numpy()
+    allowed = total - 2 * -(-percent * total // (100 + percent))
+    out = links.assign(common=common)[["u", "v", "nu", "nv", "common"]]
+    return out[(common > 0) & (size[u] + size[v] - 2 * common <= allowed)]
+
+
+def verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v, nu, nv, cell) those (u, v) whose overlaps, summed over the fragments, reach the threshold.
+
+    A class is sent once to each cell that has pairs of it, and not once for each of its pairs. A cell with more than
+    CELL_PAIRS pairs is split by a hash of u.
     """
-    labels = groups.select(F.col("u").alias("_k"), F.col("v").alias("_l"))
-    keyed = pairs
-    for side in ("u", "v"):
-        own = labels.select(F.col("_k").alias(f"_k{side}"), F.col("_l").alias(f"_l{side}"))
-        keyed = keyed.join(own, F.col(side) == F.col(f"_k{side}"), "left").withColumn(f"_l{side}", F.coalesce(f"_l{side}", side)).drop(f"_k{side}")
-    keyed = materialise(keyed, "labelled")
-    degree = keyed.select(F.explode(F.array("_lu", "_lv")).alias("_l")).groupBy("_l").agg(F.count(F.lit(1)).alias("_d"))
-    for side in ("u", "v"):
-        own = degree.select(F.col("_l").alias(f"_m{side}"), F.col("_d").alias(f"_d{side}"))
-        keyed = keyed.join(own, F.col(f"_l{side}") == F.col(f"_m{side}"))
-    larger = F.greatest(F.struct(F.col("_du").alias("d"), F.col("_lu").alias("l")), F.struct(F.col("_dv").alias("d"), F.col("_lv").alias("l")))
-    keyed = keyed.select("u", "v", larger["l"].alias("_c"))
-    sizes = keyed.groupBy(F.col("_c").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("_split"))
-    celled = keyed.join(sizes, F.col("_c") == F.col("_cell")).select("u", "v", F.xxhash64("_c", F.pmod(F.xxhash64("u"), F.col("_split"))).alias("cell"))
+    sizes = pairs.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("_split"))
+    celled = pairs.join(sizes, F.col("cell") == F.col("_cell")).select("u", "v", "nu", "nv", F.xxhash64("cell", F.pmod(F.xxhash64("u"), F.col("_split"))).alias("cell"))
     celled = materialise(celled, "cells")
-    wanted = celled.select("cell", F.explode(F.array("u", "v")).alias("_w")).distinct()
+    wanted = celled.select("cell", F.col("u").alias("_w")).unionAll(celled.select("cell", F.col("v").alias("_w"))).distinct()
     members = wanted.join(alive.select("class", "grams").hint("merge"), F.col("_w") == F.col("class")).select(F.col("cell").alias("at"), "class", "grams")
+    edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
 
-    def check(links: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        grams = {c: np.frombuffer(g, np.uint64) for c, g in zip(sets["class"], sets["grams"], strict=True)}
-        good = np.zeros(len(links), bool)
-        for i, (u, v) in enumerate(zip(links["u"], links["v"], strict=True)):
-            x, y = grams[u], grams[v]
-            common = _overlap(x, y, percent)
-            good[i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-        return links.loc[good, ["u", "v"]]
-
-    return celled.groupBy("cell").cogroup(members.groupBy("at")).applyInPandas(check, "u long, v long")
+    def cut(batches):
+        for batch in batches:
+            rows, parts, grams = [], [], []
+            for i, x in enumerate(batch.column("grams")):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                bounds = [0, *np.searchsorted(own, edges).tolist(), len(own)]
+                rows += [i] * PARTS
+                parts += range(PARTS)
+                grams += [own[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+            taken = batch.select(["at", "class"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(parts, pa.int32()), pa.array(grams, pa.binary())], ["at", "class", "part", "grams"])
+
+    fragments = members.mapInArrow(cut, "at long, class long, part int, grams binary").filter(F.octet_length("grams") > 0)
+    links = celled.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+    def count(links: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        here = set(sets["class"].tolist())
+        links = links[links["u"].isin(here) & links["v"].isin(here)]
+        if not len(links):
+            return pd.DataFrame({"u": [], "v": [], "nu": [], "nv": [], "common": []}, dtype=np.int64)
+        return _counted(links, sets, percent)
+
+    partial = links.groupBy("cell", "fragment").cogroup(fragments.groupBy("at", "part")).applyInPandas(count, "u long, v long, nu long, nv long, common long")
+    sums = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("common").alias("common"))
+    return sums.filter(f"100 * common >= {percent} * (nu + nv - common)").select("u", "v")
 
 
 def _labelled(prefix: DataFrame, groups: DataFrame) -> DataFrame:
@@ -292,29 +322,37 @@ def _across(rows: DataFrame) -> DataFrame:
     return rows.join(mixed.select("_g"), F.col("gram") == F.col("_g")).drop("_g")
 
 
+def _listed(prefix: DataFrame, groups: DataFrame, first: int | None = None) -> DataFrame:
+    """A row for each of the first n-grams of every prefix (all of them by default), with its place `pos` among the useful."""
+    taken = F.slice("prefix", 1, first) if first else F.col("prefix")
+    return _labelled(prefix, groups).select("class", "n", "lo", "hi", "rare", "useful", "label", F.slice("prefix", 1, HEAD).alias("head"), F.posexplode(taken).alias("pos", "gram"))
+
+
 def link_classes(alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     """(u, v): each class u that isn't the least of its component, and the least, v."""
     spark = alive.sparkSession
     groups = spark.createDataFrame([], "u long, v long")
-    best = F.min(F.struct("rare", "class", "n", "lo", "hi"))
+    fields = "class", "n", "lo", "hi", "useful", "pos"
+    best = F.min(F.struct("rare", *fields))
+    u, v = F.greatest("x.class", "y.class").alias("u"), F.least("x.class", "y.class").alias("v")
+    nu = F.expr("if(x.class > y.class, x.n, y.n)").alias("nu")
+    nv = F.expr("if(x.class > y.class, y.n, x.n)").alias("nv")
     for first in (4, None):
         # Leaders: of each n-gram, the class with the fewest n-grams of its own; others of the n-gram are paired with it.
-        rows = _labelled(prefix, groups).select("class", "n", "lo", "hi", "rare", "label", F.explode(F.slice("prefix", 1, first) if first else F.col("prefix")).alias("gram"))
-        rows = _across(rows)
+        rows = _across(_listed(prefix, groups, first).drop("head"))
         leads = rows.groupBy(F.col("gram").alias("_g")).agg(best.alias("y"))
         if first is None:  # one class for each component of an n-gram
             rows = rows.groupBy("gram", "label").agg(best.alias("x")).select("gram", "label", "x.*")
-        pairs = rows.alias("x").join(leads, F.col("gram") == F.col("_g")).filter(F.col("x.class") != F.col("y.class")).filter(_fit("x", "y"))
-        pairs = pairs.select(F.greatest("x.class", "y.class").alias("u"), F.least("x.class", "y.class").alias("v")).distinct()
-        groups = components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, groups, percent)))
-    rows = _across(_labelled(prefix, groups).select("class", "n", "lo", "hi", "label", F.slice("prefix", 1, HEAD).alias("head"), F.explode("prefix").alias("gram")))
-    rows = materialise(rows, "across")
+        pairs = rows.alias("x").join(leads, F.col("gram") == F.col("_g")).filter(F.col("x.class") != F.col("y.class")).filter(_fit("x", "y", percent))
+        pairs = pairs.select(u, v, nu, nv, F.col("y.class").alias("cell")).groupBy("u", "v", "nu", "nv").agg(F.min("cell").alias("cell"))
+        groups = components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, percent)))
+    rows = materialise(_across(_listed(prefix, groups)), "across")
     x, y = rows.alias("x"), rows.alias("y")
     # A pair with a common n-gram among both heads is made at the first of these only, another at each common one.
-    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")) & _fit("x", "y")
+    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")) & _fit("x", "y", percent)
     on = on & (F.coalesce(F.get(F.array_intersect("x.head", "y.head"), 0), F.col("x.gram")) == F.col("x.gram"))
-    pairs = x.join(y, on).select(F.col("x.class").alias("u"), F.col("y.class").alias("v")).distinct()
-    return components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, groups, percent)))
+    pairs = x.join(y, on).select(u, v, nu, nv, F.col("x.gram").alias("cell")).groupBy("u", "v", "nu", "nv").agg(F.min("cell").alias("cell"))
+    return components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, percent)))
 
 
 def _labels(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -333,12 +371,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sequence as the one n-gram; a null text or one without words has none and links with nothing. Two documents
     link when 100 * intersection >= percent * union. component_id is the least doc_id that links reach, null
     doc_ids not counted (null if there is no other). A document without words has its own doc_id. Repeated rows
-    link with each other. An empty table gives an empty result. Columns named like the added are replaced.
+    link with each other. An empty table gives an empty result. Other columns stay, whatever their names; those named
+    like the added are replaced.
     """
-    labelled = _labels(docs.drop("component_id", "label"), words, percent)
+    hidden, show = hide(docs, ("doc_id", "text"), ("n_shingles", "component_id"))
+    labelled = _labels(hidden, words, percent)
     least = labelled.filter("n_shingles > 0").groupBy(F.col("label").alias("_l")).agg(F.min("doc_id").alias("_d"))
     out = labelled.join(least, (F.col("label") == F.col("_l")) & (F.col("n_shingles") > 0), "left")
-    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("_d")).otherwise(F.col("doc_id"))).drop("_l", "_d", "label")
+    return show(out, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_d")).otherwise(F.col("doc_id")).alias("component_id"), less=["text"])
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -346,11 +386,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
     Texts without words stay, each of them. docs must read the same on every pass, as a table does.
     """
-    numbered = docs.withColumn("_pl_row", F.monotonically_increasing_id())
+    numbered, show = hide(docs, ("doc_id", "text"), (), F.monotonically_increasing_id().alias("_pl_row"))
     labelled = _labels(numbered.select("_pl_row", "doc_id", "text"), words, percent).filter("n_shingles > 0")
     first = labelled.groupBy(F.col("label").alias("_l")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_pl_row")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     gone = labelled.join(first.filter("_n > 1"), F.col("label") == F.col("_l")).filter("_pl_row <> _first._pl_row").select(F.col("_pl_row").alias("_gone"))
-    return numbered.join(gone, F.col("_pl_row") == F.col("_gone"), "left_anti").select(docs.columns)
+    return show(numbered.join(gone, F.col("_pl_row") == F.col("_gone"), "left_anti"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
