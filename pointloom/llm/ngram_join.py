@@ -34,8 +34,8 @@ FRAGMENT_GRAMS = 1_000_000
 FRAGMENTS = 16
 #: Fragments that candidates' overlaps are counted in.
 PARTS = 8
-#: Pairs that are counted in one cell at most, about.
-CELL_PAIRS = 50_000
+#: Pairs and n-grams of one cell, about; a cell's sets are cut into PARTS.
+CELL_PAIRS, CELL_GRAMS = 50_000, 2_000_000
 #: N-grams of a prefix that go along with each of its rows.
 HEAD = 8
 #: N-grams that are looked up at once in a task.
@@ -207,7 +207,7 @@ def prune(classes: DataFrame, percent: int) -> tuple[DataFrame, int]:
         bounded = joined.withColumn("hi", F.least("hi", F.expr(f"useful * {100 + percent} div {percent} - n")))
         alive = materialise(bounded.filter("hi >= lo AND useful >= lo"), "alive")
         left = alive.count()
-        if left == rows:
+        if left in (rows, 0):
             break
         rows = left
     return alive, fragments
@@ -270,15 +270,20 @@ def _counted(links: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFr
     return out[(common > 0) & (size[u] + size[v] - 2 * common <= allowed)]
 
 
-def verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v, nu, nv, cell) those (u, v) whose overlaps, summed over the fragments, reach the threshold.
+def verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame | None:
+    """Of pairs (u, v, nu, nv, near) those (u, v) whose overlaps, summed over the fragments, reach the threshold; None without pairs.
 
-    A class is sent once to each cell that has pairs of it, and not once for each of its pairs. A cell with more than
-    CELL_PAIRS pairs is split by a hash of u.
+    Pairs with one `near` have members in common, so they go to one cell, and a class is sent once to each cell that
+    has pairs of it, not once for each of its pairs. A `near` of more than CELL_PAIRS pairs is split by a hash of u.
     """
-    sizes = pairs.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("_split"))
-    celled = pairs.join(sizes, F.col("cell") == F.col("_cell")).select("u", "v", "nu", "nv", F.xxhash64("cell", F.pmod(F.xxhash64("u"), F.col("_split"))).alias("cell"))
-    celled = materialise(celled, "cells")
+    sizes = pairs.groupBy(F.col("near").alias("_near")).agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("_split"))
+    split = pairs.join(sizes, F.col("near") == F.col("_near")).select("u", "v", "nu", "nv", F.xxhash64("near", F.pmod(F.xxhash64("u"), F.col("_split"))).alias("near"))
+    split = materialise(split, "split")
+    found = split.agg(F.count(F.lit(1)), F.sum(F.col("nu") + F.col("nv"))).first()
+    if not found[0]:
+        return None
+    cells = max(1, found[0] // CELL_PAIRS, min(found[1], alive.agg(F.sum("n")).first()[0]) // CELL_GRAMS)
+    celled = split.withColumn("cell", F.pmod("near", F.lit(cells)))
     wanted = celled.select("cell", F.col("u").alias("_w")).unionAll(celled.select("cell", F.col("v").alias("_w"))).distinct()
     members = wanted.join(alive.select("class", "grams").hint("merge"), F.col("_w") == F.col("class")).select(F.col("cell").alias("at"), "class", "grams")
     edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
@@ -344,22 +349,27 @@ def link_classes(alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame
         if first is None:  # one class for each component of an n-gram
             rows = rows.groupBy("gram", "label").agg(best.alias("x")).select("gram", "label", "x.*")
         pairs = rows.alias("x").join(leads, F.col("gram") == F.col("_g")).filter(F.col("x.class") != F.col("y.class")).filter(_fit("x", "y", percent))
-        pairs = pairs.select(u, v, nu, nv, F.col("y.class").alias("cell")).groupBy("u", "v", "nu", "nv").agg(F.min("cell").alias("cell"))
-        groups = components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, percent)))
+        pairs = pairs.select(u, v, nu, nv, F.col("y.class").alias("near")).groupBy("u", "v", "nu", "nv").agg(F.min("near").alias("near"))
+        links = verified(materialise(pairs, "pairs"), alive, percent)
+        groups = components(groups.unionByName(links)) if links else groups
     rows = materialise(_across(_listed(prefix, groups)), "across")
     x, y = rows.alias("x"), rows.alias("y")
     # A pair with a common n-gram among both heads is made at the first of these only, another at each common one.
     on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")) & _fit("x", "y", percent)
     on = on & (F.coalesce(F.get(F.array_intersect("x.head", "y.head"), 0), F.col("x.gram")) == F.col("x.gram"))
-    pairs = x.join(y, on).select(u, v, nu, nv, F.col("x.gram").alias("cell")).groupBy("u", "v", "nu", "nv").agg(F.min("cell").alias("cell"))
-    return components(groups.unionByName(verified(materialise(pairs, "pairs"), alive, percent)))
+    pairs = x.join(y, on).select(u, v, nu, nv, F.col("x.gram").alias("near")).groupBy("u", "v", "nu", "nv").agg(F.min("near").alias("near"))
+    links = verified(materialise(pairs, "pairs"), alive, percent)
+    return components(groups.unionByName(links)) if links else groups
 
 
 def _labels(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """docs' columns but text, with n_shingles and label, the least class of the document's component."""
     measured = materialise(class_sizes(docs, words), "sets")
     alive, fragments = prune(possible_classes(docs, words, percent), percent)
-    groups = link_classes(alive, prefixes(alive, fragments), percent)
+    if alive.isEmpty():
+        groups = docs.sparkSession.createDataFrame([], "u long, v long")
+    else:
+        groups = link_classes(alive, prefixes(alive, fragments), percent)
     groups = groups.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     return measured.join(groups, F.col("class") == F.col("_u"), "left").withColumn("label", F.coalesce("_v", "class")).drop("_u", "_v", "class")
 
