@@ -82,11 +82,12 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, partitions:
     ordered.select("doc_id", "text").mapInArrow(coded, _BLOCKS).write.option("compression", "none").parquet(out)
 
 
-def read_tokens(spark: SparkSession, source: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the blocks at `source`, their checksums verified.
+def read_tokens(spark: SparkSession, source: str, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32 and, if asked, ids) of every document in the blocks at `source`, checksums verified.
 
     start counts the ids of all documents before; ids are little-endian unsigned 32-bit numbers.
     """
+    names = ["part", "block", "doc_id", "_at", "n_tokens", "ids_crc32"] + ["ids"] * ids
     blocks = spark.read.schema(_BLOCKS).parquet(source)
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     parts = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -105,17 +106,21 @@ def read_tokens(spark: SparkSession, source: str) -> DataFrame:
                     to = max(at + 1, int(np.searchsorted(starts, starts[at] + 500_000)))
                     offsets = np.append(starts[at:to], starts[to - 1] + sizes[to - 1])
                     span = raw[offsets[0] : offsets[-1]]
-                    listed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer((4 * (offsets - offsets[0])).astype("i8").tobytes()), pa.py_buffer(span.tobytes())])
-                    n = to - at
-                    yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * n, pa.int32()), pa.array([block.as_py()] * n, pa.int32()), doc_ids[at:to], pa.array(starts[at:to]), pa.array(sizes[at:to]), listed.cast(pa.binary())], ["part", "block", "doc_id", "_at", "n_tokens", "ids"])
+                    n, raw_span, cuts = to - at, memoryview(span.tobytes()), (4 * (offsets - offsets[0])).tolist()
+                    sums = [zlib.crc32(raw_span[x:y]) for x, y in zip(cuts, cuts[1:])]
+                    columns = [pa.array([part.as_py()] * n, pa.int32()), pa.array([block.as_py()] * n, pa.int32()), doc_ids[at:to], pa.array(starts[at:to]), pa.array(sizes[at:to]), pa.array(sums, pa.int64())]
+                    if ids:
+                        columns.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.array(cuts, "i8").tobytes()), pa.py_buffer(raw_span)]).cast(pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
                     at = to
 
-    rows = blocks.select("part", "block", "docs", "payload").mapInArrow(decoded, "part int, block int, doc_id long, _at long, n_tokens long, ids binary")
+    schema = "part int, block int, doc_id long, _at long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
+    rows = blocks.select("part", "block", "docs", "payload").mapInArrow(decoded, schema)
     on = (F.col("part") == F.col("_part")) & (F.col("block") == F.col("_block"))
-    return rows.withColumn("ids_crc32", F.crc32("ids").cast("long")).join(bases, on).select("doc_id", (F.col("_base") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return rows.join(bases, on).select("doc_id", (F.col("_base") + F.col("_at")).alias("start"), *names[4:])
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), out)
-    return read_tokens(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_tokens(spark, out, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

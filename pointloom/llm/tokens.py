@@ -2,8 +2,8 @@
 
 The word-level vocabulary drops white space, lower-cases and cuts texts into runs of letters, single
 digits and runs of other signs; each piece is then merged on its own. Words of ASCII and Latin-1 letters, digits
-and signs are cut here with NumPy and new pieces are merged many at once; any other word, and those with an
-apostrophe or "<", go through the library as they are.
+and signs are cut and lower-cased here with NumPy, and the library merges each new piece; any other word, and those
+with an apostrophe or "<", go through the whole library. Pieces are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ import pyarrow as pa
 from pointloom.llm import words as W
 
 END_ID = 2
-#: Pieces remembered at once by a worker; a full memory starts anew.
-REMEMBER = 250_000
-NO_RANK = np.int32(1 << 30)
+#: Pieces remembered at once by a worker; the half that was used last stays.
+REMEMBER = 600_000
+#: Bytes of text encoded at once.
+ENCODE_BYTES = 1 << 20
 
 LETTER, DIGIT, SIGN, OTHER = range(4)
 
@@ -43,147 +44,76 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _byte_letters() -> list[str]:
-    """Byte-level BPE's letter of each byte: itself where it prints, else the next of U+0100 and up."""
-    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    letters, more = [], 256
-    for b in range(256):
-        letters.append(chr(b) if b in printing else chr(more))
-        more += b not in printing
-    return letters
+def _model_only(path: str):
+    """The library's tokenizer of this file for pieces that are cut and lower-cased, with a space between them."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
+    model = Tokenizer.from_file(path).model
+    model._resize_cache(0)  # pieces come once
+    bare = Tokenizer(model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return bare
 
-class Merges:
-    """The vocabulary's merges for many pieces at once."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
-        letters = _byte_letters()
-        self.inner = np.array([vocab[x] for x in letters], np.int32)
-        self.last = np.array([vocab[x + end] for x in letters], np.int32)
-        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
-        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        # Rank by pair: a first table, and a second for keys whose place there is taken.
-        ranks, self.tables = np.arange(len(keys), dtype=np.int32), []
-        for bits in (21, 17):
-            for multiplier in W.CODES | np.uint64(1):
-                place = self._place(keys, multiplier, bits)
-                _, first = np.unique(place, return_index=True)
-                if bits == 21 or len(first) == len(keys):
-                    break
-            else:
-                raise ValueError("no free places for the merges")
-            key, rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_RANK, np.int32)
-            key[place[first]], rank[place[first]] = keys[first], ranks[first]
-            self.tables.append((multiplier, bits, key, rank))
-            left = np.setdiff1d(np.arange(len(keys)), first)
-            keys, ranks = keys[left], ranks[left]
-
-    @staticmethod
-    def _place(keys: np.ndarray, multiplier: np.uint64, bits: int) -> np.ndarray:
-        return ((keys.view(np.uint64) * multiplier) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a.astype(np.int64) << 16 | b
-        out = np.full(keys.shape, NO_RANK, np.int32)
-        for multiplier, bits, key, rank in self.tables:
-            place = self._place(keys, multiplier, bits)
-            out = np.where(key[place] == keys, rank[place], out)
-        return out
-
-    def slab(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the pieces in rows, their numbers) for pieces of some bytes."""
-        n, width = len(starts), int(lengths.max())
-        cols = np.arange(width)
-        raw = data[np.minimum(starts[:, None] + cols, len(data) - 1)]
-        ids = self.inner[raw]
-        rows = np.arange(n)
-        ids[rows, lengths - 1] = self.last[raw[rows, lengths - 1]]
-        count = lengths.copy()
-        ranks = np.full((n, width), NO_RANK, np.int32)
-        if width > 1:
-            ranks[:, :-1] = np.where(cols[1:] < lengths[:, None], self.rank(ids[:, :-1], ids[:, 1:]), NO_RANK)
-        live, out = rows, ids.copy()
-        while len(live):
-            at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(live)), at]
-            go = best < NO_RANK
-            if not go.all():
-                out[live[~go]] = ids[~go]
-                ids, ranks, at, best, live = ids[go], ranks[go], at[go], best[go], live[go]
-                if not len(live):
-                    break
-            here = np.arange(len(live))
-            count[live] -= 1
-            take = np.minimum(cols + (cols > at[:, None]), width - 1)
-            ids, ranks = np.take_along_axis(ids, take, 1), np.take_along_axis(ranks, take, 1)
-            ids[here, at] = self.merged[best]
-            ranks[:, -1] = NO_RANK
-            size = count[live]
-            right = at + 1 < size
-            ranks[here, at] = np.where(right, self.rank(ids[here, at], ids[here, np.minimum(at + 1, width - 1)]), NO_RANK)
-            left = np.flatnonzero(at > 0)
-            ranks[left, at[left] - 1] = self.rank(ids[left, at[left] - 1], ids[left, at[left]])
-        return out, count
-
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids end to end, the number of each piece's) in the order given."""
-        lengths = ends - starts
-        order = np.argsort(lengths, kind="stable")
-        counts = np.zeros(len(starts), np.int64)
-        parts, at = [], 0
-        while at < len(order):
-            to = at + max(1, min(4096, 100_000 // int(lengths[order[min(at + 4095, len(order) - 1)]])))
-            pick = order[at:to]
-            ids, n = self.slab(data, starts[pick], lengths[pick])
-            counts[pick] = n
-            parts.append(ids[np.arange(ids.shape[1]) < n[:, None]])
-            at = to
-        flat = np.concatenate(parts)
-        begun = np.empty(len(order), np.int64)
-        begun[order] = np.cumsum(counts[order]) - counts[order]
-        return flat[W.flat_ranges(begun, counts)].astype(np.uint16), counts
+def _bytes(column: pa.LargeBinaryArray) -> list[bytes]:
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
 class Encoder:
-    """Ids of texts by one vocabulary file."""
+    """Ids of texts by one vocabulary file. Every piece's ids come from the library; those of REMEMBER pieces are kept."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.merges = Merges(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.empty(1 << 20, np.uint16)
-        self.offsets = np.zeros(1 << 18, np.int64)
-        self.lengths = np.zeros(1 << 18, np.int64)
-        self.used = 0
-
-    def _room(self, ids: int, pieces: int) -> None:
-        while self.used + ids > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while len(self.known) + pieces > len(self.offsets):
-            self.offsets, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offsets, self.lengths))
-
-    def _learn(self, hashes: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
-        self._room(len(ids), len(hashes))
-        at = len(self.known)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.offsets[at : at + len(counts)] = self.used + np.cumsum(counts) - counts
-        self.lengths[at : at + len(counts)] = counts
-        self.used += len(ids)
-        self.known.update(zip(hashes, range(at, at + len(hashes)), strict=True))
+        self.library, self.model = Tokenizer.from_file(path), _model_only(path)
+        suffix = json.loads(self.model.to_str())["model"]["end_of_word_suffix"]
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+        self.known: dict[bytes, bytes] = {}  # a piece's bytes to its ids'; whole words that the library cuts begin with a space
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain = [x for x in new if x[:1] != b" "]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint16)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 2
+            raw, start = ids.tobytes(), 0
+            if len(ends) != len(part):
+                raise ValueError("a piece without ids")
+            for x, end in zip(part, ends.tolist()):
+                self.known[x] = raw[start:end]
+                start = end
+        odd = [x for x in new if x[:1] == b" "]
+        if odd:
+            for x, e in zip(odd, self.library.encode_batch([x[1:].decode("utf-8", "replace") for x in odd], add_special_tokens=False)):
+                self.known[x] = np.array(e.ids, np.uint16).tobytes()
+
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces end to end, the number of each one's)."""
+        if len(self.known) > REMEMBER // 2:  # the last half is older, and what is still used moves to the new one
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        found = list(map(known.get, pieces))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            fresh = [pieces[i] for i in missing]
+            again = list(map(older.get, fresh))
+            self._learn([x for x, ids in zip(fresh, again) if ids is None])
+            for i, x, ids in zip(missing, fresh, again):
+                if ids is None:
+                    ids = known[x]
+                else:
+                    known[x] = ids
+                found[i] = ids
+        return np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) >> 1
 
     def chunk(self, t: W.Texts, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, each with end_id behind it, and the texts' bounds among them)."""
-        if len(self.known) > REMEMBER:
-            self.forget()
         data, kind = t.data, CLASS[t.data]
         lower = W.LOWER[data]
         two = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
@@ -191,51 +121,42 @@ class Encoder:
         kind[two[(second == 0x97) | (second == 0xB7)]] = OTHER
         lower[two[(second >= 0x80) & (second <= 0x9E)]] += 0x20
         # A word with any other byte is one piece; else pieces end where the class changes, and around each digit.
-        strange = np.concatenate([[0], np.cumsum(kind == OTHER)])
-        odd_word = strange[t.ends] > strange[t.starts]
+        edge, begins, odd_word = np.zeros(len(data) + 1, np.int8), np.zeros(len(data) + 1, bool), np.zeros(len(t.starts), bool)
+        edge[t.starts] += 1
+        edge[t.ends] -= 1
+        inside = np.cumsum(edge, dtype=np.int8).view(bool)
+        odd_word[np.searchsorted(t.starts, np.flatnonzero((kind == OTHER) & inside[:-1]), "right") - 1] = True
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[t.starts] += 1
-        inside[t.ends] -= 1
-        inside = np.cumsum(inside, dtype=np.int8)
-        odd_starts, odd_ends = t.starts[odd_word], t.ends[odd_word]
-        cut[W.flat_ranges(odd_starts, odd_ends - odd_starts)] = False
-        cut &= inside.view(bool)
-        cut[t.starts] = True
+        strange_at = W.flat_ranges(t.starts[odd_word], (t.ends - t.starts)[odd_word])
+        cut[strange_at] = False
+        cut &= inside
+        cut[t.starts] = begins[t.starts] = True
         starts = np.flatnonzero(cut)
-        word = np.searchsorted(t.starts, starts, "right") - 1
+        word = np.cumsum(begins[starts]) - 1
         ends = np.minimum(np.append(starts[1:], len(data)), t.ends[word]) if len(starts) else starts
         odd = odd_word[word]
-        hashes = W.span_hashes(lower, starts, ends)
-        if odd.any():
-            hashes[odd] = W.mix(W.span_hashes(data, starts[odd], ends[odd]) + np.uint64(1))
-        each, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        listed = each.tolist()
-        new = np.array([h not in self.known for h in listed], bool)
-        plain = new & ~odd[first]
-        if plain.any():
-            at = first[plain]
-            self._learn(each[plain].tolist(), *self.merges(lower, starts[at], ends[at]))
-        rest = np.flatnonzero(new & odd[first])
-        if len(rest):
+        inside[strange_at] = False
+        offsets = np.concatenate([[0], np.cumsum((ends - starts)[~odd])])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(lower[inside[:-1]])]).dictionary_encode()
+        listed = _bytes(pieces.dictionary)
+        place = np.empty(len(starts), np.int64)
+        place[~odd] = pieces.indices.to_numpy()
+        if odd.any():  # whole words, told from pieces by a space
             raw = data.tobytes()
-            found = [x.ids for x in self.library.encode_batch([raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[rest]], add_special_tokens=False)]
-            self._learn(each[rest].tolist(), np.array([x for ids in found for x in ids], np.uint16), np.array([len(x) for x in found], np.int64))
-        place = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[inverse]
-        n = self.lengths[place]
-        sums = np.concatenate([[0], np.cumsum(n)])
-        ends_at = sums[np.searchsorted(starts, t.bounds)]  # ids before each text
-        ids = self.flat[W.flat_ranges(self.offsets[place], n)]
-        if end_id is None:
-            return ids, ends_at
-        bounds = ends_at + np.arange(len(t.bounds))
-        out = np.empty(bounds[-1], np.uint16)
-        last = np.zeros(len(out), bool)
-        last[bounds[1:] - 1] = True
-        out[last] = end_id
-        out[~last] = ids
-        return out, bounds
+            strange_words = [b" " + raw[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+            each = {x: i for i, x in enumerate(dict.fromkeys(strange_words), len(listed))}
+            listed += each
+            place[odd] = [each[x] for x in strange_words]
+        found, sizes = self._ids(listed)
+        before = np.searchsorted(starts, t.bounds)  # pieces before each text
+        if end_id is not None:  # a piece of its own behind each text
+            place = np.insert(place, before[1:], len(sizes))
+            found, sizes = np.append(found, np.uint16(end_id)), np.append(sizes, 1)
+            before = before + np.arange(len(before))
+        n = sizes[place]
+        bounds = np.concatenate([[0], np.cumsum(n)])[before]
+        return found[W.flat_ranges((np.cumsum(sizes) - sizes)[place], n)], bounds
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -251,5 +172,5 @@ def encoder(path: str) -> Encoder:
 def encode(column: pa.Array, path: str):
     """(first row, row after the last, ids, bounds) for whole texts, some at once."""
     e = encoder(path)
-    for a, b, t in W.chunks(column):
+    for a, b, t in W.chunks(column, size=ENCODE_BYTES):
         yield a, b, *e.chunk(t)
