@@ -5,16 +5,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import tokens
+from pointloom.llm.names import hide
 from pointloom.llm.storage import materialise, number_gapless
 
 MAX_TOKENS = 4096
 #: Lots that the pieces of one length are numbered in; one lot meets in a task.
 LOTS = 512
+#: Columns that cutting adds; the last one only if asked for.
+ADDED = ("start", "length", "doc_tokens", "ids_crc32", "ids")
 
 
 def binary_lengths(total: int, most: int = MAX_TOKENS) -> list[int]:
@@ -31,11 +33,17 @@ def cut_documents(docs: DataFrame, path: str | None = None, most: int = MAX_TOKE
     of docs that are named like the added ones are replaced.
     """
     path = path or tokens.vocabulary_path()
-    added = ["start", "length", "doc_tokens", "ids_crc32"] + ["ids"] * ids
-    own = [c for c in docs.columns if c != "text" and c not in added]
+    hidden, show = hide(docs, ("text",), ADDED)
+    return show(_cut(hidden, path, most, ids), *ADDED[: 4 + ids], less=["text"])
+
+
+def _cut(docs: DataFrame, path: str, most: int, ids: bool) -> DataFrame:
+    """cut_documents for columns whose names are none of the added ones."""
+    own = [c for c in docs.columns if c != "text"]
     docs = docs.select(*own, "text")
     schema = docs.select(own).schema.add("start", "long").add("length", "long").add("doc_tokens", "long").add("ids_crc32", "long")
     schema = schema.add("ids", "binary") if ids else schema
+    added = ADDED[: 4 + ids]
 
     def cut(batches):
         from zlib import crc32
@@ -59,7 +67,7 @@ def cut_documents(docs: DataFrame, path: str | None = None, most: int = MAX_TOKE
                 index = np.array(rows)
                 new = [pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sizes[index - a]), pa.array(sums, pa.int64())]
                 taken = rest.take(pa.array(index))
-                yield pa.RecordBatch.from_arrays([*taken.columns, *new] + [pa.array(pieces, pa.binary())] * ids, own + added)
+                yield pa.RecordBatch.from_arrays([*taken.columns, *new] + [pa.array(pieces, pa.binary())] * ids, [*own, *added])
 
     return docs.mapInArrow(cut, schema)
 
@@ -80,23 +88,28 @@ def pack_documents(docs: DataFrame, path: str | None = None, most: int = MAX_TOK
     Pieces of one length are ordered by a hash of (doc_id, start) and then doc_id, start and ids_crc32, so repeated rows
     get neighbouring numbers.
     """
-    pieces = materialise(cut_documents(docs, path, most, ids), "pieces")
-    keys = [F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
-    return number_sequences(pieces, keys, F.pmod(F.xxhash64("doc_id", "start"), F.lit(LOTS)))
+    return _packed(docs, path, most, ids, None)
+
+
+def _packed(docs: DataFrame, path: str | None, most: int, ids: bool, order: tuple[Column, Column] | None) -> DataFrame:
+    path = path or tokens.vocabulary_path()
+    more = [x.alias(n) for x, n in zip(order or (), ("_pl_file", "_pl_at"))]
+    hidden, show = hide(docs, ("doc_id", "text"), (*ADDED, "sequence_id", "offset"), *more)
+    pieces = materialise(_cut(hidden, path, most, ids), "pieces")
+    if order:
+        numbered = number_sequences(pieces, [F.col("_pl_at"), F.col("start")], F.coalesce("_pl_file", F.lit(0)))
+    else:
+        numbered = number_sequences(pieces, [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], F.pmod(F.xxhash64("doc_id", "start"), F.lit(LOTS)))
+    return show(numbered, *ADDED[: 4 + ids], "sequence_id", "offset", less=["text"])
 
 
 def pack_in_order(docs: DataFrame, path: str | None = None, most: int = MAX_TOKENS, ids: bool = True) -> DataFrame:
     """Like pack_documents, but pieces of one length are numbered in the order of docs' files and the rows in them.
 
-    The order is that of the numbers in the names that Spark gives to files (part-00000...). docs that aren't read
-    from files are numbered as by pack_documents.
+    The order is that of the numbers in the names that Spark gives to files (part-00000...); a file with another name
+    counts as the first. docs must be read from files: others have no such order, and Spark refuses them.
     """
-    try:
-        placed = docs.select(*docs.columns, F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    except AnalysisException:  # no files, no _metadata
-        return pack_documents(docs, path, most, ids)
-    pieces = materialise(cut_documents(placed, path, most, ids), "pieces")
-    return number_sequences(pieces, [F.col("_at"), F.col("start")], F.coalesce("_file", F.lit(0))).drop("_file", "_at")
+    return _packed(docs, path, most, ids, (F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), F.col("_metadata.row_index")))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
