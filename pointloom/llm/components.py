@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.storage import materialise
+from pointloom.llm.storage import discard, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -32,5 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return now
-        before = mark
+        before, last = mark, now
         now = materialise(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        discard(last)

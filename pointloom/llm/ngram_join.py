@@ -27,7 +27,7 @@ from pointloom.llm import words as W
 from pointloom.llm.components import components
 from pointloom.llm.exact_dedup import _filter_size, _two_places, repeated_places
 from pointloom.llm.names import hide
-from pointloom.llm.storage import materialise
+from pointloom.llm.storage import discard, materialise
 
 #: N-grams of one fragment at most, about; and the least number of fragments.
 FRAGMENT_GRAMS = 1_000_000
@@ -199,13 +199,15 @@ def prune(classes: DataFrame, percent: int) -> tuple[DataFrame, int]:
     alive = classes.withColumns({"lo": F.expr(f"(n * {percent} + 99) div 100"), "hi": F.expr(f"n * 100 div {percent}")})
     total = classes.agg(F.sum("n")).first()[0] or 0
     fragments = max(FRAGMENTS, total // FRAGMENT_GRAMS)
-    rows = None
+    rows, held = None, classes
     for _ in range(ROUNDS):
         parts = _fragments(alive, fragments).groupBy("fragment").applyInPandas(count, "_c long, part long")
         sums = parts.groupBy("_c").agg(F.sum("part").alias("useful"))
         joined = alive.drop("useful").join(sums.hint("merge"), F.col("class") == F.col("_c")).drop("_c")
         bounded = joined.withColumn("hi", F.least("hi", F.expr(f"useful * {100 + percent} div {percent} - n")))
         alive = materialise(bounded.filter("hi >= lo AND useful >= lo"), "alive")
+        discard(held)
+        held = alive
         left = alive.count()
         if left in (rows, 0):
             break
@@ -279,6 +281,7 @@ def verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame | No
     sizes = pairs.groupBy(F.col("near").alias("_near")).agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("_split"))
     split = pairs.join(sizes, F.col("near") == F.col("_near")).select("u", "v", "nu", "nv", F.xxhash64("near", F.pmod(F.xxhash64("u"), F.col("_split"))).alias("near"))
     split = materialise(split, "split")
+    discard(pairs)
     found = split.agg(F.count(F.lit(1)), F.sum(F.col("nu") + F.col("nv"))).first()
     if not found[0]:
         return None
@@ -312,7 +315,9 @@ def verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame | No
 
     partial = links.groupBy("cell", "fragment").cogroup(fragments.groupBy("at", "part")).applyInPandas(count, "u long, v long, nu long, nv long, common long")
     sums = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("common").alias("common"))
-    return sums.filter(f"100 * common >= {percent} * (nu + nv - common)").select("u", "v")
+    out = materialise(sums.filter(f"100 * common >= {percent} * (nu + nv - common)").select("u", "v"), "links")
+    discard(split)
+    return out
 
 
 def _labelled(prefix: DataFrame, groups: DataFrame) -> DataFrame:
@@ -333,6 +338,15 @@ def _listed(prefix: DataFrame, groups: DataFrame, first: int | None = None) -> D
     return _labelled(prefix, groups).select("class", "n", "lo", "hi", "rare", "useful", "label", F.slice("prefix", 1, HEAD).alias("head"), F.posexplode(taken).alias("pos", "gram"))
 
 
+def _joined(groups: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The groups that further links make of groups; both are then discarded."""
+    if links is None:
+        return groups
+    out = components(groups.unionByName(links))
+    discard(groups, links)
+    return out
+
+
 def link_classes(alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     """(u, v): each class u that isn't the least of its component, and the least, v."""
     spark = alive.sparkSession
@@ -350,16 +364,16 @@ def link_classes(alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame
             rows = rows.groupBy("gram", "label").agg(best.alias("x")).select("gram", "label", "x.*")
         pairs = rows.alias("x").join(leads, F.col("gram") == F.col("_g")).filter(F.col("x.class") != F.col("y.class")).filter(_fit("x", "y", percent))
         pairs = pairs.select(u, v, nu, nv, F.col("y.class").alias("near")).groupBy("u", "v", "nu", "nv").agg(F.min("near").alias("near"))
-        links = verified(materialise(pairs, "pairs"), alive, percent)
-        groups = components(groups.unionByName(links)) if links else groups
+        groups = _joined(groups, verified(materialise(pairs, "pairs"), alive, percent))
     rows = materialise(_across(_listed(prefix, groups)), "across")
     x, y = rows.alias("x"), rows.alias("y")
     # A pair with a common n-gram among both heads is made at the first of these only, another at each common one.
     on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")) & _fit("x", "y", percent)
     on = on & (F.coalesce(F.get(F.array_intersect("x.head", "y.head"), 0), F.col("x.gram")) == F.col("x.gram"))
     pairs = x.join(y, on).select(u, v, nu, nv, F.col("x.gram").alias("near")).groupBy("u", "v", "nu", "nv").agg(F.min("near").alias("near"))
-    links = verified(materialise(pairs, "pairs"), alive, percent)
-    return components(groups.unionByName(links)) if links else groups
+    pairs = materialise(pairs, "pairs")
+    discard(rows)
+    return _joined(groups, verified(pairs, alive, percent))
 
 
 def _labels(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -369,7 +383,10 @@ def _labels(docs: DataFrame, words: int, percent: int) -> DataFrame:
     if alive.isEmpty():
         groups = docs.sparkSession.createDataFrame([], "u long, v long")
     else:
-        groups = link_classes(alive, prefixes(alive, fragments), percent)
+        prefix = prefixes(alive, fragments)
+        groups = link_classes(alive, prefix, percent)
+        discard(prefix)
+    discard(alive)
     groups = groups.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     return measured.join(groups, F.col("class") == F.col("_u"), "left").withColumn("label", F.coalesce("_v", "class")).drop("_u", "_v", "class")
 

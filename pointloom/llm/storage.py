@@ -30,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, deleted when the driver's JVM ends (a remote session leaves it to its cluster)."""
     path = f"{shared_dir(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     if is_remote():
         return path
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,7 +47,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     gc.collect()
     if not is_remote():
         spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are no longer referenced
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._pl_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what materialise wrote for these tables; nothing may read them any more. Others are left alone."""
+    for df in tables:
+        path = getattr(df, "_pl_path", None)
+        if path:
+            drop_paths(df.sparkSession, [path])
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        if path in _MADE:
+            _MADE.remove(path)
+        if not is_remote():
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Paths that are in use, in the order in which they were made.
+_MADE: list[str] = []
+
+
+def in_use() -> list[str]:
+    return list(_MADE)
 
 
 def number_gapless(df: DataFrame, out: str, groups: list[str], lot: Column, order: list[Column]) -> DataFrame:

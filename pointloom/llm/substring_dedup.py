@@ -18,7 +18,7 @@ from pointloom.llm import words as W
 from pointloom.llm.exact_dedup import _filter_size, _two_places, repeated_places
 from pointloom.llm.fm_index import repeated_windows
 from pointloom.llm.names import hide
-from pointloom.llm.storage import materialise
+from pointloom.llm.storage import discard, materialise
 
 WINDOW = 35
 GRAM = 8
@@ -116,6 +116,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     shard = F.pmod(F.xxhash64("m"), F.lit(shards))
     verdicts = materialise(held.groupBy(shard.alias("shard")).applyInPandas(search, "_m long, _c long, mask long"), "verdicts")
+    discard(held)
     hits = refs.join(verdicts, (F.col("m") == F.col("_m")) & (F.col("c") == F.col("_c")))
     return hits.groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("spans"))
 
