@@ -6,33 +6,58 @@ again. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pointloom.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
-from pointloom.llm.storage import fresh_path
+from pointloom.llm.storage import drop_paths, fresh_path, in_use
+
+
+def _cleaned(stage):
+    """The stage, which first deletes what the stage before wrote on its way, unless docs still read it."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        drop_paths(spark, [p for p in _LEFT if not any(f"{p.rpartition('/')[2]}/" in f for f in read)])
+        before = set(in_use())
+        out = stage(spark, docs, sf_dir)
+        _LEFT[:] = [p for p in in_use() if p not in before]
+        return out
+
+    return run_stage
+
+
+#: Paths that the last stage wrote on its way.
+_LEFT: list[str] = []
 
 
+@_cleaned
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the adaptive quality rules keep."""
     return quality_rules.keep_good(docs)
 
 
+@_cleaned
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
     return exact_dedup.drop_duplicates(docs)
 
 
+@_cleaned
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five words, 0.8) the row with the least doc_id; texts without words stay."""
     return ngram_join.drop_near_duplicates(docs)
 
 
+@_cleaned
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: the n-th file holds the n-th part of it."""
     return mixing.interleave(docs)
 
 
+@_cleaned
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per sequence, those of one length in the order of the documents' files."""
     return packing.pack_in_order(docs)
@@ -51,11 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return out
         path = fresh_path(spark, name)
         out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        drop_paths(spark, last)
+        docs, last = spark.read.parquet(path), [path]
