@@ -239,3 +239,11 @@ def decompose_projection_udf():
 
 def gray(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
+
+
+def rescaled(fx: Column, fy: Column, cx: Column, cy: Column, width: Column, height: Column, by_x: Column, by_y: Column, left: Column, top: Column) -> Column:
+    """(fx, fy, cx, cy, width, height) of an image that is resized by a factor on each axis and then cut at left and top."""
+    return F.struct(
+        (fx * by_x).alias("fx"), (fy * by_y).alias("fy"), (cx * by_x - left).alias("cx"), (cy * by_y - top).alias("cy"),
+        F.round(width * by_x).cast("int").alias("width"), F.round(height * by_y).cast("int").alias("height"),
+    )

@@ -44,10 +44,14 @@ def rotation_to_quaternion(r: Column) -> Column:
 
 def world_to_view(rotation: Column, translation: Column, shift: Column | None = None, factor: float = 1.0) -> Column:
     """4x4 of a camera whose centre is moved by `shift` and then scaled by `factor`."""
-    centre = V.scale(V.matvec(V.transpose(rotation), translation), -1.0)
-    moved = V.scale(V.add(centre, shift) if shift is not None else centre, factor)
-    t = V.scale(V.matvec(rotation, moved), -1.0)
-    return rigid(rotation, t)
+    def of(r: Column) -> Column:
+        def placed(centre: Column) -> Column:
+            moved = V.scale(V.add(centre, shift) if shift is not None else centre, factor)
+            return V.let(moved, lambda m: V.let(V.matvec(r, m), lambda t: rigid(r, V.scale(t, -1.0))))
+
+        return V.let(camera_centre(r, translation), placed)
+
+    return V.let(rotation, of)
 
 
 def rigid(rotation: Column, t: Column) -> Column:
@@ -56,15 +60,18 @@ def rigid(rotation: Column, t: Column) -> Column:
 
 
 def camera_centre(rotation: Column, translation: Column) -> Column:
-    return V.scale(V.matvec(V.transpose(rotation), translation), -1.0)
+    return V.let(rotation, lambda r: V.let(translation, lambda t: V.let(V.matvec(V.transpose(r), t), lambda c: V.scale(c, -1.0))))
 
 
 def inverse_rigid(pose: Column) -> Column:
     """Inverse of a rigid 4x4 (or 3x4) in closed form."""
-    r = F.array(*[pose.getItem(4 * i + j) for i in range(3) for j in range(3)])
-    t = F.array(*[pose.getItem(4 * i + 3) for i in range(3)])
-    back = V.transpose(r)
-    return rigid(back, V.scale(V.matvec(back, t), -1.0))
+
+    def of(p: Column) -> Column:
+        back = F.array(*[p.getItem(4 * j + i) for i in range(3) for j in range(3)])
+        t = F.array(*[p.getItem(4 * i + 3) for i in range(3)])
+        return V.let(back, lambda r: V.let(V.matvec(r, t), lambda x: rigid(r, V.scale(x, -1.0))))
+
+    return V.let(pose, of)
 
 
 def pad_pose(pose: Column) -> Column:
@@ -74,7 +81,7 @@ def pad_pose(pose: Column) -> Column:
 
 def apply_rigid(pose: Column, p: Column) -> Column:
     """A 4x4 transform of a 3-vector."""
-    return F.array(*[V.total([pose.getItem(4 * i + j) * p.getItem(j) for j in range(3)]) + pose.getItem(4 * i + 3) for i in range(3)])
+    return V.let(pose, lambda m: V.let(p, lambda x: F.array(*[V.total([m.getItem(4 * i + j) * x.getItem(j) for j in range(3)]) + m.getItem(4 * i + 3) for i in range(3)])))
 
 
 def apply_similarity(factor: Column, rotation: Column, t: Column, p: Column) -> Column:

@@ -192,3 +192,8 @@ def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     under = g.withColumn("_neg", F.col("_n") - F.col("_p")).withColumn("_below", F.coalesce(F.sum("_neg").over(run), F.lit(0)))
     sums = under.agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_neg") / 2)).alias("_u"), F.sum("_p").alias("_p"), F.sum("_neg").alias("_q"))
     return sums.select((F.col("_u") / F.nullif(F.col("_p") * F.col("_q"), F.lit(0))).alias("auroc"))
+
+
+def group_ranges(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, lo, hi, n) of each rig, camera or other group."""
+    return df.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))

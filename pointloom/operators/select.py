@@ -209,3 +209,22 @@ def missing_files(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
 def present_files(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return wanted.join(present.select(key), key, "left_semi")
+
+
+def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Add `out`: the sum of `value` over all rows up to and with this one in the order of key (rows of one key together).
+
+    Rows are summed within range partitions and the partitions' sums added up, so no task sees the whole table. Null keys come first.
+    """
+    parts = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
+    inside = parts.withColumn("_run", F.sum(value).over(Window.partitionBy("_part").orderBy(key)))
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_s"))
+    base = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    joined = inside.join(F.broadcast(base), F.col("_part") == F.col("_p"))  # a row per partition
+    return joined.withColumn(out, F.col("_b") + F.col("_run")).drop("_part", "_p", "_b", "_run")
+
+
+def common_names(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    """Rows of two models with the same name, the columns of both but b's name."""
+    other = b.withColumnRenamed(name, "_name")
+    return a.join(other, F.col(name) == F.col("_name")).drop("_name")

@@ -6,32 +6,14 @@ Computed doubles are rounded, as sums are added up in another order by every eng
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions import camera, harmonics, keys
 from pointloom.functions import vectors as V
 from pointloom.operators import graph, lifecycle, losses, metrics, neighbors, raster, select, state
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from pointloom.plans import geometry  # noqa: F401  registers its queries
+from pointloom.plans.tables import QUERIES, SQL, Query, query, table
 
 
 def _cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
