@@ -38,8 +38,8 @@ PARTS = 8
 CELL_PAIRS, CELL_GRAMS = 50_000, 2_000_000
 #: N-grams of a prefix that go along with each of its rows.
 HEAD = 8
-#: N-grams that are looked up at once in a task.
-COUNT_AT_ONCE = 1 << 20
+#: N-grams that a task cuts or looks up at once, about.
+AT_ONCE = 1 << 18
 ROUNDS = 2
 
 
@@ -110,7 +110,7 @@ def possible_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield grams[grams < QUARTER]
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = _filter_size(size // 24)  # a word has about six bytes
+    bits = _filter_size(size // 64)  # a quarter of the words, of about six bytes each: five bits for each
     maps = spark.sparkContext.broadcast(repeated_places(docs.select("text"), bits, first_quarter))
 
     def pick(batches):
@@ -144,21 +144,26 @@ def _fragments(alive: DataFrame, count: int) -> DataFrame:
     """The n-grams by fragment: (fragment, grams, owner, class, n, lo, hi), arrays as bytes, some rows of `alive` each."""
 
     def cut(batches):
-        for batch in batches:
-            raw = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("grams")]
-            if not raw:
-                continue
-            grams, owner = np.concatenate(raw), np.repeat(np.arange(len(raw), dtype=np.uint32), [len(x) for x in raw])
-            fragment = (grams >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
-            order = np.argsort(fragment, kind="stable")
-            cuts = np.searchsorted(fragment[order], np.arange(count + 1))
-            table = {c: batch.column(c).to_numpy() for c in ("class", "n", "lo", "hi")}
-            for f in range(count):
-                at = order[cuts[f] : cuts[f + 1]]
-                if len(at):
-                    used, local = np.unique(owner[at], return_inverse=True)
-                    columns = {"fragment": pa.array([f], pa.int32()), "grams": [grams[at].tobytes()], "owner": [local.astype(np.uint32).tobytes()]}
-                    yield pa.RecordBatch.from_pydict(columns | {c: [x[used].tobytes()] for c, x in table.items()})
+        for whole in batches:
+            sizes = np.cumsum(whole.column("n").to_numpy())
+            bounds = [0, *(np.flatnonzero(np.diff(sizes // AT_ONCE)) + 1).tolist(), len(whole)]
+            for a, b in zip(bounds, bounds[1:]):
+                yield from cut_rows(whole.slice(a, b - a))
+
+    def cut_rows(batch):
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("grams")]
+        if not raw:
+            return
+        grams, owner = np.concatenate(raw), np.repeat(np.arange(len(raw), dtype=np.uint32), [len(x) for x in raw])
+        fragment = (grams >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
+        order = np.argsort(fragment, kind="stable")
+        cuts = np.searchsorted(fragment[order], np.arange(count + 1))
+        table = {c: batch.column(c).to_numpy() for c in ("class", "n", "lo", "hi")}
+        for f in np.flatnonzero(np.diff(cuts)).tolist():
+            at = order[cuts[f] : cuts[f + 1]]
+            used, local = np.unique(owner[at], return_inverse=True)
+            columns = {"fragment": pa.array([f], pa.int32()), "grams": [grams[at].tobytes()], "owner": [local.astype(np.uint32).tobytes()]}
+            yield pa.RecordBatch.from_pydict(columns | {c: [x[used].tobytes()] for c, x in table.items()})
 
     return alive.mapInArrow(cut, "fragment int, grams binary, owner binary, class binary, n binary, lo binary, hi binary")
 
@@ -259,7 +264,7 @@ def _counted(links: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFr
     u, v = (np.array([place[x] for x in links[c].tolist()]) for c in ("u", "v"))
     small, large = np.where(size[u] <= size[v], u, v), np.where(size[u] <= size[v], v, u)
     common = np.zeros(len(links), np.int64)
-    step = max(1, COUNT_AT_ONCE // max(1, int(size.max())))
+    step = max(1, AT_ONCE // max(1, int(size.max())))
     for at in range(0, len(links), step):
         s, t = small[at : at + step], large[at : at + step]
         asked = number[W.flat_ranges(first[s], size[s])] + np.repeat(t, size[s]) * wide
