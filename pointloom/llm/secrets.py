@@ -35,25 +35,35 @@ class Rule:
 
 
 _KEYS = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
+#: Rules of a head and a run of signs share one form in the scan, as the runs of each would multiply its states.
+_TOKENS = r"(gh[opsur]_|xox[abeoprs]-|AIza|[rs]k_live_|glpat-)[A-Za-z0-9_.-]+"
 # The kinds in their order.
 RULES = (
     Rule("assign", _KEYS + r"[A-Za-z0-9+/_.=-]+", 12, head=_KEYS, either_case=True),
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]+", 16, scan=r"[0-9a-f]{16}[0-9a-f]*"),
-    Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 40),
+    Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 40, scan=_TOKENS),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
-    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]+", 24),
-    Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
-    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 24),
-    Rule("gitlab", r"glpat-[A-Za-z0-9_-]+", 26),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]+", 24, scan=_TOKENS),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 39, scan=_TOKENS),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 24, scan=_TOKENS),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]+", 26, scan=_TOKENS),
 )
 BASE = ("assign", "access", "hex")
 
 
 @lru_cache
 def scanner() -> automaton.Dfa:
-    return automaton.compile_rules([(r.scan or r.pattern, r.either_case) for r in RULES])
+    return automaton.compile_rules(list(_forms()))
+
+
+@lru_cache
+def _forms() -> dict[tuple[str, bool], list[int]]:
+    """The forms that are scanned for, in the order of the automaton's bits, and the rules of each."""
+    forms: dict[tuple[str, bool], list[int]] = {}
+    for i, r in enumerate(RULES):
+        forms.setdefault((r.scan or r.pattern, r.either_case), []).append(i)
+    return forms
 
 
 @lru_cache
@@ -101,10 +111,9 @@ def scan(data: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple[int, int,
     for (a, b), m in todo.items():
         doc = int(np.searchsorted(new, a, "right")) - 1
         stretch, base = apart[a:b].tobytes(), int(points[new[doc]]) - 1
-        for r, rule in enumerate(RULES):
-            if m >> r & 1:
-                for s, e in _matches(rule, stretch):
-                    found.setdefault(doc, []).append((int(points[a + s]) - 1 - base, int(points[a + e - 1]) - base, r))
+        for r in (r for bit, rules in enumerate(_forms().values()) if m >> bit & 1 for r in rules):
+            for s, e in _matches(RULES[r], stretch):
+                found.setdefault(doc, []).append((int(points[a + s]) - 1 - base, int(points[a + e - 1]) - base, r))
     for spans in found.values():
         spans.sort(key=lambda x: (x[0], x[2]))
     return found

@@ -170,10 +170,11 @@ def test_secrets_of_a_text_full_of_them_take_linear_time():
 
 
 def test_added_rules_find_their_kinds():
-    texts = ["x xoxb-123456789012-abcdefghijkl y", "AIza" + "a1B2_" * 8, "sk_live_" + "a1" * 12, "glpat-" + "x_" * 12, "eyJhbGciOi.eyJzdWIiOi.abc-DEF_0123456789xyz", "ghp_" + "A1" * 20, "AIza short", "eyJ.eyJ.x"]
+    texts = ["x xoxb-123456789012-abcdefghijkl y", "AIza" + "a1B2_" * 8, "sk_live_" + "a1" * 12, "glpat-" + "x_" * 12, "ghp_" + "A1" * 20, "AIza short", "glpat-x"]
     got = [x["spans"] for x in secrets.find_secrets.func(pa.array(texts)).to_pylist()]
-    assert [k in g for k, g in zip(("slack", "google", "stripe", "gitlab", "jwt", "github"), got)] == [True] * 6
-    assert "google" not in got[6] and "jwt" not in got[7]
+    assert [k in g for k, g in zip(("slack", "google", "stripe", "gitlab", "github"), got)] == [True] * 5
+    assert "google" not in got[5] and "gitlab" not in got[6]
+    assert len(secrets.scanner().accept) < 1000  # states; runs of many rules would multiply them
 
 
 def test_blend_beats_order_0():
