@@ -65,12 +65,22 @@ def rank_pick(df: DataFrame, value: str, fractions: list[float], tie: str) -> Da
     return wanted.join(ends, F.col("_end") > place).groupBy("fraction").agg(F.min(value).alias(value))
 
 
+def _in_ranges(df: DataFrame, key: str) -> DataFrame:
+    """df range-partitioned by key, with the partition's number `_part`, written out once.
+
+    Both uses of it must see the same ranges: sampled again, their bounds would differ.
+    """
+    from pointloom.operators.graph import _cut
+
+    return _cut(df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()))
+
+
 def holdout(df: DataFrame, key: str, every: int = 8, out: str = "held_out") -> DataFrame:
     """Flag each `every`-th row of the order by key, the first included.
 
     Keys are counted in hash-free ranges: rows are numbered within range partitions and the partitions' sizes added up.
     """
-    parts = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    parts = _in_ranges(df, key)
     inside = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
     sizes = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     base = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
@@ -216,7 +226,7 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
     Rows are summed within range partitions and the partitions' sums added up, so no task sees the whole table. Null keys come first.
     """
-    parts = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
+    parts = _in_ranges(df, key)
     inside = parts.withColumn("_run", F.sum(value).over(Window.partitionBy("_part").orderBy(key)))
     sums = parts.groupBy("_part").agg(F.sum(value).alias("_s"))
     base = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))

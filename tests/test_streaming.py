@@ -36,7 +36,8 @@ def test_streamed_folds_are_the_batch_folds(spark, tmp_path):
 
 def test_windows_drop_late_rows(spark, tmp_path):
     df = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01 00:01:00', 1.0), (1, TIMESTAMP '2024-01-01 00:02:00', 2.0), (1, TIMESTAMP '2024-01-01 02:00:00', 4.0) AS t(k, ts, v)")
-    df.write.parquet(f"{tmp_path}/w")
+    for row in df.orderBy("ts").collect():  # a file each, in the order of time: files are read by age
+        spark.createDataFrame([row], df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/w")
     stream = jobs.read_events(spark, f"{tmp_path}/w", df.schema)
     got = drain(spark, jobs.windowed(stream, "ts", "k", "v"), "win", "append").collect()
     assert [(r["n"], r["total"]) for r in got] == [(2, 3.0)]
