@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.operators.checkpoints import cut as _cut
 from pointloom.operators.neighbors import nearest_within, radius_pairs
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder; one of our own only where none is set and all runs in one process."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
-            folder = tempfile.mkdtemp(prefix="pointloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+from pointloom.operators.order import numbered as _numbered
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -174,7 +159,7 @@ def icp(source: DataFrame, target: DataFrame, threshold: float, steps: int = 20,
 
 def chunk_windows(df: DataFrame, order: str, size: int = 450) -> DataFrame:
     """Add chunk, the number of consecutive `size` - 1 rows, the order's first row being repeated as each chunk's anchor."""
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
+    numbered = _numbered(df, [order], "_i")
     rest = numbered.filter("_i > 0").withColumn("chunk", F.floor((F.col("_i") - 1) / (size - 1)).cast("int")).withColumn("anchor", F.lit(False))
     chunks = F.greatest(F.lit(1), F.ceil((F.count(F.lit(1)) - 1) / (size - 1))).cast("int")
     first = numbered.filter("_i = 0").join(F.broadcast(numbered.agg(chunks.alias("_k")))).withColumn("chunk", F.explode(F.expr("sequence(0, _k - 1)"))).drop("_k").withColumn("anchor", F.lit(True))

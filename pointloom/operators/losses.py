@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import vectors as V
 from pointloom.functions.camera import gray
+from pointloom.operators.order import quantiles
 
 
 def normalized(df: DataFrame, value: str, by: list[str] | None = None, out: str = "normalized", eps: float = 1e-20) -> DataFrame:
@@ -32,8 +33,8 @@ def masked_depth_loss(pixels: DataFrame, source: str, target: str, mask: Column,
 
 def confident_depth_loss(pixels: DataFrame, depth: str, prior: str, confidence: str, fraction: float, extent: float) -> DataFrame:
     """(loss): mean over all pixels of the depth difference where the confidence is at or over its quantile, over the scene's extent."""
-    limit = pixels.agg(F.percentile(F.col(confidence), F.lit(fraction)).alias("_q"))
-    good = (F.col(confidence) >= F.col("_q")).cast("double")
+    limit = quantiles(pixels, confidence, [fraction])
+    good = (F.col(confidence) >= F.col("_q")[0]).cast("double")
     return pixels.join(F.broadcast(limit)).agg((F.avg(F.abs(F.col(depth) - F.col(prior)) * good) / extent).alias("loss"))  # one row
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import vectors as V
+from pointloom.operators.order import prefix_sum
 
 
 def voxel_downsample(points: DataFrame, size: float, values: list[str], xyz: tuple[str, ...] = ("x", "y", "z"), origin: tuple[float, ...] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -187,9 +188,9 @@ def observation_sufficiency(views: DataFrame, gid: str, direction: str, enough:
 
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Extension: (auroc) with ties at half; ranks come from counts per distinct score."""
-    g = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
-    run = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    under = g.withColumn("_neg", F.col("_n") - F.col("_p")).withColumn("_below", F.coalesce(F.sum("_neg").over(run), F.lit(0)))
+    counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
+    run = prefix_sum(counts.withColumn("_neg", F.col("_n") - F.col("_p")), score, "_neg", "_run")
+    under = run.withColumn("_below", F.col("_run") - F.col("_neg"))
     sums = under.agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_neg") / 2)).alias("_u"), F.sum("_p").alias("_p"), F.sum("_neg").alias("_q"))
     return sums.select((F.col("_u") / F.nullif(F.col("_p") * F.col("_q"), F.lit(0))).alias("auroc"))
 

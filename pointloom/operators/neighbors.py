@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.checkpoints import cut
+
 from pointloom.functions import vectors as V
 
 
@@ -111,14 +113,13 @@ def knn_grid(points: DataFrame, k: int, width: float, pid: str = "pid", xyz: tup
     left, done, n = points, None, points.count()
     while True:
         pairs = radius_pairs(left, points, width, pid, pid, xyz).filter("a_id <> b_id").withColumn("d2", F.col("dist") * F.col("dist"))
-        near = _merge_nearest(pairs, k, ["a_id"])
+        near = cut(_merge_nearest(pairs, k, ["a_id"]))
         full = near.groupBy("a_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min(k, n - 1)).select("a_id")
         part = near.join(full, "a_id", "left_semi").select("a_id", "b_id", "d2", "rank")
         done = part if done is None else done.unionByName(part)
-        left = left.join(full.select(F.col("a_id").alias(pid)), pid, "left_anti")
+        left = cut(left.join(full.select(F.col("a_id").alias(pid)), pid, "left_anti"))
         if n < 2 or left.isEmpty():
             return done
-        left = left.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left
         width *= 2
 
 

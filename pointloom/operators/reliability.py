@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.operators.select import prefix_sum
+from pointloom.operators.order import prefix_sum
 
 
 def _by_score(df: DataFrame, score: str, good: str) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import greater
+from pointloom.operators.order import group_quantiles, numbered, quantiles, value_ends
 
 
 def with_quantiles(df: DataFrame, value: str, fractions: list[float], out: str = "_q", where: Column | None = None) -> DataFrame:
     """Add exact, linearly interpolated quantiles of `value` as an array; one row of them is joined to all."""
     kept = df.filter(where) if where is not None else df
-    row = kept.agg(F.percentile(F.col(value), F.array(*[F.lit(x) for x in fractions])).alias(out))
-    return df.join(F.broadcast(row))  # one row
+    return df.join(F.broadcast(quantiles(kept, value, fractions, out)))  # one row
 
 
 def dual_end_flag(df: DataFrame, value: str, low: float = 0.10, high: float = 0.95, ceiling: float = 1.0, out: str = "flag") -> DataFrame:
@@ -43,7 +43,7 @@ def at_least_quantile(df: DataFrame, value: str, fraction: float, by: list[str]
     """Rows with value >= the quantile of all rows, or of their group."""
     if not by:
         return with_quantiles(df, value, [fraction]).filter(F.col(value) >= F.col("_q")[0]).drop("_q")
-    q = df.groupBy(*by).agg(F.percentile(F.col(value), F.lit(fraction)).alias("_q"))
+    q = group_quantiles(df, by, value, fraction)
     return df.join(q, by).filter(F.col(value) >= F.col("_q")).drop("_q")
 
 
@@ -52,40 +52,21 @@ def clip_to_quantiles(df: DataFrame, value: str, low: float, high: float, out: s
     return q.withColumn(out, F.least(F.greatest(F.col(value), F.col("_q")[0]), F.col("_q")[1])).drop("_q")
 
 
-def rank_pick(df: DataFrame, value: str, fractions: list[float], tie: str) -> DataFrame:
+def rank_pick(df: DataFrame, value: str, fractions: list[float], tie: str | None = None) -> DataFrame:
     """For each fraction p the value at 0-based place int(p n) in ascending order (the last at most): (fraction, value).
 
-    Ranks come from counts per value, so that equal values never gather and no task sorts the table.
+    Places come from counts per value, so that equal values never gather and no task sorts the table.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    ends = counts.withColumn("_end", F.sum("_n").over(Window.orderBy(value)))
-    wanted = df.sparkSession.createDataFrame([(float(p),) for p in fractions], "fraction double").join(F.broadcast(total))
-    place = F.least((F.col("fraction") * F.col("_total")).cast("long"), F.col("_total") - 1)
-    return wanted.join(ends, F.col("_end") > place).groupBy("fraction").agg(F.min(value).alias(value))
-
-
-def _in_ranges(df: DataFrame, key: str) -> DataFrame:
-    """df range-partitioned by key, with the partition's number `_part`, written out once.
-
-    Both uses of it must see the same ranges: sampled again, their bounds would differ.
-    """
-    from pointloom.operators.graph import _cut
-
-    return _cut(df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()))
+    ends = value_ends(df, value)
+    place = lambda p: F.least((F.lit(float(p)) * F.col("_total")).cast("long"), F.col("_total") - 1)
+    row = ends.agg(*[F.min(F.when(F.col("_end") > place(p), F.col(value))).alias(f"_{i}") for i, p in enumerate(fractions)])
+    pairs = F.array(*[F.struct(F.lit(float(p)).alias("fraction"), F.col(f"_{i}").alias(value)) for i, p in enumerate(fractions)])
+    return row.select(F.inline(pairs)).filter(F.col(value).isNotNull())
 
 
 def holdout(df: DataFrame, key: str, every: int = 8, out: str = "held_out") -> DataFrame:
-    """Flag each `every`-th row of the order by key, the first included.
-
-    Keys are counted in hash-free ranges: rows are numbered within range partitions and the partitions' sizes added up.
-    """
-    parts = _in_ranges(df, key)
-    inside = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
-    sizes = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    numbered = inside.join(F.broadcast(base), F.col("_part") == F.col("_p"))  # a row per partition
-    return numbered.withColumn(out, (F.col("_b") + F.col("_i")) % every == 0).drop("_part", "_i", "_p", "_b")
+    """Flag each `every`-th row of the order by key, the first included."""
+    return numbered(df, [key], "_place").withColumn(out, F.col("_place") % every == 0).drop("_place")
 
 
 def systematic(df: DataFrame, index: str, k: int) -> DataFrame:
@@ -201,15 +182,13 @@ def cycle_weight(error: Column, most: float = 1.0) -> Column:
 def quantile_codebook(df: DataFrame, value: str, levels: int = 65536) -> DataFrame:
     """(level, value): for each of `levels` evenly spaced fractions the value at the nearest place in ascending order.
 
-    Places come from counts per distinct value; their running sum is the only ordered pass.
+    Places come from counts per distinct value.
     """
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.select("_v", "_n", F.sum("_n").over(Window.orderBy("_v")).alias("_end"))
-    total = F.broadcast(counts.agg(F.sum("_n").alias("_total")))  # one row
+    ends = value_ends(df.select(F.col(value).alias("_v")), "_v")
     step = F.lit(float(levels - 1))
     first = F.ceil((F.col("_end") - F.col("_n") - 0.5) * step / F.greatest(F.col("_total") - 1, F.lit(1)))
     last = F.ceil((F.col("_end") - 0.5) * step / F.greatest(F.col("_total") - 1, F.lit(1))) - 1
-    span = ends.join(total).select("_v", F.greatest(first, F.lit(0)).alias("_a"), F.least(F.when(F.col("_total") == 1, levels - 1).otherwise(last), F.lit(levels - 1)).alias("_b"))
+    span = ends.select("_v", F.greatest(first, F.lit(0)).alias("_a"), F.least(F.when(F.col("_total") == 1, levels - 1).otherwise(last), F.lit(levels - 1)).alias("_b"))
     return span.filter("_b >= _a").select(F.explode(F.sequence(F.col("_a").cast("int"), F.col("_b").cast("int"))).alias("level"), F.col("_v").alias("value"))
 
 
@@ -221,19 +200,6 @@ def present_files(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return wanted.join(present.select(key), key, "left_semi")
 
 
-def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Add `out`: the sum of `value` over all rows up to and with this one in the order of key (rows of one key together).
-
-    Rows are summed within range partitions and the partitions' sums added up, so no task sees the whole table. Null keys come first.
-    """
-    parts = _in_ranges(df, key)
-    inside = parts.withColumn("_run", F.sum(value).over(Window.partitionBy("_part").orderBy(key)))
-    sums = parts.groupBy("_part").agg(F.sum(value).alias("_s"))
-    base = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    joined = inside.join(F.broadcast(base), F.col("_part") == F.col("_p"))  # a row per partition
-    return joined.withColumn(out, F.col("_b") + F.col("_run")).drop("_part", "_p", "_b", "_run")
-
-
 def common_names(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     """Rows of two models with the same name, the columns of both but b's name."""
     other = b.withColumnRenamed(name, "_name")

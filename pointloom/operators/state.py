@@ -8,12 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.order import numbered, quantiles
+
 
 def ema(df: DataFrame, key: str, order: list[str], value: str, beta: float = 0.9) -> DataFrame:
-    """(key, ema): beta * ema + (1 - beta) * value in order, the first non-null value starting it; nulls are skipped."""
-    rows = df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_rows"))
-    fold = F.aggregate("_rows", F.lit(None).cast("double"), lambda s, r: F.when(s.isNull(), r["_v"]).otherwise(s * beta + r["_v"] * (1 - beta)))
-    return rows.select(key, fold.alias("ema"))
+    """(key, ema): beta * ema + (1 - beta) * value in order, the first non-null value starting it; nulls are skipped.
+
+    The fold is a weighted sum: a row's weight follows from its place, so a key's rows need not meet.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(key, *order, F.col(value).cast("double").alias("_v"))
+    placed = numbered(rows, [key, *order, "_v"], "_place")
+    ends = placed.groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
+    share = F.when(F.col("_place") == F.col("_first"), 1.0).otherwise(1 - beta)
+    weighted = placed.join(ends, F.col(key).eqNullSafe(F.col("_key")))
+    return weighted.groupBy(key).agg(F.sum(F.col("_v") * share * F.pow(F.lit(float(beta)), F.col("_last") - F.col("_place"))).alias("ema"))
 
 
 def hysteresis(df: DataFrame, key: str, order: list[str], state: str, repeats: int = 3, out: str = "committed") -> DataFrame:
@@ -26,16 +34,32 @@ def hysteresis(df: DataFrame, key: str, order: list[str], state: str, repeats: i
     return counted.withColumn(out, held).drop("_run", "_k")
 
 
-def cooldown(df: DataFrame, key: str, order: list[str], fire: Column, rest: int) -> DataFrame:
-    """(key, fired): how often an event counts when each that counts silences the `rest` rows behind it."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.coalesce(fire, F.lit(False)).alias("_f")))).alias("_rows"))
-    start = F.struct(F.lit(0).alias("left"), F.lit(0).alias("fired"))
+def cooldown(df: DataFrame, key: str, order: list[str], fire: Column, rest: int, block: int = 4096) -> DataFrame:
+    """(key, fired): how often an event counts when each that counts silences the `rest` rows behind it.
+
+    A key's rows are folded a block at a time, for each number of rows that may still be silent at the block's start; the
+    blocks' outcomes are then chained, so of a hot key a task sees `block` rows or one entry a block.
+    """
+    flags = df.select(key, *order, F.coalesce(fire, F.lit(False)).alias("_f"))
+    placed = numbered(flags, [key, *order, "_f"], "_place")
+    blocks = placed.groupBy(key, F.floor(F.col("_place") / block).alias("_block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_f"))), lambda r: r["_f"]).alias("_flags"))
+    starts = F.array(*[F.struct(F.lit(left).alias("left"), F.lit(0).alias("fired")) for left in range(rest + 1)])
+
+    def step(states, go):
+        def one(s):
+            now = go & (s["left"] == 0)
+            return F.struct(F.when(now, F.lit(rest)).otherwise(F.greatest(s["left"] - 1, F.lit(0))).alias("left"), (s["fired"] + now.cast("int")).alias("fired"))
+
+        return F.transform(states, one)
+
+    outcomes = blocks.select(key, "_block", F.aggregate("_flags", starts, step).alias("_ends"))
+    chained = outcomes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_block", "_ends"))).alias("_rows"))
 
-    def step(s, r):
-        go = r["_f"] & (s["left"] == 0)
-        return F.struct(F.when(go, rest).otherwise(F.greatest(s["left"] - 1, F.lit(0))).alias("left"), (s["fired"] + go.cast("int")).alias("fired"))
+    def follow(s, r):
+        end = F.get(r["_ends"], s["left"])
+        return F.struct(end["left"].alias("left"), (s["fired"] + end["fired"]).alias("fired"))
 
-    return rows.select(key, F.aggregate("_rows", start, step)["fired"].alias("fired"))
+    return chained.select(key, F.aggregate("_rows", F.struct(F.lit(0).alias("left"), F.lit(0).alias("fired")), follow)["fired"].alias("fired"))
 
 
 def ramp_to(current: Column, goal: Column, most: float = 0.1) -> Column:
@@ -80,7 +104,7 @@ def dwell_times(df: DataFrame, key: str, order: list[str], state: str) -> DataFr
 
 def ambiguity(df: DataFrame, value: str, low: float = 0.10, high: float = 0.95, eps: float = 1e-8) -> DataFrame:
     """Add ambiguity: the value between two of its quantiles, clipped to [0, 1]."""
-    q = df.agg(F.percentile(F.col(value), F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = quantiles(df, value, [low, high])
     scaled = (F.col(value) - F.col("_q")[0]) / (F.col("_q")[1] - F.col("_q")[0] + eps)
     return df.join(F.broadcast(q)).withColumn("ambiguity", F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled))).drop("_q")  # one row
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import camera, keys, pose
 from pointloom.functions import vectors as V
-from pointloom.operators import lifecycle, losses, metrics, reliability, select
+from pointloom.operators import lifecycle, losses, metrics, order, reliability, select
 from pointloom.plans.tables import SQL, query, table  # noqa: F401
 
 
@@ -273,7 +273,7 @@ def counts_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sums over the whole table, by ranges."""
     e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 7).alias("n"))
-    return select.prefix_sum(e, "event_id", "n", "through").select("event_id", "through", (F.col("through") - F.col("n")).alias("before"))
+    return order.prefix_sum(e, "event_id", "n", "through").select("event_id", "through", (F.col("through") - F.col("n")).alias("before"))
 
 
 @query("""SELECT a.c_name AS name, a.c_custkey AS first_id, b.s_suppkey AS second_id FROM customer a JOIN supplier b

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import graph, lifecycle, metrics, neighbors, raster, select, state
+from pointloom.operators import graph, lifecycle, metrics, neighbors, order, raster, select, state
 
 
 def cloud(spark, points):
@@ -229,3 +229,44 @@ def test_folds(spark):
     assert state.ema(df, "k", ["t"], "v").first()["ema"] == pytest.approx(e)
     assert [r["committed"] for r in state.hysteresis(df, "k", ["t"], "s").orderBy("t").collect()] == [None] * 4 + ["b", "b"]
     assert state.cooldown(df, "k", ["t"], F.col("v") > 0, 2).first()["fired"] == 2
+
+
+def test_quantiles_are_numpys(spark):
+    draw = np.random.default_rng(3)
+    values = [float(v) for v in np.round(draw.normal(size=400), 1)] + [7.0] * 200
+    groups = ["hot" if i % 3 else f"g{i % 5}" for i in range(len(values))]
+    df = spark.createDataFrame([*zip(groups, values), ("hot", None), (None, 1.0)], "g string, v double").repartition(7)
+    known = [*values, 1.0]
+    assert order.quantiles(df, "v", [0.0, 0.1, 0.77, 1.0]).first()["_q"] == pytest.approx(np.quantile(known, [0.0, 0.1, 0.77, 1.0]))
+    got = {r["g"]: r["_q"] for r in order.group_quantiles(df.filter("g IS NOT NULL"), ["g"], "v", 0.37).collect()}
+    want = {g: np.quantile([v for k, v in zip(groups, values) if k == g], 0.37) for g in set(groups)}
+    assert got == pytest.approx(want)
+    nan = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "v double")
+    assert order.quantiles(nan, "v", [0.5]).first()["_q"] == [2.0]
+    assert order.quantiles(nan.filter("v < 0"), "v", [0.5]).first()["_q"] == [None]
+
+
+def test_places_and_chunks(spark):
+    values = [int(v) for v in np.random.default_rng(1).permutation(101)]
+    df = spark.createDataFrame([(v,) for v in values], "v int").repartition(5)
+    assert {r["v"]: r["at"] for r in order.numbered(df, ["v"], "at").collect()} == {v: v for v in values}
+    chunks = graph.chunk_windows(df, "v", 11).collect()
+    assert sorted(r["chunk"] for r in chunks if r["anchor"]) == list(range(10)) and len(chunks) == 110
+
+
+@pytest.mark.parametrize("rest", [0, 1, 3])
+def test_folds_over_blocks(spark, rest):
+    draw = np.random.default_rng(rest)
+    rows = [(["hot", "b", None][k], i, bool(f), float(v)) for i, (k, f, v) in enumerate(zip(draw.choice(3, 300, p=[0.8, 0.1, 0.1]), draw.random(300) < 0.6, draw.normal(size=300)))]
+    fired, smooth = {}, {}
+    for key in ("hot", "b", None):
+        left, n, e = 0, 0, None
+        for _, _, f, v in [r for r in rows if r[0] == key]:
+            now = f and left == 0
+            left, n = (rest if now else max(left - 1, 0)), n + now
+            e = v if e is None else 0.9 * e + 0.1 * v
+        fired[key], smooth[key] = n, e
+    df = spark.createDataFrame(rows, "k string, t int, f boolean, v double").repartition(5)
+    assert {r["k"]: r["fired"] for r in state.cooldown(df, "k", ["t"], F.col("f"), rest, block=16).collect()} == fired
+    assert {r["k"]: r["ema"] for r in state.ema(df, "k", ["t"], "v").collect()} == pytest.approx(smooth)
+    assert state.cooldown(df.filter("t < 0"), "k", ["t"], F.col("f"), rest).collect() == []
