@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.utils import is_remote
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder; one of our own only where none is set and all runs in one process."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
+def _folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
+        found = tempfile.mkdtemp(prefix="pointloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
 
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
-            folder = tempfile.mkdtemp(prefix="pointloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the session's shared folder and read back; deleted when the driver's JVM ends."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{_folder(spark)}/pointloom/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not is_remote():
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(schema).parquet(path)

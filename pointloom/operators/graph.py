@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators.checkpoints import cut as _cut
+from pointloom.operators.metrics import voxel_downsample
 from pointloom.operators.neighbors import nearest_within, radius_pairs
 from pointloom.operators.order import numbered as _numbered
+from pointloom.operators.select import systematic
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -133,8 +135,8 @@ def transformed(points: DataFrame, factor: float, rotation: np.ndarray, t: np.nd
     return points.withColumns(new)
 
 
-def icp(source: DataFrame, target: DataFrame, threshold: float, steps: int = 20, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
-    """(4x4 rigid transform, root mean squared distance of the last step) that brings source (pid, x, y, z) onto target."""
+def icp(source: DataFrame, target: DataFrame, threshold: float, steps: int = 20, tolerance: float = 1e-6, with_scale: bool = False) -> tuple[np.ndarray, float]:
+    """(4x4 transform, rigid or with a scale, root mean squared distance of the last step) that brings source (pid, x, y, z) onto target."""
     total, rmse = np.eye(4), float("inf")
     point = lambda p: F.array(*[F.col(f"{p}{c}").cast("double") for c in "xyz"])
     for _ in range(steps):
@@ -146,9 +148,9 @@ def icp(source: DataFrame, target: DataFrame, threshold: float, steps: int = 20,
         now = pairs.agg(F.sqrt(F.avg(F.col("dist") * F.col("dist")))).first()[0]
         if now is None:
             break
-        _, r, t = similarity(pairs, "src", "dst", with_scale=False)
+        factor, r, t = similarity(pairs, "src", "dst", with_scale)
         step = np.eye(4)
-        step[:3, :3], step[:3, 3] = r, t
+        step[:3, :3], step[:3, 3] = factor * r, t
         total = step @ total
         if abs(rmse - now) < tolerance:
             rmse = now
@@ -157,6 +159,32 @@ def icp(source: DataFrame, target: DataFrame, threshold: float, steps: int = 20,
     return total, rmse
 
 
+def _thinned(points: DataFrame, size: float | None, most: int) -> DataFrame:
+    """(pid, x, y, z): the means of voxels `size` wide from half a voxel below the least corner, or every k-th point so that about `most` stay."""
+    if size is None:
+        n = points.count()
+        if n <= most:
+            return points.select("pid", "x", "y", "z")
+        return systematic(_numbered(points.select("pid", "x", "y", "z"), ["pid"], "_at"), "_at", round(n / most)).drop("_at")
+    low = points.agg(*[F.min(c) for c in "xyz"]).first()
+    if low[0] is None:
+        return points.select("pid", "x", "y", "z")
+    cells = voxel_downsample(points, size, list("xyz"), origin=tuple(v - size / 2 for v in low))
+    return _numbered(cells, ["i", "j", "k"], "pid").select("pid", "x", "y", "z")
+
+
+def staged_icp(source: DataFrame, target: DataFrame, tau: float, start: np.ndarray | None = None, inside: Column | None = None, most: int = 4_000_000, steps: int = 20) -> tuple[np.ndarray, float]:
+    """(4x4 similarity, root mean squared distance) from three refinements: voxels of tau at 80 tau, of tau / 2 at 20 tau, then
+    every k-th point at 2 tau. `inside` crops both clouds (x, y, z), the source where it then lies; tables are (pid, x, y, z)."""
+    total, rmse = np.eye(4) if start is None else np.asarray(start, float), float("inf")
+    crop = (lambda p: p.filter(inside)) if inside is not None else (lambda p: p)
+    for size, reach in ((tau, 80 * tau), (tau / 2, 20 * tau), (None, 2 * tau)):
+        moved = crop(transformed(source, 1.0, total[:3, :3], total[:3, 3]))
+        step, rmse = icp(_cut(_thinned(moved, size, most)), _cut(_thinned(crop(target), size, most)), reach, steps, with_scale=True)
+        total = step @ total
+    return total, rmse
+
+
 def chunk_windows(df: DataFrame, order: str, size: int = 450) -> DataFrame:
     """Add chunk, the number of consecutive `size` - 1 rows, the order's first row being repeated as each chunk's anchor."""
     numbered = _numbered(df, [order], "_i")

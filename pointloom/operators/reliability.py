@@ -55,3 +55,52 @@ def action_of(state: Column, actions: dict[str, str], other: str) -> Column:
     for k, v in actions.items():
         out = F.when(state == k, v).otherwise(out)
     return out
+
+
+def stability(move: Column, scale: Column, cosine: Column, t_move: float = 0.25, t_turn: float = 15 / 180, eps: float = 1e-8) -> Column:
+    """1 for a particle that stays, falling with the way it moved (in its largest scale) and the angle its normal turned (in half turns)."""
+    turn = F.acos(F.least(F.lit(1.0), F.abs(cosine))) / F.pi()
+    return F.exp(-(move / (scale + eps)) / t_move - turn / t_turn)
+
+
+def normal_agreement(cosine: Column, t: float = 0.10) -> Column:
+    """1 where the particle's normal and the depth's are parallel, in either direction."""
+    return F.exp(-(1 - F.abs(cosine)) / t)
+
+
+def internal_reliability(views: Column, depth: Column, stable: Column, support: Column, has_history: Column, least: int = 2) -> Column:
+    """The cube root of the three scores; 0 with fewer than `least` supporting views or without an earlier refresh."""
+    valid = (support >= least) & F.coalesce(has_history, F.lit(False))
+    return F.when(valid, F.cbrt(views * depth * stable)).otherwise(0.0)
+
+
+def oracle_regret(df: DataFrame, state: str, prior: str, geometry: str) -> DataFrame:
+    """(n, abstained, right, regret) of rows with both errors: the share left undecided and, over the rows decided for 'prior'
+    or 'geometry', the share that took the smaller error and the mean error beyond the smaller one; null without such rows."""
+    p, g = F.col(prior), F.col(geometry)
+    taken = F.when(F.col(state) == "prior", p).when(F.col(state) == "geometry", g)
+    best = F.least(p, g)
+    rows = df.filter(p.isNotNull() & g.isNotNull())
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.coalesce((F.col(state) == "abstain").cast("double"), F.lit(0.0))).alias("abstained"),
+        F.avg((taken <= best).cast("double")).alias("right"),
+        F.avg(taken - best).alias("regret"),
+    )
+
+
+def ablated_gradient(case: int, base: Column, prior: Column, need: Column, p: Column, g: Column, agreement: Column, prior_weight: float = 1.0,
+                     t_need: float = 0.5, t_prior: float = 0.5, t_geometry: float = 0.5, t_agree: float = 0.6, margin: float = 0.1) -> Column:
+    """The geometry gradient of the nested cases 0 to 3: both terms at fixed weight, the prior weighted by need, a forced choice
+    by the reliabilities p and g, and a choice that may abstain (0). Routing, projection and lifecycle (4 to 6) have operators of their own."""
+    if case == 0:
+        return base + prior_weight * prior
+    if case == 1:
+        return base + prior_weight * need * prior
+    if case not in (2, 3):
+        raise ValueError(f"no gradient case {case}")
+    sure_p, sure_g = p >= t_prior, g >= t_geometry
+    split, ahead = sure_p & sure_g, margin if case == 3 else 0.0
+    out = F.when(need <= t_need, base).when(split & (agreement >= t_agree), base + 0.5 * prior)
+    out = out.when(sure_p & ~sure_g, prior).when(~sure_p & sure_g, base).when(split & (p - g > ahead), prior)
+    return out.otherwise(base) if case == 2 else out.when(split & (g - p > ahead), base).otherwise(0.0)

@@ -12,6 +12,7 @@ from pointloom.functions import camera, keys, pose
 from pointloom.functions import vectors as V
 from pointloom.operators import lifecycle, losses, metrics, order, reliability, select
 from pointloom.plans.tables import SQL, query, table  # noqa: F401
+from pointloom.sources import formats
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,3 +343,55 @@ def opacity_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = lifecycle.reset_opacity(c).select("c_custkey", F.col("opacity").alias("low"))
     gone = lifecycle.hide(c, F.col("c_nationkey") < 5).select(F.col("c_custkey").alias("k"), F.col("opacity").alias("hidden"))
     return low.join(gone, F.col("c_custkey") == F.col("k")).select("c_custkey", "low", "hidden")
+
+
+@query("""SELECT p_partkey, round(exp(-(p_size/50.0)/(p_retailprice/1000 + 1e-8)/0.25 - acos(least(1, abs(cos(p_partkey::DOUBLE))))/pi()/(15.0/180)), 8) AS stable,
+  round(exp(-(1 - abs(sin(p_partkey::DOUBLE)))/0.1), 8) AS depth,
+  round(CASE WHEN p_size >= 2 AND p_partkey % 7 > 0 THEN cbrt(1/(1 + p_size)
+    * exp(-(1 - abs(sin(p_partkey::DOUBLE)))/0.1) * exp(-(p_size/50.0)/(p_retailprice/1000 + 1e-8)/0.25 - acos(least(1, abs(cos(p_partkey::DOUBLE))))/pi()/(15.0/180))) ELSE 0 END, 8) AS reliability
+FROM part""")
+def internal_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SP7: agreement over views, of normals, and over refreshes."""
+    p = table(spark, sf_dir, "part")
+    stable = reliability.stability(F.col("p_size") / 50, F.col("p_retailprice") / 1000, F.cos(F.col("p_partkey").cast("double")))
+    depth = reliability.normal_agreement(F.sin(F.col("p_partkey").cast("double")))
+    whole = reliability.internal_reliability(1 / (1 + F.col("p_size")), depth, stable, F.col("p_size"), F.col("p_partkey") % 7 > 0)
+    return p.select("p_partkey", F.round(stable, 8).alias("stable"), F.round(depth, 8).alias("depth"), F.round(whole, 8).alias("reliability"))
+
+
+@query("""WITH s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'prior' WHEN 'O' THEN 'geometry' ELSE 'abstain' END AS state, (o_orderkey % 97)/97 AS p, (o_custkey % 89)/89 AS g FROM orders)
+SELECT count(*) AS n, round(avg((state = 'abstain')::INT), 8) AS abstained,
+  round(avg(CASE state WHEN 'prior' THEN (p <= g)::INT WHEN 'geometry' THEN (g <= p)::INT END), 8) AS "right",
+  round(avg(CASE state WHEN 'prior' THEN p - least(p, g) WHEN 'geometry' THEN g - least(p, g) END), 8) AS regret FROM s""")
+def oracle_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG36 and SP21: what choices lose against the better of both."""
+    state = reliability.action_of(F.col("o_orderstatus"), {"F": "prior", "O": "geometry"}, "abstain")
+    rows = table(spark, sf_dir, "orders").select(state.alias("state"), (F.col("o_orderkey") % 97 / 97).alias("p"), (F.col("o_custkey") % 89 / 89).alias("g"))
+    return reliability.oracle_regret(rows, "state", "p", "g").select("n", *[F.round(c, 8).alias(c) for c in ("abstained", "right", "regret")])
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_totalprice/1000 AS b, -o_totalprice/700 AS q, (o_orderkey % 97)/96 AS n, (o_custkey % 89)/88 AS p, (o_orderkey % 83)/82 AS g, 1 - abs((o_custkey % 89)/88 - (o_orderkey % 83)/82) AS k FROM orders)
+SELECT o_orderkey, round(b + q, 6) AS c0, round(b + n*q, 6) AS c1,
+  round(CASE WHEN n <= 0.5 THEN b WHEN p >= 0.5 AND g >= 0.5 AND k >= 0.6 THEN b + 0.5*q WHEN p >= 0.5 AND g < 0.5 THEN q WHEN p < 0.5 AND g >= 0.5 THEN b WHEN p >= 0.5 AND g >= 0.5 AND p > g THEN q ELSE b END, 6) AS c2,
+  round(CASE WHEN n <= 0.5 THEN b WHEN p >= 0.5 AND g >= 0.5 AND k >= 0.6 THEN b + 0.5*q WHEN p >= 0.5 AND g < 0.5 THEN q WHEN p < 0.5 AND g >= 0.5 THEN b
+    WHEN p >= 0.5 AND g >= 0.5 AND p - g > 0.1 THEN q WHEN p >= 0.5 AND g >= 0.5 AND g - p > 0.1 THEN b ELSE 0 END, 6) AS c3 FROM s""")
+def ablation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SP22: the gradients of the nested cases."""
+    n, p, g = F.col("o_orderkey") % 97 / 96, F.col("o_custkey") % 89 / 88, F.col("o_orderkey") % 83 / 82
+    cases = [reliability.ablated_gradient(c, F.col("o_totalprice") / 1000, -F.col("o_totalprice") / 700, n, p, g, 1 - F.abs(p - g)) for c in range(4)]
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[F.round(x, 6).alias(f"c{i}") for i, x in enumerate(cases)])
+
+
+@query("""SELECT o_orderpriority || ' ' || o_orderstatus || ' ' || count(*) || chr(10) || string_agg(o_orderkey || ' ', '' ORDER BY o_orderkey) || chr(10) || string_agg(o_custkey || ' ', '' ORDER BY o_orderkey) || chr(10) AS text
+FROM orders GROUP BY o_orderpriority, o_orderstatus""")
+def match_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK11: the matches of each pair as two lines of indices."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name1"), F.col("o_orderstatus").alias("name2"))
+    matches = F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("idx1"), F.col("o_custkey").alias("idx2")))).alias("matches")
+    return formats.match_columns(o.agg(matches))
+
+
+@query("SELECT c_custkey, printf('%.18e', c_acctbal) AS value FROM customer")
+def curve_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK14: numbers of a curve as text."""
+    return formats.curve_lines(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal")

@@ -380,7 +380,15 @@ def image_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.image_errors(rows, "event_type", "a", "b").select("event_type", F.round("l1", 6).alias("l1"), F.round("l2", 6).alias("l2"), F.round("psnr", 4).alias("psnr"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT label AS image, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS y, unnest(embedding) AS f, unnest(range(1, 65)) AS x FROM embeddings),
+px AS (SELECT image, x, y, f::DOUBLE AS a, round(f, 1)::DOUBLE AS b FROM e),
+w0 AS (SELECT i - 5 AS o, exp(-((i - 5) * (i - 5)) / 4.5) AS w FROM range(11) t(i)), w AS (SELECT o, w / (SELECT sum(w) FROM w0) AS w FROM w0),
+h AS (SELECT image, y, x + o AS x, sum(w * a) AS a, sum(w * b) AS b, sum(w * a * a) AS aa, sum(w * b * b) AS bb, sum(w * a * b) AS ab FROM px, w WHERE x + o BETWEEN 1 AND 64 GROUP BY ALL),
+size AS (SELECT image, max(y) AS n FROM px GROUP BY image),
+v AS (SELECT h.image, h.y + o AS y, x, sum(w * a) AS a, sum(w * b) AS b, sum(w * aa) AS aa, sum(w * bb) AS bb, sum(w * ab) AS ab FROM h, w, size WHERE size.image = h.image AND h.y + o BETWEEN 1 AND n GROUP BY ALL)
+SELECT image, round(avg(((2 * a * b + 0.0001) * (2 * (ab - a * b) + 0.0009)) / ((a * a + b * b + 0.0001) * ((aa - a * a) + (bb - b * b) + 0.0009))), 6) AS ssim FROM v GROUP BY image
+""")
 def ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("image"), F.posexplode("embedding").alias("x", "a"), "vec_id")
     rows = e.withColumn("b", F.round("a", 1)).select("image", F.col("vec_id").alias("y"), "x", "a", "b")
@@ -399,7 +407,13 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(edges, "a", "b")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {CLOUD}, n AS (SELECT pid, x, y, z, row_number() OVER (ORDER BY pid) AS i FROM cloud),
+before AS (SELECT b.i, coalesce(list(a.i) FILTER (a.i IS NOT NULL), []) AS near FROM n b LEFT JOIN n a ON a.i < b.i AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.1 GROUP BY b.i),
+pass AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+  SELECT before.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, before.i) END FROM pass JOIN before ON before.i = pass.i + 1)
+SELECT n.pid FROM n, (SELECT kept FROM pass ORDER BY i DESC LIMIT 1) WHERE list_contains(kept, n.i)
+""")
 def greedy_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.greedy_thin(_cloud(spark, sf_dir), 0.1).select("pid")
 

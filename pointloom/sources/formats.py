@@ -7,6 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,3 +236,58 @@ def transforms_json(frames: DataFrame, **constants: float) -> DataFrame:
 def key_file(keypoints: DataFrame) -> DataFrame:
     """Lines of a key file from (x, y, scale, angle): y before x, and 128 descriptor places of 0."""
     return keypoints.select(F.concat(F.format_string("%.2f %.2f %.3f %.3f", "y", "x", "scale", "angle"), F.lit("\n"), F.repeat(F.lit("0 "), 128)).alias("value"))
+
+
+def result_json(row: DataFrame) -> DataFrame:
+    """A row of scores as one JSON document, indented."""
+    return row.select(F.to_json(F.struct(*row.columns), {"pretty": "true"}).alias("value"))
+
+
+def per_view_json(scores: DataFrame, name: str, values: list[str]) -> DataFrame:
+    """One JSON document {value: {name: score}} of all views, by name: a file by nature."""
+    rows = scores.agg(F.sort_array(F.collect_list(F.struct(name, *values))).alias("_rows"))
+    maps = [F.map_from_arrays(F.col("_rows")[name], F.col("_rows")[v]).alias(v) for v in values]
+    return rows.select(F.to_json(F.struct(*maps)).alias("value"))
+
+
+def curve_lines(curve: DataFrame, order: str, value: str) -> DataFrame:
+    """(order, value): a number a line in scientific notation with 18 digits, to be written in this order."""
+
+    @F.pandas_udf("string")
+    def text(numbers: pd.Series) -> pd.Series:
+        return pd.Series([f"{v:.18e}" for v in numbers], dtype=object)
+
+    return curve.select(order, text(F.col(value).cast("double")).alias("value"))
+
+
+#: Fixed values of the binary feature file: its name, its version and its end mark.
+SIFT_NAME, SIFT_VERSION, SIFT_END = 1413892435, 808334422, 1179600383
+
+
+def sift_files(images: DataFrame, binary: bool = True) -> DataFrame:
+    """(image_id, content) from `database.keypoints_of`: a feature file of each image's first four keypoint columns and its descriptors.
+
+    Keypoints have `cols` columns (six where that is missing). As text only places are written, with 0 for scale and angle.
+    """
+    @F.pandas_udf("binary")
+    def content(keypoints: pd.Series, descriptors: pd.Series, cols: pd.Series) -> pd.Series:
+        out = []
+        for k, d, c in zip(keypoints, descriptors, cols, strict=True):
+            at, marks = np.frombuffer(k, "<f4").reshape(-1, int(c)), np.frombuffer(d, np.uint8).reshape(-1, 128)
+            if binary:
+                head = np.array([SIFT_NAME, SIFT_VERSION, len(at), 4, 128], "<i4")
+                out.append(head.tobytes() + at[:, :4].tobytes() + marks.tobytes() + np.array([SIFT_END], "<i4").tobytes())
+            else:
+                lines = [f"{x:f} {y:f} 0 0 {' '.join(map(str, m))}" for (x, y), m in zip(at[:, :2].tolist(), marks.tolist(), strict=True)]
+                out.append("\n".join([f"{len(at)} 128", *lines, ""]).encode())
+        return pd.Series(out, dtype=object)
+
+    cols = F.coalesce(F.col("cols"), F.lit(6)) if "cols" in images.columns else F.lit(6)
+    return images.select("image_id", content("keypoints", "descriptors", cols).alias("content"))
+
+
+def match_columns(matched: DataFrame) -> DataFrame:
+    """(text): "name1 name2 n", a line of the first indices and one of the second, from (name1, name2, matches array<struct<idx1, idx2>>)."""
+    line = lambda c: F.concat(*[F.array_join(F.transform("matches", lambda m: F.concat(m[c].cast("string"), F.lit(" "))), ""), F.lit("\n")])
+    head = F.concat_ws(" ", "name1", "name2", F.size("matches").cast("string"))
+    return matched.select(F.concat(head, F.lit("\n"), line("idx1"), line("idx2")).alias("text"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import graph, lifecycle, metrics, neighbors, order, raster, select, state
+from pointloom.operators import graph, lifecycle, metrics, neighbors, order, raster, reliability, select, state
 
 
 def cloud(spark, points):
@@ -270,3 +270,18 @@ def test_folds_over_blocks(spark, rest):
     assert {r["k"]: r["fired"] for r in state.cooldown(df, "k", ["t"], F.col("f"), rest, block=16).collect()} == fired
     assert {r["k"]: r["ema"] for r in state.ema(df, "k", ["t"], "v").collect()} == pytest.approx(smooth)
     assert state.cooldown(df.filter("t < 0"), "k", ["t"], F.col("f"), rest).collect() == []
+
+
+def test_staged_alignment(spark):
+    draw = np.random.default_rng(5)
+    target = draw.uniform(-1, 1, size=(400, 3))
+    angle, factor, shift = 0.02, 1.01, np.array([0.02, -0.01, 0.015])
+    turn = np.array([[math.cos(angle), -math.sin(angle), 0], [math.sin(angle), math.cos(angle), 0], [0, 0, 1]])
+    source = (target - shift) @ turn / factor
+    total, rmse = graph.staged_icp(cloud(spark, source), cloud(spark, target), 0.01, inside=F.col("x") < 2, steps=8)
+    moved = source @ total[:3, :3].T + total[:3, 3]
+    assert rmse < 1e-6 and np.abs(moved - target).max() < 1e-6
+    thin = graph._thinned(cloud(spark, target), None, 100)
+    assert sorted(r["pid"] for r in thin.collect()) == list(range(0, 400, 4))
+    with pytest.raises(ValueError):
+        reliability.ablated_gradient(4, *[F.lit(0.0)] * 6)

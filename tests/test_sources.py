@@ -131,3 +131,24 @@ def test_database(spark, tmp_path):
     descriptors = spark.createDataFrame([(2, 1, 128, b"d")], "image_id int, rows int, cols int, data binary")
     got = database.keypoints_of(i.filter("image_id < 3"), keypoints, descriptors).orderBy("image_id").collect()
     assert [r["n"] for r in got] == [0, 1] and bytes(got[0]["descriptors"]) == b""
+
+
+def test_feature_files(spark):
+    points, marks = np.arange(12, dtype="<f4").reshape(2, 6), np.arange(256, dtype=np.uint8).reshape(2, 128)
+    rows = [(1, points.tobytes(), marks.tobytes()), (2, b"", b"")]
+    images = spark.createDataFrame([(i, bytearray(k), bytearray(d)) for i, k, d in rows], "image_id int, keypoints binary, descriptors binary")
+    got = {r["image_id"]: bytes(r["content"]) for r in formats.sift_files(images).collect()}
+    head = np.frombuffer(got[1][:20], "<i4").tolist()
+    assert head == [1413892435, 808334422, 2, 4, 128] and np.frombuffer(got[1][-4:], "<i4")[0] == 1179600383
+    assert np.array_equal(np.frombuffer(got[1][20:52], "<f4").reshape(2, 4), points[:, :4]) and got[1][52:-4] == marks.tobytes()
+    assert len(got[2]) == 24
+    text = {r["image_id"]: bytes(r["content"]).decode() for r in formats.sift_files(images, binary=False).collect()}
+    assert text[1].splitlines()[:2] == ["2 128", "0.000000 1.000000 0 0 " + " ".join(map(str, range(128)))] and text[2] == "0 128\n"
+
+
+def test_result_files(spark):
+    df = spark.createDataFrame([("b", 0.5, 20.0), ("a", 0.25, 30.0)], "view string, ssim double, psnr double")
+    assert json.loads(formats.per_view_json(df, "view", ["ssim", "psnr"]).first()["value"]) == {"ssim": {"a": 0.25, "b": 0.5}, "psnr": {"a": 30.0, "b": 20.0}}
+    assert json.loads(formats.result_json(df.agg(F.avg("ssim").alias("ssim"))).first()["value"]) == {"ssim": 0.375}
+    lines = [r["value"] for r in formats.curve_lines(df, "view", "ssim").orderBy("view").collect()]
+    assert lines == ["%.18e" % 0.25, "%.18e" % 0.5]
