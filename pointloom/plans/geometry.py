@@ -370,7 +370,7 @@ def oracle_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reliability.oracle_regret(rows, "state", "p", "g").select("n", *[F.round(c, 8).alias(c) for c in ("abstained", "right", "regret")])
 
 
-@query("""WITH s AS (SELECT o_orderkey, o_totalprice/1000 AS b, -o_totalprice/700 AS q, (o_orderkey % 97)/96 AS n, (o_custkey % 89)/88 AS p, (o_orderkey % 83)/82 AS g, 1 - abs((o_custkey % 89)/88 - (o_orderkey % 83)/82) AS k FROM orders)
+@query("""WITH s AS (SELECT o_orderkey, o_totalprice/1000 AS b, -o_totalprice/701.3 AS q, (o_orderkey % 97)/96 AS n, (o_custkey % 89)/88 AS p, (o_orderkey % 83)/82 AS g, 1 - abs((o_custkey % 89)/88 - (o_orderkey % 83)/82) AS k FROM orders)
 SELECT o_orderkey, round(b + q, 6) AS c0, round(b + n*q, 6) AS c1,
   round(CASE WHEN n <= 0.5 THEN b WHEN p >= 0.5 AND g >= 0.5 AND k >= 0.6 THEN b + 0.5*q WHEN p >= 0.5 AND g < 0.5 THEN q WHEN p < 0.5 AND g >= 0.5 THEN b WHEN p >= 0.5 AND g >= 0.5 AND p > g THEN q ELSE b END, 6) AS c2,
   round(CASE WHEN n <= 0.5 THEN b WHEN p >= 0.5 AND g >= 0.5 AND k >= 0.6 THEN b + 0.5*q WHEN p >= 0.5 AND g < 0.5 THEN q WHEN p < 0.5 AND g >= 0.5 THEN b
@@ -378,7 +378,7 @@ SELECT o_orderkey, round(b + q, 6) AS c0, round(b + n*q, 6) AS c1,
 def ablation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SP22: the gradients of the nested cases."""
     n, p, g = F.col("o_orderkey") % 97 / 96, F.col("o_custkey") % 89 / 88, F.col("o_orderkey") % 83 / 82
-    cases = [reliability.ablated_gradient(c, F.col("o_totalprice") / 1000, -F.col("o_totalprice") / 700, n, p, g, 1 - F.abs(p - g)) for c in range(4)]
+    cases = [reliability.ablated_gradient(c, F.col("o_totalprice") / 1000, -F.col("o_totalprice") / 701.3, n, p, g, 1 - F.abs(p - g)) for c in range(4)]
     return table(spark, sf_dir, "orders").select("o_orderkey", *[F.round(x, 6).alias(f"c{i}") for i, x in enumerate(cases)])
 
 
