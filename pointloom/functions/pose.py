@@ -106,7 +106,8 @@ def closest_points(p1: Column, d1: Column, p2: Column, d2: Column) -> tuple[Colu
 
 def look_at(forward: Column, up: Column, position: Column) -> Column:
     """3x4 camera-to-world with axes (right, up, forward) as columns."""
-    z = V.normalize(forward)
-    x = V.normalize(V.cross(up, z))
-    y = V.normalize(V.cross(z, x))
-    return F.array(*[c.getItem(i) for i in range(3) for c in (x, y, z, position)])
+    def axes(z: Column, x: Column, y: Column) -> Column:
+        return F.array(*[c.getItem(i) for i in range(3) for c in (x, y, z, position)])
+
+    unit = lambda v, body: V.let(v, lambda w: V.let(V.normalize(w), body))  # noqa: E731  each vector is computed once
+    return unit(forward, lambda z: unit(V.cross(up, z), lambda x: unit(V.cross(z, x), lambda y: axes(z, x, y))))

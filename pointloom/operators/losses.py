@@ -91,7 +91,7 @@ def concentric(cameras: DataFrame, centre: str, axis: str, focus: list[float], d
 def clip_gradients(df: DataFrame, gradient: str, factor: float = 2.0, n: int = 3) -> DataFrame:
     """Extension: gradients no longer than factor times the median of the positive lengths."""
     length = V.norm(F.col(gradient), n)
-    median = df.filter(length > 0).agg(F.percentile(length, F.lit(0.5)).alias("_median"))
+    median = quantiles(df.filter(length > 0).select(length.alias("_length")), "_length", [0.5]).select(F.col("_q")[0].alias("_median"))
     limit = F.least(F.lit(1.0), factor * F.col("_median") / F.greatest(length, F.lit(1e-12)))
     return df.join(F.broadcast(median)).withColumn(gradient, V.scale(F.col(gradient), F.coalesce(limit, F.lit(1.0)), n)).drop("_median")  # one row
 

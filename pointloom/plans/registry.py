@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import camera, harmonics, keys
 from pointloom.functions import vectors as V
 from pointloom.operators import graph, lifecycle, losses, metrics, neighbors, raster, select, state
-from pointloom.plans import geometry  # noqa: F401  registers its queries
+from pointloom.plans import geometry, scenes  # noqa: F401  register their queries
 from pointloom.plans.tables import QUERIES, SQL, Query, query, table
 
 
