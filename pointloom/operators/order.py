@@ -20,10 +20,10 @@ def in_ranges(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _before(parts: DataFrame, each: Column) -> DataFrame:
-    """(_order_of, _order_before): the sum of `each` over the partitions before; a row per partition."""
+    """(_order_of, _order_sum, _order_before): the sum of `each` over a partition and over those before; a row per partition."""
     sums = parts.groupBy("_order_part").agg(each.alias("_order_sum"))
     earlier = Window.orderBy("_order_part").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(F.col("_order_part").alias("_order_of"), F.coalesce(F.sum("_order_sum").over(earlier), F.lit(0)).alias("_order_before"))
+    return sums.select(F.col("_order_part").alias("_order_of"), "_order_sum", F.coalesce(F.sum("_order_sum").over(earlier), F.lit(0)).alias("_order_before"))
 
 
 def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
@@ -34,7 +34,7 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     parts = in_ranges(df, key)
     inside = parts.withColumn("_order_run", F.sum(value).over(Window.partitionBy("_order_part").orderBy(key)))
     joined = inside.join(F.broadcast(_before(parts, F.sum(value))), F.col("_order_part") == F.col("_order_of"))  # a row per partition
-    return joined.withColumn(out, F.col("_order_before") + F.col("_order_run")).drop("_order_part", "_order_of", "_order_before", "_order_run")
+    return joined.withColumn(out, F.col("_order_before") + F.col("_order_run")).drop("_order_part", "_order_of", "_order_sum", "_order_before", "_order_run")
 
 
 def numbered(df: DataFrame, keys: list[str], out: str) -> DataFrame:
@@ -42,7 +42,7 @@ def numbered(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     parts = in_ranges(df, *keys)
     inside = parts.withColumn("_order_place", F.row_number().over(Window.partitionBy("_order_part").orderBy(*keys)) - 1)
     joined = inside.join(F.broadcast(_before(parts, F.count(F.lit(1)))), F.col("_order_part") == F.col("_order_of"))  # a row per partition
-    return joined.withColumn(out, F.col("_order_before") + F.col("_order_place")).drop("_order_part", "_order_place", "_order_of", "_order_before")
+    return joined.withColumn(out, F.col("_order_before") + F.col("_order_place")).drop("_order_part", "_order_place", "_order_of", "_order_sum", "_order_before")
 
 
 def value_ends(df: DataFrame, value: str) -> DataFrame:
@@ -60,12 +60,21 @@ def _between(a: Column, b: Column, position: Column) -> Column:
 def quantiles(df: DataFrame, value: str, fractions: list[float], out: str = "_q") -> DataFrame:
     """One row with `out`, the exact linearly interpolated quantiles as an array; nulls don't count, NaN is the largest.
 
-    Values are counted, and only the counts are put in order. Without values all quantiles are null.
+    Values are counted, the counts put in ranges, and of these only the ranges that hold a wanted place are sorted.
+    Without values all quantiles are null.
     """
-    ends = value_ends(df.select(F.col(value).cast("double").alias("_v")), "_v")
+    counts = df.select(F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    parts = in_ranges(counts, "_v")
     places = [(F.col("_total") - 1) * float(p) for p in fractions]
-    picks = [F.min(F.when(F.col("_end") > end(place), F.col("_v"))).alias(f"_{side}{i}") for i, place in enumerate(places) for side, end in (("a", F.floor), ("b", F.ceil))]
-    row = ends.agg(F.max("_total").alias("_total"), *picks)
+    ends = [(f"_{side}{i}", end(place)) for i, place in enumerate(places) for side, end in (("a", F.floor), ("b", F.ceil))]
+    spans = _before(parts, F.sum("_n"))
+    spans = spans.join(F.broadcast(spans.agg(F.sum("_order_sum").alias("_total"))))  # one row
+    held = F.lit(False)
+    for _, place in ends:
+        held = held | ((place >= F.col("_order_before")) & (place < F.col("_order_before") + F.col("_order_sum")))
+    rows = parts.join(F.broadcast(spans.filter(held)), F.col("_order_part") == F.col("_order_of"))  # a row per partition at most
+    through = F.col("_order_before") + F.sum("_n").over(Window.partitionBy("_order_part").orderBy("_v"))
+    row = rows.withColumn("_end", through).agg(F.max("_total").alias("_total"), *[F.min(F.when(F.col("_end") > place, F.col("_v"))).alias(name) for name, place in ends])
     return row.select(F.array(*[_between(F.col(f"_a{i}"), F.col(f"_b{i}"), place) for i, place in enumerate(places)]).alias(out))
 
 
