@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.functions import camera, pose
+from pointloom.functions import camera, keys, pose
 from pointloom.functions import vectors as V
 from pointloom.operators import graph, lifecycle, losses, metrics, neighbors, raster, select, state
 from pointloom.plans.geometry import VECTORS, _rounded, _sql, _times, _vectors
 from pointloom.plans.tables import query, table
+from pointloom.sources import formats
 
 
 def _unit(v: str) -> list[str]:
@@ -266,3 +267,43 @@ def distorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     ray = camera.pixel_ray(u, w, F.lit(2.0), F.lit(4.0), F.lit(0.5), F.lit(0.25))
     found = {"u1": one[0], "v1": one[1], "u4": four[0], "v4": four[1], "rx": ray[0], "ry": ray[1]}
     return e.select("vec_id", *[(F.round(c, 6) + 0.0).alias(n) for n, c in found.items()])
+
+
+@query(f"""WITH c AS (SELECT p_partkey, (p_size/50.0*1023)::DOUBLE AS a, (p_retailprice/4000*1023)::DOUBLE AS b, (p_partkey/65536.0*1023)::DOUBLE AS d FROM part),
+k AS (SELECT p_partkey, floor(a)::BIGINT AS a, floor(b)::BIGINT AS b, floor(d)::BIGINT AS d FROM c)
+SELECT p_partkey, {' + '.join(f'(((a >> {i}) & 1) << {3 * i}) + (((b >> {i}) & 1) << {3 * i + 1}) + (((d >> {i}) & 1) << {3 * i + 2})' for i in range(10))} AS code FROM k""")
+def morton_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: Morton codes of points in a box."""
+    code = keys.morton3(F.col("p_size").cast("double"), F.col("p_retailprice"), F.col("p_partkey").cast("double"), [F.lit(0.0)] * 3, [F.lit(50.0), F.lit(4000.0), F.lit(65536.0)])
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"))
+
+
+@query("""WITH e AS (SELECT l_orderkey, 's' || l_suppkey AS name, min(l_linenumber) AS rank FROM lineitem GROUP BY ALL)
+SELECT '{"ref_name":"o' || o_orderkey || '","nearest_name":[' || coalesce(string_agg('"' || name || '"', ',' ORDER BY rank, name), '') || ']}' AS value FROM orders LEFT JOIN e ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def neighbour_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK12: the neighbours of each camera as JSON lines."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cid"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("name"))
+    suppliers = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("cid"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("name"))
+    edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("a_id"), (-F.col("l_suppkey") - 1).alias("b_id")).agg(F.min("l_linenumber").alias("rank"))
+    lines = formats.neighbours_json(edges, orders.unionByName(suppliers))
+    return lines.filter(F.col("value").startswith('{"ref_name":"o'))
+
+
+@query("""SELECT '{"id":' || n_nationkey || ',"img_name":"' || n_name || '","width":' || n_regionkey * 64 || '}' AS value FROM nation""")
+def camera_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK12: cameras as JSON lines."""
+    n = table(spark, sf_dir, "nation")
+    return formats.cameras_json(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("img_name"), (F.col("n_regionkey") * 64).alias("width")))
+
+
+@query("""WITH RECURSIVE f AS (SELECT p_partkey AS fid, p_partkey // 4 AS v0, 1000000000 + p_partkey // 8 AS v1, 2000000000 + p_partkey AS v2 FROM part),
+s AS (SELECT fid, unnest([v0, v1, v2]) AS v FROM f), k AS (SELECT v, min(fid) AS first FROM s GROUP BY v),
+e AS (SELECT DISTINCT fid AS a, first AS b FROM s JOIN k USING (v)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c(node, root) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM u GROUP BY a
+  UNION SELECT u.a, min(c.root) FROM c JOIN u ON u.b = c.node JOIN recurring.c AS r ON r.node = u.a WHERE c.root < r.root GROUP BY u.a)
+SELECT root AS cluster, count(*) AS n FROM c GROUP BY root""")
+def mesh_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG17: sizes of the clusters of triangles that share vertices."""
+    p = F.col("p_partkey")
+    faces = table(spark, sf_dir, "part").select(p.cast("long").alias("fid"), F.floor(p / 4).alias("v0"), (F.floor(p / 8) + 1000000000).alias("v1"), (p.cast("long") + 2000000000).alias("v2"))
+    return graph.triangle_clusters(faces, "vertex").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

@@ -32,3 +32,9 @@ def test_rows_are_the_sqls(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["dual_end_flag", "budget_select", "confidence_select", "percentile_clip", "ambiguity", "confident_depth_loss", "robust_extent", "routed_gradients", "ema_fold"])
+def test_no_task_gathers_a_table_or_key(spark, name):
+    plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and "collect_list(" not in plan
