@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 
 MAGIC = 0x32434D43
-LANES = 4096
+LANES = 8192
 #: Ids that a lane has at least, so that a small block learns something too.
 LEAST_STEPS = 256
 #: The weights' sum and that of the frequencies; a lane's range is kept above 2 ** 32, more than their product.

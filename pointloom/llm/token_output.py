@@ -19,7 +19,9 @@ from pointloom.llm.storage import fresh_path
 
 VOCABULARY = 49408
 #: Whole documents are gathered until a block has so many ids.
-BLOCK_IDS = 2_000_000
+BLOCK_IDS = 4_000_000
+#: Bytes of text encoded at once: pieces that repeat within them are looked up once.
+CHUNK = 4 << 20
 
 _BLOCKS = "part int, block int, n_ids long, docs binary, payload binary"
 
@@ -65,7 +67,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, partitions:
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for a, b, ids, bounds in tokens.encode(batch.column("text"), path):
+            for a, b, ids, bounds in tokens.encode(batch.column("text"), path, CHUNK):
                 held.append(ids)
                 names += doc_ids[a:b]
                 sizes.append(np.diff(bounds))

@@ -169,8 +169,8 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode(column: pa.Array, path: str):
-    """(first row, row after the last, ids, bounds) for whole texts, some at once."""
+def encode(column: pa.Array, path: str, size: int = ENCODE_BYTES):
+    """(first row, row after the last, ids, bounds) for whole texts, about `size` bytes at once."""
     e = encoder(path)
-    for a, b, t in W.chunks(column, size=ENCODE_BYTES):
+    for a, b, t in W.chunks(column, size=size):
         yield a, b, *e.chunk(t)
