@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointloom.llm import exact_dedup, merkle, mixing, ngram_join, oracles, packing, quality_classifier, quality_rules, release, secrets, sharding, substring_dedup, token_output
+from pointloom.llm import exact_dedup, language_id, merkle, mixing, ngram_join, oracles, packing, quality_classifier, quality_rules, release, secrets, sharding, substring_dedup, token_output
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_token_output": token_output.op9_token_output,
         "op10_mixing": mixing.op10_mixing,
+        "op11_language_id": language_id.op11_language_id,
         "op12_release": release.op12_release,
         "op13_merkle": merkle.op13_merkle,
     }
@@ -28,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": oracles.OP2,
         "op6_substring_dedup": oracles.OP6,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op11_language_id": language_id.op11_language_id,
         "op12_release": release.OP12_SQL,
         "op13_merkle": merkle.OP13_SQL,
     }
