@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 PAIR_BASE = 2147483647
 
 
+def unknown_key(key: Column) -> Column:
+    """A long key as an expression that Spark can't tell to be the key.
+
+    A join on it of rows with an aggregate by the same key shuffles the aggregate once more, so that both sides are plain
+    shuffles. Only then does adaptive execution split the rows of a hot key.
+    """
+    return key.bitwiseXOR(F.lit(0).cast("long"))
+
+
 def pair_id(a: Column, b: Column) -> Column:
     return F.least(a, b).cast("bigint") * F.lit(PAIR_BASE).cast("bigint") + F.greatest(a, b).cast("bigint")
 

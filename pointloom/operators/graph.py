@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.functions.keys import unknown_key
 from pointloom.operators.checkpoints import cut as _cut
 from pointloom.operators.metrics import voxel_downsample
 from pointloom.operators.neighbors import nearest_within, radius_pairs
@@ -37,7 +38,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def _to_least(edges: DataFrame) -> DataFrame:
     m = edges.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_v")).select("_u", F.least("_u", "_v").alias("m"))
-    return edges.join(m, F.col("u") == F.col("_u")).select("u", "v", "m")
+    return edges.join(m, F.col("u") == unknown_key(F.col("_u"))).select("u", "v", "m")
 
 
 def triangle_clusters(faces: DataFrame, by: str = "edge") -> DataFrame:
