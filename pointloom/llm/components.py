@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.functions.keys import unknown_key
 from pointloom.llm.storage import discard, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """edges (u, v) with m, the least of u and all v of u; minima are taken before rows meet, so no hub is gathered."""
+    """edges (u, v) with m, the least of u and all v of u; minima are taken before rows meet, and the join splits hubs."""
     m = edges.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_v")).select("_u", F.least("_u", "_v").alias("m"))
-    return edges.join(m, F.col("u") == F.col("_u")).select("u", "v", "m")
+    return edges.join(m, F.col("u") == unknown_key(F.col("_u"))).select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.functions.keys import unknown_key
 from pointloom.llm import words as W
 from pointloom.llm.components import components
 from pointloom.llm.exact_dedup import _filter_size, _two_places, repeated_places
@@ -334,7 +335,7 @@ def _labelled(prefix: DataFrame, groups: DataFrame) -> DataFrame:
 def _across(rows: DataFrame) -> DataFrame:
     """rows (gram, label, ...) of the n-grams that classes of different components have."""
     mixed = rows.groupBy(F.col("gram").alias("_g")).agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least <> _most")
-    return rows.join(mixed.select("_g"), F.col("gram") == F.col("_g")).drop("_g")
+    return rows.join(mixed.select("_g"), F.col("gram") == unknown_key(F.col("_g"))).drop("_g")
 
 
 def _listed(prefix: DataFrame, groups: DataFrame, first: int | None = None) -> DataFrame:
@@ -367,7 +368,7 @@ def link_classes(alive: DataFrame, prefix: DataFrame, percent: int) -> DataFrame
         leads = rows.groupBy(F.col("gram").alias("_g")).agg(best.alias("y"))
         if first is None:  # one class for each component of an n-gram
             rows = rows.groupBy("gram", "label").agg(best.alias("x")).select("gram", "label", "x.*")
-        pairs = rows.alias("x").join(leads, F.col("gram") == F.col("_g")).filter(F.col("x.class") != F.col("y.class")).filter(_fit("x", "y", percent))
+        pairs = rows.alias("x").join(leads, F.col("gram") == unknown_key(F.col("_g"))).filter(F.col("x.class") != F.col("y.class")).filter(_fit("x", "y", percent))
         pairs = pairs.select(u, v, nu, nv, F.col("y.class").alias("near")).groupBy("u", "v", "nu", "nv").agg(F.min("near").alias("near"))
         groups = _joined(groups, verified(materialise(pairs, "pairs"), alive, percent))
     rows = materialise(_across(_listed(prefix, groups)), "across")
@@ -409,7 +410,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     hidden, show = hide(docs, ("doc_id", "text"), ("n_shingles", "component_id"))
     labelled = _labels(hidden, words, percent)
     least = labelled.filter("n_shingles > 0").groupBy(F.col("label").alias("_l")).agg(F.min("doc_id").alias("_d"))
-    out = labelled.join(least, (F.col("label") == F.col("_l")) & (F.col("n_shingles") > 0), "left")
+    out = labelled.join(least, (F.col("label") == unknown_key(F.col("_l"))) & (F.col("n_shingles") > 0), "left")
     return show(out, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_d")).otherwise(F.col("doc_id")).alias("component_id"), less=["text"])
 
 
@@ -421,7 +422,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     numbered, show = hide(docs, ("doc_id", "text"), (), F.monotonically_increasing_id().alias("_pl_row"))
     labelled = _labels(numbered.select("_pl_row", "doc_id", "text"), words, percent).filter("n_shingles > 0")
     first = labelled.groupBy(F.col("label").alias("_l")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_pl_row")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    gone = labelled.join(first.filter("_n > 1"), F.col("label") == F.col("_l")).filter("_pl_row <> _first._pl_row").select(F.col("_pl_row").alias("_gone"))
+    gone = labelled.join(first.filter("_n > 1"), F.col("label") == unknown_key(F.col("_l"))).filter("_pl_row <> _first._pl_row").select(F.col("_pl_row").alias("_gone"))
     return show(numbered.join(gone, F.col("_pl_row") == F.col("_gone"), "left_anti"))
 
 
