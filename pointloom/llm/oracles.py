@@ -48,14 +48,14 @@ f AS (SELECT doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_tra
     length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, coalesce(n_lines, 0) AS n_lines
   FROM w LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)),
 m AS (SELECT *, [n_symbols * 1000 // greatest(word_chars, 1), n_upper * 1000 // greatest(word_chars, 1), n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // greatest(n_words, 1)] AS m FROM f),
-b AS (SELECT lang, source, metric, {_BUCKET} AS b FROM (SELECT lang, source, unnest([0, 1, 2, 3]) AS metric, unnest(m) AS v FROM m)),
+b AS (SELECT lang, source, metric, {_BUCKET} AS b FROM (SELECT lang, source, unnest([0, 1, 2, 3]) AS metric, unnest(m) AS v FROM m WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words))),
 s AS (SELECT *, {_VALUE} AS low FROM b),
-q AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(low, 0.05) AS q0, quantile_disc(low, 0.25) AS q1, quantile_disc(low, 0.75) AS q3, [40, 200, 300, 200][metric + 1] AS slack FROM s GROUP BY GROUPING SETS ((lang, source, metric), (lang, metric), (metric))),
-e AS (SELECT *, least(q3 + greatest(slack, 4 * (q3 - q1)), q1 + greatest(slack, 12 * (q1 - q0))) AS fence FROM q),
+q AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(low, 0.05) AS q0, quantile_disc(low, 0.25) AS q1, quantile_disc(low, 0.75) AS q3, quantile_disc(low, 0.95) AS q4, [20, 40, 150, 90][metric + 1] AS slack FROM s GROUP BY GROUPING SETS ((lang, source, metric), (lang, metric), (metric))),
+e AS (SELECT *, least(q4 + slack + 2 * (q4 - q3), q1 + 2 * slack + 12 * (q1 - q0)) AS fence FROM q),
 g AS (SELECT a.lang, a.source, a.metric, (a.n * a.fence + 50 * ((b.n * b.fence + 50 * c.fence) // (b.n + 50))) // (a.n + 50) AS fence
   FROM e a JOIN e b ON b.lang = a.lang AND b.source IS NULL AND b.metric = a.metric JOIN e c ON c.lang IS NULL AND c.source IS NULL AND c.metric = a.metric WHERE a.source IS NOT NULL),
 o AS (SELECT lang, source, list(fence ORDER BY metric) AS fences FROM g GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND m[1] <= fences[1] AND m[2] <= fences[2] AND m[3] <= fences[3] AND m[4] <= fences[4] AS kept
-FROM m JOIN o USING (lang, source)
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(m[1] <= fences[1] AND m[2] <= fences[2] AND m[3] <= fences[3] AND m[4] <= fences[4], true) AS kept
+FROM m LEFT JOIN o ON o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
 """

@@ -3,7 +3,7 @@
 Every metric is an integer per mille. A sketch is a log-linear histogram: values under 32 have buckets of
 their own, larger ones eight buckets to each power of two, so a quantile is within an eighth of its value.
 Sketches merge by adding counts: the partial aggregates of tasks merge into those of (lang, source), these
-into those of a language and of the whole corpus. A group's limit is the mean of its own and of its language's, weighted
+into those of a language and of the whole corpus. They hold what the base rules pass. A group's limit is the mean of its own and of its language's, weighted
 by its size against PRIOR, and a language's likewise of its own and of the corpus's.
 """
 
@@ -22,10 +22,11 @@ from pointloom.llm.storage import materialise
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Metric: (slack). A document fails where its value is over q75 + max(slack, SPREAD * (q75 - q25)) of its group, or
-#: over q25 + max(slack, LOWER * (q25 - q05)), which junk moves only where it is three quarters of the group.
-METRICS = {"symbol_pm": 40, "upper_pm": 200, "dup_line_pm": 300, "repeat_pm": 200}
-SPREAD = 4
+#: Metric: the least slack. A document fails where its value is over q95 + slack + TAIL * (q95 - q75) of its group, or over
+#: q25 + GUARD * slack + LOWER * (q25 - q05), which junk moves only where it is three quarters of the group.
+METRICS = {"symbol_pm": 20, "upper_pm": 40, "dup_line_pm": 150, "repeat_pm": 90}
+TAIL = 2
+GUARD = 2
 LOWER = 12
 #: A group's limit counts as its documents and its language's as so many, and a language's as its documents and the corpus's
 #: as so many, so small groups follow what is around them.
@@ -133,11 +134,11 @@ def fences(sketch: DataFrame, *keys: str) -> DataFrame:
     whole = Window.partitionBy(*keys, "metric")
     run = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     cut = sketch.withColumns({"size": F.sum("n").over(whole), "upto": F.sum("n").over(run)})
-    quantiles = [F.min(F.when(F.col("upto") * 100 >= F.col("size") * q, bucket_value(F.col("bucket")))).alias(f"q{q:02}") for q in (5, 25, 75)]
+    quantiles = [F.min(F.when(F.col("upto") * 100 >= F.col("size") * q, bucket_value(F.col("bucket")))).alias(f"q{q:02}") for q in (5, 25, 75, 95)]
     q = cut.groupBy(*keys, "metric").agg(F.max("size").alias("size"), *quantiles)
     slack = F.element_at(F.array(*[F.lit(x) for x in METRICS.values()]), F.col("metric") + 1)
-    upper = F.col("q75") + F.greatest(slack, SPREAD * (F.col("q75") - F.col("q25")))
-    lower = F.col("q25") + F.greatest(slack, LOWER * (F.col("q25") - F.col("q05")))
+    upper = F.col("q95") + slack + TAIL * (F.col("q95") - F.col("q75"))
+    lower = F.col("q25") + GUARD * slack + LOWER * (F.col("q25") - F.col("q05"))
     return q.select(*keys, "metric", "size", F.least(upper, lower).alias("fence"))
 
 
@@ -159,9 +160,9 @@ def thresholds(measured: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, text: bool) -> DataFrame:
     """docs with with_features' columns and `_pl_kept`. Texts are measured once; the rows are written with what was found."""
     measured = materialise(with_features(docs) if text else with_features(docs).drop("text"), "measured")
-    limits = thresholds(measured.select("lang", "source", "_pl_m")).withColumnsRenamed({"lang": "_pl_lang", "source": "_pl_source"})
+    limits = thresholds(measured.filter(~F.col("_pl_failed")).select("lang", "source", "_pl_m")).withColumnsRenamed({"lang": "_pl_lang", "source": "_pl_source"})
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_pl_lang")) & F.col("source").eqNullSafe(F.col("_pl_source")), "left")
-    over = F.exists(F.arrays_zip("_pl_m", "_pl_fences"), lambda x: x["_pl_m"] > x["_pl_fences"])
+    over = F.coalesce(F.exists(F.arrays_zip("_pl_m", "_pl_fences"), lambda x: x["_pl_m"] > x["_pl_fences"]), F.lit(False))
     return joined.withColumn("_pl_kept", ~F.col("_pl_failed") & ~over)
 
 

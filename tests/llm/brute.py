@@ -109,7 +109,7 @@ def _low(v):
 def _fence(values, slack):
     values = sorted(map(_low, values))
     q = lambda p: values[-(-len(values) * p // 100) - 1]
-    return min(q(75) + max(slack, 4 * (q(75) - q(25))), q(25) + max(slack, 12 * (q(25) - q(5))))
+    return min(q(95) + slack + 2 * (q(95) - q(75)), q(25) + 2 * slack + 12 * (q(25) - q(5)))
 
 
 def kept_by_quality(rows):
@@ -123,10 +123,11 @@ def kept_by_quality(rows):
     out = {}
     for d, (lang, source, failed, m) in measured.items():
         good = not failed
-        for k, slack in enumerate((40, 200, 300, 200)):
-            one = [x[3][k] for x in measured.values() if x[:2] == (lang, source)]
-            two = [x[3][k] for x in measured.values() if x[0] == lang]
-            three = [x[3][k] for x in measured.values()]
+        for k, slack in enumerate((20, 40, 150, 90)) if good else ():
+            sound = [x for x in measured.values() if not x[2]]
+            one = [x[3][k] for x in sound if x[:2] == (lang, source)]
+            two = [x[3][k] for x in sound if x[0] == lang]
+            three = [x[3][k] for x in sound]
             around = (len(two) * _fence(two, slack) + 50 * _fence(three, slack)) // (len(two) + 50)
             good = good and m[k] <= (len(one) * _fence(one, slack) + 50 * around) // (len(one) + 50)
         out[d] = good

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.llm import automaton, exact_dedup, fm_index, mixing, mixing_coder, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, token_output, tokens
+from pointloom.llm import automaton, exact_dedup, fm_index, mixing, mixing_coder, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, storage, substring_dedup, token_output, tokens
 
 
 def same(df, columns, want):
@@ -90,6 +90,21 @@ def test_fences_hold_in_sources_full_of_junk(spark):
         assert kept[source, bad] == 0 if bad else kept[source, bad] >= 0.95 * n, (source, bad, limits[source])
 
 
+def test_fences_follow_their_groups(spark):
+    """No constant in place of the fences gives the same verdicts, and groups differ in every metric."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
+    measured = storage.materialise(quality_rules.with_features(docs).drop("text").filter("NOT _pl_failed"), "measured")
+    limits = {(r["lang"], r["source"]): r["_pl_fences"] for r in quality_rules.thresholds(measured).collect()}
+    rows = [(limits[r["lang"], r["source"]], r["_pl_m"]) for r in measured.select("lang", "source", "_pl_m").collect()]
+    for k, name in enumerate(quality_rules.METRICS):
+        assert len({f[k] for f in limits.values()}) > 5, name
+        over = [m[k] for f, m in rows if m[k] > f[k]]
+        under = [m[k] for f, m in rows if m[k] <= f[k]]
+        assert over, name
+        if name in ("dup_line_pm", "repeat_pm"):
+            assert min(over) < max(under), name
+
+
 def test_quality_of_nothing(nothing):
     assert quality_rules.judge(nothing).count() == 0
 
