@@ -15,12 +15,17 @@ from pointloom.llm.storage import drop_paths, fresh_path, in_use
 
 
 def _cleaned(stage):
-    """The stage, which first deletes what the stage before wrote on its way, unless docs still read it."""
+    """The stage, which first deletes what the stage before wrote on its way, unless docs still read it.
+
+    What the last stage of a run wrote stays for those who read its result: the first stage of the next run forgets it, and it
+    goes with the driver.
+    """
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         read = docs.inputFiles()
-        drop_paths(spark, [p for p in _LEFT if not any(f"{p.rpartition('/')[2]}/" in f for f in read)])
+        if stage.__name__ != STAGES[0][1].__name__:
+            drop_paths(spark, [p for p in _LEFT if not any(f"{p.rpartition('/')[2]}/" in f for f in read)])
         before = set(in_use())
         out = stage(spark, docs, sf_dir)
         _LEFT[:] = [p for p in in_use() if p not in before]

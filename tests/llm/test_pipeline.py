@@ -46,6 +46,8 @@ def test_stages_and_run(spark, plain, tmp_path):
             at += n
     columns = ["doc_id", "start", "length", "ids_crc32"]
     assert Counter(tuple(r[c] for c in columns) for r in docs.collect()) == want
-    whole = corpus_pipeline.run(spark, plain).collect()
+    earlier, later = corpus_pipeline.run(spark, plain), corpus_pipeline.run(spark, plain)  # neither deletes what the other reads
+    assert Counter(tuple(r[c] for c in columns) for r in earlier.collect()) == want
+    whole = later.collect()
     assert Counter(tuple(r[c] for c in columns) for r in whole) == want
     assert sorted(r["sequence_id"] for r in whole) == list(range(len(whole)))
