@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,12 +125,12 @@ def cluster(v: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, np.ndarray]:
     return c[used], np.searchsorted(used, own)
 
 
-def fit(counts: dict[str, np.ndarray], idf: np.ndarray) -> Model:
-    """A model from some texts' n-gram counts of every language."""
-    languages = sorted(counts)
-    centroids, language, least = [np.zeros((0, SLOTS), np.float32)], [], []
-    for n, lang in enumerate(languages):
-        v = weighed(counts[lang], idf)
+def fit(counts: Iterable[tuple[str, np.ndarray]], idf: np.ndarray) -> Model:
+    """A model from some texts' n-gram counts of every language, which come by name."""
+    centroids, languages, language, least = [np.zeros((0, SLOTS), np.float32)], [], [], []
+    for n, (lang, rows) in enumerate(counts):
+        languages.append(lang)
+        v = weighed(rows, idf)
         c, own = cluster(v)
         near = (v * c[own]).sum(1)
         centroids.append(c)
@@ -207,14 +207,16 @@ def train(docs: DataFrame) -> Model:
                 })
 
     rows = _sample(known).select("lang", "hash", "text").mapInArrow(vectors, "lang string, hash long, slots binary, counts binary").toPandas()
-    out = {}
-    for lang, group in rows.groupby("lang"):
-        group = group.sort_values("hash")[:MOST]
-        counts = np.zeros((len(group), SLOTS), np.float32)
-        for i, (s, c) in enumerate(zip(group["slots"], group["counts"], strict=True)):
-            counts[i, np.frombuffer(s, np.int32)] = np.frombuffer(c, np.float32)
-        out[lang] = counts
-    return fit(out, idf)
+
+    def by_language():
+        for lang, group in rows.groupby("lang"):
+            group = group.sort_values("hash")[:MOST]
+            counts = np.zeros((len(group), SLOTS), np.float32)
+            for i, (s, c) in enumerate(zip(group["slots"], group["counts"], strict=True)):
+                counts[i, np.frombuffer(s, np.int32)] = np.frombuffer(c, np.float32)
+            yield lang, counts
+
+    return fit(by_language(), idf)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

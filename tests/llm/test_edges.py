@@ -18,7 +18,7 @@ from pointloom.llm import words as W
 
 SCORER = quality_classifier.Model(np.zeros(quality_classifier.OWN + 2 * quality_classifier.NEAR), np.zeros((2, 2)), 1.0, 0.5, 0.5)
 
-SPEAKER = language_id.fit({"en": np.ones((1, language_id.SLOTS), np.float32)}, np.ones(language_id.SLOTS, np.float32))
+SPEAKER = language_id.fit([("en", np.ones((1, language_id.SLOTS), np.float32))], np.ones(language_id.SLOTS, np.float32))
 
 #: Operator: (call, columns added, whether every row stays once).
 OPERATORS = {

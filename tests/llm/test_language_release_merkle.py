@@ -47,7 +47,7 @@ def test_a_very_long_text_counts_as_its_parts():
 def test_predictions_are_those_of_the_nearest_centroid():
     r = np.random.default_rng(1)
     counts = {lang: r.poisson(lam, (30, language_id.SLOTS)).astype(np.float32) for lang, lam in (("x", np.r_[np.full(200, 3.0), np.zeros(language_id.SLOTS - 200)]), ("y", np.r_[np.zeros(150), np.full(200, 3.0), np.zeros(language_id.SLOTS - 350)]))}
-    model = language_id.fit(counts, np.ones(language_id.SLOTS, np.float32))
+    model = language_id.fit(counts.items(), np.ones(language_id.SLOTS, np.float32))
     assert set(np.bincount(model.language)) <= {1, 2, 3, 4} and np.allclose((model.centroids**2).sum(1), 1, atol=1e-5)
     rows = np.concatenate([*counts.values(), np.eye(language_id.SLOTS, dtype=np.float32)[-1:]])
     found, score, far = model.predict(rows)
