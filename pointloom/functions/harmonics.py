@@ -47,9 +47,9 @@ def to_colour(sh: Column) -> Column:
     return sh * C0 + 0.5
 
 
-def energy(rest: Column, weighting: str) -> Column:
-    """Weighted length of the coefficients above degree 0, an array of 15 numbers; at least 1e-4."""
+def energy(rest: Column, weighting: str, channels: int = 3) -> Column:
+    """Weighted length of the coefficients above degree 0, an array of 15 numbers for each channel, coefficient by coefficient; at least 1e-4."""
     if weighting not in BAND_WEIGHTS:
         raise ValueError(f"unknown weighting {weighting!r}: one of {', '.join(BAND_WEIGHTS)}")
-    parts = [w * V.total([rest.getItem(i).cast("double") * rest.getItem(i).cast("double") for i in range(a, b)]) for (a, b), w in zip(BANDS, BAND_WEIGHTS[weighting], strict=True)]
+    parts = [w * V.total([rest.getItem(i).cast("double") * rest.getItem(i).cast("double") for i in range(channels * a, channels * b)]) for (a, b), w in zip(BANDS, BAND_WEIGHTS[weighting], strict=True)]
     return F.sqrt(F.greatest(V.total(parts), F.lit(1e-8)))

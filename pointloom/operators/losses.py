@@ -77,15 +77,16 @@ def jittered_cameras(cameras: DataFrame, translation: float, degrees: float, see
     })
 
 
-def concentric(cameras: DataFrame, centre: str, axis: str, focus: list[float], degrees: float = 20.0, tolerance: float = 0.25) -> DataFrame:
-    """(looking, level, concentric): shares of cameras that look at the focus, and whose distance from it is the mean's within a
-    share of their own; concentric if both are over a half."""
-    to = V.sub(F.array(*[F.lit(float(x)) for x in focus]), F.col(centre))
-    rows = cameras.select(V.angle_degrees(to, F.col(axis)).alias("_angle"), V.norm(to).alias("_r"))
-    mean = rows.agg(F.avg("_r").alias("_m"))
-    near = F.abs(F.col("_m") - F.col("_r")) <= tolerance * F.col("_r") + 1e-8
-    share = rows.join(F.broadcast(mean)).agg(F.avg((F.col("_angle") <= degrees).cast("double")).alias("looking"), F.avg(near.cast("double")).alias("level"))  # one row
-    return share.withColumn("concentric", (F.col("looking") > 0.5) & (F.col("level") > 0.5))
+def concentric(cameras: DataFrame, centre: str, axis: str, degrees: float = 30.0, tolerance: float = 0.5, share: float = 0.5) -> DataFrame:
+    """(share, concentric): the share of cameras that look at the mean of all (by less than `degrees`) from a distance that the mean
+    distance doesn't miss by more than `tolerance` of it; concentric if that is over `share`. A camera on the mean looks nowhere."""
+    means = cameras.agg(*[F.avg(F.col(centre)[i]).alias(f"_{i}") for i in range(3)]).select(F.array("_0", "_1", "_2").alias("_mean"))
+    to = V.sub(F.col("_mean"), F.col(centre))
+    rows = cameras.join(F.broadcast(means)).select(V.angle_degrees(to, F.col(axis)).alias("_angle"), V.norm(to).alias("_r"))  # one row
+    level = F.abs(F.col("_m") - F.col("_r")) <= tolerance * F.col("_r") + 1e-8
+    both = F.coalesce((F.col("_angle") < degrees) & level, F.lit(False))
+    found = rows.join(F.broadcast(rows.agg(F.avg("_r").alias("_m")))).agg(F.avg(both.cast("double")).alias("share"))  # one row
+    return found.withColumn("concentric", F.col("share") > share)
 
 
 def clip_gradients(df: DataFrame, gradient: str, factor: float = 2.0, n: int = 3) -> DataFrame:

@@ -122,9 +122,9 @@ def geometric_error(psnr: Column, ssim: Column, lpips: Column) -> Column:
 def local_ncc(patches: DataFrame, patch: str, a: str, b: str) -> DataFrame:
     """(patch, ncc, ok): 1 - cc of each patch clamped to [0, 2], from five sums; ok where it is under 0.9."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    g = patches.groupBy(patch).agg(F.avg(x).alias("_a"), F.avg(y).alias("_b"), F.avg(x * x).alias("_aa"), F.avg(y * y).alias("_bb"), F.avg(x * y).alias("_ab"))
-    cross = F.col("_ab") - F.col("_a") * F.col("_b")
-    va, vb = F.col("_aa") - F.col("_a") * F.col("_a"), F.col("_bb") - F.col("_b") * F.col("_b")
+    g = patches.groupBy(patch).agg(F.sum(x).alias("_a"), F.sum(y).alias("_b"), F.sum(x * x).alias("_aa"), F.sum(y * y).alias("_bb"), F.sum(x * y).alias("_ab"), F.count(F.lit(1)).alias("_n"))
+    cross = F.col("_ab") - F.col("_a") * F.col("_b") / F.col("_n")
+    va, vb = F.col("_aa") - F.col("_a") * F.col("_a") / F.col("_n"), F.col("_bb") - F.col("_b") * F.col("_b") / F.col("_n")
     ncc = F.least(F.greatest(1 - cross * cross / (va * vb + 1e-8), F.lit(0.0)), F.lit(2.0))
     return g.select(patch, ncc.alias("ncc")).withColumn("ok", F.col("ncc") < 0.9)
 

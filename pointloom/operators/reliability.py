@@ -27,33 +27,27 @@ def coverage_risk(df: DataFrame, score: str, good: str) -> DataFrame:
     return _by_score(df, score, good).select("threshold", (F.col("k") / F.col("total")).alias("coverage"), (1 - F.col("tp") / F.col("k")).alias("risk"))
 
 
-def consistency(residual: Column) -> Column:
-    """1 at no residual, falling with its logarithm."""
-    return 1 / (1 + F.log1p(residual))
-
-
-def normalised_confidence(df: DataFrame, value: str, view: str, out: str) -> DataFrame:
-    """`out`: the value between the least and the largest of its view; ranges are found before the join, so a hot view is not gathered."""
-    ranges = df.groupBy(F.col(view).alias("_view")).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    joined = df.join(ranges, F.col(view).eqNullSafe(F.col("_view")), "left")
-    return joined.withColumn(out, (F.col(value) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))).drop("_view", "_lo", "_hi")
-
-
-def lifecycle_state(evidence: Column, least: float, some: float, enough: float) -> Column:
-    """quarantined, candidate, provisional or stable by the evidence so far; null evidence is a candidate's."""
-    return F.when(evidence < least, "quarantined").when(evidence.isNull() | (evidence < some), "candidate").when(evidence < enough, "provisional").otherwise("stable")
-
-
-def quarantine_prune(state: Column, age: Column, most: float) -> Column:
-    """Whether a row goes: in quarantine for longer than `most`."""
-    return (state == "quarantined") & F.coalesce(age > most, F.lit(False))
-
-
-def action_of(state: Column, actions: dict[str, str], other: str) -> Column:
-    """The action of a state by a table of them."""
-    out = F.lit(other)
-    for k, v in actions.items():
-        out = F.when(state == k, v).otherwise(out)
+def consistency(depth_error: Column, normal_error: Column, depth_tolerance: float = 0.05, normal_tolerance: float = 0.10) -> Column:
+    """1 without error, falling with the mean of both errors in units of their tolerances."""
+    return F.exp(-(depth_error / depth_tolerance + normal_error / normal_tolerance) / 2)
+
+
+# Weights of the base and the prior gradient by state and group of parameters.
+ROUTES = {
+    "bypass": {"pose": (1.0, 0.0), "scale": (1.0, 0.0), "opacity": (1.0, 0.0), "colour": (1.0, 0.0)},
+    "consensus": {"pose": (1.0, 0.5), "scale": (1.0, 0.1), "opacity": (1.0, 0.0), "colour": (1.0, 0.0)},
+    "prior": {"pose": (0.25, 1.0), "scale": (0.10, 0.25), "opacity": (0.0, 0.0), "colour": (1.0, 0.0)},
+    "geometry": {"pose": (1.0, 0.0), "scale": (1.0, 0.0), "opacity": (1.0, 0.0), "colour": (1.0, 0.0)},
+    "abstain": {"pose": (0.0, 0.0), "scale": (0.0, 0.0), "opacity": (0.0, 0.0), "colour": (1.0, 0.0)},
+}
+
+
+def routed(state: Column, group: str, base: Column, prior: Column) -> Column:
+    """A gradient of one group of parameters by the state's weights; null for a state that isn't known."""
+    out = F.lit(None).cast("double")
+    for name, weights in ROUTES.items():
+        b, p = weights[group]
+        out = F.when(state == name, base * b + prior * p).otherwise(out)
     return out
 
 

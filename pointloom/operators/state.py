@@ -75,11 +75,14 @@ def need(ambiguity: Column, sufficiency: Column) -> Column:
     return 1 - sufficiency * (1 - ambiguity)
 
 
-def arbitrate(need: Column, prior: Column, geometry: Column, agreement: Column, t_need: float = 0.5, t_prior: float = 0.5, t_geometry: float = 0.5, t_agree: float = 0.6, margin: float = 0.1) -> Column:
-    """The first that holds of bypass, consensus, prior-led, geometry-led, then by the larger reliability, abstain."""
-    p, g = prior >= t_prior, geometry >= t_geometry
+def arbitrate(need: Column, prior: Column, geometry: Column, agreement: Column, prior_valid: Column | None = None, geometry_valid: Column | None = None, t_need: float = 0.5, t_prior: float = 0.5, t_geometry: float = 0.5, t_agree: float = 0.6, margin: float = 0.1) -> Column:
+    """The first that holds of bypass (need at the limit, too), consensus, prior-led, geometry-led, then by the larger reliability, abstain.
+
+    A side may lead only where it is valid (both are by default; null isn't).
+    """
+    p, g = (F.coalesce(x >= t, F.lit(False)) & (F.lit(True) if v is None else F.coalesce(v, F.lit(False))) for x, t, v in ((prior, t_prior, prior_valid), (geometry, t_geometry, geometry_valid)))
     return (
-        F.when(need < t_need, "bypass")
+        F.when(need <= t_need, "bypass")
         .when(p & g & (agreement >= t_agree), "consensus")
         .when(p & ~g, "prior")
         .when(~p & g, "geometry")

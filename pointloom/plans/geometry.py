@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import camera, keys, pose
 from pointloom.functions import vectors as V
-from pointloom.operators import lifecycle, losses, metrics, order, reliability, select
+from pointloom.operators import evidence, lifecycle, losses, metrics, order, reliability, select
 from pointloom.plans.tables import SQL, query, table  # noqa: F401
 from pointloom.sources import formats
 
@@ -313,27 +313,26 @@ def coverage_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reliability.coverage_risk(s, "value", "y").select("threshold", F.round("coverage", 8).alias("coverage"), F.round("risk", 8).alias("risk"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size < 3 THEN 'quarantined' WHEN p_size < 20 THEN 'candidate' WHEN p_size < 40 THEN 'provisional' ELSE 'stable' END AS state,
-  p_size < 3 AND p_retailprice > 1000 AS gone FROM part""")
-def lifecycle_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SP14 and SP16: states by evidence, and pruning after a time in quarantine."""
-    state = reliability.lifecycle_state(F.col("p_size"), 3, 20, 40)
-    return table(spark, sf_dir, "part").select("p_partkey", state.alias("state"), reliability.quarantine_prune(state, F.col("p_retailprice"), 1000.0).alias("gone"))
-
-
-@query("""SELECT event_id, round(1/(1 + ln(1 + value)), 8) AS consistency, round((value - min(value) OVER (PARTITION BY event_type))
-  / greatest(max(value) OVER (PARTITION BY event_type) - min(value) OVER (PARTITION BY event_type), 1e-12), 8) AS confidence FROM events""")
+@query("""WITH q AS (SELECT event_type, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM events GROUP BY event_type)
+SELECT event_id, round(exp(-0.5*(value/10000/0.05 + (1 - abs(sin(event_id::DOUBLE)))/0.1)), 8) AS consistency,
+  round(CASE WHEN value <= lo THEN 0 WHEN value >= hi + 1e-8 THEN 1 ELSE (value - lo)/(hi - lo + 1e-8) END, 8) AS confidence FROM events JOIN q USING (event_type)""")
 def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SP4 and SP5: consistency of a residual, and confidence normalised within its view."""
-    e = reliability.normalised_confidence(table(spark, sf_dir, "events"), "value", "event_type", "confidence")
-    return e.select("event_id", F.round(reliability.consistency(F.col("value")), 8).alias("consistency"), F.round("confidence", 8).alias("confidence"))
+    """SP4 and SP5: consistency of two errors, and confidence between two quantiles of its view."""
+    e = evidence.normalised_confidence(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", "event_type", "confidence")
+    score = reliability.consistency(F.col("value") / 10000, 1 - F.abs(F.sin(F.col("event_id").cast("double"))))
+    return e.select("event_id", F.round(score, 8).alias("consistency"), F.round("confidence", 8).alias("confidence"))
 
 
-@query("""SELECT o_orderstatus, count(*) AS n, CASE o_orderstatus WHEN 'F' THEN 'prune' WHEN 'O' THEN 'refine' ELSE 'keep' END AS action FROM orders GROUP BY ALL""")
+@query("""WITH s AS (SELECT o_orderkey, ['bypass', 'consensus', 'prior', 'geometry', 'abstain'][o_orderkey % 5 + 1] AS state, o_totalprice AS b, o_custkey::DOUBLE AS p FROM orders)
+SELECT o_orderkey, state, round(CASE state WHEN 'consensus' THEN b + 0.5*p WHEN 'prior' THEN p + 0.25*b WHEN 'abstain' THEN 0 ELSE b END, 4) AS pose,
+  round(CASE state WHEN 'consensus' THEN b + 0.1*p WHEN 'prior' THEN 0.25*p + 0.1*b WHEN 'abstain' THEN 0 ELSE b END, 4) AS scale,
+  round(CASE WHEN state IN ('prior', 'abstain') THEN 0 ELSE b END, 4) AS opacity, round(b, 4) AS colour FROM s""")
 def state_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SP12: the action of each state, from a table of them."""
-    n = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("o_orderstatus", "n", reliability.action_of(F.col("o_orderstatus"), {"F": "prune", "O": "refine"}, "keep").alias("action"))
+    """SP12: gradients of four groups of parameters by the state's weights."""
+    names = F.array(*[F.lit(s) for s in ("bypass", "consensus", "prior", "geometry", "abstain")])
+    o = table(spark, sf_dir, "orders").withColumn("state", F.get(names, (F.col("o_orderkey") % 5).cast("int")))
+    route = lambda g: F.round(reliability.routed(F.col("state"), g, F.col("o_totalprice"), F.col("o_custkey").cast("double")), 4).alias(g)
+    return o.select("o_orderkey", "state", *[route(g) for g in ("pose", "scale", "opacity", "colour")])
 
 
 @query("SELECT c_custkey, least(c_acctbal, 0.01) AS low, CASE WHEN c_nationkey < 5 THEN -1000.0 ELSE c_acctbal END AS hidden FROM customer")
@@ -365,7 +364,7 @@ SELECT count(*) AS n, round(avg((state = 'abstain')::INT), 8) AS abstained,
   round(avg(CASE state WHEN 'prior' THEN p - least(p, g) WHEN 'geometry' THEN g - least(p, g) END), 8) AS regret FROM s""")
 def oracle_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG36 and SP21: what choices lose against the better of both."""
-    state = reliability.action_of(F.col("o_orderstatus"), {"F": "prior", "O": "geometry"}, "abstain")
+    state = F.when(F.col("o_orderstatus") == "F", "prior").when(F.col("o_orderstatus") == "O", "geometry").otherwise("abstain")
     rows = table(spark, sf_dir, "orders").select(state.alias("state"), (F.col("o_orderkey") % 97 / 97).alias("p"), (F.col("o_custkey") % 89 / 89).alias("g"))
     return reliability.oracle_regret(rows, "state", "p", "g").select("n", *[F.round(c, 8).alias(c) for c in ("abstained", "right", "regret")])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import camera, harmonics, keys
 from pointloom.functions import vectors as V
 from pointloom.operators import graph, lifecycle, losses, metrics, neighbors, raster, select, state
-from pointloom.plans import geometry, scenes  # noqa: F401  register their queries
+from pointloom.plans import geometry, scenes, views  # noqa: F401  register their queries
 from pointloom.plans.tables import QUERIES, SQL, Query, query, table
 
 
@@ -322,11 +322,11 @@ def bounds_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sh_sql(weights: tuple[float, ...]) -> str:
-    bands = [" + ".join(f"embedding[{i + 1}]::DOUBLE * embedding[{i + 1}]::DOUBLE" for i in range(a, b)) for a, b in harmonics.BANDS]
-    return "sqrt(greatest(" + " + ".join(f"{w} * ({x})" for w, x in zip(weights, bands, strict=True)) + ", 1e-8))"
+    bands = [f"list_sum(list_transform(embedding[{a}:{b}], lambda x: x::DOUBLE * x::DOUBLE))" for a, b in ((1, 9), (10, 24), (25, 45))]
+    return "sqrt(greatest(" + " + ".join(f"{w} * {x}" for w, x in zip(weights, bands, strict=True)) + ", 1e-8))"
 
 
-@query("SELECT vec_id, " + ", ".join(f"round({_sh_sql(w)}, 6) AS {n}" for n, w in harmonics.BAND_WEIGHTS.items()) + " FROM embeddings")
+@query(f"SELECT vec_id, round({_sh_sql((1, 1, 1))}, 6) AS equal, round({_sh_sql((2, 6, 12))}, 6) AS sobolev, round({_sh_sql((0, 1, 4))}, 6) AS aggressive FROM embeddings")
 def sh_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(harmonics.energy(F.col("embedding"), n), 6).alias(n) for n in harmonics.BAND_WEIGHTS])
 
@@ -365,13 +365,14 @@ def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT l_orderkey AS patch, l_quantity AS a, l_extendedprice / 1000 AS b FROM lineitem),
-m AS (SELECT patch, avg(a) AS a, avg(b) AS b, avg(a * a) AS aa, avg(b * b) AS bb, avg(a * b) AS ab FROM d GROUP BY patch)
-SELECT patch, round(least(greatest(1 - (ab - a * b) * (ab - a * b) / ((aa - a * a) * (bb - b * b) + 1e-8), 0), 2), 4) AS ncc FROM m
+WITH d AS (SELECT l_orderkey AS patch, l_quantity / 500 AS a, l_extendedprice / 1000000 AS b FROM lineitem),
+m AS (SELECT patch, sum(a) AS a, sum(b) AS b, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, count(*) AS n FROM d GROUP BY patch),
+c AS (SELECT patch, least(greatest(1 - (ab - a * b / n) * (ab - a * b / n) / ((aa - a * a / n) * (bb - b * b / n) + 1e-8), 0), 2) AS ncc FROM m)
+SELECT patch, round(ncc, 4) AS ncc, round(ncc, 4) < 0.9 AS ok FROM c
 """)
 def lncc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("patch"), F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
-    return metrics.local_ncc(d, "patch", "a", "b").select("patch", F.round("ncc", 4).alias("ncc"))
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("patch"), (F.col("l_quantity") / 500).alias("a"), (F.col("l_extendedprice") / 1000000).alias("b"))
+    return metrics.local_ncc(d, "patch", "a", "b").select("patch", F.round("ncc", 4).alias("ncc"), (F.round("ncc", 4) < 0.9).alias("ok"))
 
 
 @query("SELECT event_type, round(avg(abs(a - b)), 6) AS l1, round(avg((a - b) * (a - b)), 6) AS l2, round(20 * log10(1 / sqrt(avg((a - b) * (a - b)))), 4) AS psnr FROM (SELECT event_type, value / 500 AS a, (event_id % 100) / 100 AS b FROM events) GROUP BY event_type")
@@ -447,13 +448,16 @@ def cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT o_orderkey, (o_orderkey % 97) / 96 AS n, (o_custkey % 89) / 88 AS p, (o_orderkey % 83) / 82 AS g, 1 - abs((o_custkey % 89) / 88 - (o_orderkey % 83) / 82) AS k FROM orders)
-SELECT o_orderkey, CASE WHEN n < 0.5 THEN 'bypass' WHEN p >= 0.5 AND g >= 0.5 AND k >= 0.6 THEN 'consensus' WHEN p >= 0.5 AND g < 0.5 THEN 'prior'
-  WHEN p < 0.5 AND g >= 0.5 THEN 'geometry' WHEN p >= 0.5 AND g >= 0.5 AND p - g > 0.1 THEN 'prior' WHEN p >= 0.5 AND g >= 0.5 AND g - p > 0.1 THEN 'geometry' ELSE 'abstain' END AS state FROM s
+WITH s AS (SELECT o_orderkey, (o_orderkey % 97) / 96 AS n, (o_custkey % 89) / 88 AS p, (o_orderkey % 83) / 82 AS g, 1 - abs((o_custkey % 89) / 88 - (o_orderkey % 83) / 82) AS k,
+  o_custkey % 5 > 0 AS vp, o_custkey % 7 > 0 AS vg FROM orders),
+h AS (SELECT *, vp AND p >= 0.5 AS hp, vg AND g >= 0.5 AS hg FROM s)
+SELECT o_orderkey, CASE WHEN n <= 0.5 THEN 'bypass' WHEN hp AND hg THEN CASE WHEN k >= 0.6 THEN 'consensus' WHEN p - g > 0.1 THEN 'prior' WHEN p - g < -0.1 THEN 'geometry' ELSE 'abstain' END
+  WHEN hp THEN 'prior' WHEN hg THEN 'geometry' ELSE 'abstain' END AS state FROM h
 """)
 def five_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumns({"n": F.col("o_orderkey") % 97 / 96, "p": F.col("o_custkey") % 89 / 88, "g": F.col("o_orderkey") % 83 / 82})
-    return o.select("o_orderkey", state.arbitrate(F.col("n"), F.col("p"), F.col("g"), 1 - F.abs(F.col("p") - F.col("g"))).alias("state"))
+    valid = F.col("o_custkey") % 5 > 0, F.col("o_custkey") % 7 > 0
+    return o.select("o_orderkey", state.arbitrate(F.col("n"), F.col("p"), F.col("g"), 1 - F.abs(F.col("p") - F.col("g")), *valid).alias("state"))
 
 
 @query("""

@@ -74,13 +74,14 @@ def focus_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.focus_point(axes, "p", "d").select(*_rounded(F.col("focus"), "x y z"))
 
 
-@query(f"""WITH {VECTORS}, a AS (SELECT [-p[1], -p[2], -p[3]] AS c, d FROM v), r AS (SELECT degrees(acos({_dot('c', 'd')}/sqrt({_dot('c', 'c')})/sqrt({_dot('d', 'd')}))) AS g, sqrt({_dot('c', 'c')}) AS r FROM a),
-s AS (SELECT avg((g <= 60)::INT) AS looking, avg((abs((SELECT avg(r) FROM r) - r) <= 0.25*r + 1e-8)::INT) AS level FROM r)
-SELECT round(looking, 6) AS looking, round(level, 6) AS level, looking > 0.5 AND level > 0.5 AS concentric FROM s""")
+@query(f"""WITH {VECTORS}, a AS (SELECT p, [0.3*d[1]-p[1], 0.3*d[2]-p[2], 0.3*d[3]-p[3]] AS d FROM v), m AS (SELECT avg(p[1]) AS x, avg(p[2]) AS y, avg(p[3]) AS z FROM a),
+g AS (SELECT [x-p[1], y-p[2], z-p[3]] AS c, d FROM a, m), r AS (SELECT acos({_dot('c', 'd')}/sqrt({_dot('c', 'c')})/sqrt({_dot('d', 'd')})) AS angle, sqrt({_dot('c', 'c')}) AS r FROM g),
+s AS (SELECT avg((angle < pi()/6 AND abs((SELECT avg(r) FROM r) - r) <= 0.5*r + 1e-8)::INT) AS share FROM r)
+SELECT round(share, 6) AS share, share > 0.5 AS concentric FROM s""")
 def concentric_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG16: whether cameras stand around a point."""
-    found = losses.concentric(_vectors(spark, sf_dir), "p", "d", [0.0, 0.0, 0.0], degrees=60.0)
-    return found.select(F.round("looking", 6).alias("looking"), F.round("level", 6).alias("level"), "concentric")
+    """AG16: whether cameras stand around their mean and look at it."""
+    cameras = _vectors(spark, sf_dir).withColumn("axis", V.sub(V.scale(F.col("d"), 0.3), F.col("p")))
+    return losses.concentric(cameras, "p", "axis").select(F.round("share", 6).alias("share"), "concentric")
 
 
 @query("""WITH g AS (SELECT event_id, [value, event_id % 7, -1.0] AS g, sqrt(value*value + (event_id % 7)*(event_id % 7) + 1) AS n FROM events), m AS (SELECT 2*quantile_cont(n, 0.5) AS m FROM g),

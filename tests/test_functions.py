@@ -101,7 +101,7 @@ def test_harmonics(spark):
     np.testing.assert_allclose((b[:, 1:4] ** 2).sum(1), 3 / (4 * math.pi), rtol=1e-9)  # the addition theorem, per degree
     np.testing.assert_allclose((b[:, 4:9] ** 2).sum(1), 5 / (4 * math.pi), rtol=1e-9)
     np.testing.assert_allclose((b[:, 9:] ** 2).sum(1), 7 / (4 * math.pi), rtol=1e-9)
-    r = one(spark, e=harmonics.energy(lit(np.ones(15)), "sobolev"), z=harmonics.energy(lit(np.zeros(15)), "equal"), c=harmonics.to_colour(harmonics.from_colour(F.lit(0.3))))
+    r = one(spark, e=harmonics.energy(lit(np.ones(15)), "sobolev", 1), z=harmonics.energy(lit(np.zeros(45)), "equal"), c=harmonics.to_colour(harmonics.from_colour(F.lit(0.3))))
     assert math.isclose(r["e"], math.sqrt(3 * 2 + 5 * 6 + 7 * 12)) and math.isclose(r["z"], 1e-4) and math.isclose(r["c"], 0.3)
     with pytest.raises(ValueError):
         harmonics.energy(F.col("x"), "other")
