@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import pose
 from pointloom.functions import vectors as V
-from pointloom.operators import evidence
+from pointloom.operators import evidence, visibility
 from pointloom.plans.tables import query, table
 
 
@@ -115,3 +115,31 @@ def surface_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = gids.filter("gid % 6 > 0").select("gid", step.alias("centre"), F.array(F.cos(turn), F.sin(turn), F.lit(0.0)).alias("normal"))
     e = evidence.evidence(grid, _prior(spark, sf_dir), _rendered(spark, sf_dir), _cameras(spark, sf_dir), _pairs(spark, sf_dir), now, before)
     return e.select(*[(F.round(c, 5) + 0.0).alias(c) if c in ("prior_trust", "geometry_trust", "agreement", "difference") else c for c in e.columns])
+
+
+def _ring(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cameras on a ring around the origin, one for each supplier, and their depth maps; some have pixels without depth."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("view"))
+    a = F.col("view").cast("double")
+    zero, fixed = F.lit(0.0), {"fx": 8.0, "fy": 8.0, "cx": 5.5, "cy": 3.5, "width": 12.0, "height": 8.0}
+    r = F.array(F.cos(a), zero, -F.sin(a), zero, F.lit(1.0), zero, F.sin(a), zero, F.cos(a))
+    cameras = s.select("view", r.alias("r"), F.array(zero, zero, F.lit(3.0)).alias("t"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+    grid = s.select("view", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("i")).select("view", (F.col("i") % 12).cast("long").alias("x"), F.floor(F.col("i") / 12).alias("y"))
+    k = (F.col("view") * 7 + F.col("x") * 3 + F.col("y") * 5) % 11
+    return cameras, grid.withColumn("depth", F.when((F.col("view") % 3 == 0) & (k == 4), 0.0).otherwise(2 + k / 5))
+
+
+@query("""WITH p AS (SELECT p_partkey AS pid, p_size/25.0 - 1 AS x, sin(p_partkey::DOUBLE) AS y, 1.2*cos(p_partkey*1.7) AS z FROM part),
+c AS (SELECT s_suppkey AS view, cos(s_suppkey::DOUBLE) AS c, sin(s_suppkey::DOUBLE) AS s FROM supplier),
+v AS (SELECT pid, view, c*x - s*z AS vx, y AS vy, s*x + c*z + 3 AS vz FROM p, c),
+u AS (SELECT *, 8*vx/vz + 5.5 AS u, 8*vy/vz + 3.5 AS w FROM v WHERE vz > 0),
+q AS (SELECT *, least(floor(u), 10)::BIGINT AS qx, least(floor(w), 6)::BIGINT AS qy FROM u WHERE u >= 0 AND u <= 11 AND w >= 0 AND w <= 7),
+d AS (SELECT *, list_transform([[qx, qy], [qx + 1, qy], [qx, qy + 1], [qx + 1, qy + 1]], lambda g: CASE WHEN view % 3 = 0 AND (view*7 + g[1]*3 + g[2]*5) % 11 = 4 THEN 0 ELSE 2 + ((view*7 + g[1]*3 + g[2]*5) % 11)/5 END) AS g FROM q),
+e AS (SELECT *, (g[1]*(1 - (u - qx)) + g[2]*(u - qx))*(1 - (w - qy)) + (g[3]*(1 - (u - qx)) + g[4]*(u - qx))*(w - qy) AS depth FROM d),
+n AS (SELECT pid, count(*) AS n FROM e WHERE depth <= 0 OR vz < depth + 0.005 GROUP BY pid)
+SELECT pid, coalesce(n, 0) AS views, coalesce(n, 0) >= 20 AS seen FROM p LEFT JOIN n USING (pid)""")
+def visible_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that stand before the depth maps of twenty cameras."""
+    n = F.col("p_partkey").cast("double")
+    points = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), (F.col("p_size") / 25.0 - 1).alias("x"), F.sin(n).alias("y"), (1.2 * F.cos(F.col("p_partkey") * 1.7)).alias("z"))
+    return visibility.visible(points, *_ring(spark, sf_dir), width=0.4)
