@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import pose
 from pointloom.functions import vectors as V
-from pointloom.operators import evidence, visibility
+from pointloom.operators import evidence, life, visibility
 from pointloom.plans.tables import query, table
 
 
@@ -143,3 +143,30 @@ def visible_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey").cast("double")
     points = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), (F.col("p_size") / 25.0 - 1).alias("x"), F.sin(n).alias("y"), (1.2 * F.cos(F.col("p_partkey") * 1.7)).alias("z"))
     return visibility.visible(points, *_ring(spark, sf_dir), width=0.4)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+  ['bypass', 'consensus', 'prior', 'geometry', 'abstain'][(user_id + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) % 5 + 1] AS s, event_id % 97 = 0 AS fresh, value > 20 AS cl, value > 60 AS sp, value > 10 AS pr, value/10000 AS op, event_id % 3 AS vw FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS cand, 0 AS h, NULL::VARCHAR AS com, NULL::VARCHAR AS life, 0 AS d, 0 AS zc, 0 AS zs, 0 AS zp, 0 AS c, 0 AS lft, 2.0::DOUBLE AS g, NULL::VARCHAR AS act, 0 AS rest, NULL::VARCHAR AS olife, 0 AS od, 2.0::DOUBLE AS og FROM e GROUP BY user_id
+  UNION ALL SELECT user_id, i, event_id, CASE WHEN gone THEN NULL ELSE s END, CASE WHEN gone THEN 0 ELSE h END, CASE WHEN gone THEN NULL ELSE com END, CASE WHEN gone THEN NULL ELSE life END, CASE WHEN gone THEN 0 ELSE d END,
+    CASE WHEN gone THEN 0 ELSE zc END, CASE WHEN gone THEN 0 ELSE zs END, CASE WHEN gone THEN 0 ELSE zp END, CASE WHEN gone THEN 0 ELSE rest END, CASE WHEN gone THEN 0 ELSE greatest(lft - 1, 0) END, CASE WHEN gone THEN 2.0 ELSE g END, act, rest, life, d, g FROM (
+    SELECT *, coalesce(act = 'prune', false) AS gone, CASE WHEN act = 'prune' THEN 0 WHEN act IS NOT NULL THEN 500 ELSE greatest(c - 1, 0) END AS rest FROM (
+      SELECT * EXCLUDE (g), CASE WHEN c = 0 THEN CASE WHEN zp = 5 THEN 'prune' WHEN zc = 3 THEN 'clone' WHEN zs = 3 THEN 'split' END END AS act,
+        g + greatest(-0.1, least(0.1, CASE life WHEN 'confirmed' THEN 2.2 WHEN 'protected' THEN 2.2 WHEN 'repair' THEN 1.7 WHEN 'quarantine' THEN 1.5 ELSE 2.0 END - g)) AS g FROM (
+        SELECT * EXCLUDE (zc, zs, zp), CASE WHEN cl AND life IN ('normal', 'confirmed') THEN least(zc + 1, 3) ELSE 0 END AS zc, CASE WHEN sp AND life IN ('normal', 'confirmed') THEN least(zs + 1, 3) ELSE 0 END AS zs,
+          CASE WHEN CASE WHEN life = 'quarantine' THEN d >= 5 AND op < 0.01 AND vw < 2 ELSE pr AND life IN ('normal', 'repair') END THEN least(zp + 1, 5) ELSE 0 END AS zp FROM (
+          SELECT * EXCLUDE (life, d), now AS life, CASE WHEN now = life THEN d + 1 ELSE 1 END AS d FROM (
+            SELECT *, CASE WHEN lft > 0 THEN 'probation' WHEN com = 'consensus' THEN 'confirmed' WHEN com = 'prior' THEN 'repair' WHEN com = 'geometry' THEN 'protected' WHEN com = 'abstain' THEN 'quarantine' ELSE 'normal' END AS now FROM (
+              SELECT * EXCLUDE (h, com), CASE WHEN s = cand THEN h + 1 ELSE 1 END AS h, CASE WHEN (CASE WHEN s = cand THEN h + 1 ELSE 1 END) >= 3 THEN s ELSE com END AS com FROM (
+                SELECT e.*, CASE WHEN fresh THEN NULL ELSE r.cand END AS cand, CASE WHEN fresh THEN 0 ELSE r.h END AS h, CASE WHEN fresh THEN NULL ELSE r.com END AS com, CASE WHEN fresh THEN NULL ELSE r.life END AS life, CASE WHEN fresh THEN 0 ELSE r.d END AS d,
+                  CASE WHEN fresh THEN 0 ELSE r.zc END AS zc, CASE WHEN fresh THEN 0 ELSE r.zs END AS zs, CASE WHEN fresh THEN 0 ELSE r.zp END AS zp, CASE WHEN fresh THEN 0 ELSE r.c END AS c, CASE WHEN fresh THEN 500 ELSE r.lft END AS lft, CASE WHEN fresh THEN 2.0 ELSE r.g END AS g
+                  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))))))))
+SELECT user_id, event_id, olife AS life, od AS dwell, act AS action, rest, round(og, 6) AS truncation FROM r WHERE i > 0""")
+def lifecycle_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SP14 to SP16, SP19 and W11: lives, persistence, rest, quarantine, probation and truncation over each particle's refreshes."""
+    names = F.array(*[F.lit(s) for s in life.LIVES])
+    v, n = F.col("value"), F.col("event_id")
+    state = F.get(names, ((F.col("user_id") + F.when(n % 5 == 0, 1).otherwise(0)) % 5).cast("int"))
+    columns = {"state": state, "fresh": n % 97 == 0, "clone": v > 20, "split": v > 60, "prune": v > 10, "opacity": v / 10000, "views": (n % 3).cast("int")}
+    rows = life.fold(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", *[c.alias(k) for k, c in columns.items()]), "user_id", ["ts", "event_id"])
+    return rows.select("user_id", "event_id", "life", "dwell", "action", "rest", F.round("truncation", 6).alias("truncation"))
