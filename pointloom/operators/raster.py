@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import vectors as V
 from pointloom.functions.camera import TILE, tile_rect
+from pointloom.operators import scan
 
 LEAST_ALPHA = 1.0 / 255.0
 MOST_ALPHA = 0.99
@@ -42,12 +43,13 @@ def contributions(rows: DataFrame, pixel: list[str], order: list[str], alpha: st
     """Rows that contribute to their pixel, front to back, with t_before, t_after and place (1 for the list's first row).
 
     Rows with alpha under 1/255 or null are skipped but counted in place; a pixel stops before the row that would leave
-    less than 1e-4 of the light.
+    less than 1e-4 of the light. Transmittance is a segmented scan, so a pixel's rows needn't meet.
     """
-    w = Window.partitionBy(*pixel).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("place", F.row_number().over(w)).filter(F.col(alpha).isNotNull() & ~F.isnan(F.col(alpha)) & (F.col(alpha) >= LEAST_ALPHA))
-    lit = placed.withColumn("t_after", F.exp(F.sum(F.log(1 - F.col(alpha))).over(run))).filter(F.col("t_after") >= LEAST_TRANSMITTANCE)
+    counts = F.col(alpha).isNotNull() & ~F.isnan(F.col(alpha)) & (F.col(alpha) >= LEAST_ALPHA)
+    parts = scan.ranges(rows.withColumn("_counts", F.coalesce(counts, F.lit(False))), pixel, order)
+    passed = {"place": F.lit(1).cast("long"), "_light": F.when(F.col("_counts"), F.log(1 - F.col(alpha))).otherwise(0.0)}
+    placed = scan.running_sums(parts, pixel, order, passed).filter("_counts").withColumns({"place": F.col("place").cast("int"), "t_after": F.exp("_light")})
+    lit = placed.filter(F.col("t_after") >= LEAST_TRANSMITTANCE).drop("place_all", "_light_all", "_light", "_counts", scan.PART)
     return lit.withColumn("t_before", F.col("t_after") / (1 - F.col(alpha)))
 
 
@@ -66,12 +68,28 @@ def observations(rows: DataFrame, pixel: list[str], order: list[str], gid: str,
 
 def front_set(rows: DataFrame, pixel: list[str], order: list[str], weight: str, depth: str, share: float = 0.5, least: float = 0.01, band: float = 0.02) -> DataFrame:
     """Rows near the depth z_f at which `share` of the pixel's weight is reached, each with at least `least` of it."""
-    w = Window.partitionBy(*pixel)
-    run = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumns({"_all": F.sum(weight).over(w), "_upto": F.sum(weight).over(run)})
-    reached = summed.withColumn("z_f", F.min(F.when(F.col("_upto") >= share * F.col("_all"), F.col(depth))).over(w))
-    near = (F.col(weight) >= least * F.col("_all")) & (F.abs(F.col(depth) - F.col("z_f")) <= band * F.col("z_f"))
-    return reached.filter(near).drop("_all", "_upto")
+    summed = scan.running_sums(scan.ranges(rows, pixel, order), pixel, order, {"_upto": F.col(weight)})
+    reached = scan.best_of_key(summed, pixel, {"z_f": F.when(F.col("_upto") >= share * F.col("_upto_all"), F.col(depth))})
+    near = (F.col(weight) >= least * F.col("_upto_all")) & (F.abs(F.col(depth) - F.col("z_f")) <= band * F.col("z_f"))
+    return reached.filter(near).drop("_upto", "_upto_all", scan.PART)
+
+
+def front_gate(front: DataFrame, rays: DataFrame, pixel: list[str], weight: str, depth: str, least_alpha: float = 0.8, least_share: float = 0.8, most_spread: float = 0.01, eps: float = 1e-8) -> DataFrame:
+    """(pixel..., alpha, share, spread, open): of the rays (pixel..., alpha, their weight in all) which have one front surface.
+
+    front is front_set's result; share is its weight over alpha, spread the relative deviation of its depths. A ray opens with alpha
+    and share large enough and a small spread; one without a front has share 0, a null spread, and stays shut.
+    """
+    w, d = F.col(weight), F.col(depth)
+    g = front.groupBy(*pixel).agg(F.sum(w).alias("_w"), F.sum(w * d).alias("_wd"), F.sum(w * d * d).alias("_wdd"))
+    named = g.withColumnsRenamed({p: f"_g{i}" for i, p in enumerate(pixel)})
+    on = F.lit(True)
+    for i, p in enumerate(pixel):
+        on = on & F.col(p).eqNullSafe(F.col(f"_g{i}"))
+    mean = F.col("_wd") / F.col("_w")
+    spread = F.sqrt(F.greatest(F.col("_wdd") / F.col("_w") - mean * mean, F.lit(0.0))) / (mean + eps)
+    out = rays.join(named, on, "left").select(*pixel, "alpha", (F.coalesce("_w", F.lit(0.0)) / (F.col("alpha") + eps)).alias("share"), spread.alias("spread"))
+    return out.withColumn("open", F.coalesce((F.col("alpha") >= least_alpha) & (F.col("share") >= least_share) & (F.col("spread") <= most_spread), F.lit(False)))
 
 
 def stencil(raster: DataFrame, values: list[str], view: str = "view", x: str = "x", y: str = "y") -> DataFrame:

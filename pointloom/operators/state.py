@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators import scan
 from pointloom.operators.order import numbered, quantiles
 
 
@@ -25,13 +26,11 @@ def ema(df: DataFrame, key: str, order: list[str], value: str, beta: float = 0.9
 
 
 def hysteresis(df: DataFrame, key: str, order: list[str], state: str, repeats: int = 3, out: str = "committed") -> DataFrame:
-    """Add the state that last came `repeats` times in a row; null before the first."""
-    w = Window.partitionBy(key).orderBy(*order)
-    run = F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, state).orderBy(*order))
-    islands = df.withColumn("_run", run)
-    counted = islands.withColumn("_k", F.row_number().over(Window.partitionBy(key, state, "_run").orderBy(*order)))
-    held = F.last(F.when(F.col("_k") >= repeats, F.col(state)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return counted.withColumn(out, held).drop("_run", "_k")
+    """Add the state that last came `repeats` times in a row; null before the first. A null state breaks a run and commits nothing."""
+    rows = scan.carried_runs(scan.runs(scan.ranges(df, [key], order), key, order, state), key, order, state, repeats)
+    length = F.col("_k") + F.when(F.col("_head") & F.col(state).eqNullSafe(F.col("_before.state")), F.col("_before.length")).otherwise(0)
+    held = F.last(F.when(length >= repeats, F.col(state)), ignorenulls=True).over(scan.inside([key], order))
+    return rows.withColumn(out, F.coalesce(held, F.col("_before.held"))).select(*df.columns, out)
 
 
 def cooldown(df: DataFrame, key: str, order: list[str], fire: Column, rest: int, block: int = 4096) -> DataFrame:
@@ -94,15 +93,18 @@ def arbitrate(need: Column, prior: Column, geometry: Column, agreement: Column,
 
 def transitions(df: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """(before, after, n): how often one state follows another."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.select(F.lag(state).over(w).alias("before"), F.col(state).alias("after")).filter("before IS NOT NULL").groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
+    rows = scan.carried_runs(scan.ranges(df.select(key, *order, state), [key], order).transform(lambda p: scan.runs(p, key, order, state)), key, order, state, 1)
+    last = F.lag(F.struct(state)).over(Window.partitionBy(key, scan.PART).orderBy(*order))
+    before = F.when(last.isNotNull(), last[state]).otherwise(F.col("_before.state"))
+    return rows.select(before.alias("before"), F.col(state).alias("after")).filter("before IS NOT NULL").groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dwell_times(df: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """(state, runs, mean_rows): the runs of equal states and their mean length."""
-    w = Window.partitionBy(key).orderBy(*order)
-    runs = df.withColumn("_run", F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, state).orderBy(*order))).groupBy(key, state, "_run").agg(F.count(F.lit(1)).alias("_n"))
-    return runs.groupBy(state).agg(F.count(F.lit(1)).alias("runs"), F.avg("_n").alias("mean_rows"))
+    rows = scan.carried_runs(scan.runs(scan.ranges(df.select(key, *order, state), [key], order), key, order, state), key, order, state, 1)
+    goes_on = F.col("_head") & F.col(state).eqNullSafe(F.col("_before.state")) & (F.col("_before.length") > 0)
+    begins = (F.col("_k") == 1) & ~goes_on
+    return rows.groupBy(state).agg(F.count_if(begins).alias("runs"), (F.count(F.lit(1)) / F.count_if(begins)).alias("mean_rows"))
 
 
 def ambiguity(df: DataFrame, value: str, low: float = 0.10, high: float = 0.95, eps: float = 1e-8) -> DataFrame:

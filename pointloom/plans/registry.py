@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import camera, harmonics, keys
 from pointloom.functions import vectors as V
-from pointloom.operators import graph, lifecycle, losses, metrics, neighbors, raster, select, state
+from pointloom.operators import graph, lifecycle, losses, metrics, neighbors, raster, scan, select, state
 from pointloom.plans import geometry, scenes, views  # noqa: F401  register their queries
 from pointloom.plans.tables import QUERIES, SQL, Query, query, table
 
@@ -210,10 +210,9 @@ def front_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, value, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id)::INT AS place FROM events")
 def sort_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "events").select("event_type", "value", "event_id")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")))
+    rows = scan.ranges(table(spark, sf_dir, "events").select("event_type", "value", "event_id"), ["event_type"], ["value", "event_id"])
+    placed = scan.running_sums(rows, ["event_type"], ["value", "event_id"], {"place": F.lit(1)})
+    return placed.select("event_type", "value", "event_id", F.col("place").cast("int").alias("place"))
 
 
 _STEP = """b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS g, [l_quantity, l_quantity / 2, 1.0] AS s, 1 - l_tax * 12 AS opacity FROM lineitem),

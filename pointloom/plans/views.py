@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import pose
 from pointloom.functions import vectors as V
-from pointloom.operators import evidence, life, visibility
+from pointloom.operators import evidence, life, raster, visibility
 from pointloom.plans.tables import query, table
 
 
@@ -170,3 +170,19 @@ def lifecycle_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {"state": state, "fresh": n % 97 == 0, "clone": v > 20, "split": v > 60, "prune": v > 10, "opacity": v / 10000, "views": (n % 3).cast("int")}
     rows = life.fold(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", *[c.alias(k) for k, c in columns.items()]), "user_id", ["ts", "event_id"])
     return rows.select("user_id", "event_id", "life", "dwell", "action", "rest", F.round("truncation", 6).alias("truncation"))
+
+
+@query("""WITH w AS (SELECT l_orderkey AS ray, l_linenumber AS n, l_quantity AS w, 200 + round(100*l_discount) AS z FROM lineitem),
+s AS (SELECT *, sum(w) OVER (PARTITION BY ray) AS a, sum(w) OVER (PARTITION BY ray ORDER BY n, z, w ROWS UNBOUNDED PRECEDING) AS upto FROM w),
+z AS (SELECT *, min(CASE WHEN upto >= 0.5*a THEN z END) OVER (PARTITION BY ray) AS zf FROM s),
+f AS (SELECT ray, sum(w) AS wf, sum(w*z)/sum(w) AS m FROM z WHERE w >= 0.01*a AND abs(z - zf) <= 0.02*zf GROUP BY ray),
+v AS (SELECT z.ray, sqrt(sum(w*(z - m)*(z - m))/any_value(wf))/(any_value(m) + 1e-8) AS nu FROM z JOIN f ON f.ray = z.ray WHERE w >= 0.01*a AND abs(z - zf) <= 0.02*zf GROUP BY z.ray),
+r AS (SELECT ray, sum(w) AS a FROM w GROUP BY ray)
+SELECT r.ray, round(a, 5) AS alpha, round(coalesce(wf, 0)/(a + 1e-8), 5) AS share, round(nu, 5) AS spread, round(a, 5) >= 120 AND round(coalesce(wf, 0)/(a + 1e-8), 5) >= 0.6 AND coalesce(round(nu, 5) <= 0.01, false) AS open FROM r LEFT JOIN f USING (ray) LEFT JOIN v USING (ray)""")
+def front_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SP17: rays with one reliable surface in front."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ray"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("w"), (200 + F.round(100 * F.col("l_discount"))).alias("z"))
+    rays = rows.groupBy("ray").agg(F.sum("w").alias("alpha"))
+    gates = raster.front_gate(raster.front_set(rows, ["ray"], ["n", "z", "w"], "w", "z"), rays, ["ray"], "w", "z", least_alpha=120.0, least_share=0.6)
+    r = gates.select("ray", *[F.round(c, 5).alias(c) for c in ("alpha", "share", "spread")])
+    return r.withColumn("open", F.coalesce((F.col("alpha") >= 120) & (F.col("share") >= 0.6) & (F.col("spread") <= 0.01), F.lit(False)))
