@@ -1,22 +1,21 @@
 """Nearest, radius and gated neighbours.
 
 In a few dimensions points are hashed to cells as wide as the search radius, so a search is an equi-join on the 27
-cells around a point. In many dimensions cells prune nothing; there a stated set of queries meets all rows in blocks.
+cells around a point. In many dimensions cells go by pivots, and the triangle inequality says which a query has to meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from pointloom.operators.checkpoints import cut
+from pyspark.sql import types as T
 
 from pointloom.functions import vectors as V
+from pointloom.operators import metric
+from pointloom.operators.checkpoints import cut
 
 
 def _cells(width: float, xyz: tuple[str, ...]) -> list[Column]:
@@ -45,64 +44,45 @@ def _merge_nearest(df: DataFrame, k: int, keys: list[str]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _in_blocks(queries: DataFrame, rows: DataFrame, q_id: str, r_id: str, vectors: dict[str, str], search: Callable, extra: str, block: int) -> DataFrame:
-    """(a_id, b_id, extra) of search(a, b) over blocks of queries and parts of rows, each pair one task's work.
-
-    search gets two dicts of matrices (by the names in `vectors`) with their ids, rows by ascending id, and gives the
-    places in a and b, and the extra columns, of what is worth going on.
-    """
-    spark = queries.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = max(1, -(-queries.count() // block))
-
-    def side(df: DataFrame, key: str) -> DataFrame:
-        return df.select(F.col(key).cast("long").alias("id"), *[F.col(c).alias(n) for n, c in vectors.items()])
-
-    q = side(queries, q_id).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = side(rows, r_id).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    names = [x.split()[0] for x in extra.split(", ")]
-
-    def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"a_id": pa.array([], pa.int64()), "b_id": pa.array([], pa.int64())} | {n: pa.array([], pa.float64()) for n in names})
-        right = right.sort_by("id")
-        a, b = ({"id": t.column("id").to_numpy()} | {n: np.array(t.column(n).to_pylist(), np.float64) for n in vectors} for t in (left, right))
-        i, j, more = search(a, b)
-        return pa.table({"a_id": a["id"][i], "b_id": b["id"][j]} | dict(zip(names, more, strict=True)))
-
-    r = r.select("id", *vectors, "block", "part")
-    return q.groupBy("block", "part").cogroup(r.groupBy("block", "part")).applyInArrow(task, f"a_id long, b_id long, {extra}")
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of one vector and many, added up dimension by dimension as a sum over the arrays would be."""
-    out = np.zeros(len(b))
-    for j in range(len(a)):
-        out += (a[j] - b[:, j]) * (a[j] - b[:, j])
-    return out
-
-
-def knn(queries: DataFrame, rows: DataFrame, k: int, vector: str, q_id: str, r_id: str, skip_self: bool = True, block: int = 2048) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int, vector: str, q_id: str, r_id: str, skip_self: bool = True) -> DataFrame:
     """(a_id, b_id, d2, rank): exact k nearest rows of each query by squared distance, smaller ids first on ties.
 
-    The queries are cut into blocks and the rows into parts; the k best of each query and part go on. No other pair
-    of vectors becomes a row.
+    A query first meets the cells whose pivots are nearest and which hold k others together; the k-th distance there bounds the
+    cells that it has to meet at all (see operators.metric). Only the k best of a query and a piece of a cell become
+    rows. Vectors with nulls or NaN are left out.
     """
+    r, pivots, radii, sizes = metric.indexed(rows, r_id, {"v": vector}, "v")
+    q = metric.sound(queries.select(F.col(q_id).cast("long").alias("id"), F.col(vector).alias("v")), ["v"])
+    empty = q.select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).limit(0)
+    if not len(pivots):
+        return empty
 
     def search(a, b):
-        i, j, out = [], [], []
-        for x in range(len(a["id"])):
-            d = _squared(a["v"][x], b["v"])
-            if skip_self:
-                d[b["id"] == a["id"][x]] = np.inf
-            near = np.argsort(d, kind="stable")[:k]
-            near = near[np.isfinite(d[near])]
-            i.append(np.full(len(near), x))
-            j.append(near)
-            out.append(d[near])
-        return np.concatenate(i), np.concatenate(j), [np.concatenate(out)]
-
-    return _merge_nearest(_in_blocks(queries, rows, q_id, r_id, {"v": vector}, search, "d2 double", block), k, ["a_id"])
+        d = metric.squared(a["v"], b["v"])
+        if skip_self:
+            d[a["id"][:, None] == b["id"][None, :]] = np.inf
+        i, j = metric.nearest_of(d, k)
+        return i, j, [d[i, j]]
+
+    def home(batches):
+        for x in batches:
+            if len(x):
+                v, lists = metric.matrix(x.column("v")), []
+                for at in range(0, len(v), max(1, metric.MATRIX // len(pivots))):
+                    d = metric.squared(v[at : at + max(1, metric.MATRIX // len(pivots))], pivots)
+                    d[:, sizes == 0] = np.inf
+                    order = np.argsort(d, axis=1, kind="stable")
+                    enough = (np.cumsum(sizes[order], axis=1) <= k).sum(1) + 1  # k others, and the query itself
+                    lists += [o[:n].astype(np.int32).tolist() for o, n in zip(order, np.minimum(enough, (sizes > 0).sum()))]
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(lists, pa.list_(pa.int32()))], [*x.schema.names, "cells"])
+
+    first = cut(q.mapInArrow(home, metric.wider(q, cells=T.ArrayType(T.IntegerType()))))
+    near = cut(_merge_nearest(metric.meet(first, r, sizes, ["v"], search, "d2 double"), k, ["a_id"]).drop("rank"))
+    reach = near.groupBy("a_id").agg(F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("d2"))).alias("_most"))
+    bounded = first.join(reach, F.col("id") == F.col("a_id"), "left").withColumn("most", F.coalesce("_most", F.lit(float("inf")))).select("id", "v", F.col("cells").alias("seen"), "most")
+    rest = metric.cells_within(bounded, "v", pivots, radii, "most", sizes > 0)
+    rest = cut(rest.select("id", "v", F.array_except("cells", "seen").alias("cells")))
+    return _merge_nearest(near.unionByName(metric.meet(rest, r, sizes, ["v"], search, "d2 double")), k, ["a_id"])
 
 
 def knn_grid(points: DataFrame, k: int, width: float, pid: str = "pid", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -129,26 +109,29 @@ def mean_nearest(neighbours: DataFrame, k: int = 3) -> DataFrame:
     return g.select("a_id", F.when(F.col("_n") >= k, F.col("_m")).alias("mean_d2"))
 
 
-def gated_neighbors(cameras: DataFrame, centre: str, axis: str, cid: str, near: float = 0.01, far: float = 1.5, degrees: float = 30.0, most: int = 8, block: int = 2048) -> DataFrame:
+def gated_neighbors(cameras: DataFrame, centre: str, axis: str, cid: str, near: float = 0.01, far: float = 1.5, degrees: float = 30.0, most: int = 8) -> DataFrame:
     """(a_id, b_id, dist, angle, rank): of each camera up to `most` others with near < dist < far and angle < degrees,
-    by distance and then angle. NaN angles and cameras without an axis pass no gate."""
+    by distance and then angle. NaN angles and cameras without an axis pass no gate.
+
+    A camera meets the cells of centres only that may hold one within `far` (see operators.metric).
+    """
+    c, pivots, radii, sizes = metric.indexed(cameras, cid, {"p": centre, "v": axis}, "p")
+    if not len(pivots):
+        return c.select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0.0).alias("dist"), F.lit(0.0).alias("angle"), F.lit(0).alias("rank")).limit(0)
 
     def search(a, b):
-        i, j, dist, angle = [], [], [], []
-        lengths = np.sqrt((b["v"] ** 2).sum(1))
-        for x in range(len(a["id"])):
-            d = np.sqrt(_squared(a["p"][x], b["p"]))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                g = np.degrees(np.arccos(b["v"] @ a["v"][x] / (np.sqrt((a["v"][x] ** 2).sum()) * lengths)))
-            ok = np.flatnonzero((g < degrees) & (d > near) & (d < far) & (b["id"] != a["id"][x]))
-            ok = ok[np.lexsort((ok, g[ok], d[ok]))][:most]
-            i.append(np.full(len(ok), x))
-            j.append(ok)
-            dist.append(d[ok])
-            angle.append(g[ok])
-        return np.concatenate(i), np.concatenate(j), [np.concatenate(dist), np.concatenate(angle)]
-
-    found = _in_blocks(cameras, cameras, cid, cid, {"p": centre, "v": axis}, search, "dist double, angle double", block)
+        d = np.sqrt(metric.squared(a["p"], b["p"]))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            lengths = np.sqrt((a["v"] ** 2).sum(1))[:, None] * np.sqrt((b["v"] ** 2).sum(1))[None, :]
+            g = np.degrees(np.arccos(a["v"] @ b["v"].T / lengths))
+        i, j = np.nonzero((g < degrees) & (d > near) & (d < far) & (a["id"][:, None] != b["id"][None, :]))
+        order = np.lexsort((j, g[i, j], d[i, j], i))
+        i, j = i[order], j[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+        return i[keep], j[keep], [d[i, j][keep], g[i, j][keep]]
+
+    asked = cut(metric.cells_within(c.select("id", "p", "v"), "p", pivots, radii, far, sizes > 0))
+    found = metric.meet(asked, c, sizes, ["p", "v"], search, "dist double, angle double")
     order = Window.partitionBy("a_id").orderBy("dist", "angle", "b_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 

@@ -33,7 +33,7 @@ def test_knn_grid_is_brute_force(spark, n):
 def test_block_knn_and_mean(spark):
     points = np.random.default_rng(0).normal(size=(60, 8))
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
-    near = neighbors.knn(df, df, 3, "v", "id", "id", block=16)
+    near = neighbors.knn(df, df, 3, "v", "id", "id")
     got = {}
     for r in near.orderBy("a_id", "rank").collect():
         got.setdefault(r["a_id"], []).append(r["b_id"])
