@@ -146,6 +146,20 @@ class _Nfa:
         self.empty.append([])
         return len(self.on) - 1
 
+    def turned(self) -> _Nfa:
+        """The automaton with every edge the other way round."""
+        out = _Nfa()
+        for _ in self.on:
+            out.state()
+        for s, edge in enumerate(self.on):
+            for t in self.empty[s]:
+                out.empty[t].append(s)
+            if edge:
+                between = out.state()
+                out.on[between] = (edge[0], s)
+                out.empty[edge[1]].append(between)
+        return out
+
     def closure(self, states) -> frozenset[int]:
         found, todo = set(states), list(states)
         while todo:
@@ -169,26 +183,63 @@ class Dfa:
 
     def longest(self, data: bytes, start: int, end: int) -> int:
         """The end of the longest match at `start`, -1 if none (for an automaton of anchored rules)."""
-        state, found, table, classes, accept, width = 0, -1, self.table, self.classes, self.accept, self.columns
-        for i in range(start, end):
+        state, found, table, classes, accept, width = 0, -1, self.table, self.classes.tolist(), self.accept, self.columns
+        near = min(end, start + STEPWISE)
+        for i in range(start, near):
             state = int(table[state + classes[data[i]]])
             if state == self.dead:
-                break
+                return found
             if accept[state // width]:
                 found = i + 1
+        while near < end:  # a long match: in step with others of its own bytes, a piece at a time
+            piece = np.frombuffer(data, np.uint8, min(end - near, PIECE), near)
+            states = run(self, piece, start=state)
+            hits = self.hits(states)
+            found = near + int(hits[-1]) + 1 if len(hits) else found
+            state = int(states[-1])
+            if state == self.dead:
+                break
+            near += len(piece)
         return found
 
+    def hits(self, states: np.ndarray) -> np.ndarray:
+        """The places of states in which a rule accepts."""
+        flags = np.repeat(self.accept != 0, self.columns)
+        return np.concatenate([np.flatnonzero(flags[states[at : at + PIECE]]) + at for at in range(0, len(states), PIECE)] or [np.zeros(0, np.int64)])
+
+    def marks(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, rules' bits) of the states in which rules accept; of places in a row with the same rules, the last."""
+        bits = np.repeat(self.accept.astype(np.uint32), self.columns)
+        places, rules = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(states), PIECE):
+            m = bits[states[at : at + PIECE + 1]]
+            last = m != 0
+            last[:-1] &= m[1:] != m[:-1]
+            found = np.flatnonzero(last[: min(PIECE, len(states) - at)])
+            places.append(found + at)
+            rules.append(m[found])
+        return np.concatenate(places), np.concatenate(rules)
 
-def compile_rules(rules: list[tuple[str, bool]], anchored: bool = False) -> Dfa:
+
+#: Bytes of a match that are stepped through one by one, and bytes that are looked at at once beyond.
+STEPWISE = 2048
+PIECE = 1 << 20
+
+
+def compile_rules(rules: list[tuple[str, bool]], anchored: bool = False, backwards: bool = False) -> Dfa:
     """Subset construction over all (pattern, either case) at once, then minimisation. State 0 is the start.
 
-    Unless anchored, a match may begin at any byte, so the automaton sees the matches of every rule in one pass.
+    Unless anchored, a match may begin at any byte, so the automaton sees the matches of every rule in one pass. An automaton that
+    reads backwards accepts where a match begins.
     """
     nfa, starts, finals = _Nfa(), [], {}
     for r, (pattern, either_case) in enumerate(rules):
         s = nfa.state()
-        starts.append(s)
-        finals[_Parser(nfa, pattern, either_case).build(s)] = r
+        end = _Parser(nfa, pattern, either_case).build(s)
+        starts.append(end if backwards else s)
+        finals[s if backwards else end] = r
+    if backwards:
+        nfa = nfa.turned()
     signature = [tuple(b in edge[0] for edge in nfa.on if edge) for b in range(256)]
     distinct = {s: i for i, s in enumerate(dict.fromkeys(signature))}
     classes = np.array([distinct[s] for s in signature], np.int64)
@@ -216,38 +267,64 @@ def compile_rules(rules: list[tuple[str, bool]], anchored: bool = False) -> Dfa:
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     dead = numbers.get(frozenset(), -1)
-    return Dfa(classes, (rank[label[table[pick[order]]]] * len(distinct)).ravel(), accept[pick[order]], len(distinct), int(rank[label[dead]]) * len(distinct) if dead >= 0 else -1)
+    steps = (rank[label[table[pick[order]]]] * len(distinct)).ravel()
+    narrow = np.uint16 if len(steps) < 1 << 16 else np.int32
+    return Dfa(classes.astype(np.uint8), steps.astype(narrow), accept[pick[order]], len(distinct), int(rank[label[dead]]) * len(distinct) if dead >= 0 else -1)
 
 
 WARM_UP = 32
+#: Lanes behind a wrong one that are guessed anew in the first turn; so many times more in each further turn.
+AHEAD = 8
+
+
+def _stepped(dfa: Dfa, columns: np.ndarray, state: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """The state of each lane after all rows of columns (step, lane); out: (step, lane) takes all of them."""
+    at, state = np.empty(len(state), np.intp), state.astype(dfa.table.dtype)
+    for j in range(len(columns)):
+        np.add(state, columns[j], out=at, dtype=np.intp, casting="unsafe")
+        state = np.take(dfa.table, at, out=None if out is None else out[j], mode="clip")
+    return state
 
 
-def run(dfa: Dfa, data: np.ndarray, lanes: int = 4096) -> np.ndarray:
+def run(dfa: Dfa, data: np.ndarray, lanes: int = 4096, start: int = 0) -> np.ndarray:
     """The automaton's state (times its columns) after each byte of data, one pass with many lanes in step.
 
-    Each lane is a stretch of the bytes. Its first state is guessed by running the bytes before it from the
-    start; a lane whose guess isn't the state in which the lane before it ended is run again.
+    Each lane is a stretch of the bytes. Its first state is guessed by running the bytes before it from `start`; a lane whose guess isn't
+    the state in which the lane before it ended is run again from that state. In a match longer than lanes all guesses are
+    wrong; so the lanes behind a wrong one are guessed again too, from the state that was found, more of them each turn.
     """
     n = len(data)
+    if not n:
+        return np.zeros(0, dfa.table.dtype)
     length = max(2 * WARM_UP, -(-n // lanes))
     count = -(-n // length)
-    codes = np.zeros(count * length, np.intp)
+    codes = np.zeros(count * length, np.uint8)
     codes[:n] = dfa.classes[data]
     by_lane = codes.reshape(count, length)
-    guess = np.zeros(count, np.intp)
-    warm = np.ascontiguousarray(by_lane[:-1, -WARM_UP:].T)
-    for row in warm:
-        guess[1:] = dfa.table[guess[1:] + row]
-    states = np.empty((length, count), np.intp)
-    again = np.arange(count)
+    warm = by_lane[:, -WARM_UP:]
+    guess = np.full(count, start, dfa.table.dtype)
+    guess[1:] = _stepped(dfa, np.ascontiguousarray(warm[:-1].T), guess[1:])
+    states = np.empty((count, length), dfa.table.dtype)
+    again, ahead = np.arange(count), AHEAD
     while len(again):
-        cols = np.ascontiguousarray(by_lane[again].T)
-        out, s, at = np.empty((length, len(again)), np.intp), guess[again], np.empty(len(again), np.intp)
-        for j in range(length):
-            np.add(s, cols[j], out=at)
-            s = np.take(dfa.table, at, out=out[j], mode="clip")
-        states[:, again] = out
-        true = np.concatenate([[0], states[-1, :-1]])
-        again = np.flatnonzero(true != guess)
-        guess = true
-    return states.T.reshape(-1)[:n]
+        for at in range(0, len(again), lanes):
+            some = again[at : at + lanes]
+            out = np.empty((length, len(some)), dfa.table.dtype)
+            _stepped(dfa, np.ascontiguousarray(by_lane[some].T), guess[some], out)
+            states[some] = out.T
+        true = np.concatenate([np.array([start], dfa.table.dtype), states[:-1, -1]])
+        wrong = np.flatnonzero(true != guess)
+        if not len(wrong):
+            break
+        to = np.minimum(np.append(wrong[1:], count), wrong + ahead)
+        sizes = to - wrong
+        behind = np.repeat(wrong - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        owner = np.repeat(wrong, sizes)
+        behind, owner = behind[behind != owner], owner[behind != owner]
+        new = _stepped(dfa, np.ascontiguousarray(warm[behind - 1].T), true[owner]) if len(behind) else true[:0]
+        changed = new != guess[behind]
+        guess[wrong] = true[wrong]
+        guess[behind[changed]] = new[changed]
+        again = np.sort(np.concatenate([wrong, behind[changed]]))
+        ahead *= AHEAD
+    return states.reshape(-1)[:n]

@@ -71,13 +71,31 @@ def _anchored(pattern: str, either_case: bool) -> automaton.Dfa:
     return automaton.compile_rules([(pattern, either_case)], anchored=True)
 
 
+@lru_cache
+def _starts(pattern: str, either_case: bool) -> automaton.Dfa:
+    return automaton.compile_rules([(pattern, either_case)], backwards=True)
+
+
+def _begins(pattern: str, either_case: bool, data: bytes) -> np.ndarray:
+    """Where a match of the pattern begins, in order: the places at which the automaton of the turned pattern, read from behind, accepts."""
+    dfa = _starts(pattern, either_case)
+    states = automaton.run(dfa, np.frombuffer(data, np.uint8)[::-1])
+    return (len(data) - 1 - dfa.hits(states))[::-1]
+
+
 def _matches(rule: Rule, data: bytes) -> list[tuple[int, int]]:
     """The rule's matches in a stretch that no match reaches into or out of."""
-    whole, found, at = _anchored(rule.pattern, rule.either_case), [], 0
+    # A run of one class of signs is as long as it is, so runs that are too short can be left out from the start.
+    pattern = rule.scan if rule.scan and rule.scan != _TOKENS else rule.pattern
+    whole, found, at, begins = _anchored(pattern, rule.either_case), [], 0, None
     while at < len(data):
         end = whole.longest(data, at, len(data))
         if end < 0:
-            at += 1
+            begins = _begins(pattern, rule.either_case, data) if begins is None else begins
+            after = int(np.searchsorted(begins, at, "right"))
+            if after == len(begins):
+                break
+            at = int(begins[after])
             continue
         body = _anchored(rule.head, rule.either_case).longest(data, at, end) if rule.head else at
         if end - body >= rule.least:
@@ -98,17 +116,20 @@ def scan(data: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple[int, int,
     for i in range(n):
         apart[new[i] : new[i + 1] - 1] = data[bounds[i] : bounds[i + 1]]
     states = automaton.run(dfa, apart)
-    accepted = dfa.accept[states // dfa.columns] if len(states) else np.zeros(0, np.int64)
-    hits = np.flatnonzero(accepted)
-    resets = np.flatnonzero(states == 0)
+    hits, bits = dfa.marks(states)
+    if not len(hits):
+        return {}
+    small = np.int32 if len(apart) < 1 << 31 else np.int64
+    resets = np.flatnonzero(states == 0).astype(small)
     after = np.searchsorted(resets, hits)
-    cuts = np.concatenate([[-1], resets])
-    todo: dict[tuple[int, int], int] = {}
-    for a, b, m in zip(cuts[after] + 1, resets[after], accepted[hits], strict=True):
-        todo[a, b] = todo.get((a, b), 0) | int(m)
+    first = np.flatnonzero(np.concatenate([[True], after[1:] != after[:-1]]))  # of each stretch
+    masks = np.bitwise_or.reduceat(bits, first)
+    ends = resets[after[first]]
+    begins = np.where(after[first] > 0, resets[after[first] - 1] + 1, 0)
+    del states, resets, hits, after
     found: dict[int, list[tuple[int, int, int]]] = {}
-    points = np.cumsum((apart & 0xC0) != 0x80) if todo else None  # code points up to each byte, counted once
-    for (a, b), m in todo.items():
+    points = np.cumsum((apart & 0xC0) != 0x80, dtype=small)  # code points up to each byte, counted once
+    for a, b, m in zip(begins.tolist(), ends.tolist(), masks.tolist(), strict=True):
         doc = int(np.searchsorted(new, a, "right")) - 1
         stretch, base = apart[a:b].tobytes(), int(points[new[doc]]) - 1
         for r in (r for bit, rules in enumerate(_forms().values()) if m >> bit & 1 for r in rules):

@@ -120,6 +120,33 @@ def test_secret_spans(docs, rows):
     same(out, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], want)
 
 
+def test_lanes_in_step_are_the_steps_one_by_one():
+    """Matches longer than lanes, from any start, with few and many lanes."""
+    import random
+
+    r = random.Random(3)
+    dfa = secrets.scanner()
+    text = b" ".join(r.choice([b"token=" + bytes(r.choices(b"abcdef0123456789+/Zz", k=r.randint(1, 900))), b"some words", b"AKIA" + b"A" * r.randint(1, 700), b"f" * r.randint(1, 500)]) for _ in range(60))
+    for start in (0, int(dfa.table[7])):
+        state, want = start, []
+        for b in text:
+            state = int(dfa.table[state + int(dfa.classes[b])])
+            want.append(state)
+        for lanes in (1, 3, 64, 4096):
+            assert automaton.run(dfa, np.frombuffer(text, np.uint8), lanes, start).tolist() == want
+
+
+def test_very_long_tokens():
+    import base64
+    import random
+
+    blob = base64.b64encode(random.Random(5).randbytes(3_000_000)).decode()
+    for text, span in ((f"a token={blob} b", ("assign", 2, 8 + len(blob))), ("x " + "0123456789abcdef" * 250_000, ("hex", 2, 4_000_002)), ("password: " + "A" * 4_000_000, ("assign", 0, 4_000_010))):
+        data = np.frombuffer(text.encode(), np.uint8)
+        found = secrets.scan(data, np.array([0, len(data)]))[0]
+        assert [(secrets.RULES[r].kind, s, e) for s, e, r in found if secrets.RULES[r].kind in secrets.BASE] == [span]
+
+
 def test_scan_of_random_bytes_is_the_regexes():
     import random
 
