@@ -275,6 +275,8 @@ def compile_rules(rules: list[tuple[str, bool]], anchored: bool = False, backwar
 WARM_UP = 32
 #: Lanes behind a wrong one that are guessed anew in the first turn; so many times more in each further turn.
 AHEAD = 8
+#: How often a lane is guessed ahead; later it waits for the state in which the lane before it ends.
+TRIES = 3
 
 
 def _stepped(dfa: Dfa, columns: np.ndarray, state: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
@@ -305,7 +307,7 @@ def run(dfa: Dfa, data: np.ndarray, lanes: int = 4096, start: int = 0) -> np.nda
     guess = np.full(count, start, dfa.table.dtype)
     guess[1:] = _stepped(dfa, np.ascontiguousarray(warm[:-1].T), guess[1:])
     states = np.empty((count, length), dfa.table.dtype)
-    again, ahead = np.arange(count), AHEAD
+    again, ahead, tries = np.arange(count), AHEAD, np.zeros(count, np.uint8)
     while len(again):
         for at in range(0, len(again), lanes):
             some = again[at : at + lanes]
@@ -322,9 +324,10 @@ def run(dfa: Dfa, data: np.ndarray, lanes: int = 4096, start: int = 0) -> np.nda
         owner = np.repeat(wrong, sizes)
         behind, owner = behind[behind != owner], owner[behind != owner]
         new = _stepped(dfa, np.ascontiguousarray(warm[behind - 1].T), true[owner]) if len(behind) else true[:0]
-        changed = new != guess[behind]
+        changed = (new != guess[behind]) & (tries[behind] < TRIES)
+        tries[behind[changed]] += 1
         guess[wrong] = true[wrong]
         guess[behind[changed]] = new[changed]
         again = np.sort(np.concatenate([wrong, behind[changed]]))
-        ahead *= AHEAD
+        ahead = min(ahead * AHEAD, count)
     return states.reshape(-1)[:n]
