@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 import sqlite3
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions.keys import ordered_match, pair_id, unpair
-from pointloom.sources.files import ordered_rows, write_file
+from pointloom.sources.records import located
 
 # The tables, as SQLite's and Spark's column types.
 TABLES = {
@@ -47,18 +49,58 @@ def scan(spark: SparkSession, path: str, table: str, columns: list[str] | None =
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
-def write_database(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> None:
-    """A new database file with the given tables' rows; other tables are empty."""
-    db = sqlite3.connect(":memory:")
-    for statement in create_statements():
-        db.execute(statement)
+def write_database(spark: SparkSession, path: str, tables: dict[str, DataFrame], shards: int = 1) -> None:
+    """A new database with the given tables' rows; other tables are empty. Tasks build and write it, not the driver.
+
+    A SQLite file has one writer, so a file is one task's work and is held in its memory; with more shards path becomes a folder of that
+    many databases, which have the rows by hash of their first column, and which scan reads together as path/*.
+    """
+    union = None
     for t, df in tables.items():
-        names = [c for c, _, _ in TABLES[t]]
-        insert = f"INSERT INTO {t} VALUES ({', '.join('?' * len(names))})"
-        for r in ordered_rows(df.select(*[F.col(c).cast(k) if c in df.columns else F.lit(None).cast(k).alias(c) for c, _, k in TABLES[t]]), names[0]):
-            db.execute(insert, [bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in r])
-    db.commit()
-    write_file(spark, path, [db.serialize()])
+        kinds = {c: k for c, _, k in TABLES[t]}
+        typed = df.select(*[F.col(c).cast(k) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
+        key = F.col(next(iter(kinds))).cast("long")
+        rows = typed.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.lit(t).alias("table"), key.alias("key"), *[F.col(c) for c in kinds])
+
+        def packed(batches, names=tuple(kinds)):
+            for b in batches:
+                values = [pickle.dumps(tuple(r[n] for n in names)) for r in b.select(list(names)).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"shard": b.column("shard"), "table": b.column("table"), "key": b.column("key"), "row": pa.array(values, pa.binary())})
+
+        part = rows.mapInArrow(packed, "shard int, table string, key long, row binary")
+        union = part if union is None else union.unionByName(part)
+    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit("").alias("table"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("row"))
+    union = every if union is None else union.unionByName(every)
+
+    def written(batches):
+        db, now = None, None
+
+        def close():
+            db.commit()
+            system, where = located(path if shards == 1 else f"{path}/{now:05d}.db")
+            with system.open_output_stream(where) as f:
+                f.write(db.serialize())
+            db.close()
+
+        for b in batches:
+            for shard, table, row in zip(b.column("shard").to_pylist(), b.column("table").to_pylist(), b.column("row").to_pylist(), strict=True):
+                if shard != now:
+                    if db:
+                        close()
+                    db, now = sqlite3.connect(":memory:"), shard
+                    for statement in create_statements():
+                        db.execute(statement)
+                if row is not None:
+                    values = pickle.loads(row)
+                    db.execute(f"INSERT INTO {table} VALUES ({', '.join('?' * len(values))})", values)
+        if db:
+            close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+
+    if shards > 1:
+        system, where = located(path)
+        system.create_dir(where)
+    union.repartition(shards, "shard").sortWithinPartitions("shard", "table", "key").mapInArrow(written, "n long").agg(F.sum("n")).collect()
 
 
 def require_keys(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Whole files as rows and rows as single files, through Spark's own file systems on both ways."""
+"""Whole files as rows, through Spark's own file systems."""
 
 from __future__ import annotations
 
@@ -38,20 +38,3 @@ def _columns(schema: str) -> list[str]:
         else:
             now += c
     return [*out, now.strip()]
-
-
-def write_file(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
-    """One file of the given parts, streamed through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        for part in parts:
-            stream.write(bytearray(part))
-    finally:
-        stream.close()
-
-
-def ordered_rows(df: DataFrame, *order: str):
-    """The rows in order, a partition at a time on the driver: for sinks that are one file by nature."""
-    return (df.orderBy(*order) if order else df).toLocalIterator(prefetchPartitions=True)

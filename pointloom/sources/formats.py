@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.sources import ply
-from pointloom.sources.files import ordered_rows, parse_files, write_file
+from pointloom.sources.files import parse_files
+from pointloom.sources.records import RANGE_BYTES, beginning, in_reach, located, read_fixed, read_indexed, write_rows
 
 POSE = "frame int, meta array<int>, pose array<double>"
 
@@ -34,14 +36,36 @@ def dense_bytes(height: int, width: int, channels: int, data: list[float]) -> by
     return f"{width}&{height}&{channels}&".encode() + values.ravel(order="F").tobytes()
 
 
+def read_dense_values(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(y, x, channel, value) of one dense array, read in ranges of bytes, so that an array of any size is split."""
+    head = beginning(path, 1 << 12)
+    w, h, c, _ = head.split(b"&", 3)
+    start = len(w) + len(h) + len(c) + 3
+    w, h, c = int(w), int(h), int(c)
+    rows, i = read_fixed(spark, path, start, w * h * c, [("value", "<f4")], range_bytes=range_bytes), F.col("row")
+    return rows.select((F.floor(i / w) % h).cast("int").alias("y"), (i % w).cast("int").alias("x"), F.floor(i / (w * h)).cast("int").alias("channel"), "value")
+
+
 def write_dense(df: DataFrame, folder: str) -> None:
-    """A file per row of (name, height, width, channels, data)."""
-    for r in ordered_rows(df):
-        write_file(df.sparkSession, f"{folder}/{r['name']}", [dense_bytes(r["height"], r["width"], r["channels"], r["data"])])
+    """A file per row of (name, height, width, channels, data), written by the task that has the row."""
+
+    def written(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                system, where = located(f"{folder}/{r['name']}")
+                with system.open_output_stream(where) as f:
+                    f.write(dense_bytes(r["height"], r["width"], r["channels"], r["data"]))
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(b)], pa.int64())})
+
+    df.select("name", "height", "width", "channels", "data").mapInArrow(written, "n long").agg(F.sum("n")).collect()
 
 
 def read_visibility(spark: SparkSession, path: str) -> DataFrame:
-    """(vid, visible) of a visibility file, by place."""
+    """(vid, visible) of a visibility file, by place; one that is in reach is walked over once and then read in ranges."""
+    if in_reach(path):
+        size = lambda data, at: n if at + 4 <= len(data) and at + (n := 4 + 4 * struct.unpack_from("<I", data, at)[0]) <= len(data) else -1
+        values = lambda data: (list(struct.unpack_from(f"<{len(data) // 4 - 1}I", data, 4)),)
+        return read_indexed(spark, path, 8, struct.unpack("<Q", beginning(path, 8))[0], size, values, "visible array<bigint>", number="vid")
 
     def parse(data: bytes) -> Iterator[tuple]:
         at = 8
@@ -63,8 +87,7 @@ def read_fused(spark: SparkSession, points: str, visibility: str) -> DataFrame:
 
 def write_visibility(df: DataFrame, path: str) -> None:
     """(vid, visible) by vid."""
-    rows = (struct.pack(f"<I{len(r['visible'])}I", len(r["visible"]), *r["visible"]) for r in ordered_rows(df, "vid"))
-    write_file(df.sparkSession, path, (x for part in ([struct.pack("<Q", df.count())], rows) for x in part))
+    write_rows(df.select("vid", "visible"), path, struct.pack("<Q", df.count()), lambda r: struct.pack(f"<I{len(r['visible'])}I", len(r["visible"]), *r["visible"]), "vid")
 
 
 def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
@@ -89,7 +112,7 @@ def write_trajectory(df: DataFrame, path: str) -> None:
         rows = [" ".join(f"{v:.12f}" for v in r["pose"][4 * i : 4 * i + 4]) for i in range(4)]
         return ("\n".join([" ".join(map(str, r["meta"])), *rows]) + "\n").encode()
 
-    write_file(df.sparkSession, path, (text(r) for r in ordered_rows(df, "frame")))
+    write_rows(df.select("frame", "meta", "pose"), path, b"", text, "frame")
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:

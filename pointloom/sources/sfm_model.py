@@ -5,10 +5,11 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.sources.files import ordered_rows, parse_files, write_file
+from pointloom.sources.files import parse_files
+from pointloom.sources.records import RANGE_BYTES, beginning, in_reach, paired_lines, read_indexed, write_rows
 
 # Camera models by id, and their numbers of parameters.
 CAMERA_MODELS = (
@@ -37,30 +38,58 @@ class _Bytes:
         return out
 
 
-def _cameras_bin(data: bytes) -> Iterator[tuple]:
-    b = _Bytes(data)
-    for _ in range(b.take("Q")[0]):
-        cid, model, width, height = b.take("iiQQ")
-        name, n = CAMERA_MODELS[model]
-        yield cid, name, width, height, list(b.take(f"{n}d"))
+def _camera(b: _Bytes) -> tuple:
+    cid, model, width, height = b.take("iiQQ")
+    name, n = CAMERA_MODELS[model]
+    return cid, name, width, height, list(b.take(f"{n}d"))
 
 
-def _images_bin(data: bytes) -> Iterator[tuple]:
-    b = _Bytes(data)
-    for _ in range(b.take("Q")[0]):
-        iid, *pose, cid = b.take("i7di")
-        name = b.name()
-        flat = b.take("ddq" * b.take("Q")[0])
-        obs = [{"x": x, "y": y, "point3d_id": p} for x, y, p in zip(flat[::3], flat[1::3], flat[2::3], strict=True)]
-        yield iid, pose[:4], pose[4:], cid, name, obs
+def _image(b: _Bytes) -> tuple:
+    iid, *pose, cid = b.take("i7di")
+    name = b.name()
+    flat = b.take("ddq" * b.take("Q")[0])
+    return iid, pose[:4], pose[4:], cid, name, [{"x": x, "y": y, "point3d_id": p} for x, y, p in zip(flat[::3], flat[1::3], flat[2::3], strict=True)]
 
 
-def _points_bin(data: bytes) -> Iterator[tuple]:
-    b = _Bytes(data)
-    for _ in range(b.take("Q")[0]):
-        pid, x, y, z, r, g, blue, error = b.take("Q3d3Bd")
-        flat = b.take("ii" * b.take("Q")[0])
-        yield pid, [x, y, z], [r, g, blue], error, [{"image_id": i, "point2d_idx": j} for i, j in zip(flat[::2], flat[1::2], strict=True)]
+def _point(b: _Bytes) -> tuple:
+    pid, x, y, z, r, g, blue, error = b.take("Q3d3Bd")
+    flat = b.take("ii" * b.take("Q")[0])
+    return pid, [x, y, z], [r, g, blue], error, [{"image_id": i, "point2d_idx": j} for i, j in zip(flat[::2], flat[1::2], strict=True)]
+
+
+_RECORDS = {"cameras": _camera, "images": _image, "points3D": _point}
+
+
+def _whole(table: str):
+    def parse(data: bytes) -> Iterator[tuple]:
+        b = _Bytes(data)
+        for _ in range(b.take("Q")[0]):
+            yield _RECORDS[table](b)
+
+    return parse
+
+
+def _ends(data: bytes, at: int, size: int) -> int:
+    """size, or -1 if data end before it does."""
+    return size if at + size <= len(data) else -1
+
+
+def _camera_size(data: bytes, at: int) -> int:
+    return _ends(data, at, 24 + 8 * CAMERA_MODELS[struct.unpack_from("<i", data, at + 4)[0]][1]) if at + 8 <= len(data) else -1
+
+
+def _image_size(data: bytes, at: int) -> int:
+    name = data.find(b"\0", at + 64)
+    if name < 0 or name + 9 > len(data):
+        return -1
+    return _ends(data, at, name + 9 - at + 24 * struct.unpack_from("<Q", data, name + 1)[0])
+
+
+def _point_size(data: bytes, at: int) -> int:
+    return _ends(data, at, 51 + 8 * struct.unpack_from("<Q", data, at + 43)[0]) if at + 51 <= len(data) else -1
+
+
+_SIZES = {"cameras": _camera_size, "images": _image_size, "points3D": _point_size}
 
 
 def _lines(data: bytes) -> list[str]:
@@ -95,7 +124,7 @@ def _points_txt(data: bytes) -> Iterator[tuple]:
         yield int(p[0]), [float(x) for x in p[1:4]], [int(x) for x in p[4:7]], float(p[7]), track
 
 
-_PARSERS = {("cameras", "bin"): _cameras_bin, ("images", "bin"): _images_bin, ("points3D", "bin"): _points_bin, ("cameras", "txt"): _cameras_txt, ("images", "txt"): _images_txt, ("points3D", "txt"): _points_txt}
+_PARSERS = {**{(t, "bin"): _whole(t) for t in _RECORDS}, ("cameras", "txt"): _cameras_txt, ("images", "txt"): _images_txt, ("points3D", "txt"): _points_txt}
 _SCHEMAS = {"cameras": CAMERAS, "images": IMAGES, "points3D": POINTS}
 
 
@@ -112,9 +141,40 @@ def detect_format(spark: SparkSession, folder: str) -> str:
     raise FileNotFoundError(f"no model in {folder}")
 
 
-def read_model(spark: SparkSession, folder: str, kind: str = "auto") -> dict[str, DataFrame]:
+def _numbers(words: Column, first: int, every: int, kind: str) -> Column:
+    """words[first], words[first + every], ..., as numbers."""
+    return F.transform(F.filter(words, lambda _, i: (i >= first) & ((i - first) % every == 0)), lambda x: x.cast(kind))
+
+
+def _text_rows(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """A text file's rows, read line by line (images: by pairs of lines) in ranges."""
+    zipped = lambda fields, *columns: F.transform(F.arrays_zip(*columns), lambda z: F.struct(*[z[str(i)].alias(n) for i, n in enumerate(fields)]))
+    if table == "images":
+        w, v = F.split(F.trim("head"), r"\s+", 10), F.filter(F.split("tail", r"\s+"), lambda x: x != "")
+        at = lambda i, kind: w[i].cast(kind)
+        obs = zipped(("x", "y", "point3d_id"), _numbers(v, 0, 3, "double"), _numbers(v, 1, 3, "double"), _numbers(v, 2, 3, "long"))
+        return paired_lines(spark, path).select(at(0, "int").alias("image_id"), F.array(*[at(i, "double") for i in range(1, 5)]).alias("qvec"), F.array(*[at(i, "double") for i in range(5, 8)]).alias("tvec"), at(8, "int").alias("camera_id"), F.trim(w[9]).alias("name"), obs.alias("obs"))
+    lines = spark.read.text(path).filter(~F.startswith(F.col("value"), F.lit("#")) & (F.trim("value") != ""))
+    w = F.split(F.trim("value"), r"\s+")
+    if table == "cameras":
+        return lines.select(w[0].cast("int").alias("camera_id"), w[1].alias("model"), w[2].cast("long").alias("width"), w[3].cast("long").alias("height"), _numbers(w, 4, 1, "double").alias("params"))
+    track = zipped(("image_id", "point2d_idx"), _numbers(w, 8, 2, "int"), _numbers(w, 9, 2, "int"))
+    return lines.select(w[0].cast("long").alias("point3d_id"), F.transform(F.slice(w, 2, 3), lambda x: x.cast("double")).alias("xyz"), F.transform(F.slice(w, 5, 3), lambda x: x.cast("int")).alias("rgb"), w[7].cast("double").alias("error"), track.alias("track"))
+
+
+def read_model(spark: SparkSession, folder: str, kind: str = "auto", range_bytes: int = RANGE_BYTES) -> dict[str, DataFrame]:
+    """The model's three tables. Files are read in ranges of bytes; only what pyarrow can't reach is read whole, a file a task."""
     kind = detect_format(spark, folder) if kind == "auto" else kind
-    return {t: parse_files(spark, f"{folder}/{t}.{kind}", _PARSERS[t, kind], s).drop("path") for t, s in _SCHEMAS.items()}
+    out = {}
+    for t, schema in _SCHEMAS.items():
+        path = f"{folder}/{t}.{kind}"
+        if not in_reach(path):
+            out[t] = parse_files(spark, path, _PARSERS[t, kind], schema).drop("path")
+        elif kind == "txt":
+            out[t] = _text_rows(spark, t, path)
+        else:
+            out[t] = read_indexed(spark, path, 8, struct.unpack("<Q", beginning(path, 8))[0], _SIZES[t], lambda data, t=t: _RECORDS[t](_Bytes(data)), schema, range_bytes)
+    return out
 
 
 def read_points_text(spark: SparkSession, path: str, most_error: float | None = 2.0) -> DataFrame:
@@ -169,12 +229,13 @@ def mean_list_size(df: DataFrame, column: str) -> float:
 
 
 def write_model(model: dict[str, DataFrame], folder: str, kind: str = "bin") -> None:
+    """The model's three files by id, each record encoded and written by a task."""
     for t, df in model.items():
-        spark, n = df.sparkSession, df.count()
+        n = df.count()
         if kind == "bin":
-            parts = (x for head in [[struct.pack("<Q", n)], (_BYTES[t](r) for r in ordered_rows(df, _KEYS[t]))] for x in head)
+            head, encode = struct.pack("<Q", n), _BYTES[t]
         else:
             extra = {"images": "obs", "points3D": "track"}.get(t)
-            about = f"# {_ABOUT[t]}\n# Number: {n}" + (f", mean list: {mean_list_size(df, extra)}" if extra else "") + "\n"
-            parts = (x for head in [[about.encode()], (f"{_TEXT[t](r)}\n".encode() for r in ordered_rows(df, _KEYS[t]))] for x in head)
-        write_file(spark, f"{folder}/{t}.{kind}", parts)
+            head = (f"# {_ABOUT[t]}\n# Number: {n}" + (f", mean list: {mean_list_size(df, extra)}" if extra else "") + "\n").encode()
+            encode = lambda r, t=t: f"{_TEXT[t](r)}\n".encode()
+        write_rows(df, f"{folder}/{t}.{kind}", head, encode, _KEYS[t])

@@ -117,6 +117,10 @@ def test_database(spark, tmp_path):
     database.write_database(spark, path, {"images": images, "cameras": cameras, "two_view_geometries": geometries})
     assert database.scan(spark, path, "images").orderBy("image_id").collect() == images.collect()
     assert database.scan(spark, path, "two_view_geometries", ["pair_id"], "rows >= 1").count() == 1
+    database.write_database(spark, f"{tmp_path}/shards", {"images": images, "cameras": cameras}, shards=3)
+    assert len(list((tmp_path / "shards").glob("*.db"))) == 3
+    assert database.scan(spark, f"{tmp_path}/shards/*", "images").orderBy("image_id").collect() == images.collect()
+    assert database.scan(spark, f"{tmp_path}/shards/*", "matches").count() == 0
     g, i = database.scan(spark, path, "two_view_geometries"), database.scan(spark, path, "images")
     assert database.inlier_pairs(g, i, 1).collect() == [("a", "b", 2)]
     assert database.match_lines(g, i, 1).first()["text"] == "a b\n1 2\n3 4\n"
