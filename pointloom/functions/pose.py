@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.functions import eigen
 from pointloom.functions import vectors as V
 
 
@@ -111,3 +112,29 @@ def look_at(forward: Column, up: Column, position: Column) -> Column:
 
     unit = lambda v, body: V.let(v, lambda w: V.let(V.normalize(w), body))  # noqa: E731  each vector is computed once
     return unit(forward, lambda z: unit(V.cross(up, z), lambda x: unit(V.cross(z, x), lambda y: axes(z, x, y))))
+
+
+def average_pose(poses: DataFrame, pose: str) -> DataFrame:
+    """(pose): 3x4 camera-to-world at the mean position, with the mean z axis and the mean y axis as up, of a column of 12 numbers or more."""
+    means = poses.agg(*[F.avg(F.col(pose)[i]).alias(f"_{i}") for i in range(12)])
+    axis = lambda k: F.array(*[F.col(f"_{4 * i + k}") for i in range(3)])
+    return means.select(look_at(axis(2), axis(1), axis(3)).alias("pose"))
+
+
+def principal_frame(poses: DataFrame, pose: str) -> DataFrame:
+    """(transform): the 4x4 that turns the positions' principal axes to x, y and z, most spread first, and their mean to 0.
+
+    It keeps the hand, and is turned about x where the mean y axis would point down. An axis' sign is eigen.symmetric3's.
+    """
+    t = [F.col(pose)[4 * i + 3] for i in range(3)]
+    moments = {f"c{i}{j}": F.covar_pop(t[i], t[j]) for i in range(3) for j in range(i, 3)}
+    means = {f"m{i}": F.avg(x) for i, x in enumerate(t)} | {f"y{i}": F.avg(F.col(pose)[4 * i + 1]) for i in range(3)}
+    row = poses.agg(*[v.alias(k) for k, v in (moments | means).items()])
+    row = row.select("*", eigen.symmetric3(F.array(*moments)).alias("e"))
+    row = row.withColumn("r", F.flatten(F.array(*[F.col("e")[k]["vector"] for k in (2, 1, 0)])))
+    hand = F.when(V.det3(F.col("r")) < 0, -1.0).otherwise(1.0)
+    row = row.withColumn("r", F.array(*[F.col("r")[i] * (hand if i > 5 else F.lit(1.0)) for i in range(9)]))
+    up = F.col("r")[6] * F.col("y0") + F.col("r")[7] * F.col("y1") + F.col("r")[8] * F.col("y2")
+    row = row.withColumn("f", F.when(up < 0, -1.0).otherwise(1.0)).withColumn("r", F.array(*[F.col("r")[i] * (F.col("f") if i > 2 else F.lit(1.0)) for i in range(9)]))
+    shift = [-V.total([F.col("r")[3 * i + j] * F.col(f"m{j}") for j in range(3)]) for i in range(3)]
+    return row.select(F.array(*[x for i in range(3) for x in (*[F.col("r")[3 * i + j] for j in range(3)], shift[i])], *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)]).alias("transform"))

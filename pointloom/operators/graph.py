@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,30 +102,60 @@ def similarity(pairs: DataFrame, src: str, dst: str, with_scale: bool = True) ->
     return _from_moments(row[:3], row[3:6], row[6:15].reshape(3, 3), row[15:].sum(), with_scale)
 
 
-def ransac_similarity(spark: SparkSession, src: np.ndarray, dst: np.ndarray, trials: int = 20000, threshold: float = 0.1, sample: int = 3, seed: int = 0) -> DataFrame:
-    """(trial, inliers, scale, rotation, translation) of the best trial, the first on ties, refitted on its inliers.
+def ransac_similarity(pairs: DataFrame, key: str, src: str, dst: str, threshold: float = 0.1, trials: int = 20000, confidence: float | None = 0.99999, sample: int = 3, batch: int = 256, seed: int = 0) -> DataFrame:
+    """(trial, trials, inliers, scale, rotation, translation) of the best trial, the first on ties, refitted on its inliers; one row, or
+    none from fewer than `sample` rows.
 
-    Trials are rows; each draws its sample from its own number, so a rerun task gives the same. src and dst are
-    matched camera centres, a short table that every task holds.
+    Each trial draws `sample` of the rows' places from its own number, so a task that is run again gives the same. Trials come in
+    batches: their few rows are looked up, fitted in the driver, and counted side by side over all rows, a row for each trial and task. After
+    a batch the trials are enough when a draw of inliers alone was likely enough to be among them (confidence; None runs all).
     """
-    shared = spark.sparkContext.broadcast((np.asarray(src, float), np.asarray(dst, float)))
-
-    def attempt(batches):
-        a, b = shared.value
-        for pdf in batches:
-            out = []
-            for trial in pdf["id"]:
-                pick = np.random.default_rng([seed, int(trial)]).choice(len(a), sample, replace=False)
-                f, r, t = _similarity(a[pick], b[pick])
-                good = np.linalg.norm(f * a @ r.T + t - b, axis=1) < threshold
-                if good.sum() >= 3:
-                    f, r, t = _similarity(a[good], b[good])
-                out.append((trial, int(good.sum()), f, r.ravel().tolist(), t.tolist()))
-            yield pd.DataFrame(out, columns=["trial", "inliers", "scale", "rotation", "translation"])
-
-    rows = spark.range(trials).mapInPandas(attempt, "trial long, inliers int, scale double, rotation array<double>, translation array<double>")
-    best = rows.agg(F.max(F.struct("inliers", (-F.col("trial")).alias("_t"), "scale", "rotation", "translation")).alias("b"))
-    return best.select((-F.col("b._t")).alias("trial"), "b.inliers", "b.scale", "b.rotation", "b.translation")
+    numbered = _numbered(pairs.select(key, F.col(src).alias("src"), F.col(dst).alias("dst")), [key], "place").select("place", "src", "dst")
+    rows = _cut(numbered)
+    n = rows.count()
+    spark, schema = pairs.sparkSession, "trial long, trials long, inliers long, scale double, rotation array<double>, translation array<double>"
+    if n < sample:
+        return spark.createDataFrame([], schema)
+    best, done, needed = None, 0, trials
+    while done < min(trials, needed):
+        numbers = range(done, min(done + batch, trials))
+        picks = {t: _distinct(seed, t, n, sample) for t in numbers}
+        wanted = spark.createDataFrame([(int(p),) for p in sorted({int(p) for x in picks.values() for p in x})], "wanted long")
+        found = {r["place"]: (r["src"], r["dst"]) for r in rows.join(F.broadcast(wanted), F.col("place") == F.col("wanted")).collect()}  # sample * batch rows at most
+        fits = [_similarity(np.array([found[int(p)][0] for p in picks[t]], float), np.array([found[int(p)][1] for p in picks[t]], float)) for t in numbers]
+        matrices, shifts = np.stack([f * r for f, r, _ in fits]), np.stack([t for *_, t in fits])
+
+        def counted(batches, matrices=matrices, shifts=shifts, first=done):
+            total = np.zeros(len(shifts), np.int64)
+            for b in batches:
+                a, d = (np.asarray(b.column(c).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, 3) for c in ("src", "dst"))
+                for at in range(0, len(a), 2048):
+                    off = np.einsum("tij,nj->tni", matrices, a[at : at + 2048]) + shifts[:, None] - d[None, at : at + 2048]
+                    total += (np.einsum("tni,tni->tn", off, off) < threshold * threshold).sum(1)
+            yield pa.RecordBatch.from_pydict({"trial": np.arange(first, first + len(total)), "inliers": total})
+
+        top = rows.mapInArrow(counted, "trial long, inliers long").groupBy("trial").agg(F.sum("inliers").alias("inliers")).orderBy(F.desc("inliers"), "trial").first()
+        if best is None or top["inliers"] > best[1]:
+            best = top["trial"], top["inliers"], *fits[top["trial"] - done]
+        done = numbers[-1] + 1
+        share = (best[1] / n) ** sample
+        if confidence is not None:
+            needed = 0 if share >= 1 else trials if share <= 0 else math.ceil(math.log(1 - confidence) / math.log1p(-share))
+    trial, inliers, f, r, t = best
+    if inliers >= 3:
+        moved = [F.lit(float(t[i])) + sum((F.col("src")[j] * float(f * r[i, j]) for j in range(1, 3)), F.col("src")[0] * float(f * r[i, 0])) - F.col("dst")[i] for i in range(3)]
+        f, r, t = similarity(rows.filter(moved[0] * moved[0] + moved[1] * moved[1] + moved[2] * moved[2] < threshold * threshold), "src", "dst")
+    return spark.createDataFrame([(trial, done, int(inliers), float(f), r.ravel().tolist(), t.tolist())], schema)
+
+
+def _distinct(seed: int, trial: int, n: int, sample: int) -> np.ndarray:
+    """`sample` distinct places, drawn one by one."""
+    r, out = np.random.default_rng([seed, trial]), []
+    while len(out) < sample:
+        x = int(r.integers(n))
+        if x not in out:
+            out.append(x)
+    return np.array(out)
 
 
 def transformed(points: DataFrame, factor: float, rotation: np.ndarray, t: np.ndarray, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:

@@ -7,12 +7,12 @@ cells around a point. In many dimensions cells go by pivots, and the triangle in
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointloom.functions import eigen
 from pointloom.functions import vectors as V
 from pointloom.operators import metric
 from pointloom.operators.checkpoints import cut
@@ -144,16 +144,11 @@ def statistical_outliers(neighbours: DataFrame, sigmas: float = 2.0) -> DataFram
 
 
 def normals_by_neighbours(neighbours: DataFrame, points: DataFrame, pid: str = "pid", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """(a_id, normal): the direction of least variance among a point's neighbours and itself."""
+    """(a_id, normal, values): the direction of least variance among a point's neighbours and itself, and all three variances, least first."""
     own = points.select(F.col(pid).alias("a_id"), F.col(pid).alias("b_id"))
     coordinates = points.select(F.col(pid).alias("b_id"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(xyz)])
     rows = neighbours.select("a_id", "b_id").unionByName(own).join(coordinates, "b_id")
     moments = [F.covar_pop(f"_{i}", f"_{j}").alias(f"m{i}{j}") for i in range(3) for j in range(i, 3)]
     g = rows.groupBy("a_id").agg(*moments)
-
-    @F.pandas_udf("array<double>")
-    def least(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.Series:
-        m = np.stack([np.stack([a, b, c], -1), np.stack([b, d, e], -1), np.stack([c, e, f], -1)], 1)
-        return pd.Series(list(np.linalg.eigh(m)[1][:, :, 0])) if len(a) else pd.Series([], dtype=object)
-
-    return g.select("a_id", least("m00", "m01", "m02", "m11", "m12", "m22").alias("normal"))
+    matrix = F.array(*[F.col(f"m{i}{j}") for i in range(3) for j in range(i, 3)])
+    return g.select("a_id", eigen.symmetric3(matrix).alias("_e")).select("a_id", F.col("_e")[0]["vector"].alias("normal"), F.transform("_e", lambda x: x["value"]).alias("values"))

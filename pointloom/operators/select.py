@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import greater
+from pointloom.operators.epochs import in_epoch
 from pointloom.operators.order import group_quantiles, numbered, quantiles, value_ends
 
 
@@ -74,14 +75,15 @@ def systematic(df: DataFrame, index: str, k: int) -> DataFrame:
     return df.filter(F.col(index) % k == 0)
 
 
-def random_cap(df: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """At most `most` rows, uniformly without replacement: the operator's purpose is the cap."""
-    return df.orderBy(F.rand(seed)).limit(most)
+def random_cap(df: DataFrame, keys: list[str], most: int, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """At most `most` rows without replacement, the first in the epoch's order of all: the operator's purpose is the cap."""
+    return in_epoch(df, keys, seed, epoch, "_place").filter(F.col("_place") < most).drop("_place")
 
 
-def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:
-    """All rows in a random order."""
-    return df.orderBy(F.rand(seed))
+def shuffled(df: DataFrame, keys: list[str], seed: int = 0, epoch: int = 0, begin: int = 0, size: int | None = None) -> DataFrame:
+    """Rows with their `place` in the epoch's order; from `begin` on, and only the next `size` if given, so that an epoch can be taken up again."""
+    rows = in_epoch(df, keys, seed, epoch).filter(F.col("place") >= begin)
+    return rows if size is None else rows.filter(F.col("place") < begin + size)
 
 
 def in_box(point: list[Column], low: list[float], high: list[float]) -> Column:

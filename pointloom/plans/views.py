@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import pose
 from pointloom.functions import vectors as V
-from pointloom.operators import evidence, life, raster, visibility
+from pointloom.operators import epochs, evidence, graph, life, neighbors, raster, select, visibility
 from pointloom.plans.tables import query, table
 
 
@@ -186,3 +186,86 @@ def front_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     gates = raster.front_gate(raster.front_set(rows, ["ray"], ["n", "z", "w"], "w", "z"), rays, ["ray"], "w", "z", least_alpha=120.0, least_share=0.6)
     r = gates.select("ray", *[F.round(c, 5).alias(c) for c in ("alpha", "share", "spread")])
     return r.withColumn("open", F.coalesce((F.col("alpha") >= 120) & (F.col("share") >= 0.6) & (F.col("spread") <= 0.01), F.lit(False)))
+
+
+@query("""WITH RECURSIVE k AS (SELECT unnest(range(48)) AS r, unnest([%s]) AS k), s AS (SELECT count(*) AS n FROM orders),
+x AS (SELECT 0 AS r, o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS x FROM orders
+  UNION ALL SELECT r + 1, o_orderkey, CASE WHEN ((((m*k[2] + k[3]) %% 2147483647) * ((m*k[4] + k[5]) %% 2147483647) %% 2147483647) >> 7) %% 2 = 1 THEN y ELSE x END FROM (
+    SELECT *, greatest(x, y) AS m FROM (SELECT x.*, k.k, (k.k[1] %% n - x + n) %% n AS y FROM x JOIN k ON k.r = x.r, s)))
+SELECT o_orderkey, x AS place FROM x WHERE r = 48""" % ", ".join(f"[{', '.join(f'{x}::BIGINT' for x in k)}]" for k in epochs.draws(7, 3)))
+def epoch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q7, Q11 and Q12: the order of an epoch, a keyed permutation of the rows' numbers."""
+    return select.shuffled(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], seed=7, epoch=3)
+
+
+def _vector_sql(source: str, value: str, out: str) -> str:
+    """CTEs of the unit eigenvectors for an eigenvalue, their largest number positive, from the rows of the matrix less the value."""
+    rows = [[f"a00 - {value}", "a01", "a02"], ["a01", f"a11 - {value}", "a12"], ["a02", "a12", f"a22 - {value}"]]
+    cross = lambda a, b: "[" + ", ".join(f"({a[j]})*({b[k]}) - ({a[k]})*({b[j]})" for j, k in ((1, 2), (2, 0), (0, 1))) + "]"
+    pairs = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    return f"""{out}0 AS (SELECT *, list_sort([{', '.join(f"{{'n': list_dot_product({c}, {c}), 'c': {c}}}" for c in pairs)}], 'DESC')[1].c AS c FROM {source}),
+{out}1 AS (SELECT *, list_transform(c, lambda x: x/sqrt(list_dot_product(c, c))) AS u FROM {out}0),
+{out} AS (SELECT * EXCLUDE (c, u), CASE WHEN u[list_position(list_transform(u, lambda x: abs(x)), list_max(list_transform(u, lambda x: abs(x))))] < 0 THEN list_transform(u, lambda x: -x) ELSE u END AS {out}_v FROM {out}1)"""
+
+
+#: Eigenvalues l1 >= l2 >= l3 in closed form.
+_VALUES = """q0 AS (SELECT *, (a00 + a11 + a22)/3 AS q FROM m), q1 AS (SELECT *, sqrt(((a00-q)*(a00-q) + (a11-q)*(a11-q) + (a22-q)*(a22-q) + 2*(a01*a01 + a02*a02 + a12*a12))/6) AS p FROM q0),
+q2 AS (SELECT *, acos(greatest(-1, least(1, ((a00-q)*((a11-q)*(a22-q) - a12*a12) - a01*(a01*(a22-q) - a12*a02) + a02*(a01*a12 - (a11-q)*a02))/(2*p*p*p))))/3 AS phi FROM q1),
+q3 AS (SELECT *, q + 2*p*cos(phi) AS l1, q + 2*p*cos(phi + 2*pi()/3) AS l3 FROM q2), ev AS (SELECT *, 3*q - l1 - l3 AS l2 FROM q3)"""
+
+
+@query(f"""WITH c AS (SELECT vec_id AS pid, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+d AS (SELECT a.pid, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.pid ORDER BY CASE WHEN a.pid = b.pid THEN -1 ELSE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) END, b.pid) AS k FROM c a, c b),
+m AS (SELECT pid, covar_pop(x, x) AS a00, covar_pop(x, y) AS a01, covar_pop(x, z) AS a02, covar_pop(y, y) AS a11, covar_pop(y, z) AS a12, covar_pop(z, z) AS a22 FROM d WHERE k <= 21 GROUP BY pid),
+{_VALUES}, {_vector_sql('ev', 'l3', 'v')}
+SELECT pid, round(l3, 6) AS least, round(l2, 6) AS middle, round(l1, 6) AS most, round(abs(v_v[1]), 3) AS nx, round(abs(v_v[2]), 3) AS ny, round(abs(v_v[3]), 3) AS nz FROM v""")
+def point_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8 and ST8: normals from 20 neighbours, and the variances around each point in order."""
+    e = table(spark, sf_dir, "embeddings")
+    cloud = e.select(F.col("vec_id").alias("pid"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+    n = neighbors.normals_by_neighbours(neighbors.knn_grid(cloud, 20, 0.3), cloud)
+    values = [F.round(F.col("values")[i], 6).alias(c) for i, c in enumerate(("least", "middle", "most"))]
+    return n.select(F.col("a_id").alias("pid"), *values, *[F.round(F.abs(F.col("normal")[i]), 3).alias(f"n{c}") for i, c in enumerate("xyz")])
+
+
+@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS p FROM embeddings),
+m AS (SELECT covar_pop(p[4], p[4]) AS a00, covar_pop(p[4], p[8]) AS a01, covar_pop(p[4], p[12]) AS a02, covar_pop(p[8], p[8]) AS a11, covar_pop(p[8], p[12]) AS a12, covar_pop(p[12], p[12]) AS a22,
+  avg(p[4]) AS m1, avg(p[8]) AS m2, avg(p[12]) AS m3, avg(p[2]) AS y1, avg(p[6]) AS y2, avg(p[10]) AS y3 FROM e),
+{_VALUES}, {_vector_sql('ev', 'l1', 'f')}, {_vector_sql('f', 'l2', 'g')}, {_vector_sql('g', 'l3', 'h')},
+d AS (SELECT *, f_v[1]*(g_v[2]*h_v[3] - g_v[3]*h_v[2]) - f_v[2]*(g_v[1]*h_v[3] - g_v[3]*h_v[1]) + f_v[3]*(g_v[1]*h_v[2] - g_v[2]*h_v[1]) < 0 AS odd FROM h),
+t AS (SELECT *, CASE WHEN odd THEN list_transform(h_v, lambda x: -x) ELSE h_v END AS z FROM d), u AS (SELECT *, CASE WHEN z[1]*y1 + z[2]*y2 + z[3]*y3 < 0 THEN -1 ELSE 1 END AS s FROM t)
+SELECT vec_id, round(f_v[1]*(e.p[4]-m1) + f_v[2]*(e.p[8]-m2) + f_v[3]*(e.p[12]-m3), 5) + 0.0 AS x, round(s*(g_v[1]*(e.p[4]-m1) + g_v[2]*(e.p[8]-m2) + g_v[3]*(e.p[12]-m3)), 5) + 0.0 AS y,
+  round(s*(z[1]*(e.p[4]-m1) + z[2]*(e.p[8]-m2) + z[3]*(e.p[12]-m3)), 5) + 0.0 AS z FROM e, u""")
+def aligned_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P37 and ST8: camera positions in the frame of their principal axes."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("p"))
+    placed = e.join(F.broadcast(pose.principal_frame(e, "p")))  # one row
+    at = [V.total([F.col("transform")[4 * i + j] * F.col("p")[4 * j + 3] for j in range(3)]) + F.col("transform")[4 * i + 3] for i in range(3)]
+    return placed.select("vec_id", *[(F.round(a, 5) + 0.0).alias(c) for a, c in zip(at, "xyz", strict=True)])
+
+
+@query("""WITH e AS (SELECT list_transform(embedding[1:12], lambda x: x::DOUBLE) AS p FROM embeddings),
+m AS (SELECT [avg(p[3]), avg(p[7]), avg(p[11])] AS z, [avg(p[2]), avg(p[6]), avg(p[10])] AS up, [avg(p[4]), avg(p[8]), avg(p[12])] AS t FROM e), a AS (SELECT list_transform(z, lambda x: x/sqrt(list_dot_product(z, z))) AS z, up, t FROM m),
+b AS (SELECT z, t, [up[2]*z[3] - up[3]*z[2], up[3]*z[1] - up[1]*z[3], up[1]*z[2] - up[2]*z[1]] AS x0 FROM a), c AS (SELECT z, t, list_transform(x0, lambda v: v/sqrt(list_dot_product(x0, x0))) AS x FROM b)
+SELECT round(x[1], 6) AS x0, round(x[2], 6) AS x1, round(x[3], 6) AS x2, round(z[2]*x[3] - z[3]*x[2], 6) AS y0, round(z[3]*x[1] - z[1]*x[3], 6) AS y1, round(z[1]*x[2] - z[2]*x[1], 6) AS y2, round(z[1], 6) AS z0, round(t[1], 6) AS t0 FROM c""")
+def average_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pose at the mean position, with the mean directions."""
+    e = table(spark, sf_dir, "embeddings").select(F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("p"))
+    m = F.col("pose")
+    at = {"x0": 0, "x1": 4, "x2": 8, "y0": 1, "y1": 5, "y2": 9, "z0": 2, "t0": 3}
+    return pose.average_pose(e, "p").select(*[F.round(m[i], 6).alias(n) for n, i in at.items()])
+
+
+@query("""WITH p AS (SELECT p_partkey, [p_size/10.0, sin(p_partkey::DOUBLE), cos(p_partkey*1.7)] AS a FROM part),
+d AS (SELECT p_partkey % 5 > 0 AS good, a, [1.5*(0.8*a[1] - 0.6*a[2]) + 1, 1.5*(0.6*a[1] + 0.8*a[2]) - 2, 1.5*a[3] + 0.5] AS b FROM p)
+SELECT count(*) AS inliers, round(sqrt((var_pop(b[1]) + var_pop(b[2]) + var_pop(b[3]))/(var_pop(a[1]) + var_pop(a[2]) + var_pop(a[3]))), 5) AS scale, 0.8 AS r0, -0.6 AS r1, 1.0 AS t0, -2.0 AS t1, 0.5 AS t2 FROM d WHERE good""")
+def robust_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity that most matches agree with, found by rounds of random trials."""
+    n = F.col("p_partkey")
+    a = [F.col("p_size") / 10.0, F.sin(n.cast("double")), F.cos(n * 1.7)]
+    b = [1.5 * (0.8 * a[0] - 0.6 * a[1]) + 1, 1.5 * (0.6 * a[0] + 0.8 * a[1]) - 2, 1.5 * a[2] + 0.5]
+    off = [F.when(n % 5 == 0, x + 3 + 5 * F.abs(F.sin(n * (i + 2.3)))).otherwise(x) for i, x in enumerate(b)]
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(*a).alias("a"), F.array(*off).alias("b"))
+    best = graph.ransac_similarity(rows, "p_partkey", "a", "b", threshold=0.05)
+    r, t = F.col("rotation"), F.col("translation")
+    return best.select("inliers", *[(F.round(c, 5) + 0.0).alias(k) for k, c in {"scale": F.col("scale"), "r0": r[0], "r1": r[1], "t0": t[0], "t1": t[1], "t2": t[2]}.items()])

@@ -213,8 +213,15 @@ def test_alignment(spark):
     np.testing.assert_allclose(t, [1, -2, 3], atol=1e-9)
     noisy = dst.copy()
     noisy[:10] += 50
-    best = graph.ransac_similarity(spark, src, noisy, trials=64, threshold=0.01).first()
-    assert best["inliers"] == 30 and best["scale"] == pytest.approx(2.5)
+    matched = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(src, noisy))], "id long, s array<double>, d array<double>")
+    best = graph.ransac_similarity(matched, "id", "s", "d", trials=64, threshold=0.01, batch=16).first()
+    assert best["inliers"] == 30 and best["scale"] == pytest.approx(2.5) and best["trials"] < 64
+    every = graph.ransac_similarity(matched, "id", "s", "d", trials=64, threshold=0.01, batch=10, confidence=None).first()
+    assert every["trials"] == 64 and every["trial"] == best["trial"]
+    np.testing.assert_allclose(best["translation"], [1, -2, 3], atol=1e-9)
+    assert graph.ransac_similarity(matched.limit(2), "id", "s", "d").count() == 0
+    noise = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(rng.normal(size=(30, 3)), rng.normal(size=(30, 3)) * 9))], matched.schema)
+    assert graph.ransac_similarity(noise, "id", "s", "d", trials=40, threshold=1e-6, batch=16).first()["trials"] == 40
     moved = src @ np.array([[0.999, -0.0447, 0], [0.0447, 0.999, 0], [0, 0, 1.0]]).T + 0.01
     total, rmse = graph.icp(cloud(spark, moved), cloud(spark, src), 1.0, steps=6)
     assert rmse < 1e-2
