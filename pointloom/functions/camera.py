@@ -216,6 +216,19 @@ def panorama_pixel(ray: Column, width: int, height: int) -> Column:
     return F.array((1 + yaw / math.pi) / 2 * width, (1 - 2 * pitch / math.pi) / 2 * height)
 
 
+def virtual_rotations(steps: int, pitches: list[float]) -> list[list[float]]:
+    """Rotations (9 numbers) from a panorama to virtual cameras around it: for every pitch in degrees, `steps` yaws, half a step on where the pitch
+    is over 0."""
+    out = []
+    for pitch in pitches:
+        for k in range(steps):
+            yaw = 360 * (k + (0.5 if pitch > 0 else 0)) / steps
+            c, s = math.cos(math.radians(-pitch)), math.sin(math.radians(-pitch))
+            d, t = math.cos(math.radians(-yaw)), math.sin(math.radians(-yaw))
+            out.append([d, 0.0, t, s * t, c, -s * d, -c * t, s, c * d])
+    return out
+
+
 def decompose_projection_udf():
     """Arrow UDF: a 3x4 projection to (9 of K with K[2][2] = 1, 9 of R, 3 of the camera centre)."""
 

@@ -138,3 +138,14 @@ def principal_frame(poses: DataFrame, pose: str) -> DataFrame:
     row = row.withColumn("f", F.when(up < 0, -1.0).otherwise(1.0)).withColumn("r", F.array(*[F.col("r")[i] * (F.col("f") if i > 2 else F.lit(1.0)) for i in range(9)]))
     shift = [-V.total([F.col("r")[3 * i + j] * F.col(f"m{j}") for j in range(3)]) for i in range(3)]
     return row.select(F.array(*[x for i in range(3) for x in (*[F.col("r")[3 * i + j] for j in range(3)], shift[i])], *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)]).alias("transform"))
+
+
+def blended(a: Column, b: Column, w: Column) -> Column:
+    """World-to-view 3x4 of the camera between two (4x4 or 3x4 world-to-view each): the inverse of w times the first's and 1 - w times the
+    second's camera-to-world. Its 3x3 part is a rotation only where both are alike."""
+    def inverse(m: Column) -> Column:
+        r = V.inverse3(F.array(*[m[4 * i + j] for i in range(3) for j in range(3)]))
+        return V.let(r, lambda x: F.array(*[c for i in range(3) for c in (*[x[3 * i + j] for j in range(3)], -V.total([x[3 * i + j] * m[4 * j + 3] for j in range(3)]))]))
+
+    mixed = V.let(inverse(a), lambda x: V.let(inverse(b), lambda y: F.array(*[x[i] * w + y[i] * (1 - w) for i in range(12)])))
+    return V.let(mixed, inverse)

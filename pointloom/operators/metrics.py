@@ -141,28 +141,37 @@ def _gaussian(size: int = 11, sigma: float = 1.5) -> np.ndarray:
     return g / g.sum()
 
 
-def ssim(pixels: DataFrame, image: str, x: str, y: str, a: str, b: str) -> DataFrame:
-    """(image, ssim) of whole images with values in [0, 1]: 11x11 Gaussian windows, zero padding. One image meets in a task."""
+def ssim(pixels: DataFrame, image: str, x: str, y: str, a: str, b: str, tile: int = 256) -> DataFrame:
+    """(image, ssim) of images with values in [0, 1], pixels numbered from any least x and y: 11x11 Gaussian windows, zero padding.
+
+    Images are cut into tiles; a pixel goes to its own and to those within half a window, so a task holds tiles, not images.
+    """
+    reach = 5
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([y, x])
-        width, kernel = pdf[x].nunique(), _gaussian()
-        p, q = (pdf[c].to_numpy(float).reshape(-1, width) for c in (a, b))
+        tx, ty, own = int(pdf["_tx"].iloc[0]), int(pdf["_ty"].iloc[0]), pdf["_own"].to_numpy(bool)
+        i, j = pdf[y].to_numpy(np.int64) - ty * tile + 2 * reach, pdf[x].to_numpy(np.int64) - tx * tile + 2 * reach
+        side = tile + 4 * reach
+        p, q = np.zeros((side, side)), np.zeros((side, side))
+        p[i, j], q[i, j] = pdf[a], pdf[b]
+        kernel = _gaussian()
 
         def blur(m: np.ndarray) -> np.ndarray:
-            for axis in (0, 1):
-                pad = [(5, 5) if i == axis else (0, 0) for i in (0, 1)]
-                padded = np.pad(m, pad)
-                m = sum(k * (padded[i : i + m.shape[0]] if axis == 0 else padded[:, i : i + m.shape[1]]) for i, k in enumerate(kernel))
-            return m
+            m = sum(k * m[n : side - 2 * reach + n] for n, k in enumerate(kernel))
+            return sum(k * m[:, n : side - 2 * reach + n] for n, k in enumerate(kernel))
 
         mp, mq = blur(p), blur(q)
         vp, vq, vpq = blur(p * p) - mp * mp, blur(q * q) - mq * mq, blur(p * q) - mp * mq
         value = ((2 * mp * mq + 0.01**2) * (2 * vpq + 0.03**2)) / ((mp * mp + mq * mq + 0.01**2) * (vp + vq + 0.03**2))
-        return pd.DataFrame({image: [pdf[image].iloc[0]], "ssim": [float(value.mean())]})
+        mine = value[i[own] - reach, j[own] - reach]
+        return pd.DataFrame({image: [pdf[image].iloc[0]], "total": [float(mine.sum())], "n": [len(mine)]})
 
     kind = pixels.schema[image].dataType.simpleString()
-    return pixels.select(image, x, y, a, b).groupBy(image).applyInPandas(one, f"`{image}` {kind}, ssim double")
+    near = lambda c: F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (-reach, 0, reach)]), lambda d: F.floor((F.col(c) + d) / tile)))
+    tiled = pixels.select(image, x, y, a, b).withColumn("_tx", F.explode(near(x))).withColumn("_ty", F.explode(near(y)))
+    tiled = tiled.withColumn("_own", (F.col("_tx") == F.floor(F.col(x) / tile)) & (F.col("_ty") == F.floor(F.col(y) / tile)))
+    sums = tiled.groupBy(image, "_tx", "_ty").applyInPandas(one, f"`{image}` {kind}, total double, n long")
+    return sums.groupBy(image).agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("ssim")).filter("ssim IS NOT NULL")
 
 
 def densify_stats(rows: DataFrame, gid: str, gx: str, gy: str, absolute: str, visible: Column, radius: str | None = None) -> DataFrame:

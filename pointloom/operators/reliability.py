@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.functions.vectors import let
+from pointloom.operators.losses import without_conflict
 from pointloom.operators.order import prefix_sum
 
 
@@ -51,6 +53,21 @@ def routed(state: Column, group: str, base: Column, prior: Column) -> Column:
     return out
 
 
+def routed_vector(case: int, state: Column, group: str, base: Column, prior: Column, p: Column, g: Column, n: int = 3) -> Column:
+    """The gradient of one group of parameters in the nested cases 4 to 6: routed by the state; from 5 on, where both gradients are mixed and oppose
+    each other, the lesser one first loses what opposes the leading one (the prior, but for a consensus with g over p). Case 6 adds the lifecycle's actions, not to gradients."""
+    if case not in (4, 5, 6):
+        raise ValueError(f"no routed case {case}")
+    if case > 4:
+        leads = (state == "prior") | ((state == "consensus") & (p >= g))
+        mixed = F.lit(False)
+        for name, weights in ROUTES.items():
+            if all(weights[group]):
+                mixed = mixed | (state == name)
+        base, prior = F.when(mixed & leads, without_conflict(base, prior, n)).otherwise(base), F.when(mixed & ~leads, without_conflict(prior, base, n)).otherwise(prior)
+    return let(base, lambda b: let(prior, lambda q: F.array(*[routed(state, group, b[i], q[i]) for i in range(n)])))
+
+
 def stability(move: Column, scale: Column, cosine: Column, t_move: float = 0.25, t_turn: float = 15 / 180, eps: float = 1e-8) -> Column:
     """1 for a particle that stays, falling with the way it moved (in its largest scale) and the angle its normal turned (in half turns)."""
     turn = F.acos(F.least(F.lit(1.0), F.abs(cosine))) / F.pi()
@@ -86,7 +103,7 @@ def oracle_regret(df: DataFrame, state: str, prior: str, geometry: str) -> DataF
 def ablated_gradient(case: int, base: Column, prior: Column, need: Column, p: Column, g: Column, agreement: Column, prior_weight: float = 1.0,
                      t_need: float = 0.5, t_prior: float = 0.5, t_geometry: float = 0.5, t_agree: float = 0.6, margin: float = 0.1) -> Column:
     """The geometry gradient of the nested cases 0 to 3: both terms at fixed weight, the prior weighted by need, a forced choice
-    by the reliabilities p and g, and a choice that may abstain (0). Routing, projection and lifecycle (4 to 6) have operators of their own."""
+    by the reliabilities p and g, and a choice that may abstain (0). Routing, projection and lifecycle (4 to 6) are routed_vector's."""
     if case == 0:
         return base + prior_weight * prior
     if case == 1:

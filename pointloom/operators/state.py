@@ -70,6 +70,25 @@ def decay(step: Column, end: float = 30000.0, span: float = 15000.0) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (end - step) / span))
 
 
+# First iteration, name, and what is on, of each phase.
+PHASES = (
+    (0, "start", ()), (1000, "warm-up", ("evidence",)), (5000, "shadow", ("evidence", "states")),
+    (7000, "repair", ("evidence", "states", "routing", "lifecycle", "ray_colour", "truncation")),
+    (15000, "refine", ("evidence", "states", "routing", "ray_colour", "ray_normal", "prior_decay")),
+)
+SWITCHES = ("evidence", "states", "routing", "lifecycle", "ray_colour", "ray_normal", "truncation", "prior_decay")
+
+
+def phase(iteration: Column) -> Column:
+    """The phase of an iteration as a struct: name, whether each of SWITCHES is on, and the prior's weight. Null before the first."""
+    out = F.lit(None)
+    for first, name, on in PHASES:
+        weight = decay(iteration.cast("double")) if "prior_decay" in on else F.lit(1.0)
+        now = F.struct(F.lit(name).alias("phase"), *[F.lit(s in on).alias(s) for s in SWITCHES], weight.alias("prior_weight"))
+        out = F.when(iteration >= first, now).otherwise(out)
+    return out
+
+
 def need(ambiguity: Column, sufficiency: Column) -> Column:
     return 1 - sufficiency * (1 - ambiguity)
 

@@ -153,13 +153,14 @@ _H = [f"(r[{3 * i + j + 1}] - t[{i + 1}]*d[{j + 1}]/greatest(abs(p[1]), 1e-6))"
 
 
 @query(f"""WITH {VECTORS}, h AS (SELECT vec_id, [{', '.join(_H)}] AS h FROM v), w AS (SELECT *, h[7]*0.25 + h[8]*0.5 + h[9] + 1e-10 AS w FROM h)
-SELECT vec_id, {_sql('h0 h8', 'h[1]', 'h[9]')}, {_sql('wx wy', '(h[1]*0.25+h[2]*0.5+h[3])/w', '(h[4]*0.25+h[5]*0.5+h[6])/w', digits=4)} FROM w WHERE abs(w) > 0.01""")
+SELECT vec_id, {_sql('h0 h8', 'h[1]', 'h[9]')}, {_sql('wx wy', 'least(1, abs(w))*(h[1]*0.25+h[2]*0.5+h[3])/w', 'least(1, abs(w))*(h[4]*0.25+h[5]*0.5+h[6])/w', digits=4)} FROM w""")
 def plane_warps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P22 and P23; points near the horizon are left out, where rounding would decide."""
+    """P22 and P23; points near the horizon, which go far, are scaled by their nearness before they are rounded."""
     h = camera.plane_homography(F.col("r"), F.col("t"), F.col("d"), F.abs(F.col("p")[0]))
     out = _vectors(spark, sf_dir).select("vec_id", h.alias("h"))
-    out = out.filter(F.abs(F.col("h")[6] * 0.25 + F.col("h")[7] * 0.5 + F.col("h")[8] + 1e-10) > 0.01)
-    return out.select("vec_id", *_rounded(F.array(F.col("h")[0], F.col("h")[8]), "h0 h8"), *_rounded(camera.warp(F.col("h"), F.lit(0.25), F.lit(0.5)), "wx wy", 4))
+    near = F.least(F.lit(1.0), F.abs(F.col("h")[6] * 0.25 + F.col("h")[7] * 0.5 + F.col("h")[8] + 1e-10))
+    out = out.withColumns({"near": near, "at": camera.warp(F.col("h"), F.lit(0.25), F.lit(0.5))})
+    return out.select("vec_id", *_rounded(F.array(F.col("h")[0], F.col("h")[8]), "h0 h8"), *_rounded(F.array(*[F.col("at")[i] * F.col("near") for i in range(2)]), "wx wy", 4))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(exp(l_tax)*l_discount + l_tax, 8) AS seen FROM lineitem")

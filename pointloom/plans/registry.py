@@ -390,8 +390,9 @@ v AS (SELECT h.image, h.y + o AS y, x, sum(w * a) AS a, sum(w * b) AS b, sum(w *
 SELECT image, round(avg(((2 * a * b + 0.0001) * (2 * (ab - a * b) + 0.0009)) / ((a * a + b * b + 0.0001) * ((aa - a * a) + (bb - b * b) + 0.0009))), 6) AS ssim FROM v GROUP BY image
 """)
 def ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("image"), F.posexplode("embedding").alias("x", "a"), "vec_id")
-    rows = e.withColumn("b", F.round("a", 1)).select("image", F.col("vec_id").alias("y"), "x", "a", "b")
+    lines = scan.ranges(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label"], ["vec_id"])
+    lines = scan.running_sums(lines, ["label"], ["vec_id"], {"y": F.lit(1).cast("long")})
+    rows = lines.select(F.col("label").alias("image"), "y", F.posexplode("embedding").alias("x", "a")).withColumn("b", F.round("a", 1))
     return metrics.ssim(rows, "image", "x", "y", "a", "b").select("image", F.round("ssim", 6).alias("ssim"))
 
 

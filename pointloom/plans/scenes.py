@@ -280,14 +280,14 @@ def morton_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT l_orderkey, 's' || l_suppkey AS name, min(l_linenumber) AS rank FROM lineitem GROUP BY ALL)
-SELECT '{"ref_name":"o' || o_orderkey || '","nearest_name":[' || coalesce(string_agg('"' || name || '"', ',' ORDER BY rank, name), '') || ']}' AS value FROM orders LEFT JOIN e ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+SELECT '{"ref_name":"o' || o_orderkey || '","nearest_name":[' || coalesce(string_agg('"' || name || '"', ',' ORDER BY rank, name), '') || ']}' AS value FROM orders LEFT JOIN e ON l_orderkey = o_orderkey GROUP BY o_orderkey
+UNION ALL SELECT '{"ref_name":"s' || s_suppkey || '","nearest_name":[]}' FROM supplier""")
 def neighbour_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK12: the neighbours of each camera as JSON lines."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cid"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("name"))
     suppliers = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("cid"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("name"))
     edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("a_id"), (-F.col("l_suppkey") - 1).alias("b_id")).agg(F.min("l_linenumber").alias("rank"))
-    lines = formats.neighbours_json(edges, orders.unionByName(suppliers))
-    return lines.filter(F.col("value").startswith('{"ref_name":"o'))
+    return formats.neighbours_json(edges, orders.unionByName(suppliers))
 
 
 @query("""SELECT '{"id":' || n_nationkey || ',"img_name":"' || n_name || '","width":' || n_regionkey * 64 || '}' AS value FROM nation""")

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.functions import pose
+from pointloom.functions import camera, pose
 from pointloom.functions import vectors as V
-from pointloom.operators import epochs, evidence, graph, life, neighbors, raster, select, visibility
+from pointloom.operators import epochs, evidence, graph, life, neighbors, raster, reliability, select, state, visibility
 from pointloom.plans.tables import query, table
 
 
@@ -269,3 +269,58 @@ def robust_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = graph.ransac_similarity(rows, "p_partkey", "a", "b", threshold=0.05)
     r, t = F.col("rotation"), F.col("translation")
     return best.select("inliers", *[(F.round(c, 5) + 0.0).alias(k) for k, c in {"scale": F.col("scale"), "r0": r[0], "r1": r[1], "t0": t[0], "t1": t[1], "t2": t[2]}.items()])
+
+
+@query("""SELECT event_id, CASE WHEN i < 1000 THEN 'start' WHEN i < 5000 THEN 'warm-up' WHEN i < 7000 THEN 'shadow' WHEN i < 15000 THEN 'repair' ELSE 'refine' END AS phase, i >= 1000 AS evidence, i >= 5000 AS states, i >= 7000 AS routing,
+  i >= 7000 AND i < 15000 AS lifecycle, i >= 7000 AS ray_colour, i >= 15000 AS ray_normal, i >= 7000 AND i < 15000 AS truncation, i >= 15000 AS prior_decay, round(CASE WHEN i < 15000 THEN 1 ELSE greatest(0, least(1, (30000 - i)/15000)) END, 8) AS prior_weight
+FROM (SELECT event_id, (event_id*7) % 33000 AS i FROM events)""")
+def training_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SP20: the phase of each iteration, what is on in it, and the prior's weight."""
+    e = table(spark, sf_dir, "events").select("event_id", state.phase(F.col("event_id") * 7 % 33000).alias("p"))
+    return e.select("event_id", "p.phase", *[F.col(f"p.{s}").alias(s) for s in state.SWITCHES], F.round("p.prior_weight", 8).alias("prior_weight"))
+
+
+@query("""WITH g AS (SELECT o_orderkey, ['bypass', 'consensus', 'prior', 'geometry', 'abstain'][o_orderkey % 5 + 1] AS s, [o_totalprice/997, o_orderkey % 13 - 6, 1.0]::DOUBLE[] AS b, [o_custkey % 7 - 5, o_orderkey % 11 - 4, -2.0]::DOUBLE[] AS q,
+  (o_custkey % 89)/88 >= (o_orderkey % 83)/82 AS ahead FROM orders),
+d AS (SELECT *, least(0, list_dot_product(b, q)) AS dot, list_dot_product(b, b) AS bb, list_dot_product(q, q) AS qq FROM g),
+f AS (SELECT *, CASE WHEN s = 'prior' OR s = 'consensus' AND ahead THEN list_transform(range(1, 4), lambda i: b[i] - dot*q[i]/qq) ELSE b END AS fb, CASE WHEN s = 'consensus' AND NOT ahead THEN list_transform(range(1, 4), lambda i: q[i] - dot*b[i]/bb) ELSE q END AS fq FROM d),
+w AS (SELECT *, CASE s WHEN 'prior' THEN 0.25 WHEN 'abstain' THEN 0 ELSE 1 END AS wb, CASE s WHEN 'consensus' THEN 0.5 WHEN 'prior' THEN 1 ELSE 0 END AS wq FROM f)
+SELECT o_orderkey, """ + ", ".join(f"round(wb*b[{i}] + wq*q[{i}], 3) + 0.0 AS c4_{c}, round(wb*fb[{i}] + wq*fq[{i}], 3) + 0.0 AS c5_{c}" for i, c in enumerate("xyz", 1)) + " FROM w")
+def routed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SP22: the pose gradients of the nested cases 4 and 5."""
+    names = F.array(*[F.lit(s) for s in life.LIVES])
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    base, prior = F.array(F.col("o_totalprice") / 997, (k % 13 - 6).cast("double"), F.lit(1.0)), F.array((c % 7 - 5).cast("double"), (k % 11 - 4).cast("double"), F.lit(-2.0))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.get(names, (k % 5).cast("int")).alias("s"), base.alias("b"), prior.alias("q"), (c % 89 / 88).alias("p"), (k % 83 / 82).alias("g"))
+    cases = [reliability.routed_vector(n, F.col("s"), "pose", F.col("b"), F.col("q"), F.col("p"), F.col("g")).alias(f"c{n}") for n in (4, 5)]
+    return rows.select("o_orderkey", *cases).select("o_orderkey", *[(F.round(F.col(f"c{n}")[i], 3) + 0.0).alias(f"c{n}_{x}") for i, x in enumerate("xyz") for n in (4, 5)])
+
+
+@query("""WITH d AS (SELECT vec_id, list_transform(embedding[11:13], lambda x: x::DOUBLE) AS d FROM embeddings),
+v AS (SELECT * FROM (VALUES (0, 0.0, 0.0), (1, 0.0, 120.0), (2, 0.0, 240.0), (3, 35.0, 60.0), (4, 35.0, 180.0), (5, 35.0, 300.0), (6, -35.0, 0.0), (7, -35.0, 120.0), (8, -35.0, 240.0)) t(view, pitch, yaw)),
+y AS (SELECT vec_id, view, radians(-pitch) AS a, [cos(radians(-yaw))*d[1] + sin(radians(-yaw))*d[3], d[2], cos(radians(-yaw))*d[3] - sin(radians(-yaw))*d[1]] AS e FROM d, v)
+SELECT vec_id, view, round(e[1], 6) + 0.0 AS x, round(cos(a)*e[2] - sin(a)*e[3], 6) + 0.0 AS y, round(sin(a)*e[2] + cos(a)*e[3], 6) + 0.0 AS z FROM y""")
+def virtual_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays of a panorama in the axes of virtual cameras around it."""
+    turns = F.array(*[F.array(*[F.lit(x) for x in r]) for r in camera.virtual_rotations(3, [0.0, 35.0, -35.0])])
+    d = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 11, 3), lambda x: x.cast("double")).alias("d"), F.posexplode(turns).alias("view", "r"))
+    return d.select("vec_id", "view", *[(F.round(V.total([F.col("r")[3 * i + j] * F.col("d")[j] for j in range(3)]), 6) + 0.0).alias(c) for i, c in enumerate("xyz")])
+
+
+def _inverse_sql(m: str) -> str:
+    """A DuckDB list of 12: the inverse of a rigid-like 3x4 in a list of 12."""
+    a = [[f"{m}[{4 * i + j + 1}]" for j in range(3)] for i in range(3)]
+    co = lambda i, j: f"({a[(j + 1) % 3][(i + 1) % 3]}*{a[(j + 2) % 3][(i + 2) % 3]} - {a[(j + 1) % 3][(i + 2) % 3]}*{a[(j + 2) % 3][(i + 1) % 3]})"
+    det = "(" + " + ".join(f"{a[0][j]}*{co(j, 0)}" for j in range(3)) + ")"
+    r = [[f"{co(i, j)}/{det}" for j in range(3)] for i in range(3)]
+    return "[" + ", ".join(x for i in range(3) for x in (*r[i], "-(" + " + ".join(f"{r[i][j]}*{m}[{4 * j + 4}]" for j in range(3)) + ")")) + "]"
+
+
+@query(f"""WITH e AS (SELECT vec_id, list_transform(range(1, 13), lambda i: embedding[i]::DOUBLE*0.1 + CASE WHEN i IN (1, 6, 11) THEN 1 ELSE 0 END) AS a, list_transform(range(1, 13), lambda i: embedding[i + 12]::DOUBLE*0.1 + CASE WHEN i IN (1, 6, 11) THEN 1 ELSE 0 END) AS b, (vec_id % 11)/10 AS w FROM embeddings),
+i AS (SELECT vec_id, w, {_inverse_sql('a')} AS a, {_inverse_sql('b')} AS b FROM e), m AS (SELECT vec_id, list_transform(range(1, 13), lambda i: w*a[i] + (1 - w)*b[i]) AS m FROM i), o AS (SELECT vec_id, {_inverse_sql('m')} AS o FROM m)
+SELECT vec_id, {', '.join(f'round(o[{i + 1}], 6) + 0.0 AS o{i}' for i in range(12))} FROM o""")
+def blended_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras between two others."""
+    part = lambda a: F.transform(F.slice("embedding", a, 12), lambda x, i: x.cast("double") * 0.1 + F.when(i.isin(0, 5, 10), 1.0).otherwise(0.0))
+    o = table(spark, sf_dir, "embeddings").select("vec_id", part(1).alias("a"), part(13).alias("b")).select("vec_id", pose.blended(F.col("a"), F.col("b"), F.col("vec_id") % 11 / 10).alias("o"))
+    return o.select("vec_id", *[(F.round(F.col("o")[i], 6) + 0.0).alias(f"o{i}") for i in range(12)])

@@ -158,6 +158,15 @@ def test_ssim_of_equal_images_is_one(spark):
     rows = [(0, x, y, float(v := rng.uniform()), v) for x in range(16) for y in range(12)]
     df = spark.createDataFrame([(a, b, c, float(d), float(e)) for a, b, c, d, e in rows], "image int, x int, y int, a double, b double")
     assert metrics.ssim(df, "image", "x", "y", "a", "b").first()["ssim"] == pytest.approx(1.0)
+    r = np.random.default_rng(8)
+    p, q = r.random((2, 37, 23))
+    other = spark.createDataFrame([(1, x, y, float(p[y, x]), float(q[y, x])) for y in range(37) for x in range(23)], "image int, x int, y int, a double, b double")
+    whole, tiled = (metrics.ssim(other, "image", "x", "y", "a", "b", tile=t).first()["ssim"] for t in (256, 7))
+    kernel = metrics._gaussian()
+    blur = lambda m: np.array([[(np.pad(m, 5)[i : i + 11, j : j + 11] * np.outer(kernel, kernel)).sum() for j in range(23)] for i in range(37)])
+    mp, mq = blur(p), blur(q)
+    s = ((2 * mp * mq + 1e-4) * (2 * (blur(p * q) - mp * mq) + 9e-4)) / ((mp * mp + mq * mq + 1e-4) * (blur(p * p) - mp * mp + blur(q * q) - mq * mq + 9e-4))
+    assert whole == pytest.approx(s.mean()) and tiled == pytest.approx(s.mean())
 
 
 def test_bounds(spark):
