@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointloom.functions.keys import unknown_key
 from pointloom.llm import words as W
 from pointloom.llm.exact_dedup import _filter_size, _two_places, repeated_places
 from pointloom.llm.fm_index import repeated_windows
@@ -24,6 +25,8 @@ WINDOW = 35
 GRAM = 8
 #: Words of the segments in one shard, about.
 SHARD_WORDS = 300_000
+#: Distinct segments' words of one minimiser that still go to one shard; beyond, its windows are counted one by one.
+HOT_WORDS = 2 * SHARD_WORDS
 
 
 def segments(t: W.Texts, window: int = WINDOW, gram: int = GRAM):
@@ -83,7 +86,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     refs = materialise(docs.select("_pl_row", "text").mapInArrow(refer, "row long, first int, windows int, m long, c long"), "segments")
     maps.destroy()  # or workers keep it for later stages
     contents = refs.groupBy("m", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "windows")).alias("at"))
-    often = refs.groupBy("m").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("m").alias("_m"))
+    sizes = contents.groupBy("m").agg(F.sum("n").alias("_n"), F.sum(F.col("at.windows") + WINDOW - 1).alias("_words"))
+    sizes = materialise(sizes.filter("_n > 1").select(F.col("m").alias("_m"), (F.col("_words") > HOT_WORDS).alias("_hot")), "minimisers")
+    often = sizes.filter("NOT _hot").select("_m")
+    hot = sizes.filter("_hot").select("_m")
     wanted = contents.join(often, F.col("m") == F.col("_m")).select("m", "c", F.least("n", F.lit(2)).cast("int").alias("n"), "at.*")
     listed = wanted.groupBy(F.col("row").alias("_pl_at")).agg(F.collect_list(F.struct("first", "windows", "n", "m", "c")).alias("_pl_asked"))
 
@@ -117,10 +123,41 @@ def repeats(docs: DataFrame) -> DataFrame:
     shard = F.pmod(F.xxhash64("m"), F.lit(shards))
     verdicts = materialise(held.groupBy(shard.alias("shard")).applyInPandas(search, "_m long, _c long, mask long"), "verdicts")
     discard(held)
-    hits = refs.join(verdicts, (F.col("m") == F.col("_m")) & (F.col("c") == F.col("_c")))
+    hits = refs.join(verdicts, (F.col("m") == F.col("_m")) & (F.col("c") == F.col("_c"))).select("row", "first", "mask")
+    if not hot.isEmpty():
+        hits = hits.unionByName(_counted_windows(docs, refs, hot))
     return hits.groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("spans"))
 
 
+def _counted_windows(docs: DataFrame, refs: DataFrame, hot: DataFrame) -> DataFrame:
+    """(row, first, mask): the repeated windows of segments whose minimiser has more distinct words than a shard takes.
+
+    Such a minimiser is in a passage with many different neighbours. Its windows are counted by their hashes instead, partly
+    before the shuffle, so its segments never meet; equal windows have equal minimisers, so no count is split.
+    """
+    of_hot = refs.join(hot, F.col("m") == F.col("_m"), "left_semi")
+    listed = of_hot.groupBy(F.col("row").alias("_pl_at")).agg(F.collect_list(F.struct("first", "windows")).alias("_pl_asked"))
+
+    def hashes(batches):
+        for batch in batches:
+            asked = batch.column("_pl_asked")
+            for a, b, t in W.chunks(batch.column("text")):
+                h, part = t.hashes(), asked.slice(a, b - a)
+                lengths = np.diff(part.offsets.to_numpy())
+                doc, flat = np.repeat(np.arange(b - a), lengths), part.flatten()
+                first, windows = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+                at = W.flat_ranges(first, windows)
+                doc = np.repeat(doc, windows)
+                start = t.first[doc] + at
+                row = batch.column("_pl_row").slice(a, b - a).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([row, pa.array(at.astype(np.int32)), _signed(W.span_hashes(h, start, start + WINDOW))], ["row", "first", "w"])
+
+    asked = docs.select("_pl_row", "text").join(listed, F.col("_pl_row") == F.col("_pl_at")).select("_pl_row", "text", "_pl_asked")
+    windows = materialise(asked.mapInArrow(hashes, "row long, first int, w long"), "windows")
+    again = windows.groupBy(F.col("w").alias("_w")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return windows.join(again, F.col("w") == unknown_key(F.col("_w"))).select("row", "first", F.lit(1).cast("long").alias("mask"))
+
+
 def _covered(n: int, spans: list[dict]) -> np.ndarray:
     """Which of n words are in a window that the spans mark."""
     edge = np.zeros(n + 1, np.int64)

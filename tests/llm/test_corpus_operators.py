@@ -312,6 +312,25 @@ def test_substring_dedup(docs, rows):
     assert all(sum(b - a for a, b in r["removed"]) == r["n_removed"] for r in out.collect())
 
 
+@pytest.mark.parametrize("most", [0, 60, 200])
+def test_passages_with_many_neighbours_are_counted(docs, rows, monkeypatch, most):
+    """Minimisers with more words than `most` go by counted windows, the others through an index; the result is the same."""
+    monkeypatch.setattr(substring_dedup, "HOT_WORDS", most)
+    out = substring_dedup.remove_repeats(docs)
+    want = brute.without_repeats([t for _, t in rows], 35)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in out.collect()) == Counter((d, n, k) for (d, _), (n, k, _) in zip(rows, want))
+
+
+def test_labels_that_were_never_learned_from(spark):
+    """The whole query on real labels: held-out documents are told apart."""
+    sf = "/root/testdata/sf0.1"
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r["score"], r["predicted"], quality[r["doc_id"]]) for r in quality_classifier.op8_quality_classifier(spark, sf).filter("held_out").collect() if r["doc_id"] in quality]
+    good, bad = np.array([s for s, _, q in held if q]), np.array([s for s, _, q in held if not q])
+    assert len(bad) > 50 and ((good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2) > 0.98
+    assert np.mean([p == q for _, p, q in held]) > 0.97
+
+
 def test_substring_dedup_of_nothing(nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
