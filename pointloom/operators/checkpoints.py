@@ -24,12 +24,18 @@ def _folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the session's shared folder, deleted when the driver's JVM ends."""
+    path = f"{_folder(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
+    if not is_remote():
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once as Parquet to the session's shared folder and read back; deleted when the driver's JVM ends."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{_folder(spark)}/pointloom/cut-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "cut")
     df.write.parquet(path)
-    if not is_remote():
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(schema).parquet(path)

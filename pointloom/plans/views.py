@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pointloom.functions import camera, pose
 from pointloom.functions import vectors as V
 from pointloom.operators import epochs, evidence, graph, life, neighbors, raster, reliability, select, state, visibility
+from pointloom.operators.checkpoints import fresh_folder
 from pointloom.plans.tables import query, table
+from pointloom.streaming import snapshots
 
 
 def _cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,3 +326,17 @@ def blended_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda a: F.transform(F.slice("embedding", a, 12), lambda x, i: x.cast("double") * 0.1 + F.when(i.isin(0, 5, 10), 1.0).otherwise(0.0))
     o = table(spark, sf_dir, "embeddings").select("vec_id", part(1).alias("a"), part(13).alias("b")).select("vec_id", pose.blended(F.col("a"), F.col("b"), F.col("vec_id") % 11 / 10).alias("o"))
     return o.select("vec_id", *[(F.round(F.col("o")[i], 6) + 0.0).alias(f"o{i}") for i in range(12)])
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY seq DESC NULLS LAST, change_id DESC NULLS LAST, valid_at DESC NULLS LAST, op DESC NULLS LAST, source DESC NULLS LAST, segment DESC NULLS LAST, city DESC NULLS LAST, balance DESC NULLS LAST) AS k FROM client_changes)
+SELECT client_id, change_id, seq, segment, city, balance FROM r WHERE k = 1 AND op IS DISTINCT FROM 'D'""")
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK17, U1 and U2: changes committed as versions of a log, late ones after newer, compacted on the way, and read as a table."""
+    changes = table(spark, sf_dir, "client_changes")
+    order = ["seq", "change_id", "valid_at", "op", "source", "segment", "city", "balance"]
+    log = snapshots.SnapshotLog(spark, fresh_folder(spark, "log"), changes.schema, "client_id", order, F.col("op") == "D", buckets=8)
+    for version, part in enumerate((3, 0, 2, 1)):
+        log.commit(changes.filter(F.pmod(F.coalesce("change_id", F.lit(0)), F.lit(4)) == part), version)
+        if version == 2:
+            log.compact(least=3)
+    return log.read().select("client_id", "change_id", "seq", "segment", "city", "balance")

@@ -88,16 +88,3 @@ def cooldown(events: DataFrame, key: str, order: list[str], fire: str, rest: int
         return (left, int(fired)), (int(fired),)
 
     return _fold(events, key, order, "fired int", "remaining int, fired int", step)
-
-
-def upsert_snapshot(updates: DataFrame, key: str, folder: str, checkpoint: str):
-    """A query that keeps the latest row of each key under folder/<batch>, each batch a whole table, so a replay overwrites."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number:
-            old = spark.read.schema(batch.schema).parquet(f"{folder}/{number - 1}").join(batch.select(key), key, "left_anti").select(batch.columns)
-            batch = old.unionByName(batch)
-        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
-
-    return updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
