@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators.order import quantiles
+
 ACCUMULATORS = ("grad", "grad_abs", "denom", "max_radius")
 
 
@@ -73,6 +75,53 @@ def densify_step(df: DataFrame, gradient: str, threshold: float, limit: float, l
     return reset_accumulators(prune(rows, gone))
 
 
+def _over(values: DataFrame, value: str, room: int, n: int) -> float:
+    """The quantile of all values that leaves about `room` of n above it."""
+    return quantiles(values, value, [1 - room / max(1, n)]).first()["_q"][0]
+
+
+def budgeted_step(df: DataFrame, gradient: str, threshold: float, absolute: str, absolute_threshold: float, limit: float, least_opacity: float, cap: int, absolute_cap: int = 50_000, radius: str = "max_radius", least_radius: float = 20.0, largest: float | None = None, opacity: str = "opacity", scales: str = "scales", children: int = 2, shrink: float = 0.8, seed: int | None = None) -> DataFrame:
+    """densify_step with room for `cap` rows, and splits by absolute gradients where there is room left.
+
+    If clones (or splits) by gradient would go over cap, only those strictly over the quantile of all gradients (the others' as 0) that
+    leaves the room. Else large rows with a radius over least_radius split by absolute gradient too, as many as there is room for and
+    absolute_cap at most, picked by a quantile likewise. Clones of the step count as rows without gradients. NaN and null gradients are 0.
+    Four counts and three quantiles reach the driver.
+    """
+    g, a = (F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(c).cast("double")).otherwise(0.0) for c in (gradient, absolute))
+    large = largest_scale(scales) > limit
+    rows = df.withColumns({"_g": g, "_a": F.when(large & (F.coalesce(F.col(radius), F.lit(0)) > least_radius), a).otherwise(0.0), "_large": F.coalesce(large, F.lit(False))})
+    first, second = (F.col("_g") >= threshold) & ~F.col("_large"), (F.col("_g") >= threshold) & F.col("_large")
+    n, clones, splits = rows.agg(F.count(F.lit(1)), F.count_if(first), F.count_if(second)).first()
+    if cap < n:
+        raise ValueError("more rows than the cap already")
+    if clones + n > cap:
+        first = first & (F.col("_g") > _over(rows.select(F.when(first, F.col("_g")).otherwise(0.0).alias("_v")), "_v", cap - n, n))
+        clones = rows.filter(first).count()
+    n += clones
+    new = rows.filter(first).select(F.lit(0.0).alias("_v"))
+    if splits + n > cap:
+        values = rows.select(F.when(second, F.col("_g")).otherwise(0.0).alias("_v"))
+        second = second & (F.col("_g") > _over(values.unionByName(new), "_v", cap - n, n))
+    else:
+        value = F.when(second, 0.0).otherwise(F.col("_a"))
+        third, room = value >= absolute_threshold, min(cap - n - splits, absolute_cap)
+        if rows.filter(third).count() > room:
+            third = value > _over(rows.select(value.alias("_v")).unionByName(new), "_v", room, n)
+        second = second | third
+    copies = rows.filter(first).withColumns({"origin": F.lit("clone"), "child": F.lit(0)})
+    parts = rows.withColumn("child", F.explode(F.when(second, F.sequence(F.lit(1), F.lit(children))).otherwise(F.array(F.lit(0)))))
+    parts = parts.withColumn("origin", F.when(F.col("child") > 0, "split").otherwise("kept"))
+    if seed is not None:
+        moved = lambda t: t.withColumn("xyz", F.array(*[F.col("xyz")[i] + F.randn(seed + i) * F.col(scales)[i] for i in range(3)]))
+        copies, parts = moved(copies), moved(parts.filter("child > 0")).unionByName(parts.filter("child = 0"))
+    parts = parts.withColumn(scales, F.when(F.col("child") > 0, F.transform(scales, lambda s: s / (shrink * children))).otherwise(F.col(scales)))
+    gone = F.col(opacity) < least_opacity
+    if largest is not None:
+        gone = gone | (largest_scale(scales) > largest)
+    return reset_accumulators(prune(parts.unionByName(copies), gone).drop("_g", "_a", "_large"))
+
+
 def reset_opacity(df: DataFrame, most: float = 0.01, opacity: str = "opacity") -> DataFrame:
     return df.withColumn(opacity, F.least(F.col(opacity), F.lit(most)))
 

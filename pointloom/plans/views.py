@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import camera, pose
 from pointloom.functions import vectors as V
-from pointloom.operators import epochs, evidence, graph, life, neighbors, raster, reliability, select, state, visibility
+from pointloom.operators import epochs, evidence, graph, life, lifecycle, neighbors, raster, reliability, select, state, visibility
 from pointloom.operators.checkpoints import fresh_folder
 from pointloom.plans.tables import query, table
 from pointloom.streaming import snapshots
@@ -340,3 +340,42 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         if version == 2:
             log.compact(least=3)
     return log.read().select("client_id", "change_id", "seq", "segment", "city", "balance")
+
+
+def _quantile_sql(values: str, fraction: str) -> str:
+    """The interpolated quantile of a sorted list."""
+    at = f"((len({values}) - 1)*({fraction}))"
+    return f"({values}[floor{at}::BIGINT + 1] + ({at} - floor{at})*({values}[ceil{at}::BIGINT + 1] - {values}[floor{at}::BIGINT + 1]))"
+
+
+def _budgeted_sql(tenths: int, absolute_cap: int) -> str:
+    return f"""b AS (SELECT p_partkey AS id, abs(sin(p_partkey::DOUBLE)) AS g, abs(cos(p_partkey*1.3)) AS a, p_size/50.0 AS s, p_partkey % 40 AS r, (p_partkey % 23)/22 AS o FROM part),
+c AS (SELECT *, s > 0.5 AS big, (SELECT count(*) FROM b) AS n, (SELECT count(*)*{tenths}//10 FROM b) AS cap FROM b), d AS (SELECT *, g >= 0.8 AND NOT big AS c0, g >= 0.8 AND big AS s0 FROM c),
+l AS (SELECT list_sort(list(CASE WHEN c0 THEN g ELSE 0 END)) AS l, any_value(n) AS ln, any_value(cap) AS lc, count_if(c0) AS k FROM d), lq AS (SELECT k, {_quantile_sql('l', 'greatest(0, 1 - (lc - ln)::DOUBLE/ln)')} AS qc FROM l),
+f AS (SELECT d.*, c0 AND (k + n <= cap OR g > qc) AS cl FROM d, lq), h AS (SELECT *, n + (SELECT count_if(cl) FROM f) AS m, (SELECT count_if(s0) FROM f) AS ks FROM f),
+x AS (SELECT CASE WHEN s0 THEN g ELSE 0 END AS v, CASE WHEN NOT s0 AND big AND r > 20 THEN a ELSE 0 END AS w, cap - m AS room, m, least(cap - m - ks, {absolute_cap}) AS aroom FROM h UNION ALL SELECT 0, 0, cap - m, m, least(cap - m - ks, {absolute_cap}) FROM h WHERE cl),
+xl AS (SELECT list_sort(list(v)) AS lv, list_sort(list(w)) AS lw, any_value(room) AS room, any_value(m) AS xm, any_value(aroom) AS aroom, count_if(w >= 0.6) AS ka FROM x),
+q AS (SELECT ka, aroom, {_quantile_sql('lv', 'greatest(0, 1 - room::DOUBLE/xm)')} AS qs, {_quantile_sql('lw', 'greatest(0, least(1, 1 - aroom::DOUBLE/xm))')} AS qa FROM xl),
+y AS (SELECT h.*, CASE WHEN ks + m > cap THEN s0 AND g > qs ELSE s0 OR CASE WHEN ka > aroom THEN CASE WHEN NOT s0 AND big AND r > 20 THEN a ELSE 0 END > qa ELSE NOT s0 AND big AND r > 20 AND a >= 0.6 END END AS sp FROM h, q),
+z AS (SELECT id, o, s, 'clone' AS origin, 0 AS child FROM y WHERE cl UNION ALL SELECT id, o, CASE WHEN sp THEN s/1.6 ELSE s END, CASE WHEN sp THEN 'split' ELSE 'kept' END, unnest(CASE WHEN sp THEN [1, 2] ELSE [0] END) FROM y)
+SELECT id, origin, child, round(s, 6) AS scale FROM z WHERE NOT (o < 0.1 OR s > 0.95)"""
+
+
+def _budgeted(spark: SparkSession, sf_dir: str, tenths: int, absolute_cap: int) -> DataFrame:
+    k = F.col("p_partkey")
+    columns = {"id": k, "grad": F.abs(F.sin(k.cast("double"))), "grad_abs": F.abs(F.cos(k * 1.3)), "scales": F.array(F.col("p_size") / 50.0, F.lit(0.01), F.lit(0.01)), "max_radius": (k % 40).cast("double"), "opacity": k % 23 / 22}
+    rows = table(spark, sf_dir, "part").select(*[c.alias(n) for n, c in columns.items()])
+    out = lifecycle.budgeted_step(rows, "grad", 0.8, "grad_abs", 0.6, 0.5, 0.1, rows.count() * tenths // 10, absolute_cap, largest=0.95)
+    return out.select("id", "origin", "child", F.round(F.col("scales")[0], 6).alias("scale"))
+
+
+@query("WITH " + _budgeted_sql(11, 50_000))
+def tight_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A densify step with room for a tenth more rows."""
+    return _budgeted(spark, sf_dir, 11, 50_000)
+
+
+@query("WITH " + _budgeted_sql(30, 20))
+def roomy_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A densify step with splits by absolute gradients, 20 of them at most."""
+    return _budgeted(spark, sf_dir, 30, 20)
