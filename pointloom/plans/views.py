@@ -260,7 +260,7 @@ def average_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT p_partkey, [p_size/10.0, sin(p_partkey::DOUBLE), cos(p_partkey*1.7)] AS a FROM part),
 d AS (SELECT p_partkey % 5 > 0 AS good, a, [1.5*(0.8*a[1] - 0.6*a[2]) + 1, 1.5*(0.6*a[1] + 0.8*a[2]) - 2, 1.5*a[3] + 0.5] AS b FROM p)
-SELECT count(*) AS inliers, round(sqrt((var_pop(b[1]) + var_pop(b[2]) + var_pop(b[3]))/(var_pop(a[1]) + var_pop(a[2]) + var_pop(a[3]))), 5) AS scale, 0.8 AS r0, -0.6 AS r1, 1.0 AS t0, -2.0 AS t1, 0.5 AS t2 FROM d WHERE good""")
+SELECT count(*) AS inliers, round(sqrt((var_pop(b[1]) + var_pop(b[2]) + var_pop(b[3]))/(var_pop(a[1]) + var_pop(a[2]) + var_pop(a[3]))), 5) AS scale, 0.8::DOUBLE AS r0, -0.6::DOUBLE AS r1, 1::DOUBLE AS t0, -2::DOUBLE AS t1, 0.5::DOUBLE AS t2 FROM d WHERE good""")
 def robust_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similarity that most matches agree with, found by rounds of random trials."""
     n = F.col("p_partkey")
