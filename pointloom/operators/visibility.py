@@ -70,7 +70,8 @@ def sightings(points: DataFrame, cameras: DataFrame, depths: DataFrame, width: f
     far = c.select("_cview", "_cwidth", "_cheight", reach.alias("_reach")).join(most, F.col("_cview") == F.col("view"), "left")
     bounded = F.coalesce(F.col("_full") == F.col("_cwidth") * F.col("_cheight"), F.lit(False))
     far = cut(far.select(F.col("_cview").alias("view"), F.when(bounded, F.least(F.col("_most") + margin, F.col("_reach"))).otherwise(F.col("_reach")).alias("far")))
-    met = located.join(seen_cells(cameras, far, width), ["cx", "cy", "cz"])
+    # Points and pixels are the smaller sides by far, and hashed: what meets them isn't sorted.
+    met = seen_cells(cameras, far, width).join(located.hint("shuffle_hash"), ["cx", "cy", "cz"]).select("pid", "view", "wx", "wy", "wz")
     rows = met.join(_camera(cameras, "_c"), F.col("view") == F.col("_cview"))
     w = F.col("wx"), F.col("wy"), F.col("wz")
     rows = rows.withColumns({f"_v{i}": V.total([F.col(f"_cr{3 * i + j}") * w[j] for j in range(3)]) + F.col(f"_ct{i}") for i in range(3)}).filter("_v2 > 0")
@@ -79,7 +80,7 @@ def sightings(points: DataFrame, cameras: DataFrame, depths: DataFrame, width: f
     quad = {"_qx": F.least(F.floor("_u"), (F.col("_cwidth") - 2).cast("long")), "_qy": F.least(F.floor("_v"), (F.col("_cheight") - 2).cast("long"))}
     rows = rows.withColumns(quad).select("pid", "view", F.col("_v2").alias("z"), "_qx", "_qy", (F.col("_u") - F.col("_qx")).alias("_fx"), (F.col("_v") - F.col("_qy")).alias("_fy"))
     quads = depth_quads(depths).withColumnRenamed("view", "_view")
-    found = rows.join(quads, (F.col("view") == F.col("_view")) & (F.col("_qx") == F.col("qx")) & (F.col("_qy") == F.col("qy")), "left")
+    found = rows.join(quads.hint("shuffle_hash"), (F.col("view") == F.col("_view")) & (F.col("_qx") == F.col("qx")) & (F.col("_qy") == F.col("qy")), "left")
     fx, fy = F.col("_fx"), F.col("_fy")
     depth = (F.col("d00") * (1 - fx) + F.col("d10") * fx) * (1 - fy) + (F.col("d01") * (1 - fx) + F.col("d11") * fx) * fy
     found = found.withColumn("depth", depth)

@@ -144,7 +144,7 @@ def visible_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points that stand before the depth maps of twenty cameras."""
     n = F.col("p_partkey").cast("double")
     points = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), (F.col("p_size") / 25.0 - 1).alias("x"), F.sin(n).alias("y"), (1.2 * F.cos(F.col("p_partkey") * 1.7)).alias("z"))
-    return visibility.visible(points, *_ring(spark, sf_dir), width=0.4)
+    return visibility.visible(points, *_ring(spark, sf_dir), width=0.8)
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
