@@ -29,7 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": oracles.OP2,
         "op6_substring_dedup": oracles.OP6,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
-        "op11_language_id": language_id.op11_language_id,
         "op12_release": release.OP12_SQL,
         "op13_merkle": merkle.OP13_SQL,
     }
