@@ -17,21 +17,29 @@ BAND_WEIGHTS = {"equal": (1.0, 1.0, 1.0), "sobolev": (2.0, 6.0, 12.0), "aggressi
 BANDS = ((0, 3), (3, 8), (8, 15))
 
 
+#: Each basis function as its constant and a polynomial: (factor, exponents of x, y and z) of every term. The functions of degree d
+#: are those from d * d on.
+TERMS = (
+    (C0, ((1, 0, 0, 0),)),
+    (C1, ((-1, 0, 1, 0),)), (C1, ((1, 0, 0, 1),)), (C1, ((-1, 1, 0, 0),)),
+    (C2[0], ((1, 1, 1, 0),)), (C2[1], ((1, 0, 1, 1),)), (C2[2], ((2, 0, 0, 2), (-1, 2, 0, 0), (-1, 0, 2, 0))), (C2[3], ((1, 1, 0, 1),)), (C2[4], ((1, 2, 0, 0), (-1, 0, 2, 0))),
+    (C3[0], ((3, 2, 1, 0), (-1, 0, 3, 0))), (C3[1], ((1, 1, 1, 1),)), (C3[2], ((4, 0, 1, 2), (-1, 2, 1, 0), (-1, 0, 3, 0))), (C3[3], ((2, 0, 0, 3), (-3, 2, 0, 1), (-3, 0, 2, 1))),
+    (C3[4], ((4, 1, 0, 2), (-1, 3, 0, 0), (-1, 1, 2, 0))), (C3[5], ((1, 2, 0, 1), (-1, 0, 2, 1))), (C3[6], ((1, 3, 0, 0), (-3, 1, 2, 0))),
+)
+
+
 def basis(direction: Column, degree: int) -> list[Column]:
     """The (degree + 1)**2 basis values of a unit direction."""
-    x, y, z = V.items(direction, 3)
-    xx, yy, zz = x * x, y * y, z * z
-    out = [F.lit(C0)]
-    if degree > 0:
-        out += [-C1 * y, C1 * z, -C1 * x]
-    if degree > 1:
-        out += [C2[0] * x * y, C2[1] * y * z, C2[2] * (2.0 * zz - xx - yy), C2[3] * x * z, C2[4] * (xx - yy)]
-    if degree > 2:
-        out += [
-            C3[0] * y * (3.0 * xx - yy), C3[1] * x * y * z, C3[2] * y * (4.0 * zz - xx - yy), C3[3] * z * (2.0 * zz - 3.0 * xx - 3.0 * yy),
-            C3[4] * x * (4.0 * zz - xx - yy), C3[5] * z * (xx - yy), C3[6] * x * (xx - 3.0 * yy),
-        ]
-    return out
+    axes = V.items(direction, 3)
+
+    def term(constant: float, factor: int, *exponents: int) -> Column:
+        out = F.lit(constant * factor)
+        for axis, times in zip(axes, exponents, strict=True):
+            for _ in range(times):
+                out = out * axis
+        return out
+
+    return [V.total([term(constant, *t) for t in terms]) for constant, terms in TERMS[: (degree + 1) ** 2]]
 
 
 def colour(coefficients: Column, direction: Column, degree: int) -> Column:
