@@ -47,8 +47,8 @@ def _merge_nearest(df: DataFrame, k: int, keys: list[str]) -> DataFrame:
 def knn(queries: DataFrame, rows: DataFrame, k: int, vector: str, q_id: str, r_id: str, skip_self: bool = True) -> DataFrame:
     """(a_id, b_id, d2, rank): exact k nearest rows of each query by squared distance, smaller ids first on ties.
 
-    A query first meets the cells whose pivots are nearest and which hold k others together; the k-th distance there bounds the
-    cells that it has to meet at all (see operators.metric). Only the k best of a query and a piece of a cell become
+    A query first meets the tiles of the cells whose pivots are nearest and which hold k others together; the k-th distance there bounds
+    the cells that it has to meet at all (see operators.metric). Only the k best of a query and a piece of a tile become
     rows. Vectors with nulls or NaN are left out.
     """
     r, pivots, radii, sizes = metric.indexed(rows, r_id, {"v": vector}, "v")
@@ -56,33 +56,43 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, vector: str, q_id: str, r_i
     empty = q.select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).limit(0)
     if not len(pivots):
         return empty
+    tile = metric.tiles(pivots, sizes)
 
     def search(a, b):
-        d = metric.squared(a["v"], b["v"])
-        if skip_self:
-            d[a["id"][:, None] == b["id"][None, :]] = np.inf
-        i, j = metric.nearest_of(d, k)
-        return i, j, [d[i, j]]
+        i, j, d = metric.k_nearest(a, b, "v", k, skip_self, a.get("most"))
+        return i, j, [d]
+
+    first = cut(_home(q, pivots, sizes, k + 1).withColumn("tiles", metric.tiles_met("cells", tile)).drop("cells"))
+    near = cut(_merge_nearest(metric.meet(first, r, sizes, tile, ["v"], search, "d2 double"), k, ["a_id"]).drop("rank"))
+    reach = near.groupBy("a_id").agg(F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("d2"))).alias("_most"))
+    bounded = first.join(reach, F.col("id") == F.col("a_id"), "left").withColumn("most", F.coalesce("_most", F.lit(float("inf")))).select("id", "v", F.col("tiles").alias("seen"), "most")
+    rest = _rest(bounded, "v", pivots, radii, sizes, tile)
+    return _merge_nearest(near.unionByName(metric.meet(rest, r, sizes, tile, ["v"], search, "d2 double", ["most"])), k, ["a_id"])
+
+
+def _home(q: DataFrame, pivots: np.ndarray, sizes: np.ndarray, enough: int, by: str = "v") -> DataFrame:
+    """q with cells: those of the nearest pivots, as many as hold `enough` rows together."""
 
     def home(batches):
         for x in batches:
             if len(x):
-                v, lists = metric.matrix(x.column("v")), []
+                v, lists = metric.matrix(x.column(by)), []
                 for at in range(0, len(v), max(1, metric.MATRIX // len(pivots))):
                     d = metric.squared(v[at : at + max(1, metric.MATRIX // len(pivots))], pivots)
                     d[:, sizes == 0] = np.inf
                     order = np.argsort(d, axis=1, kind="stable")
-                    enough = (np.cumsum(sizes[order], axis=1) <= k).sum(1) + 1  # k others, and the query itself
-                    lists += [o[:n].astype(np.int32).tolist() for o, n in zip(order, np.minimum(enough, (sizes > 0).sum()))]
+                    n = (np.cumsum(sizes[order], axis=1) < enough).sum(1) + 1
+                    lists += [o[:m].astype(np.int32).tolist() for o, m in zip(order, np.minimum(n, (sizes > 0).sum()))]
                 yield pa.RecordBatch.from_arrays([*x.columns, pa.array(lists, pa.list_(pa.int32()))], [*x.schema.names, "cells"])
 
-    first = cut(q.mapInArrow(home, metric.wider(q, cells=T.ArrayType(T.IntegerType()))))
-    near = cut(_merge_nearest(metric.meet(first, r, sizes, ["v"], search, "d2 double"), k, ["a_id"]).drop("rank"))
-    reach = near.groupBy("a_id").agg(F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("d2"))).alias("_most"))
-    bounded = first.join(reach, F.col("id") == F.col("a_id"), "left").withColumn("most", F.coalesce("_most", F.lit(float("inf")))).select("id", "v", F.col("cells").alias("seen"), "most")
-    rest = metric.cells_within(bounded, "v", pivots, radii, "most", sizes > 0)
-    rest = cut(rest.select("id", "v", F.array_except("cells", "seen").alias("cells")))
-    return _merge_nearest(near.unionByName(metric.meet(rest, r, sizes, ["v"], search, "d2 double")), k, ["a_id"])
+    return q.mapInArrow(home, metric.wider(q, cells=T.ArrayType(T.IntegerType())))
+
+
+def _rest(bounded: DataFrame, by: str, pivots: np.ndarray, radii: np.ndarray, sizes: np.ndarray, tile: np.ndarray) -> DataFrame:
+    """bounded (..., seen, most) with the other tiles of the cells that may hold a row within `most`; queries without any are gone."""
+    near = metric.cells_within(bounded, by, pivots, radii, "most", sizes > 0)
+    left = near.withColumn("tiles", F.array_except(metric.tiles_met("cells", tile), "seen")).drop("cells", "seen")
+    return cut(left.filter(F.size("tiles") > 0))
 
 
 def knn_grid(points: DataFrame, k: int, width: float, pid: str = "pid", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -113,27 +123,56 @@ def gated_neighbors(cameras: DataFrame, centre: str, axis: str, cid: str, near:
     """(a_id, b_id, dist, angle, rank): of each camera up to `most` others with near < dist < far and angle < degrees,
     by distance and then angle. NaN angles and cameras without an axis pass no gate.
 
-    A camera meets the cells of centres only that may hold one within `far` (see operators.metric).
+    A camera first meets the tile of its own centre; where `most` pass there, the last one's distance bounds the cells of centres that it
+    has to meet at all, else `far` does (see operators.metric).
     """
     c, pivots, radii, sizes = metric.indexed(cameras, cid, {"p": centre, "v": axis}, "p")
     if not len(pivots):
         return c.select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0.0).alias("dist"), F.lit(0.0).alias("angle"), F.lit(0).alias("rank")).limit(0)
+    tile = metric.tiles(pivots, sizes)
+    cosine = float(np.cos(np.radians(min(degrees, 180.0)))) if degrees > 0 else 2.0
 
-    def search(a, b):
-        d = np.sqrt(metric.squared(a["p"], b["p"]))
+    def unit(v):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)
+
+    def turned(a, b):
         with np.errstate(invalid="ignore", divide="ignore"):
-            lengths = np.sqrt((a["v"] ** 2).sum(1))[:, None] * np.sqrt((b["v"] ** 2).sum(1))[None, :]
-            g = np.degrees(np.arccos(a["v"] @ b["v"].T / lengths))
-        i, j = np.nonzero((g < degrees) & (d > near) & (d < far) & (a["id"][:, None] != b["id"][None, :]))
-        order = np.lexsort((j, g[i, j], d[i, j], i))
-        i, j = i[order], j[order]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < most
-        return i[keep], j[keep], [d[i, j][keep], g[i, j][keep]]
-
-    asked = cut(metric.cells_within(c.select("id", "p", "v"), "p", pivots, radii, far, sizes > 0))
-    found = metric.meet(asked, c, sizes, ["p", "v"], search, "dist double, angle double")
+            return np.degrees(np.arccos(np.einsum("ij,ij->i", a, b) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))))
+
+    def search(a, b):
+        d, off = metric.rough(a["p"], b, "p")
+        if "_unit" not in b:
+            b["_unit"] = unit(b["v"]).T
+        with np.errstate(invalid="ignore"):
+            g = unit(a["v"]) @ b["_unit"]
+        doubt = (a["v"].shape[1] + 8) * 2.0**-22
+        open_ = g >= cosine - doubt
+        own = np.minimum(np.searchsorted(b["id"], a["id"]), len(b["id"]) - 1)
+        same = np.flatnonzero(b["id"][own] == a["id"])
+        open_[same, own[same]] = False
+        limit = np.minimum(a["most"], far) ** 2 * (1 + 1e-9) + off
+        found = open_ & (d <= limit[:, None])
+        if np.count_nonzero(found) > 8 * most * len(d):
+            sure = found & (g >= cosine + doubt) & (d > (near * near + off)[:, None]) & (d < (far * far - off)[:, None])
+            found &= d <= np.minimum(limit, metric.kth_of(np.where(sure, d, np.inf), most) + 2 * off)[:, None] if d.shape[1] >= most else True
+        i, j = np.nonzero(found)
+        dist = np.sqrt(metric.of_pairs(metric.apart, a["p"], b["p"], i, j))
+        angle = metric.of_pairs(turned, a["v"], b["v"], i, j)
+        ok = np.flatnonzero((angle < degrees) & (dist > near) & (dist < far))
+        i, j, dist, angle = i[ok], j[ok], dist[ok], angle[ok]
+        keep = metric.first_of(i, most, dist, angle, j)
+        return i[keep], j[keep], [dist[keep], angle[keep]]
+
     order = Window.partitionBy("a_id").orderBy("dist", "angle", "b_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    first = _home(c.select("id", "p", "v"), pivots, sizes, 1, "p").withColumns({"tiles": metric.tiles_met("cells", tile), "most": F.lit(float(far))}).drop("cells")
+    first = cut(first)
+    met = cut(best(metric.meet(first, c, sizes, tile, ["p", "v"], search, "dist double, angle double", ["most"])).drop("rank"))
+    reach = met.groupBy("a_id").agg(F.when(F.count(F.lit(1)) == most, F.max("dist")).alias("_most"))
+    bounded = first.join(reach, F.col("id") == F.col("a_id"), "left").withColumn("most", F.coalesce("_most", F.lit(float(far)))).select("id", "p", "v", F.col("tiles").alias("seen"), "most")
+    rest = _rest(bounded, "p", pivots, radii, sizes, tile)
+    return best(met.unionByName(metric.meet(rest, c, sizes, tile, ["p", "v"], search, "dist double, angle double", ["most"])))
 
 
 def statistical_outliers(neighbours: DataFrame, sigmas: float = 2.0) -> DataFrame:
