@@ -34,9 +34,16 @@ def radius_pairs(a: DataFrame, b: DataFrame, radius: float, a_id: str = "pid", b
 
 
 def nearest_within(a: DataFrame, b: DataFrame, cap: float, a_id: str = "pid", b_id: str = "pid", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """(a_id, b_id, dist): the nearest b of each a up to the cap, the smaller b_id on ties; a alone has none."""
-    best = radius_pairs(a, b, cap, a_id, b_id, xyz).groupBy("a_id").agg(F.min(F.struct("dist", "b_id")).alias("_m"))
-    return best.select("a_id", F.col("_m.b_id").alias("b_id"), F.col("_m.dist").alias("dist"))
+    """(a_id, b_id, dist): the nearest b of each a up to the cap, the smaller b_id on ties; a alone has none.
+
+    Only the nearest of a point and a tile of rows become rows (see `knn`), so dense points don't meet in pairs.
+    """
+    near = knn(_vectors(a, a_id, xyz), _vectors(b, b_id, xyz), 1, "v", "id", "id", skip_self=False)
+    return near.select("a_id", "b_id", F.sqrt("d2").alias("dist")).filter(F.col("dist") <= cap)
+
+
+def _vectors(points: DataFrame, pid: str, xyz: tuple[str, ...]) -> DataFrame:
+    return points.select(F.col(pid).alias("id"), F.array(*[F.col(c).cast("double") for c in xyz]).alias("v"))
 
 
 def _merge_nearest(df: DataFrame, k: int, keys: list[str]) -> DataFrame:
