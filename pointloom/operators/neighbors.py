@@ -103,21 +103,13 @@ def _rest(bounded: DataFrame, by: str, pivots: np.ndarray, radii: np.ndarray, si
 
 
 def knn_grid(points: DataFrame, k: int, width: float, pid: str = "pid", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """(a_id, b_id, d2, rank): exact k nearest others of each point, by rings of cells that widen twofold.
+    """(a_id, b_id, d2, rank): exact k nearest others of each point in a few dimensions, by `knn`.
 
-    A point is done when its k-th neighbour is no farther than the ring's width; the others search the next ring.
+    A grid of fixed cells holds ever more points in each as a cloud grows denser, and meets them in pairs; the cells around pivots
+    follow the points. `width` says how wide such cells were and has no effect.
     """
-    left, done, n = points, None, points.count()
-    while True:
-        pairs = radius_pairs(left, points, width, pid, pid, xyz).filter("a_id <> b_id").withColumn("d2", F.col("dist") * F.col("dist"))
-        near = cut(_merge_nearest(pairs, k, ["a_id"]))
-        full = near.groupBy("a_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min(k, n - 1)).select("a_id")
-        part = near.join(full, "a_id", "left_semi").select("a_id", "b_id", "d2", "rank")
-        done = part if done is None else done.unionByName(part)
-        left = cut(left.join(full.select(F.col("a_id").alias(pid)), pid, "left_anti"))
-        if n < 2 or left.isEmpty():
-            return done
-        width *= 2
+    v = _vectors(points, pid, xyz)
+    return knn(v, v, k, "v", "id", "id")
 
 
 def mean_nearest(neighbours: DataFrame, k: int = 3) -> DataFrame:
