@@ -60,13 +60,38 @@ def largest_clusters(clusters: DataFrame, keep: int, least: int = 50) -> DataFra
     return clusters.join(sizes.join(F.broadcast(limit)).filter("n >= _limit").select("cluster"), "cluster", "left_semi")  # one row
 
 
+#: Points that are thinned at first, and the sum over cells of their points squared beyond which fewer are thinned at once.
+THIN_FIRST, THIN_PAIRS = 8192, 1 << 25
+
+
 def greedy_thin(points: DataFrame, radius: float, pid: str = "pid", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """The points that a pass in pid order keeps, each dropping all later ones within the radius.
 
-    Rounds of local minima give the same set: an undecided point stays when no undecided neighbour comes before it.
+    The order is cut into lots, each up to four times the one before. Points near one kept before them go first, by a join with those kept, which
+    lie at least a radius apart; pairs are formed of the others only. Where these still crowd, the lot is made smaller.
     """
-    pairs = _cut(radius_pairs(points, points, radius, pid, pid, xyz).filter("a_id < b_id").select("a_id", "b_id"))
-    undecided, kept = _cut(points.select(F.col(pid).alias("id"))), None
+    rows = _cut(_numbered(points.select(F.col(pid).alias("pid"), *[F.col(c).cast("double").alias(n) for c, n in zip(xyz, "xyz", strict=True)]), ["pid"], "place"))
+    cell = [F.floor(F.col(c) / radius) for c in "xyz"]
+    n, at, size, kept = rows.count(), 0, THIN_FIRST, None
+    while at < n:
+        lot = rows.filter((F.col("place") >= at) & (F.col("place") < at + size)).drop("place")
+        if kept is not None:
+            lot = _cut(lot.join(radius_pairs(lot, kept, radius).select(F.col("a_id").alias("pid")), "pid", "left_anti"))
+        if size > THIN_FIRST:
+            crowd = lot.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum(F.col("_n") * F.col("_n"))).first()[0]
+            if (crowd or 0) > THIN_PAIRS:
+                size = max(THIN_FIRST, size // 4)
+                continue
+        stay = lot.join(_first_of_all(lot, radius), F.col("pid") == F.col("id"), "left_semi")
+        kept = _cut(stay if kept is None else kept.unionByName(stay))
+        at, size = at + size, size * 4
+    return points.join(kept.select(F.col("pid").alias("id")), F.col(pid) == F.col("id"), "left_semi") if kept is not None else points
+
+
+def _first_of_all(points: DataFrame, radius: float) -> DataFrame:
+    """(id): the points that the pass keeps. Rounds of local minima give that set: one stays when no undecided neighbour comes before it."""
+    pairs = _cut(radius_pairs(points, points, radius).filter("a_id < b_id").select("a_id", "b_id"))
+    undecided, kept = _cut(points.select(F.col("pid").alias("id"))), points.select(F.col("pid").alias("id")).limit(0)
     while not undecided.isEmpty():
         ahead = pairs.select(F.col("b_id").alias("id"))
         stay = _cut(undecided.join(ahead, "id", "left_anti"))
@@ -74,8 +99,8 @@ def greedy_thin(points: DataFrame, radius: float, pid: str = "pid", xyz: tuple[s
         decided = stay.unionByName(gone)
         undecided = _cut(undecided.join(decided, "id", "left_anti"))
         pairs = _cut(pairs.join(decided, F.col("a_id") == F.col("id"), "left_anti").join(decided, F.col("b_id") == F.col("id"), "left_anti"))
-        kept = stay if kept is None else kept.unionByName(stay)
-    return points.join(kept, F.col(pid) == F.col("id"), "left_semi") if kept is not None else points
+        kept = kept.unionByName(stay)
+    return kept
 
 
 def _similarity(src: np.ndarray, dst: np.ndarray, with_scale: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
