@@ -5,8 +5,11 @@ Cameras are rows (view, r, t, fx, fy, cx, cy, width, height), depth maps rows (v
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.functions import vectors as V
 from pointloom.operators.checkpoints import cut
@@ -53,13 +56,8 @@ def depth_quads(depths: DataFrame) -> DataFrame:
     return at.filter("qx >= 0 AND qy >= 0").groupBy("view", "qx", "qy").agg(*[one(n) for n in ("d00", "d10", "d01", "d11")])
 
 
-def sightings(points: DataFrame, cameras: DataFrame, depths: DataFrame, width: float, margin: float = 0.005, pid: str = "pid", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """(pid, view, z, depth): each point in each view that sees it: on its raster, in front of it, and nearer than the depth there plus margin.
-
-    depth is interpolated between the four pixels around; where it isn't over 0 (or missing) nothing hides the point. A camera
-    meets the points of those cells only that seen_cells gives for its largest depth, or, if it has a pixel without depth, for
-    the farthest corner of the points' box; such pairs then meet the depth map by pixel. No other pair becomes a row.
-    """
+def _located(points: DataFrame, cameras: DataFrame, depths: DataFrame, width: float, margin: float, pid: str, xyz: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(pid, wx, wy, wz, cx, cy, cz) of the points, and (view, far), how deep each view has to be searched."""
     cell = [F.floor(F.col(c) / width).alias(n) for c, n in zip(xyz, ("cx", "cy", "cz"), strict=True)]
     located = points.select(F.col(pid).alias("pid"), *[F.col(c).cast("double").alias(w) for c, w in zip(xyz, ("wx", "wy", "wz"), strict=True)], *cell)
     box = located.agg(*[F.min(w).alias(f"_a{i}") for i, w in enumerate(("wx", "wy", "wz"))], *[F.max(w).alias(f"_b{i}") for i, w in enumerate(("wx", "wy", "wz"))])
@@ -70,6 +68,17 @@ def sightings(points: DataFrame, cameras: DataFrame, depths: DataFrame, width: f
     far = c.select("_cview", "_cwidth", "_cheight", reach.alias("_reach")).join(most, F.col("_cview") == F.col("view"), "left")
     bounded = F.coalesce(F.col("_full") == F.col("_cwidth") * F.col("_cheight"), F.lit(False))
     far = cut(far.select(F.col("_cview").alias("view"), F.when(bounded, F.least(F.col("_most") + margin, F.col("_reach"))).otherwise(F.col("_reach")).alias("far")))
+    return located, far
+
+
+def sightings(points: DataFrame, cameras: DataFrame, depths: DataFrame, width: float, margin: float = 0.005, pid: str = "pid", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """(pid, view, z, depth): each point in each view that sees it: on its raster, in front of it, and nearer than the depth there plus margin.
+
+    depth is interpolated between the four pixels around; where it isn't over 0 (or missing) nothing hides the point. A camera
+    meets the points of those cells only that seen_cells gives for its largest depth, or, if it has a pixel without depth, for
+    the farthest corner of the points' box; such pairs then meet the depth map by pixel. No other pair becomes a row.
+    """
+    located, far = _located(points, cameras, depths, width, margin, pid, xyz)
     # Points and pixels are the smaller sides by far, and hashed: what meets them isn't sorted.
     met = seen_cells(cameras, far, width).join(located.hint("shuffle_hash"), ["cx", "cy", "cz"]).select("pid", "view", "wx", "wy", "wz")
     rows = met.join(_camera(cameras, "_c"), F.col("view") == F.col("_cview"))
@@ -87,8 +96,74 @@ def sightings(points: DataFrame, cameras: DataFrame, depths: DataFrame, width: f
     return found.filter(F.coalesce((F.col("depth") <= 0) | (F.col("z") < F.col("depth") + margin), F.lit(True))).select("pid", "view", "z", "depth")
 
 
+#: Pixels of a depth map that goes to the tasks whole; views and points that meet in a task.
+MAP_PIXELS, VIEWS, POINTS = 4096, 8192, 65536
+
+
+def _maps(cameras: DataFrame, depths: DataFrame) -> DataFrame:
+    """cameras, every number a column, with `map`: the view's depths row by row, NaN where there is none."""
+    pixels = depths.filter("depth IS NOT NULL").groupBy(F.col("view").alias("_w")).agg(F.collect_list(F.struct(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("depth").cast("double").alias("d"))).alias("_pixels"))
+    rows = _camera(cameras, "_c").join(pixels, F.col("_cview") == F.col("_w"), "left").drop("_w").withColumn("_pixels", F.coalesce("_pixels", F.array().cast("array<struct<x:bigint,y:bigint,d:double>>")))
+    kept = [c for c in rows.columns if c != "_pixels"]
+
+    def dense(batches):
+        for b in batches:
+            maps = []
+            for w, h, pixels in zip(b.column("_cwidth").to_pylist(), b.column("_cheight").to_pylist(), b.column("_pixels"), strict=True):
+                x, y, d = (pixels.values.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y", "d"))
+                ok, out = (x >= 0) & (y >= 0) & (x < w) & (y < h), np.full(int(w) * int(h), -np.inf)
+                np.maximum.at(out, y[ok] * int(w) + x[ok], d[ok])
+                maps.append(np.where(out == -np.inf, np.nan, out))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(maps, pa.list_(pa.float64()))], [*kept, "map"])
+
+    return rows.mapInArrow(dense, T.StructType([*rows.select(*kept).schema.fields, T.StructField("map", T.ArrayType(T.DoubleType()))]))
+
+
+def _counts(points: DataFrame, cameras: DataFrame, depths: DataFrame, width: float, margin: float, pid: str, xyz: tuple[str, ...]) -> DataFrame:
+    """(pid, n): how many views see a point, of those that do; counted by cell in blocks of views and points, so sightings are no rows."""
+    located, far = _located(points, cameras, depths, width, margin, pid, xyz)
+    cells, keys = ["cx", "cy", "cz"], ["cx", "cy", "cz", "views", "points"]
+    seen = cut(seen_cells(cameras, far, width).join(located.select(*cells).distinct(), cells, "left_semi"))
+    held = located.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / POINTS).alias("_points"))
+    asked = seen.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / VIEWS).alias("_views"))
+    blocks = cut(held.join(asked, cells))
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    views = seen.join(blocks, cells).withColumn("views", hashed("view", "_views")).withColumn("points", each("_points")).drop("_views", "_points")
+    views = views.join(cut(_maps(cameras, depths)), F.col("view") == F.col("_cview")).drop("_cview", "view")
+    near = located.join(blocks, cells).withColumn("points", hashed("pid", "_points")).withColumn("views", each("_views")).drop("_views", "_points")
+
+    def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        w, n = [right.column(c).to_numpy() for c in ("wx", "wy", "wz")], np.zeros(len(right), np.int64)
+        numbers = np.column_stack([left.column(c).to_numpy() for c in [*[f"_cr{i}" for i in range(9)], *[f"_ct{i}" for i in range(3)], "_cfx", "_cfy", "_ccx", "_ccy", "_cwidth", "_cheight"]]) if len(left) else []
+        for c, held in zip(numbers, left.column("map"), strict=True):
+            fx, fy, cx, cy, wide, high = c[12:].tolist()
+            v = [c[3 * i] * w[0] + c[3 * i + 1] * w[1] + c[3 * i + 2] * w[2] + c[9 + i] for i in range(3)]
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                u, t = fx * v[0] / v[2] + cx, fy * v[1] / v[2] + cy
+            on = np.flatnonzero((v[2] > 0) & (u >= 0) & (u <= wide - 1) & (t >= 0) & (t <= high - 1))
+            u, t, z, depths_ = u[on], t[on], v[2][on], held.values.to_numpy(zero_copy_only=False)
+            qx, qy = np.minimum(np.floor(u), wide - 2).astype(int), np.minimum(np.floor(t), high - 2).astype(int)
+            u, t, at = u - qx, t - qy, qy * int(wide) + qx
+            with np.errstate(invalid="ignore"):
+                depth = (depths_[at] * (1 - u) + depths_[at + 1] * u) * (1 - t) + (depths_[at + int(wide)] * (1 - u) + depths_[at + int(wide) + 1] * u) * t
+                n[on[~((depth > 0) & (z >= depth + margin))]] += 1
+        return pa.table({"pid": right.column("pid"), "n": n}).filter(pa.array(n > 0))
+
+    schema = T.StructType([located.schema["pid"], T.StructField("n", T.LongType())])
+    return views.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(task, schema)
+
+
 def visible(points: DataFrame, cameras: DataFrame, depths: DataFrame, width: float, least: int = 20, margin: float = 0.005, pid: str = "pid", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """(pid, views, seen): in how many views each point is, and whether in `least` of them; points in none have 0."""
-    views = sightings(points, cameras, depths, width, margin, pid, xyz).groupBy("pid").agg(F.count(F.lit(1)).alias("_n"))
+    """(pid, views, seen): in how many views each point is, and whether in `least` of them; points in none have 0.
+
+    Depth maps of up to MAP_PIXELS go to the cells whole and sightings are counted where they arise; views of larger ones meet points pixel by pixel.
+    """
+    small = F.coalesce((F.col("width") >= 2) & (F.col("height") >= 2) & (F.col("width") * F.col("height") <= MAP_PIXELS), F.lit(False))
+    found = _counts(points, cameras.filter(small), depths.join(cameras.filter(small), "view", "left_semi"), width, margin, pid, xyz)
+    large = cameras.filter(~small)
+    if not large.isEmpty():
+        found = found.unionByName(sightings(points, large, depths.join(large, "view", "left_semi"), width, margin, pid, xyz).select("pid", F.lit(1).cast("long").alias("n")))
+    views = found.groupBy("pid").agg(F.sum("n").alias("_n"))
     out = points.select(F.col(pid).alias("pid")).join(views, "pid", "left")
     return out.select("pid", F.coalesce("_n", F.lit(0).cast("long")).alias("views"), (F.coalesce("_n", F.lit(0)) >= least).alias("seen"))
