@@ -32,22 +32,13 @@ def _camera(cameras: DataFrame, mark: str) -> DataFrame:
     return cameras.select(F.col("view").alias(f"{mark}view"), *r, *t, *[F.col(c).cast("double").alias(f"{mark}{c}") for c in _INTRINSICS])
 
 
-def world_points(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Pixels of sound depth with their place in the world, wx, wy, wz, and the pixel's values as they are."""
-    rows = pixels.filter(_sound(F.col("depth"))).join(_camera(cameras, "_c"), F.col("view") == F.col("_cview"))
-    ray = [(F.col("x") - F.col("_ccx")) / F.col("_cfx") * F.col("depth"), (F.col("y") - F.col("_ccy")) / F.col("_cfy") * F.col("depth"), F.col("depth")]
-    moved = rows.withColumns({f"_d{i}": c - F.col(f"_ct{i}") for i, c in enumerate(ray)})
-    return moved.select(*pixels.columns, *[V.total([F.col(f"_cr{3 * j + i}") * F.col(f"_d{j}") for j in range(3)]).alias(n) for i, n in enumerate(("wx", "wy", "wz"))])
-
-
-def projected(points: DataFrame, cameras: DataFrame, other: str = "other") -> DataFrame:
-    """points (with `other`, a view, and wx, wy, wz) that fall on a pixel of that view, with ox, oy and z there."""
-    rows = points.join(_camera(cameras, "_c"), F.col(other) == F.col("_cview"))
+def _on_raster(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns kept of rows (with wx, wy, wz and a camera's columns) that fall on its raster, with ox, oy and z there."""
     w = F.col("wx"), F.col("wy"), F.col("wz")
     seen = rows.withColumns({f"_v{i}": V.total([F.col(f"_cr{3 * i + j}") * w[j] for j in range(3)]) + F.col(f"_ct{i}") for i in range(3)}).filter("_v2 > 0")
     place = {"_u": F.col("_cfx") * F.col("_v0") / F.col("_v2") + F.col("_ccx"), "_v": F.col("_cfy") * F.col("_v1") / F.col("_v2") + F.col("_ccy")}
     on = seen.withColumns(place).withColumns({"ox": F.floor(F.col("_u") + 0.5), "oy": F.floor(F.col("_v") + 0.5), "z": F.col("_v2")})
-    return on.filter("ox >= 0 AND oy >= 0 AND ox < _cwidth AND oy < _cheight").select(*points.columns, "ox", "oy", "z")
+    return on.filter("ox >= 0 AND oy >= 0 AND ox < _cwidth AND oy < _cheight").select(*kept, "ox", "oy", "z")
 
 
 def cross_view(pixels: DataFrame, cameras: DataFrame, pairs: DataFrame, depth_tolerance: float = 0.05, normal_tolerance: float = 0.10) -> DataFrame:
@@ -55,15 +46,22 @@ def cross_view(pixels: DataFrame, cameras: DataFrame, pairs: DataFrame, depth_to
 
     A pixel of view a_id is put into the world and into b_id, and joined with the pixel that it falls on: an equi-join on
     (view, x, y) after every test that needs no partner. Pixels without a sound depth, behind the other camera, off its raster, or
-    hidden by more than OCCLUSION of the depth there have no row.
+    hidden by more than OCCLUSION of the depth there have no row. Both poses of a pair are joined first, so a pixel is shuffled once
+    to them and once to its partner, with numbers instead of arrays.
     """
-    near = pairs.select(F.col("a_id").alias("_a"), F.col("b_id").alias("other"))
-    points = world_points(pixels.select(*PIXEL, "depth", "normal"), cameras).join(near, F.col("view") == F.col("_a"))
-    source = projected(points.select(*PIXEL, "normal", "other", "wx", "wy", "wz"), cameras)
-    there = pixels.filter(_sound(F.col("depth"))).select(F.col("view").alias("_w"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("depth").alias("_depth"), F.col("normal").alias("_normal"))
+    n = [F.col("normal")[i].cast("double") for i in range(3)]
+    sound = pixels.filter(_sound(F.col("depth")))
+    flat = sound.select(*PIXEL, F.col("depth").cast("double").alias("depth"), *[c.alias(f"_n{i}") for i, c in enumerate(n)])
+    poses = _camera(cameras, "_s").join(pairs.select(F.col("a_id").alias("_a"), F.col("b_id").alias("other")), F.col("_sview") == F.col("_a")).join(_camera(cameras, "_c"), F.col("other") == F.col("_cview"))
+    rows = flat.join(poses.drop("_sview", "_cview"), F.col("view") == F.col("_a"))
+    ray = [(F.col("x") - F.col("_scx")) / F.col("_sfx") * F.col("depth"), (F.col("y") - F.col("_scy")) / F.col("_sfy") * F.col("depth"), F.col("depth")]
+    rows = rows.withColumns({f"_d{i}": c - F.col(f"_st{i}") for i, c in enumerate(ray)})
+    rows = rows.withColumns({n: V.total([F.col(f"_sr{3 * j + i}") * F.col(f"_d{j}") for j in range(3)]) for i, n in enumerate(("wx", "wy", "wz"))})
+    source = _on_raster(rows, [*PIXEL, "other", "_n0", "_n1", "_n2"])
+    there = pixels.filter(_sound(F.col("depth"))).select(F.col("view").alias("_w"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("depth").alias("_depth"), *[c.alias(f"_m{i}") for i, c in enumerate(n)])
     met = source.join(there, (F.col("other") == F.col("_w")) & (F.col("ox") == F.col("_x")) & (F.col("oy") == F.col("_y")))
     met = met.filter(F.col("z") <= (1 + OCCLUSION) * F.col("_depth"))
-    errors = {"depth_error": F.abs(F.col("z") - F.col("_depth")) / (F.col("z") + F.col("_depth") + EPS), "normal_error": 1 - F.abs(V.dot(F.col("normal"), F.col("_normal")))}
+    errors = {"depth_error": F.abs(F.col("z") - F.col("_depth")) / (F.col("z") + F.col("_depth") + EPS), "normal_error": 1 - F.abs(V.total([F.col(f"_n{i}") * F.col(f"_m{i}") for i in range(3)]))}
     scored = met.withColumns(errors).withColumn("score", consistency(F.col("depth_error"), F.col("normal_error"), depth_tolerance, normal_tolerance))
     return scored.select(*PIXEL, "other", "ox", "oy", "z", "depth_error", "normal_error", "score")
 
