@@ -34,10 +34,19 @@ def back(parts: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_sums(parts: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """parts (of `ranges`) with the sum of each column up to and with the row, and as <name>_all the key's sum."""
+    """parts (of `ranges`) with the sum of each column up to and with the row, and as <name>_all the key's sum.
+
+    Fractions are added in the rows' order, the key's sum too, so it is what the last row's is; in any other order the last bits would
+    differ, and with them whether a limit is met that is a share of the sum.
+    """
     rows = parts.withColumns({f"_{n}_in": c for n, c in sums.items()})
-    each = rows.groupBy(*keys, PART).agg(*[F.sum(f"_{n}_in").alias(f"_{n}_sum") for n in sums])
-    whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    kinds = dict(rows.dtypes)
+    rounded = [n for n in sums if kinds[f"_{n}_in"] in ("double", "float")]
+    whole = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    in_order = inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    added = rows.withColumns({f"_{n}_sum": F.sum(f"_{n}_in").over(in_order) for n in rounded})
+    each = added.groupBy(*keys, PART).agg(*[(F.max(f"_{n}_sum") if n in rounded else F.sum(f"_{n}_in")).alias(f"_{n}_sum") for n in sums])
     named = [F.coalesce(F.sum(f"_{n}_sum").over(before), F.lit(0)).alias(f"_{n}_before") for n in sums] + [F.sum(f"_{n}_sum").over(whole).alias(f"{n}_all") for n in sums]
     placed = back(rows.withColumns({f"_{n}_run": F.sum(f"_{n}_in").over(inside(keys, order)) for n in sums}), each.select(*keys, PART, *named), keys)
     out = placed.withColumns({n: F.col(f"_{n}_before") + F.coalesce(f"_{n}_run", F.lit(0)) for n in sums})
