@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.functions.keys import unknown_key
 from pointloom.operators.checkpoints import cut as _cut
 from pointloom.operators.metrics import voxel_downsample
 from pointloom.operators.neighbors import nearest_within, radius_pairs
@@ -17,30 +16,48 @@ from pointloom.operators.order import numbered as _numbered
 from pointloom.operators.select import systematic
 
 
+#: Edges that a task of a step meets, about, and edges of one node beyond which its least goes to them by broadcast.
+TASK_EDGES, HUB_EDGES = 1 << 17, 1 << 20
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node that each node reaches.
 
-    Large-star and small-star steps alternate until nothing changes; hubs are reduced to minima before rows meet.
+    Large-star and small-star steps alternate until nothing changes; hubs are reduced to minima before rows meet, and a hub's rows never
+    meet. Edges lead down (u > v), so only what a lower end itself leads down to is joined to them. Partitions go by the number of
+    edges: by bytes a task would hold the more rows the better these compress, as they do when most lead to one node.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    now = _cut(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = _cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
+    parts = lambda rows: max(1, -(-rows // TASK_EDGES))
+    down = pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = _cut(down.repartition(parts(pairs.count()), "u", "v").distinct())
     before = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _to_least(large.filter("u <> v"))
-        now = _cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())
-    return nodes.join(now, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
-
-
-def _to_least(edges: DataFrame) -> DataFrame:
-    m = edges.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_v")).select("_u", F.least("_u", "_v").alias("m"))
-    return edges.join(m, F.col("u") == unknown_key(F.col("_u"))).select("u", "v", "m")
+        before, n = mark, parts(mark[0])
+        large = _to_least(now, "v", n).select("u", F.col("m").alias("v")).repartition(n, "u", "v").distinct()
+        small = _to_least(large, "u", n)
+        rows = small.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).filter("u <> v")
+        now = _cut(rows.repartition(n, "u", "v").distinct())
+    linked = now.toDF("node", "component").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    lone = pairs.filter("NOT coalesce(u <> v, false)").select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    lone = lone.join(linked.select(F.col("node").alias("_linked")), F.col("node") == F.col("_linked"), "left_anti")
+    return linked.unionByName(lone.select("node", F.col("node").alias("component")))
+
+
+def _to_least(edges: DataFrame, end: str, parts: int) -> DataFrame:
+    """Edges (u, v), u > v, with m: the least that their end `end` leads down to, the end itself where it leads nowhere."""
+    ends = [F.struct(F.col("u").alias("_at"), F.col("v").alias("_to"), F.lit(int(end == "u")).alias("_one"))]
+    if end == "v":
+        ends.append(F.struct(F.col("v").alias("_at"), F.col("v").alias("_to"), F.lit(1).alias("_one")))
+    least = edges.select(F.explode(F.array(*ends)).alias("e")).groupBy("e._at").agg(F.min("e._to").alias("m"), F.sum("e._one").alias("_n"))
+    hubs = F.broadcast(least.filter(F.col("_n") > HUB_EDGES).select("_at", "m"))  # a row for so many edges at most
+    others = least.filter((F.col("_n") > 0) & (F.col("_n") <= HUB_EDGES)).select("_at", "m")
+    on = F.col(end) == F.col("_at")
+    rest = edges.join(hubs, on, "left_anti").repartition(parts, end)
+    return rest.join(others, on).select("u", "v", "m").unionByName(edges.join(hubs, on).select("u", "v", "m"))
 
 
 def triangle_clusters(faces: DataFrame, by: str = "edge") -> DataFrame:

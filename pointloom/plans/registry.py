@@ -404,7 +404,7 @@ c(node, root) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM u GROUP BY a
 SELECT node, root AS component FROM c
 """)
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
     return graph.connected_components(edges, "a", "b")
 
 
