@@ -3,6 +3,7 @@
 A window of WINDOW words is sent to a shard by its minimiser, the least hash among its runs of GRAM words, so equal
 windows always meet in one shard, and a shard holds only what may repeat. Consecutive windows with one
 minimiser travel as a segment. Segments with the same words are indexed once, with their number as weight.
+A segment none of whose windows can repeat, by the words beside its minimiser, isn't sent at all.
 """
 
 from __future__ import annotations
@@ -30,13 +31,18 @@ HOT_WORDS = 2 * SHARD_WORDS
 
 
 def segments(t: W.Texts, window: int = WINDOW, gram: int = GRAM):
-    """(text, first word in it, windows, minimiser, hash of the words, first word in the chunk) of each segment, and the word hashes."""
+    """(text, first word in it, windows, minimiser, hash of the words, sides) of each segment, and the word hashes.
+
+    A window goes on for half of the words besides its minimiser's run, or more, to the left of that run or to the right. Sides are the
+    hashes of the run with so many words to its left, and to its right, 0 where the segment's words end before: equal windows have a side
+    in common.
+    """
     h = t.hashes()
     valid = W.inside_one_text(t, window)
     n = len(valid)
     if not valid.any():
         none = np.zeros(0, np.int64)
-        return (none, none, none, none.view(np.uint64), none.view(np.uint64), none), h
+        return (none, none, none, none.view(np.uint64), none.view(np.uint64), np.zeros((2, 0), np.uint64)), h
     value, wide = W.window_hashes(h, gram), 1
     at = np.arange(len(value))
     grams = window - gram + 1
@@ -54,7 +60,10 @@ def segments(t: W.Texts, window: int = WINDOW, gram: int = GRAM):
     ends = np.flatnonzero(np.append(new[1:] | ~valid[1:], True) & valid) + 1
     windows = ends - first
     content = W.span_hashes(h, first, ends + window - 1)
-    return (doc[first], first - t.first[doc[first]], windows, value[first], content, first), h
+    run, reach, sides = at[first], -(-(window - gram) // 2), np.zeros((2, len(first)), np.uint64)
+    for side, start, there in ((0, run - reach, run - reach >= first), (1, run, run + gram + reach <= ends + window - 1)):
+        sides[side, there] = W.span_hashes(h, start[there], start[there] + gram + reach)
+    return (doc[first], first - t.first[doc[first]], windows, value[first], content, sides), h
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -65,21 +74,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(row, spans): for the rows of docs (numbered by `_pl_row`) with repeated windows, (first word, mask of windows)."""
     spark = docs.sparkSession
 
-    def minimisers(batch):
+    def sides_of(batch):
         for _, _, t in W.chunks(batch.column("text")):
-            yield segments(t)[0][3]
+            sides = segments(t)[0][5].ravel()
+            yield sides[sides != 0]
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = _filter_size(size // 80)  # a segment begins about every 80 bytes
-    maps = spark.sparkContext.broadcast(repeated_places(docs.select("text"), bits, minimisers))
+    bits = 2 * _filter_size(size // 80)  # a segment, with one side or two, begins about every 80 bytes
+    maps = spark.sparkContext.broadcast(repeated_places(docs.select("text"), bits, sides_of))
 
     def refer(batches):
         for batch in batches:
             for a, b, t in W.chunks(batch.column("text")):
-                (doc, first, windows, value, content, _), _ = segments(t)
-                keep = np.ones(len(doc), bool)
-                for bitmap, p in zip(maps.value, _two_places(value.view(np.int64), bits), strict=True):
-                    keep &= (bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+                (doc, first, windows, value, content, sides), _ = segments(t)
+                again = sides != 0
+                for bitmap, p in zip(maps.value, _two_places(sides, bits), strict=True):
+                    again &= (bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+                keep = again.any(0)
                 rows = batch.column("_pl_row").slice(a, b - a).take(pa.array(doc[keep]))
                 yield pa.RecordBatch.from_arrays([rows, pa.array(first[keep].astype(np.int32)), pa.array(windows[keep].astype(np.int32)), _signed(value[keep]), _signed(content[keep])], ["row", "first", "windows", "m", "c"])
 
