@@ -286,8 +286,8 @@ def _lots(located: DataFrame) -> DataFrame:
 def _counts(points: DataFrame, cameras: DataFrame, depths: DataFrame, width: float, margin: float, pid: str, xyz: tuple[str, ...]) -> DataFrame:
     """(pid, n): how many views see a point, of those that do; counted in blocks of views and points, so sightings are no rows.
 
-    Points go by lots of cells, and a view meets the lots with a cell that it may see. Of what grows with the tables nothing is
-    broadcast: Parquet sizes say little of what dictionaries of few numbers take in memory.
+    Points go by lots of cells, and a view meets the lots with a cell that it may see. Only a row a lot and up to CELLS cells
+    are broadcast: Parquet sizes say little of what dictionaries of few numbers take in memory.
     """
     located, far = _located(points, cameras, depths, width, margin, pid, xyz)
     cells, keys = ["cx", "cy", "cz"], ["lot", "part", "bucket"]
